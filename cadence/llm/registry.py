@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii, quality, simhash, substring
+from . import bpe, license_scan, packing, pii, quality, simhash, substring, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,9 +15,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": simhash.op2_simhash,
         "op4_packing": packing.op4_packing,
         "op5_pii": pii.op5_pii,
+        "op3_byte_bpe": bpe.op3_byte_bpe,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op7_topk": topk.op7_topk,
+        "op8_licenses": license_scan.op8_licenses,
         "op10_substring": substring.op10_substring,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_topk": topk.OP7_SQL}

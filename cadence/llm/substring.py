@@ -8,8 +8,9 @@ window whose anchor is estimated below two is unique and is dropped, and no repe
 Second pass: the remaining windows are grouped exactly, by a 96-bit hash of their whole word
 sequence. Before the shuffle each task settles the windows that repeat within its own rows and
 sends such a window on only once, so a passage that stands in a third of all documents arrives
-as one entry for each task, not one for each place. Places are packed into binary columns, hashed
-into buckets whose number follows the size of the texts.
+as one entry for each task, not one for each place. Places are packed into binary columns and go
+to buckets, whose number follows the size of the texts, by their anchors: neighbouring windows
+mostly share one, so a document's windows meet in few buckets and few answers return.
 
 Size: the sketch has a counter for every 16 bytes of text, and ``MAX_BITS`` at most; what is
 broadcast is one bit for each counter and row, at most ``ROWS * 2**MAX_BITS / 8`` bytes (64 MB).
@@ -52,7 +53,7 @@ class _WordHashes(dict):
     """Hashes of words; emptied when large, so that a worker's memory stays bounded."""
 
     def __missing__(self, word):
-        if len(self) > 1_000_000:
+        if len(self) > 500_000:
             self.clear()
         h = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:
@@ -183,11 +184,12 @@ def _maybe_repeated(least: np.ndarray, bits: int, bitmap: np.ndarray) -> np.ndar
 
 
 def _groups(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The entries in the order of their hashes, and the number of each one's group."""
-    entries = entries[np.lexsort((entries["h2"], entries["h1"]))]
+    """An order of the entries by their hashes, and in that order the number of each one's group."""
+    order = np.lexsort((entries["h2"], entries["h1"]))
+    h1, h2 = entries["h1"][order], entries["h2"][order]
     new = np.ones(len(entries), bool)
-    new[1:] = (entries["h1"][1:] != entries["h1"][:-1]) | (entries["h2"][1:] != entries["h2"][:-1])
-    return entries, np.cumsum(new) - 1
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    return order, np.cumsum(new) - 1
 
 
 def _places(entries: np.ndarray):
@@ -209,21 +211,23 @@ def _place_batch(places, bucket=None):
 def _windows(batches, bits: int, bitmap: np.ndarray, buckets: int):
     """Rows (bucket, rid, rid2, payload): with rid null entries to group, else settled places."""
 
-    def sent(held):
-        entries, group = _groups(np.concatenate(held))
+    def sent(held, anchored):
+        entries, to = np.concatenate(held), np.concatenate(anchored)
+        order, group = _groups(entries)
+        entries, to = entries[order], to[order]
         size = np.bincount(group)
         twice = size[group] > 1
         yield _place_batch(_places(entries[twice]), lambda p: p[0] % buckets)
         first = np.flatnonzero(np.diff(group, prepend=-1))
         on = entries[first]
         on["pos"][size > 1] = _SETTLED
-        to = (on["h1"] % np.uint64(buckets)).astype(np.int64)
+        to = to[first]
         on, to = on[(order := np.argsort(to, kind="stable"))], to[order]
         at = np.flatnonzero(np.diff(to, prepend=-1))
         parts = [on[a:b].tobytes() for a, b in zip(at, [*at[1:], len(on)])]
         yield batch(bucket=pa.array(to[at], pa.int32()), rid=pa.nulls(len(at), pa.int64()), rid2=pa.nulls(len(at), pa.int32()), payload=pa.array(parts, pa.binary()))
 
-    held, size = [], 0
+    held, anchored, size = [], [], 0
     for b in batches:
         for t, rid, rid2 in zip(utf8(b.column("text")), b.column("rid").to_pylist(), b.column("rid2").to_pylist()):
             h = word_hashes((t or b"").split())
@@ -236,12 +240,13 @@ def _windows(batches, bits: int, bitmap: np.ndarray, buckets: int):
                 e["h1"], e["h2"] = rolled(h, WINDOW)[at], (rolled(h, WINDOW, 1)[at] >> np.uint64(32)).astype(np.uint32)
                 e["rid"], e["rid2"], e["pos"] = rid, rid2, at
                 held.append(e)
+                anchored.append((least[at] % np.uint64(buckets)).astype(np.int32))
                 size += len(e)
             if size >= HOLD:
-                yield from sent(held)
-                held, size = [], 0
+                yield from sent(held, anchored)
+                held, anchored, size = [], [], 0
     if held:
-        yield from sent(held)
+        yield from sent(held, anchored)
 
 
 def _group(batches):
@@ -253,7 +258,9 @@ def _group(batches):
             yield settled.select(["rid", "rid2", "payload"])
         held += [np.frombuffer(p, _ENTRY) for p, r in zip(b.column("payload").to_pylist(), b.column("rid").to_pylist()) if r is None]
     if held:
-        entries, group = _groups(np.concatenate(held))
+        entries = np.concatenate(held)
+        order, group = _groups(entries)
+        entries = entries[order]
         known = entries["pos"] == _SETTLED
         many = (np.bincount(group) + 2 * np.bincount(group, known))[group] > 1
         yield _place_batch(_places(entries[many & ~known]))
