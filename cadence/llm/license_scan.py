@@ -47,7 +47,7 @@ NOTICES = (
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 #: One error for so many characters of a notice, MAX_ERRORS at most.
-PER_ERROR, MAX_ERRORS = 12, 5
+PER_ERROR, MAX_ERRORS = 16, 5
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, packing, pii, quality, simhash, substring, topk, toxicity
+from . import bpe, chat, license_scan, packing, pii, quality, simhash, substring, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,9 +19,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_topk": topk.op7_topk,
         "op8_licenses": license_scan.op8_licenses,
+        "op9_chat": chat.op9_chat,
         "op10_substring": substring.op10_substring,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_topk": topk.OP7_SQL}
+    return {"op7_topk": topk.OP7_SQL, "op9_chat": chat.OP9_SQL}

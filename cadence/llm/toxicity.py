@@ -6,8 +6,8 @@ class (raw counts at order 6, continuation counts below); orders 3 to 1 hold con
 that both classes share. An expression that is rare in a class thus backs off to the same
 probability under both, and says nothing. A word's evidence is its log-likelihood under the toxic
 model less that under the ordinary one. A document is judged by its evidence for each word
-(length-normalised), over the whole text and over the strongest 24-word stretch; a logistic curve
-fitted on labelled rows kept out of the counts turns the two into a score.
+(length-normalised): over the whole text, its strongest word and its strongest three words. A
+logistic curve fitted on labelled rows kept out of the counts turns these into a score.
 
 Rows with crc32(doc_id) mod 5 = 0 are held out altogether; remainders 1 to 3 are counted,
 remainder 4 fits the curve. Counts cover every labelled row; the curve sees at most
@@ -35,7 +35,7 @@ ORDER = 6
 SHARED = 3
 DISCOUNT = 0.75
 BITS = 20
-STRETCH = 24
+STRONGEST = 3
 FOLDS = 5
 CURVE_ROWS = 20_000
 #: Distinct grams that a task holds before it sends them on.
@@ -163,19 +163,19 @@ def evidence(words: list[bytes], tables: dict[str, np.ndarray]) -> np.ndarray:
     return np.add.reduceat(ratio, np.cumsum(sizes) - sizes)
 
 
-def features(ratios: np.ndarray, stretch: int = STRETCH) -> tuple[float, float]:
-    """Evidence for each word: over the whole text, and over the strongest stretch."""
-    n = len(ratios)
-    if not n:
-        return 0.0, 0.0
-    if n <= stretch:
-        return float(ratios.mean()), float(ratios.mean() * n / stretch)
-    sums = np.concatenate([[0.0], np.cumsum(ratios)])
-    return float(ratios.mean()), float((sums[stretch:] - sums[:-stretch]).max() / stretch)
+FEATURES = ("mean", "peak", "strong")
+
+
+def features(ratios: np.ndarray, strongest: int = STRONGEST) -> tuple[float, float, float]:
+    """Evidence for each word: over the whole text, of the strongest word and of the strongest few."""
+    if not len(ratios):
+        return 0.0, 0.0, 0.0
+    top = np.sort(np.partition(ratios, max(0, len(ratios) - strongest))[-strongest:])
+    return float(ratios.mean()), float(top[-1]), float(top.sum() / strongest)
 
 
 def _measured(docs: DataFrame, columns: list[str], tables) -> DataFrame:
-    """The given columns, with ``mean`` and ``peak``."""
+    """The given columns, with ``FEATURES``."""
 
     def run(batches):
         model = tables.value
@@ -191,11 +191,11 @@ def _measured(docs: DataFrame, columns: list[str], tables) -> DataFrame:
                     part = new[at : at + 50_000]
                     known.update(zip(part, evidence(part, model).tolist()))
             found = [features(np.fromiter(map(known.__getitem__, words), np.float64, len(words))) for words in texts]
-            yield batch(**{c: b.column(c) for c in columns}, mean=pa.array([x[0] for x in found], pa.float64()), peak=pa.array([x[1] for x in found], pa.float64()))
+            yield batch(**{c: b.column(c) for c in columns}, **{k: pa.array([x[i] for x in found], pa.float64()) for i, k in enumerate(FEATURES)})
 
     few = docs.select("text", *columns)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in few.schema if f.name != "text")
-    return map_arrow(few, run, f"{schema}, mean double, peak double")
+    return map_arrow(few, run, ", ".join([schema, *(f"{k} double" for k in FEATURES)]))
 
 
 _caches: dict[str, BoundedCache] = {}
@@ -210,20 +210,21 @@ def _evidence_cache(model: str) -> BoundedCache:
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 100) -> np.ndarray:
-    """Logistic weights (constant last) by Newton's method."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
+    """Logistic weights (constant last) by Newton's method on standardised features."""
+    mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-9
+    z = np.column_stack([(x - mean) / sd, np.ones(len(x))])
+    w = np.zeros(z.shape[1])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), z.T @ (y - p) - ridge * w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
-    return w
+    return np.append(w[:-1] / sd, w[-1] - (w[:-1] * mean / sd).sum())
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, mean and peak evidence of every whole text."""
+    """doc_id, held_out, score, predicted and ``FEATURES`` of every whole text."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("fold", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS, F.lit(-1)).cast("int"))
     marks = labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -231,11 +232,12 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     tables = spark.sparkContext.broadcast(_tables(gram_counts(train.where(f"fold < {FOLDS - 1}"))))
     curve = _measured(train.where(f"fold = {FOLDS - 1}"), ["doc_id", "toxic"], tables).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS).toArrow()
     y = curve.column("toxic").to_numpy().astype(float)
-    x = np.column_stack([curve.column("mean").to_numpy(), curve.column("peak").to_numpy()])
+    x = np.column_stack([curve.column(k).to_numpy() for k in FEATURES])
     found = _measured(docs, ["doc_id", "fold"], tables)
     if len(set(y.tolist())) == 2:
-        a, b, c = (float(v) for v in fit_curve(x, y))
-        out = 1 / (1 + F.exp(-F.least(F.lit(30.0), F.greatest(F.lit(-30.0), a * F.col("mean") + b * F.col("peak") + c))))
+        *weights, constant = (float(v) for v in fit_curve(x, y))
+        line = sum((w * F.col(k) for w, k in zip(weights, FEATURES)), F.lit(constant))
+        out = 1 / (1 + F.exp(-F.least(F.lit(30.0), F.greatest(F.lit(-30.0), line))))
     else:
         out = F.lit(0.0)
     found = found.withColumn("score", out)
