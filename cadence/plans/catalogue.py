@@ -654,3 +654,123 @@ def block_bootstrap(spark, sf):
     k = _scored(spark, sf).groupBy("game_id").agg(F.sum("w").alias("w"), e("base").alias("b"), e("model").alias("m"))
     b = metrics.bootstrap(k, "game_id", 40, 9, w=F.col("w"), b=F.col("b"), m=F.col("m"))
     return _round(b.select("replicate", (F.sqrt(F.col("b") / F.col("w")) - F.sqrt(F.col("m") / F.col("w"))).alias("delta")), "delta")
+
+
+# -- fitted models (compared by invariants in the tests, not by SQL) --------------------------------
+
+
+def _halves(spark, sf):
+    s = V.stints(spark, sf)
+    sided = s.join(splits.chronological(s), "stint_id")
+    return sided.where("side = 'train'").drop("side"), sided.where("side = 'test'").drop("side")
+
+
+def _coefficients(fit, spark) -> DataFrame:
+    return fit.table(spark).select("col", F.round("coef", 6).alias("coef"))
+
+
+@query()
+def ridge_fit(spark, sf):
+    from . import models
+
+    return _coefficients(models.fit_ridge(V.stints(spark, sf)), spark)
+
+
+@query()
+def em_fit(spark, sf):
+    from . import models
+
+    return _coefficients(models.fit_hierarchical(V.stints(spark, sf)), spark)
+
+
+@query()
+def pair_em_fit(spark, sf):
+    from . import models
+
+    return _coefficients(models.fit_pairs(V.stints(spark, sf), 20), spark)
+
+
+@query()
+def role_pair_fit(spark, sf):
+    from . import models
+
+    roles = spark.range(V.PLAYERS).select(F.col("id").alias("member"), (F.col("id") % 3).alias("role"))
+    return _coefficients(models.fit_role_pairs(V.stints(spark, sf), roles, 3), spark)
+
+
+@query()
+def redundancy_fit(spark, sf):
+    from . import models
+
+    s = V.stints(spark, sf)
+    e = contract.player_exposure(s).withColumns({"a": F.col("off_possessions") / 1000, "b": F.col("games").cast("double")}).select(F.col("player").alias("member"), "a", "b")
+    return _coefficients(models.fit_redundancy(s, e, ["a", "b"]), spark)
+
+
+@query()
+def low_rank_interactions(spark, sf):
+    from . import models
+
+    return models.interactions(*models.low_rank(models.residual_rows(V.stints(spark, sf))), spark)
+
+
+@query()
+def interaction_intervals(spark, sf):
+    from . import models
+
+    return models.bootstrap_interactions(V.stints(spark, sf), members=4)
+
+
+@query()
+def player_lift(spark, sf):
+    from . import models
+
+    return models.lift(V.stints(spark, sf))
+
+
+@query()
+def receiver_model(spark, sf):
+    from . import models
+
+    lines = V.table(spark, sf, "lineitem").join(V.table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("game_date")), F.col("l_orderkey") == F.col("o_orderkey"))
+    produced = lines.groupBy(F.col("l_orderkey").alias("stint_id"), "game_date", (F.col("l_suppkey") % V.PLAYERS).alias("member")).agg(F.sum("l_quantity").alias("fg"), F.sum("l_tax").alias("ft"), F.sum("l_discount").alias("assisted"), F.count(F.lit(1)).cast("double").alias("w"))
+    return models.evaluate_receivers(produced)
+
+
+@query()
+def role_clusters(spark, sf):
+    from . import models
+
+    return models.kmeans(_roles(spark, sf), "player_id", ["z1", "z2", "z3"], 4)
+
+
+@query()
+def rung_comparison(spark, sf):
+    from . import models
+
+    s = V.stints(spark, sf)
+    return models.compare_rungs(s, splits.chronological(s))
+
+
+@query()
+def transport_evaluation(spark, sf):
+    from . import models
+
+    return models.transport(*_halves(spark, sf))
+
+
+@query()
+def group_calibration(spark, sf):
+    from . import models
+
+    return models.calibrated_groups(*_halves(spark, sf))
+
+
+@query()
+def transaction_backtest(spark, sf):
+    from . import models
+
+    s = V.stints(spark, sf)
+    teams = s.select(F.explode("offense_player_ids").alias("p"), "season_index", "offense_team_id", "offensive_possessions").groupBy("p", "season_index", "offense_team_id").agg(F.sum("offensive_possessions").alias("n"))
+    threshold = int(teams.agg(F.percentile_approx("n", 0.97)).first()[0])
+    return models.backtest(s, threshold=threshold)
