@@ -21,6 +21,11 @@ def rmse(error: Column, weight: Column | None = None) -> Column:
     return F.sqrt(F.sum(weight * error * error) / F.sum(weight))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation; null where either has no spread."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def grouped(rows: DataFrame, group: str, actual: str, predicted: str, weight: str) -> DataFrame:
     """group, support, weight, and the weighted means of both."""
     return rows.groupBy(group).agg(F.count(F.lit(1)).alias("support"), F.sum(weight).cast("double").alias("weight"), weighted_mean(actual, weight).alias("actual"), weighted_mean(predicted, weight).alias("predicted"))
@@ -51,7 +56,7 @@ def calibration(groups: DataFrame, point: str, sd: str, actual: str) -> DataFram
         F.avg(z).alias("z_mean"),
         F.coalesce(F.stddev_samp(z), F.lit(0.0)).alias("z_sd"),
         F.sum(w).alias("sw"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * x * y).alias("sxy"),
-        F.coalesce(F.corr(F.col(sd), F.abs(F.col(actual) - F.col(point))), F.lit(0.0)).alias("width_vs_error"),
+        F.coalesce(correlation(F.col(sd), F.abs(F.col(actual) - F.col(point))), F.lit(0.0)).alias("width_vs_error"),
     )
     det = F.col("sw") * F.col("sxx") - F.col("sx") * F.col("sx")
     usable = (F.col("groups") >= 2) & (F.abs(det) > 1e-12)
@@ -66,7 +71,7 @@ def summary(df: DataFrame, value: str) -> DataFrame:
 
 def regression(df: DataFrame, y: str, x: str) -> DataFrame:
     """Slope, intercept and correlation; zeros for fewer than five rows, (0, mean, 0) without spread."""
-    s = df.agg(F.count(F.lit(1)).alias("n"), F.regr_slope(y, x).alias("s"), F.regr_intercept(y, x).alias("i"), F.corr(y, x).alias("c"), F.avg(y).alias("m"), (F.max(x) - F.min(x)).alias("r"))
+    s = df.agg(F.count(F.lit(1)).alias("n"), F.regr_slope(y, x).alias("s"), F.regr_intercept(y, x).alias("i"), correlation(F.col(y), F.col(x)).alias("c"), F.avg(y).alias("m"), (F.max(x) - F.min(x)).alias("r"))
     few, flat = F.col("n") < 5, F.col("r") == 0
     pick = lambda v, f: F.when(few, 0.0).when(flat, f).otherwise(F.coalesce(v, F.lit(0.0)))
     return s.select("n", pick(F.col("s"), F.lit(0.0)).alias("slope"), pick(F.col("i"), F.col("m")).alias("intercept"), pick(F.col("c"), F.lit(0.0)).alias("correlation"))
