@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, map_arrow, table
+from .common import batch, map_arrow, table, worker_cache
 
 #: Bits of a bitmap word; two levels of words and one word above them cover 2**24 ranks.
 _BITS = 8
@@ -158,7 +158,7 @@ class BytePairs:
 class _Remembered(dict):
     """Results by their short arguments; emptied when full, so that a worker's memory stays bounded."""
 
-    LONGEST, MOST = 48, 600_000
+    LONGEST, MOST = 48, 400_000
 
     def __init__(self, fn):
         super().__init__()
@@ -173,13 +173,8 @@ class _Remembered(dict):
         return found
 
 
-_loaded: dict[tuple[str, str], BytePairs] = {}
-
-
 def byte_pairs(path: str, pattern: str) -> BytePairs:
-    if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = BytePairs(path, pattern)
-    return _loaded[path, pattern]
+    return worker_cache(("byte pairs", path, pattern), lambda: BytePairs(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:

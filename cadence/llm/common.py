@@ -41,7 +41,27 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` that gives a task's freed Arrow buffers back, as Spark's workers live on."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
+_held: dict = {}
+
+
+def worker_cache(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` makes, kept by this worker for later tasks, in place of what it kept for
+    another operator: a worker serves many stages, and holds the caches of one only."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

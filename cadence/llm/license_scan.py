@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, map_arrow, table, utf8
+from .common import batch, map_arrow, table, utf8, worker_cache
 
 #: The base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -137,13 +137,8 @@ class Scanner:
         return out
 
 
-_scanner: list[Scanner] = []
-
-
 def scanner() -> Scanner:
-    if not _scanner:
-        _scanner.append(Scanner())
-    return _scanner[0]
+    return worker_cache("license scanner", Scanner)
 
 
 _HITS = "array<struct<label:string,first_word:bigint,last_word:bigint,errors:int,exact:boolean>>"

@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch, map_arrow, materialise, table, utf8
+from .common import batch, map_arrow, materialise, table, utf8, worker_cache
 
 LENGTH = 4096
 UNIT = 64
 END_ID = 2
 #: Words of at most so many bytes are remembered, and so many of them.
-_WORD_BYTES, _WORDS = 48, 800_000
+_WORD_BYTES, _WORDS = 48, 400_000
 _TAIL = b".,!?:;*#$%&|"
 _STEM_END = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
@@ -72,13 +72,8 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.lower().split()))
 
 
-_loaded: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    return _loaded[path]
+    return worker_cache(("word ids", path), lambda: WordIds(path))
 
 
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
@@ -249,14 +244,15 @@ def pack(docs: DataFrame, path: str, window: int = LENGTH, unit: int = UNIT) ->
 
 
 def _pieces(docs: DataFrame, path: str, window: int, unit: int, extra: str) -> DataFrame:
+    kind = word_ids(path).kind
     tokens = materialise(tokenised(docs, path), "pack-ids")
     pieces = plan(tokens.select("rid", "n"), window, unit)
     # A document's pieces: its length in windows, and a few more.
     grouped = pieces.groupBy("rid").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
-    joined = tokens.join(grouped.withColumnRenamed("rid", "__rid"), F.col("rid") == F.col("__rid")).select("doc_id", "n", "ids", "pieces")
+    # The pieces are the small side: a hash join spares sorting the ids.
+    joined = tokens.join(grouped.withColumnRenamed("rid", "__rid").hint("shuffle_hash"), F.col("rid") == F.col("__rid")).select("doc_id", "n", "ids", "pieces")
 
     def run(batches):
-        kind = word_ids(path).kind
         name = extra.split()[0]
         for b in batches:
             docs_, cols = [], {k: [] for k in ("start", "length", "sequence_id", "offset", "extra", "doc_tokens")}

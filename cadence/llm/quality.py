@@ -213,10 +213,8 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
 
 def keep(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """The documents, all columns, that the rules keep; each row is judged by its own text."""
-    good = labels.where("quality = 1").select(F.col("doc_id").alias("__good")).distinct()
-    labelled = docs.join(good, F.col("doc_id") == F.col("__good"), "left_semi")
-    limits = cutoffs(signals(labelled), labels, risk, delta)
-    kept = _verdicts(signals(docs, carry=tuple(docs.columns)), limits).where("kept")
+    measured = materialise(signals(docs, carry=tuple(docs.columns)), "quality-measured")
+    kept = _verdicts(measured, cutoffs(measured, labels, risk, delta)).where("kept")
     return kept.select(*[F.col(f"`in_{c}`").alias(c) for c in docs.columns])
 
 

@@ -115,9 +115,10 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET) -
     winners = found.where(F.col("doc_id") == F.col("component_id"))
     counted = materialise(winners.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "simhash-kept")
     once = counted.where("rows = 1").select(F.col("doc_id").alias("__keep"))
-    kept = docs.join(once, F.col("doc_id") == F.col("__keep"), "left_semi")
+    # The ids are the small side: a hash join spares sorting the texts.
+    kept = docs.join(once.hint("shuffle_hash"), F.col("doc_id") == F.col("__keep"), "left_semi")
     again = counted.where("rows > 1").select(F.col("doc_id").alias("__keep"))
-    repeats = docs.join(again, F.col("doc_id") == F.col("__keep"), "left_semi")
+    repeats = docs.join(again.hint("shuffle_hash"), F.col("doc_id") == F.col("__keep"), "left_semi")
     return kept.unionByName(repeats.unionByName(docs.where("doc_id is null")).dropDuplicates(["doc_id", "text"]))
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, map_arrow, table, utf8
+from .common import batch, map_arrow, table, utf8, worker_cache
 
 WINDOW = 35
 GRAM = 8
@@ -53,7 +53,7 @@ class _WordHashes(dict):
     """Hashes of words; emptied when large, so that a worker's memory stays bounded."""
 
     def __missing__(self, word):
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         h = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:
@@ -61,11 +61,9 @@ class _WordHashes(dict):
         return h
 
 
-_hashes = _WordHashes()
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    known = worker_cache("word hashes", _WordHashes)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def _join(a: np.ndarray, b: np.ndarray, which: int) -> np.ndarray:
@@ -311,7 +309,8 @@ def deduplicate(docs: DataFrame, words_only: bool = False) -> DataFrame:
     rid, rid2 = F.xxhash64("doc_id", "text"), F.hash("doc_id", "text")
     places = repeated_places(docs.select("text", rid.alias("rid"), rid2.alias("rid2"))).toDF("__r", "__r2", "__starts")
     keyed = docs.select(*names, rid.alias("__rid"), rid2.alias("__rid2"))
-    marked = keyed.join(places, (F.col("__rid") == F.col("__r")) & (F.col("__rid2") == F.col("__r2")), "left").select(*names, "__starts")
+    # The places are the small side: a hash join spares sorting the texts.
+    marked = keyed.join(places.hint("shuffle_hash"), (F.col("__rid") == F.col("__r")) & (F.col("__rid2") == F.col("__r2")), "left").select(*names, "__starts")
 
     def run(batches):
         for b in batches:

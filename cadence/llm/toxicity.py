@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, batch, map_arrow, materialise, table, utf8
+from .common import BoundedCache, batch, map_arrow, materialise, table, utf8, worker_cache
 
 ORDER = 6
 SHARED = 3
@@ -179,7 +179,7 @@ def _measured(docs: DataFrame, columns: list[str], tables) -> DataFrame:
 
     def run(batches):
         model = tables.value
-        known = _evidence_cache(model["model"])
+        known = worker_cache(("evidence", model["model"]), lambda: BoundedCache(400_000))
         for b in batches:
             texts = [words_of(t) for t in utf8(b.column("text"))]
             new = list({w for words in texts for w in words if w not in known})
@@ -198,17 +198,6 @@ def _measured(docs: DataFrame, columns: list[str], tables) -> DataFrame:
     return map_arrow(few, run, ", ".join([schema, *(f"{k} double" for k in FEATURES)]))
 
 
-_caches: dict[str, BoundedCache] = {}
-
-
-def _evidence_cache(model: str) -> BoundedCache:
-    """The words that this worker has scored by a model."""
-    if model not in _caches:
-        _caches.clear()
-        _caches[model] = BoundedCache(800_000)
-    return _caches[model]
-
-
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 100) -> np.ndarray:
     """Logistic weights (constant last) by Newton's method on standardised features."""
     mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-9
