@@ -108,3 +108,40 @@ def by_context(rows: DataFrame, actual: str, predicted: str, weight: str) -> Dat
     """context (all, clutch, other), rows and weighted RMSE, from one pass over labelled copies."""
     labelled = rows.withColumn("context", F.explode(F.array(F.lit("all"), F.when(S.is_clutch(F.col("score_margin_offense"), F.col("period")), "clutch").otherwise("other"))))
     return labelled.groupBy("context").agg(F.count(F.lit(1)).alias("rows"), rmse(F.col(actual) - F.col(predicted), F.col(weight)).alias("rmse"))
+
+
+def holdout_groups(rows: DataFrame, kind: str, held: DataFrame | None = None) -> DataFrame:
+    """(stint_id, group): a test row's groups are its lineup, its held pairs (perhaps several), or
+    its calendar month."""
+    if kind == "lineup":
+        return rows.select("stint_id", S.lineup_id("offense_player_ids").alias("group"))
+    if kind == "month":
+        return rows.select("stint_id", F.date_format("game_date", "yyyy-MM").alias("group"))
+    pairs = rows.select("stint_id", F.explode(S.pairs_of("offense_player_ids")).alias("p")).select("stint_id", "p.a", "p.b")
+    return pairs.join(held.select("a", "b"), ["a", "b"], "left_semi").select("stint_id", S.pair_id("a", "b").alias("group"))
+
+
+def pair_coverage(groups: DataFrame, fives: DataFrame, admitted: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """covered, lineups, rmse: lineups all of whose pairs are admitted, and the others."""
+    pairs = fives.select("lineup", F.explode(S.pairs_of("five")).alias("p")).select("lineup", "p.a", "p.b")
+    known = pairs.join(admitted.select("a", "b", F.lit(1).alias("k")), ["a", "b"], "left").groupBy("lineup").agg((F.min(F.coalesce("k", F.lit(0))) == 1).alias("covered"))
+    return groups.join(known, "lineup").groupBy("covered").agg(F.count(F.lit(1)).alias("lineups"), rmse(F.col(actual) - F.col(predicted)).alias("rmse"))
+
+
+def pair_errors(rows: DataFrame, actual: str, predicted: str, weight: str, minimum: int = 5) -> DataFrame:
+    """a, b, stints, actual, predicted of pairs with at least ``minimum`` test stints."""
+    pairs = rows.select(F.explode(S.pairs_of("offense_player_ids")).alias("p"), actual, predicted, weight)
+    return pairs.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("stints"), weighted_mean(actual, weight).alias("actual"), weighted_mean(predicted, weight).alias("predicted")).where(F.col("stints") >= minimum)
+
+
+def abs_gap(real: DataFrame, phantom: DataFrame, key: str, value: str, replicates: int, seed: int) -> DataFrame:
+    """replicate, gap: mean |value| of a resampled cohort less that of the other, draws by hash."""
+    size = F.abs(F.col(value))
+    one = lambda df, s, n: bootstrap(df, key, replicates, s, total=size).select("replicate", (F.col("total") / F.col("draws")).alias(n))
+    return one(real, seed, "a").join(one(phantom, seed + 1, "b"), "replicate").select("replicate", (F.col("a") - F.col("b")).alias("gap"))
+
+
+def mediation(first: DataFrame, second: DataFrame, key: str, value: str) -> DataFrame:
+    """One row: groups that both have, and the correlation of their values."""
+    both = first.select(key, F.col(value).alias("x")).join(second.select(key, F.col(value).alias("y")), key)
+    return both.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(correlation(F.col("x"), F.col("y")), F.lit(0.0)).alias("correlation"))

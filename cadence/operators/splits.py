@@ -172,3 +172,16 @@ def novelty(train: DataFrame, test: DataFrame) -> DataFrame:
     joined = lineups.join(known, "five", "left").join(all_met, "five", "left")
     label = F.when(F.col("seen") == 1, "seen").when(F.col("all_met") == 1, "partially_seen").otherwise("unseen")
     return joined.select(S.lineup_id("five").alias("lineup"), label.alias("novelty"), "stints", "possessions")
+
+
+def transport_coverage(train: DataFrame, test: DataFrame, minimum: int) -> DataFrame:
+    """One row: players, players unseen in train, pairs, pairs that train admits, lineups by novelty."""
+    players = lambda df: df.select(F.explode(F.concat("offense_player_ids", "defense_player_ids")).alias("p")).distinct()
+    pairs = lambda df: df.select(F.explode(S.pairs_of("offense_player_ids")).alias("x")).select("x.a", "x.b")
+    known = players(train).withColumn("k", F.lit(1))
+    admitted = pairs(train).groupBy("a", "b").count().where(F.col("count") >= minimum).select("a", "b", F.lit(1).alias("k"))
+    p = players(test).join(known, "p", "left").agg(F.count(F.lit(1)).alias("players"), F.sum(F.col("k").isNull().cast("long")).alias("unseen_players"))
+    q = pairs(test).distinct().join(admitted, ["a", "b"], "left").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("k").isNotNull().cast("long")).alias("admitted_pairs"))
+    n = lambda c: F.sum((F.col("novelty") == c).cast("long")).alias(f"lineups_{c}")
+    r = novelty(train, test).agg(n("seen"), n("partially_seen"), n("unseen"))
+    return p.crossJoin(q).crossJoin(r)  # one row each

@@ -774,3 +774,133 @@ def transaction_backtest(spark, sf):
     teams = s.select(F.explode("offense_player_ids").alias("p"), "season_index", "offense_team_id", "offensive_possessions").groupBy("p", "season_index", "offense_team_id").agg(F.sum("offensive_possessions").alias("n"))
     threshold = int(teams.agg(F.percentile_approx("n", 0.97)).first()[0])
     return models.backtest(s, threshold=threshold)
+
+
+@query()
+def lineup_prediction(spark, sf):
+    from . import models
+
+    s = V.stints(spark, sf)
+    fives = s.select(S.lineup_id("offense_player_ids").alias("lineup"), F.array_sort("offense_player_ids").alias("five"), F.lit(100.0).alias("weight")).distinct()
+    return models.predict_lineups(models.fit_hierarchical(s), fives)
+
+
+@query()
+def ridge_band(spark, sf):
+    from . import models
+
+    return models.ridge_band(V.stints(spark, sf))
+
+
+@query()
+def interaction_comparison(spark, sf):
+    from . import models
+
+    roles = V.table(spark, sf, "supplier").select((F.col("s_suppkey") % V.PLAYERS).alias("member")).distinct().withColumn("role", F.col("member") % 3)
+    return models.compare_interactions(*_halves(spark, sf), roles, 3, 20)
+
+
+@query()
+def mechanistic_outcome(spark, sf):
+    from . import models
+
+    counts = V.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("stint_id")).agg(F.sum((F.col("l_returnflag") == "R").cast("long")).alias("rim"), F.count(F.lit(1)).alias("attempts"))
+    return models.mechanistic(*_halves(spark, sf), counts, "rim_share")
+
+
+# -- further groupings and coverage ---------------------------------------------------------------
+
+
+@query(f"""{_CHRONO_SQL}, t AS (SELECT * FROM stint JOIN split USING (stint_id) WHERE side = 'test') SELECT 'lineup' AS kind, stint_id, lineup AS "group" FROM t UNION ALL SELECT 'month', stint_id, strftime(game_date, '%Y-%m') FROM t
+  UNION ALL SELECT 'pair', stint_id, a || '-' || b FROM (SELECT stint_id, unnest(offense_player_ids) AS a, offense_player_ids AS m FROM t) x, (SELECT unnest(range(0, 12)) AS b) y WHERE b > a AND list_contains(m, b) AND (a + b) % 7 = 0""")
+def holdout_groups(spark, sf):
+    _, test = _halves(spark, sf)
+    held = test.select(F.explode(S.pairs_of("offense_player_ids")).alias("p")).select("p.a", "p.b").distinct().where((F.col("a") + F.col("b")) % 7 == 0)
+    parts = [metrics.holdout_groups(test, k, held).select(F.lit(k).alias("kind"), "stint_id", "group") for k in ("lineup", "month", "pair")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+_SIDES_SQL = f"""{_CHRONO_SQL}, tr AS (SELECT * FROM stint JOIN split USING (stint_id) WHERE side = 'train'), te AS (SELECT * FROM stint JOIN split USING (stint_id) WHERE side = 'test'),
+trp AS (SELECT a, b, count(*) AS n FROM (SELECT offense_player_ids AS m, unnest(offense_player_ids) AS a FROM tr) x, (SELECT unnest(range(0, 12)) AS b) y WHERE b > a AND list_contains(m, b) GROUP BY ALL),
+tep AS (SELECT DISTINCT a, b FROM (SELECT offense_player_ids AS m, unnest(offense_player_ids) AS a FROM te) x, (SELECT unnest(range(0, 12)) AS b) y WHERE b > a AND list_contains(m, b)),
+l AS (SELECT lineup, any_value(offense_player_ids) AS m FROM te GROUP BY lineup), lp AS (SELECT lineup, a, b FROM (SELECT lineup, m, unnest(m) AS a FROM l) x, (SELECT unnest(range(0, 12)) AS b) y WHERE b > a AND list_contains(m, b)),
+nov AS (SELECT lineup, CASE WHEN lineup IN (SELECT lineup FROM tr) THEN 'seen' WHEN bool_and(trp.a IS NOT NULL) THEN 'partially_seen' ELSE 'unseen' END AS novelty, bool_and(coalesce(n, 0) >= 10) AS covered FROM lp LEFT JOIN trp ON trp.a = lp.a AND trp.b = lp.b GROUP BY lineup)"""
+
+
+@query(f"""{_SIDES_SQL}, a AS (SELECT DISTINCT unnest(list_concat(offense_player_ids, defense_player_ids)) AS p FROM te), b AS (SELECT DISTINCT unnest(list_concat(offense_player_ids, defense_player_ids)) AS p FROM tr)
+  SELECT (SELECT count(*) FROM a) AS players, (SELECT count(*) FROM a WHERE p NOT IN (SELECT p FROM b)) AS unseen_players, (SELECT count(*) FROM tep) AS pairs, (SELECT count(*) FROM tep JOIN trp USING (a, b) WHERE n >= 10) AS admitted_pairs,
+  count(*) FILTER (novelty = 'seen') AS lineups_seen, count(*) FILTER (novelty = 'partially_seen') AS lineups_partially_seen, count(*) FILTER (novelty = 'unseen') AS lineups_unseen FROM nov""")
+def transport_coverage(spark, sf):
+    return splits.transport_coverage(*_halves(spark, sf), 10)
+
+
+_NOVEL_SQL = _SIDES_SQL + f""", {_SCORED_SQL.split("AS side FROM stint JOIN reached USING (game_date, game_id)), ", 1)[1]}, grp AS (SELECT lineup, sum(w * y) / sum(w) AS actual, sum(w * model) / sum(w) AS point FROM scored GROUP BY lineup)"""
+
+
+@query(f"{_NOVEL_SQL} SELECT novelty, count(*) AS lineups, round(sqrt(avg(power(actual - point, 2))), 6) AS rmse FROM grp JOIN nov USING (lineup) GROUP BY novelty")
+def error_by_novelty(spark, sf):
+    kinds = splits.novelty(*_halves(spark, sf)).select("lineup", "novelty")
+    g = _groups(spark, sf).join(kinds, "lineup").groupBy("novelty").agg(F.count(F.lit(1)).alias("lineups"), metrics.rmse(F.col("actual") - F.col("point")).alias("rmse"))
+    return _round(g, "rmse")
+
+
+@query(f"{_NOVEL_SQL} SELECT covered, count(*) AS lineups, round(sqrt(avg(power(actual - point, 2))), 6) AS rmse FROM grp JOIN nov USING (lineup) GROUP BY covered")
+def pair_coverage_breakdown(spark, sf):
+    train, test = _halves(spark, sf)
+    fives = test.select(S.lineup_id("offense_player_ids").alias("lineup"), F.array_sort("offense_player_ids").alias("five")).distinct()
+    return _round(metrics.pair_coverage(_groups(spark, sf), fives, contract.pair_exposure(train, 10), "actual", "point"), "rmse")
+
+
+@query(f"""{_SCORED_SQL} SELECT a, b, count(*) AS stints, round(sum(w * y) / sum(w), 6) AS actual, round(sum(w * model) / sum(w), 6) AS predicted FROM (SELECT y, model, w, offense_player_ids AS m, unnest(offense_player_ids) AS a FROM scored) x, (SELECT unnest(range(0, 12)) AS b) z WHERE b > a AND list_contains(m, b) GROUP BY a, b HAVING count(*) >= 5""")
+def pair_level_errors(spark, sf):
+    return _round(metrics.pair_errors(_scored(spark, sf), "y", "model", "w"), "actual", "predicted")
+
+
+@query(f"""WITH a AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_nationkey < 12), b AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_nationkey >= 12),
+  pa AS (SELECT v, row_number() OVER (ORDER BY k) - 1 AS place, count(*) OVER () AS n FROM a), pb AS (SELECT v, row_number() OVER (ORDER BY k) - 1 AS place, count(*) OVER () AS n FROM b),
+  da AS (SELECT r AS replicate, ('0x' || substr(md5('21|' || r || '|' || place), 1, 8))::BIGINT % n AS place FROM pa, (SELECT unnest(range(0, 20)) AS r)), db AS (SELECT r AS replicate, ('0x' || substr(md5('22|' || r || '|' || place), 1, 8))::BIGINT % n AS place FROM pb, (SELECT unnest(range(0, 20)) AS r)),
+  ma AS (SELECT replicate, avg(abs(v)) AS m FROM da JOIN pa USING (place) GROUP BY replicate), mb AS (SELECT replicate, avg(abs(v)) AS m FROM db JOIN pb USING (place) GROUP BY replicate)
+  SELECT CAST(replicate AS INTEGER) AS replicate, round(ma.m - mb.m, 3) AS gap FROM ma JOIN mb USING (replicate)""")
+def abs_gap_bootstrap(spark, sf):
+    c = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), "c_nationkey")
+    return _round(metrics.abs_gap(c.where("c_nationkey < 12"), c.where("c_nationkey >= 12"), "k", "v", 20, 21), "gap", digits=3)
+
+
+@query("""WITH a AS (SELECT c_nationkey AS k, avg(c_acctbal) AS v FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, avg(s_acctbal) AS v FROM supplier GROUP BY 1) SELECT count(*) AS groups, round(corr(a.v, b.v), 6) AS correlation FROM a JOIN b USING (k)""")
+def mediation_correlation(spark, sf):
+    a = V.table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.avg("c_acctbal").alias("v"))
+    b = V.table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.avg("s_acctbal").alias("v"))
+    return _round(metrics.mediation(a, b, "k", "v"), "correlation")
+
+
+@query(f"WITH {_PBP_SQL} SELECT game_id, period, sequence, coalesce(lag(points) OVER (PARTITION BY game_id, period ORDER BY sequence), 0) AS score_in FROM pbp")
+def carried_scores(spark, sf):
+    return ordered.carried_score(_play_by_play(spark, sf), ["game_id", "period"], ["sequence"], "points").select("game_id", "period", "sequence", "score_in")
+
+
+@query("""WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, event_id, CASE event_type WHEN 'view' THEN [] ELSE [event_type] END AS lineup, ts FROM events), l AS (SELECT *, first_value(lineup) OVER (PARTITION BY user_id, day ORDER BY event_id) AS f FROM e WHERE len(lineup) > 0)
+  SELECT user_id, day, bool_or(lineup <> f) AS split FROM l GROUP BY user_id, day""")
+def live_lineup_changes(spark, sf):
+    e = V.table(spark, sf, "events").select("user_id", F.to_date("ts").alias("day"), "event_id", F.when(F.col("event_type") == "view", F.array().cast("array<string>")).otherwise(F.array("event_type")).alias("lineup"))
+    return ordered.live_changes(e, ["user_id", "day"], "event_id", "lineup")
+
+
+@query("""WITH p AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'accepted' ELSE 'quarantined' END AS s, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'primary failed' END AS r FROM orders), s AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 2 = 0 THEN 'accepted' ELSE 'quarantined' END AS s, CASE WHEN o_custkey % 2 = 0 THEN NULL ELSE 'second failed' END AS r FROM orders WHERE o_orderstatus <> 'P')
+  SELECT k, CASE WHEN p.s = 'accepted' THEN 'primary' WHEN s.s = 'accepted' THEN 'fallback' END AS surface, CASE WHEN p.s = 'accepted' OR s.s = 'accepted' THEN 'accepted' ELSE 'quarantined' END AS status, CASE WHEN NOT (p.s = 'accepted' OR coalesce(s.s, '') = 'accepted') THEN concat_ws('; ', p.r, s.r) END AS reason FROM p LEFT JOIN s USING (k)""")
+def fallback_surface(spark, sf):
+    o = V.table(spark, sf, "orders")
+    one = lambda df, ok, why: df.select(F.col("o_orderkey").alias("k"), F.when(ok, "accepted").otherwise("quarantined").alias("status"), F.when(~ok, why).alias("reason"))
+    return reconcile.with_fallback(one(o, F.col("o_orderkey") % 3 == 0, "primary failed"), one(o.where("o_orderstatus <> 'P'"), F.col("o_custkey") % 2 == 0, "second failed"), "k")
+
+
+@query("""SELECT CASE WHEN l_linenumber > 6 THEN 'lineup_not_five' ELSE 'split_lineup' END AS reason, l_orderkey, l_quantity AS points FROM lineitem WHERE l_quantity >= 2 AND (l_linenumber > 6 OR l_tax > 0.07)""")
+def quarantine_feed(spark, sf):
+    return reconcile.quarantine_feed(_line_possessions(spark, sf)).select("reason", "l_orderkey", "points")
+
+
+@query(f"""{_CONTEXT_SQL}{_CELL_SQL.replace("cell AS", "pl AS")}, u AS (UNPIVOT (SELECT stint_id, {', '.join(_CONTEXT_NAMES)} FROM c) ON {', '.join(_CONTEXT_NAMES)} INTO NAME col VALUE val)
+  SELECT 'c_' || u.col AS i, pl.col AS j, round(sum(pl.w * u.val * pl.val), 3) AS g FROM u JOIN pl USING (stint_id) WHERE u.val <> 0 GROUP BY ALL""")
+def gram_context_cross(spark, sf):
+    s, c = _context(spark, sf)
+    g = gram.gram(gram.design(s, c)).where("i like 'c\\\\_%' and j not like 'c\\\\_%'")
+    return _round(g, "g", digits=3)

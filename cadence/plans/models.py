@@ -331,3 +331,73 @@ def synthetic(spark: SparkSession, players: int = 60, stints: int = 2000, seed:
         F.greatest(F.lit(0), F.round(rating * poss / 100)).cast("int").alias("points_scored"), (F.col("s") % 2 == 0).alias("home_offense"), (F.col("s") % 21 - 10).cast("int").alias("score_margin_offense"), F.lit(False).alias("playoff"), (F.col("s") % 3).cast("int").alias("days_rest_offense"), F.lit(1.0).alias("garbage_time_weight"),
     )
     return table, truth
+
+
+def predict_lineups(fit: linear.Fit, lineups: DataFrame) -> DataFrame:
+    """lineup, mean, sd, 80 and 95 % bounds and known members of hypothetical offenses (lineup,
+    five, weight): talent only, the context at its baseline."""
+    if not lineups.where("size(array_distinct(five)) <> 5").isEmpty():
+        raise ValueError("a lineup has five different members")
+    own = F.transform("five", lambda p: F.struct(F.concat(F.lit("o"), p.cast("string")).alias("col"), F.lit(1.0).alias("val")))
+    cells = lineups.select("lineup", "weight", F.explode(F.concat(F.array(F.struct(F.lit("c_intercept").alias("col"), F.lit(1.0).alias("val"))), own)).alias("c")).select("lineup", "weight", F.col("c.col").alias("col"), F.col("c.val").alias("val"))
+    known = cells.join(fit.table(lineups.sparkSession).select("col", F.lit(1).alias("k")), "col", "left").where("col <> 'c_intercept'").groupBy("lineup").agg(F.count("k").alias("known_members"))
+    out = linear.group_predictive(fit, cells, "lineup").join(known, "lineup")
+    z80, z95 = metrics.LEVELS["80"], metrics.LEVELS["95"]
+    return out.select("lineup", "mean", "sd", *[(F.col("mean") + s * z * F.col("sd")).alias(f"{n}_{k}") for k, z in (("80", z80), ("95", z95)) for n, s in (("low", -1), ("high", 1))], "known_members")
+
+
+def ridge_band(stints: DataFrame, replicates: int = 20, seed: int = 3) -> DataFrame:
+    """col, coef, sd: the ridge coefficients' spread over game-resampled fits. Statistics are
+    gathered once for each of some game blocks; a replicate is a reweighting of blocks."""
+    blocks = 50
+    rows = design_rows(stints).join(stints.select("stint_id", (F.abs(F.xxhash64("game_id")) % blocks).alias("block")), "stint_id")
+    parts = list(linear.collect(rows, "block").values())
+    rng = np.random.default_rng(seed)
+    whole = linear.total(parts)
+    fits = []
+    for _ in range(replicates):
+        times = np.bincount(rng.integers(0, len(parts), len(parts)), minlength=len(parts))
+        g, b = (sum(t * getattr(p, k) for t, p in zip(times, parts)) for k in ("g", "b"))
+        fits.append(linear.ridge(linear.Statistics(whole.columns, g, b, whole.n, whole.q, whole.var_y, whole.slogw), 30.0))
+    sd = np.std(fits, axis=0, ddof=1)
+    coef = linear.ridge(whole, 30.0)
+    return stints.sparkSession.createDataFrame([(c, float(v), float(s)) for c, v, s in zip(whole.columns, coef, sd)], "col string, coef double, sd double")
+
+
+def compare_interactions(train: DataFrame, test: DataFrame, roles: DataFrame, k: int, minimum: int) -> DataFrame:
+    """model, macro_rmse, gain: pair and role-pair terms, and their placebos (roles dealt out anew,
+    pairs admitted at random), against the hierarchical fit, by lineup on the test side."""
+    spark = train.sparkSession
+    base_rows, test_rows = design_rows(train), design_rows(test, train).persist()
+    admitted = contract.pair_exposure(train, minimum).select("a", "b")
+    every = train.select(F.explode(S.pairs_of("offense_player_ids")).alias("p")).select("p.a", "p.b").distinct()
+    n = admitted.count()
+    random_pairs = every.orderBy(F.md5(S.pair_id("a", "b"))).limit(n)
+    roled = lambda s, r: profiles.role_pairs(s.select(F.col("stint_id").alias("row"), F.explode("offense_player_ids").alias("member")).join(r, "member", "left"), k)
+    shuffled = profiles.permuted(roles, "member", "role", 17)
+    variants = {
+        "base": (base_rows, test_rows),
+        "pairs": (linear.with_pairs(base_rows, train, admitted), linear.with_pairs(test_rows, test, admitted)),
+        "pairs_placebo": (linear.with_pairs(base_rows, train, random_pairs), linear.with_pairs(test_rows, test, random_pairs)),
+        "roles": (linear.with_role_pairs(base_rows, roled(train, roles)), linear.with_role_pairs(test_rows, roled(test, roles))),
+        "roles_placebo": (linear.with_role_pairs(base_rows, roled(train, shuffled)), linear.with_role_pairs(test_rows, roled(test, shuffled))),
+    }
+    lineups = test.select("stint_id", S.lineup_id("offense_player_ids").alias("lineup"))
+    out = None
+    for name, (fit_rows, score_rows) in variants.items():
+        fit = linear.expectation_maximisation(linear.collect(fit_rows)[None], PLAYERS | {"extra": ("p", "r")})
+        scored = test_rows.select("stint_id", "y", "w").join(gram.predict(score_rows, fit.table(spark)), "stint_id").join(lineups, "stint_id")
+        one = metrics.micro_macro(scored, "lineup", "y", "predicted", "w").select(F.lit(name).alias("model"), "macro_rmse", "micro_rmse")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def mechanistic(train: DataFrame, test: DataFrame, counts: DataFrame, outcome: str, minimum: int = 1) -> DataFrame:
+    """One row: errors of an outcome's additive fit (its own denominators as weights) by lineup."""
+    valued = profiles.outcome(counts, outcome, minimum).select("stint_id", F.col("value").alias("y"), F.col("weight").alias("w"))
+    rows = lambda s: design_rows(s, train).drop("y", "w").join(valued, "stint_id")
+    stats = linear.collect(rows(train))[None]
+    table = train.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(stats.columns, linear.ridge(stats, 30.0))], "col string, coef double")
+    score = rows(test)
+    scored = score.select("stint_id", "y", "w").join(gram.predict(score, table), "stint_id").join(test.select("stint_id", S.lineup_id("offense_player_ids").alias("lineup")), "stint_id")
+    return metrics.micro_macro(scored, "lineup", "y", "predicted", "w")
