@@ -70,6 +70,9 @@ def group_rows(rows: DataFrame, group: str) -> DataFrame:
 
 
 def predict(rows: DataFrame, coefficients: DataFrame) -> DataFrame:
-    """stint_id, predicted: unseen columns contribute nothing."""
+    """stint_id and a prediction for each coefficient column (``coef`` gives ``predicted``): unseen
+    columns contribute nothing. Several models share one join."""
+    names = [c for c in coefficients.columns if c != "col"]
     cells = rows.select("stint_id", F.explode("cells").alias("c")).select("stint_id", F.col("c.col").alias("col"), F.col("c.val").alias("val"))
-    return cells.join(coefficients, "col", "left").groupBy("stint_id").agg(F.sum(F.coalesce(F.col("val") * F.col("coef"), F.lit(0.0))).alias("predicted"))
+    out = lambda n: "predicted" if n == "coef" else n
+    return cells.join(coefficients, "col", "left").groupBy("stint_id").agg(*[F.sum(F.coalesce(F.col("val") * F.col(n), F.lit(0.0))).alias(out(n)) for n in names])

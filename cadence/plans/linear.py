@@ -40,14 +40,20 @@ class Statistics:
 
 
 def collect(rows: DataFrame, fold: str | None = None) -> dict[object, Statistics]:
-    """Statistics of all rows (key None) or of each fold, from one pass over the design."""
+    """Statistics of all rows (key None) or of each fold, from one pass over the design.
+
+    The outcome stands in each row as one more cell (``~y``, last in order), so that one aggregate
+    gives the Gram matrix, the right-hand side and the sum of squares together.
+    """
     by = [fold] if fold else []
     rows = rows.persist()
     try:
-        cells, sums, moments = gram.gram(rows, by).collect(), gram.rhs(rows, by).collect(), gram.moments(rows, by).collect()
+        outcome = F.array(F.struct(F.lit("~y").alias("col"), F.col("y").cast("double").alias("val")))
+        cells = gram.gram(rows.withColumn("cells", F.concat("cells", outcome)), by).collect()
+        moments = gram.moments(rows, by).collect()
     finally:
         rows.unpersist()
-    columns = sorted({r["i"] for r in sums})
+    columns = sorted({r["i"] for r in cells} - {"~y"})
     if len(columns) > MAX_COLUMNS:
         raise ValueError(f"{len(columns)} columns are more than {MAX_COLUMNS}")
     at = {c: k for k, c in enumerate(columns)}
@@ -55,10 +61,13 @@ def collect(rows: DataFrame, fold: str | None = None) -> dict[object, Statistics
     size = len(columns)
     out = {key(m): Statistics(columns, np.zeros((size, size)), np.zeros(size), m["n"], m["q"], m["var_y"] or 0.0, m["slogw"]) for m in moments}
     for r in cells:
-        s, i, j = out[key(r)], at[r["i"]], at[r["j"]]
-        s.g[i, j] = s.g[j, i] = r["g"]
-    for r in sums:
-        out[key(r)].b[at[r["i"]]] = r["b"]
+        s = out[key(r)]
+        if r["i"] == "~y":
+            continue  # the sum of squares, which the moments hold for rows with y = 0 too
+        if r["j"] == "~y":
+            s.b[at[r["i"]]] = r["g"]
+        else:
+            s.g[at[r["i"]], at[r["j"]]] = s.g[at[r["j"]], at[r["i"]]] = r["g"]
     return out
 
 

@@ -251,9 +251,9 @@ def compare_rungs(stints: DataFrame, split: DataFrame) -> DataFrame:
     fits = {"0_context": zero, "2_ridge": linear.ridge(s, 30.0), "3_hierarchical": linear.expectation_maximisation(s, PLAYERS).coef}
     test = test.withColumn("lineup", S.lineup_id("offense_player_ids")).select("stint_id", "lineup")
     scored = rows.select("stint_id", "y", "w").join(test, "stint_id")
-    for name, coef in fits.items():
-        table = spark.createDataFrame([(c, float(v)) for c, v in zip(s.columns, coef)], "col string, coef double")
-        scored = scored.join(gram.predict(rows, table).withColumnRenamed("predicted", name), "stint_id")
+    table = [(c, *[float(v[i]) for v in fits.values()]) for i, c in enumerate(s.columns)]
+    coefs = spark.createDataFrame(table, "col string, " + ", ".join(f"`{n}` double" for n in fits))
+    scored = scored.join(gram.predict(rows, coefs), "stint_id")
     means = linear.shrunk_lineup_means(train).select("lineup", "estimate")
     scored = scored.join(means, "lineup", "left").withColumn("1_lineup", F.coalesce("estimate", F.col("0_context"))).persist()
     out = None
