@@ -11,9 +11,9 @@ logistic curve fitted on labelled rows kept out of the counts turns these into a
 
 Rows with crc32(doc_id) mod 5 = 0 are held out altogether; remainders 1 to 3 are counted,
 remainder 4 fits the curve. Counts cover every labelled row; the curve sees at most
-``CURVE_ROWS`` rows, by hash order. The models are hashed into tables of ``2**BITS`` cells, so
-what is collected and broadcast is at most ``2**BITS`` cells for each table (under 110 MB),
-whatever the corpus.
+``CURVE_ROWS`` rows, by hash order. The models are hashed into tables whose cells depend on the
+gram's length only (``BITS``), so what is collected and broadcast is at most 28 MB, whatever the
+corpus.
 
 Defined cases: null and empty texts have no evidence and get the curve's score for none; a
 doc_id labelled twice counts twice; a null label counts for nothing; a null doc_id is not held
@@ -34,7 +34,8 @@ from .common import BoundedCache, batch, map_arrow, materialise, table, utf8, wo
 ORDER = 6
 SHARED = 3
 DISCOUNT = 0.75
-BITS = 20
+#: Table cells (as powers of two) by the length of the gram that they hold.
+BITS = (8, 12, 14, 16, 18, 19, 20)
 STRONGEST = 3
 FOLDS = 5
 CURVE_ROWS = 20_000
@@ -72,7 +73,7 @@ def _cells(letters: np.ndarray, ends: np.ndarray, length: int, last: int = 0) ->
     for i in range(length):
         h = (h ^ letters[ends - last - (length - 1 - i)].astype(np.uint64)) * _CHAR_HASH
         h ^= h >> np.uint64(29)
-    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+    return (h >> np.uint64(64 - BITS[length])).astype(np.int64)
 
 
 def gram_counts(rows: DataFrame) -> DataFrame:
@@ -103,8 +104,8 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
 
 def _tables(top: DataFrame) -> dict[str, np.ndarray]:
-    """Arrays of 2**BITS cells: ``n<order>`` counts of grams, ``s<order>`` their sums over a
-    context and ``t<order>`` its numbers of different grams; two columns for class orders."""
+    """``n<order>`` counts of grams, ``s<order>`` their sums over a context and ``t<order>`` its
+    numbers of different grams; two columns for class orders."""
     levels, now = [], top
     for order in range(ORDER, 0, -1):
         levels.append(now.select(F.lit(order).alias("order"), "gram", "c0", "c1"))
@@ -135,8 +136,8 @@ def _tables(top: DataFrame) -> dict[str, np.ndarray]:
             yield batch(kind=pa.array(kinds, pa.string()), cell=pa.array(cell, pa.int64()), v0=pa.array(value[:, 0], pa.int64()), v1=pa.array(value[:, 1], pa.int64()))
 
     cells = map_arrow(every, run, "kind string, cell long, v0 long, v1 long").groupBy("kind", "cell").agg(F.sum("v0").alias("v0"), F.sum("v1").alias("v1"))
-    out = {f"{k}{o}": np.zeros((1 << BITS, 2 if o > SHARED else 1), np.float32) for k in "nst" for o in range(1, ORDER + 1)}
-    # 2**BITS cells for each of 18 tables at most, whatever the corpus.
+    out = {f"{k}{o}": np.zeros((1 << BITS[o - (k != "n")], 2 if o > SHARED else 1), np.float32) for k in "nst" for o in range(1, ORDER + 1)}
+    # As many cells as the tables have at most, whatever the corpus.
     found = materialise(cells.select("kind", "cell", F.col("v0").cast("float").alias("v0"), F.col("v1").cast("float").alias("v1")), "toxicity-cells")
     for kind, array in out.items():
         part = found.where(F.col("kind") == kind).select("cell", "v0", "v1").toArrow()
@@ -218,7 +219,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("fold", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS, F.lit(-1)).cast("int"))
     marks = labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     train = materialise(docs.where("fold > 0").join(marks, "doc_id"), "toxicity-train")
-    tables = spark.sparkContext.broadcast(_tables(gram_counts(train.where(f"fold < {FOLDS - 1}"))))
+    counts = materialise(gram_counts(train.where(f"fold < {FOLDS - 1}")), "toxicity-grams")
+    tables = spark.sparkContext.broadcast(_tables(counts))
     curve = _measured(train.where(f"fold = {FOLDS - 1}"), ["doc_id", "toxic"], tables).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS).toArrow()
     y = curve.column("toxic").to_numpy().astype(float)
     x = np.column_stack([curve.column(k).to_numpy() for k in FEATURES])
