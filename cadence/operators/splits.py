@@ -25,16 +25,14 @@ def chronological(stints: DataFrame, fraction: float = 0.6) -> DataFrame:
 
 
 def lineup_support(stints: DataFrame) -> DataFrame:
-    """lineup, stints and the chronological place of its first stint."""
-    order = Window.orderBy("game_date", "game_id", "period", "start_time_seconds", "stint_id")
+    """lineup, stints and ``first``, the chronological key of its first stint."""
     first = F.min(F.struct("game_date", "game_id", "period", "start_time_seconds", "stint_id"))
-    support = stints.groupBy(S.lineup_id("offense_player_ids").alias("lineup")).agg(F.count(F.lit(1)).alias("stints"), first.alias("f"))
-    return support.select("lineup", "stints", "f.*").withColumn("first_seen", F.row_number().over(order)).select("lineup", "stints", "first_seen")
+    return stints.groupBy(S.lineup_id("offense_player_ids").alias("lineup")).agg(F.count(F.lit(1)).alias("stints"), first.alias("first"))
 
 
 def unseen_lineups(stints: DataFrame, n: int, minimum: int = 3) -> DataFrame:
     """lineup: the held-out ones; most stints first, then the latest seen, then the id."""
-    return lineup_support(stints).where(F.col("stints") >= minimum).orderBy(F.desc("stints"), F.desc("first_seen"), "lineup").limit(n)
+    return lineup_support(stints).where(F.col("stints") >= minimum).orderBy(F.desc("stints"), F.desc("first"), "lineup").limit(n)
 
 
 def hold_out_lineups(stints: DataFrame, held: DataFrame) -> DataFrame:
@@ -60,7 +58,9 @@ def unseen_pairs(stints: DataFrame, n_pairs: int = 60, minimum: int = 3, solo: i
     cap = max(minimum, int(cap_share * total))
     left = {r[0]: r[1] for r in stints.select(F.explode("offense_player_ids").alias("p")).groupBy("p").count().toLocalIterator()}
     ids = stints.select("stint_id", F.explode(S.pairs_of("offense_player_ids")).alias("p"), "offense_player_ids")
-    listed = ids.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("stint_id", "offense_player_ids")).alias("stints")).where(F.col("n").between(minimum, cap))
+    few = ids.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(minimum, cap))
+    # Lists are made only for pairs that the cap bounds.
+    listed = ids.select("p.a", "p.b", "stint_id", "offense_player_ids").join(few, ["a", "b"]).groupBy("a", "b", "n").agg(F.collect_list(F.struct("stint_id", "offense_player_ids")).alias("stints"))
     removed: set = set()
     players: set = set()
     taken: list[tuple[int, int]] = []
