@@ -158,7 +158,7 @@ class BytePairs:
 class _Remembered(dict):
     """Results by their short arguments; emptied when full, so that a worker's memory stays bounded."""
 
-    LONGEST, MOST = 48, 400_000
+    LONGEST, MOST = 48, 900_000
 
     def __init__(self, fn):
         super().__init__()
