@@ -11,9 +11,10 @@ logistic curve fitted on labelled rows kept out of the counts turns these into a
 
 Rows with crc32(doc_id) mod 5 = 0 are held out altogether; remainders 1 to 3 are counted,
 remainder 4 fits the curve. Counts cover every labelled row; the curve sees at most
-``CURVE_ROWS`` rows, by hash order. The models are hashed into tables whose cells depend on the
-gram's length only (``BITS``), so what is collected and broadcast is at most 28 MB, whatever the
-corpus.
+``CURVE_ROWS`` rows, by hash order. The model keeps each gram's own counts, under a 64-bit hash of
+its letters, so its tables are as long as there are distinct grams: 16 bytes for each gram of
+orders 6 to 4 and 12 below, and 24 or 16 for each context. That is what is collected and broadcast,
+and it grows with the corpus.
 
 Defined cases: null and empty texts have no evidence and get the curve's score for none; a
 doc_id labelled twice counts twice; a null label counts for nothing; a null doc_id is not held
@@ -34,8 +35,6 @@ from .common import BoundedCache, batch, map_arrow, materialise, table, utf8, wo
 ORDER = 6
 SHARED = 3
 DISCOUNT = 0.75
-#: Table cells (as powers of two) by the length of the gram that they hold.
-BITS = (8, 12, 14, 16, 18, 19, 20)
 STRONGEST = 3
 FOLDS = 5
 CURVE_ROWS = 20_000
@@ -67,13 +66,21 @@ def _gram_ends(sizes: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
-def _cells(letters: np.ndarray, ends: np.ndarray, length: int, last: int = 0) -> np.ndarray:
-    """The table cell of the ``length`` letters that end ``last`` before each of ``ends``."""
+def _keys(letters: np.ndarray, ends: np.ndarray, length: int, last: int = 0) -> np.ndarray:
+    """The 64-bit key of the ``length`` letters that end ``last`` before each of ``ends``."""
     h = np.full(len(ends), length + 1, np.uint64)
     for i in range(length):
         h = (h ^ letters[ends - last - (length - 1 - i)].astype(np.uint64)) * _CHAR_HASH
         h ^= h >> np.uint64(29)
-    return (h >> np.uint64(64 - BITS[length])).astype(np.int64)
+    return h.view(np.int64)
+
+
+def _values(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of each wanted key; zeros for keys that the (sorted) table lacks."""
+    if not len(keys):
+        return np.zeros((len(wanted), values.shape[1]), values.dtype)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where((keys[at] == wanted)[:, None], values[at], 0)
 
 
 def gram_counts(rows: DataFrame) -> DataFrame:
@@ -104,8 +111,9 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
 
 def _tables(top: DataFrame) -> dict[str, np.ndarray]:
-    """``n<order>`` counts of grams, ``s<order>`` their sums over a context and ``t<order>`` its
-    numbers of different grams; two columns for class orders."""
+    """``n<order>`` counts of grams, under the sorted keys ``grams<order>``; ``s<order>`` their sums
+    over a context and ``t<order>`` its numbers of different grams, under ``contexts<order>``; two
+    columns for class orders."""
     levels, now = [], top
     for order in range(ORDER, 0, -1):
         levels.append(now.select(F.lit(order).alias("order"), "gram", "c0", "c1"))
@@ -122,28 +130,30 @@ def _tables(top: DataFrame) -> dict[str, np.ndarray]:
         for b in batches:
             grams, orders = b.column("gram").to_pylist(), np.array(b.column("order").to_pylist(), np.int64)
             counts = np.stack([b.column(c).to_numpy() for c in ("c0", "c1")], axis=1)
-            kinds, cells, values = [], [], []
+            kinds, keys, values = [], [], []
             for order in np.unique(orders):
                 at = np.flatnonzero(orders == order)
                 letters = np.frombuffer("".join(grams[i] for i in at).encode("utf-32-le", "replace"), "<u4")
                 ends = np.arange(1, len(at) + 1) * order - 1
-                whole, context = _cells(letters, ends, order), _cells(letters, ends, order - 1, 1)
-                for kind, cell, value in (("n", whole, counts[at]), ("s", context, counts[at]), ("t", context, (counts[at] > 0).astype(np.int64))):
+                whole, context = _keys(letters, ends, order), _keys(letters, ends, order - 1, 1)
+                for kind, key, value in (("n", whole, counts[at]), ("s", context, counts[at]), ("t", context, (counts[at] > 0).astype(np.int64))):
                     kinds += [f"{kind}{order}"] * len(at)
-                    cells.append(cell)
+                    keys.append(key)
                     values.append(value)
-            cell, value = np.concatenate(cells), np.concatenate(values)
-            yield batch(kind=pa.array(kinds, pa.string()), cell=pa.array(cell, pa.int64()), v0=pa.array(value[:, 0], pa.int64()), v1=pa.array(value[:, 1], pa.int64()))
-
-    cells = map_arrow(every, run, "kind string, cell long, v0 long, v1 long").groupBy("kind", "cell").agg(F.sum("v0").alias("v0"), F.sum("v1").alias("v1"))
-    out = {f"{k}{o}": np.zeros((1 << BITS[o - (k != "n")], 2 if o > SHARED else 1), np.float32) for k in "nst" for o in range(1, ORDER + 1)}
-    # As many cells as the tables have at most, whatever the corpus.
-    found = materialise(cells.select("kind", "cell", F.col("v0").cast("float").alias("v0"), F.col("v1").cast("float").alias("v1")), "toxicity-cells")
-    for kind, array in out.items():
-        part = found.where(F.col("kind") == kind).select("cell", "v0", "v1").toArrow()
-        cell = part.column("cell").to_numpy()
-        for k in range(array.shape[1]):
-            array[cell, k] = part.column(f"v{k}").to_numpy()
+            key, value = np.concatenate(keys), np.concatenate(values)
+            yield batch(kind=pa.array(kinds, pa.string()), key=pa.array(key, pa.int64()), v0=pa.array(value[:, 0], pa.int64()), v1=pa.array(value[:, 1], pa.int64()))
+
+    keyed = map_arrow(every, run, "kind string, key long, v0 long, v1 long").groupBy("kind", "key").agg(F.sum("v0").alias("v0"), F.sum("v1").alias("v1"))
+    found = materialise(keyed.select("kind", "key", F.col("v0").cast("float").alias("v0"), F.col("v1").cast("float").alias("v1")), "toxicity-counts")
+    out = {}
+    # A row for each distinct gram and context: the model, which grows with the corpus.
+    for order in range(1, ORDER + 1):
+        for kind in "nst":
+            part = found.where(F.col("kind") == f"{kind}{order}").select("key", "v0", "v1").toArrow()
+            key = part.column("key").to_numpy()
+            at = np.argsort(key)
+            out[f"{'grams' if kind == 'n' else 'contexts'}{order}"] = key[at]
+            out[f"{kind}{order}"] = np.stack([part.column(f"v{k}").to_numpy()[at] for k in range(2 if order > SHARED else 1)], axis=1)
     out["model"] = uuid.uuid4().hex  # by which workers know their cached words
     return out
 
@@ -151,16 +161,18 @@ def _tables(top: DataFrame) -> dict[str, np.ndarray]:
 def evidence(words: list[bytes], tables: dict[str, np.ndarray]) -> np.ndarray:
     """Each word's log-likelihood under the toxic model less that under the ordinary one."""
     letters, sizes = _letters(words)
-    ends = _gram_ends(sizes)
+    every = _gram_ends(sizes)
+    _, first, which = np.unique(_keys(letters, every, ORDER), return_index=True, return_inverse=True)
+    ends = every[first]  # each different gram is looked up once
     p = np.full((len(ends), 1), 1.0 / 1024)
     for order in range(1, ORDER + 1):
-        n = tables[f"n{order}"][_cells(letters, ends, order)]
-        context = _cells(letters, ends, order - 1, 1)
-        s, t = tables[f"s{order}"][context], tables[f"t{order}"][context]
+        n = _values(tables[f"grams{order}"], tables[f"n{order}"], _keys(letters, ends, order))
+        context = _keys(letters, ends, order - 1, 1)
+        s, t = (_values(tables[f"contexts{order}"], tables[f"{k}{order}"], context) for k in "st")
         seen = s > 0
         safe = np.where(seen, s, 1)
         p = np.where(seen, np.maximum(n - DISCOUNT, 0) / safe + DISCOUNT * t / safe * p, p)
-    ratio = np.log(p[:, 1]) - np.log(p[:, 0])
+    ratio = (np.log(p[:, 1]) - np.log(p[:, 0]))[which]
     return np.add.reduceat(ratio, np.cumsum(sizes) - sizes)
 
 

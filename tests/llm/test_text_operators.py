@@ -317,6 +317,55 @@ def test_toxicity_on_held_out_rows(spark):
     assert [r.predicted for r in none] == [0, 0, 0]
 
 
+def slow_evidence(rows, words):
+    """Kneser-Ney evidence from plain dictionaries of grams."""
+    size, shared, discount = toxicity.ORDER, toxicity.SHARED, toxicity.DISCOUNT
+    pad = lambda w: chr(2) * (size - 1) + w + chr(3)
+    grams = lambda w: [pad(w)[i : i + size] for i in range(len(w) + 1)]
+    level = {}
+    for text, toxic in rows:
+        for w in text.split():
+            for g in grams(w):
+                level.setdefault(g, [0, 0])[toxic] += 1
+    models = []
+    for order in range(size, 0, -1):
+        contexts, below = {}, {}
+        for g, n in level.items():
+            c = contexts.setdefault(g[:-1], [0, 0, 0, 0])
+            b = below.setdefault(g[1:], [0, 0])
+            for k in (0, 1):
+                c[k], c[2 + k] = c[k] + n[k], c[2 + k] + (n[k] > 0)
+                b[k] = b[k] + (n[k] > 0) if order - 1 > shared else (b[k] + 1) * (k == 0)
+        models.append((order, level, contexts))
+        level = below
+    out = []
+    for w in words:
+        total = 0.0
+        for g in grams(w):
+            p = [1 / 1024] * 2
+            for order, counts, contexts in reversed(models):
+                n, c = counts.get(g[size - order :], [0, 0]), contexts.get(g[size - order : -1], [0] * 4)
+                for k in (0, 1):
+                    j = k if order > shared else 0
+                    if c[j]:
+                        p[k] = max(n[j] - discount, 0) / c[j] + discount * c[2 + j] / c[j] * p[k]
+            total += np.log(p[1]) - np.log(p[0])
+        out.append(total)
+    return out
+
+
+def test_toxicity_keeps_every_gram_apart(spark):
+    rng = np.random.default_rng(6)
+    letters = [chr(0x4E00 + i) for i in range(4000)]
+    # some 70,000 different 3-grams and more longer ones, which tables of a fixed size mix up
+    texts = [(" ".join("".join(rng.choice(letters, 6)) for _ in range(100)), int(i % 4 == 0)) for i in range(150)]
+    model = toxicity._tables(toxicity.gram_counts(spark.createDataFrame(texts, "text string, toxic int")))
+    some = [w for text, _ in texts[::15] for w in text.split()] + ["unseen", letters[0] * 9]
+    got = toxicity.evidence([w.encode() for w in some], model)
+    assert got == pytest.approx(slow_evidence(texts, some), rel=1e-4, abs=1e-4)
+    assert len(model["grams6"]) == len({("\2" * 5 + w + "\3")[i : i + 6] for t, _ in texts for w in t.split() for i in range(7)})
+
+
 # -- top-k search -------------------------------------------------------------------------------
 
 
