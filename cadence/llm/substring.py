@@ -10,10 +10,13 @@ sequence. Before the shuffle each task settles the windows that repeat within it
 sends such a window on only once, so a passage that stands in a third of all documents arrives
 as one entry for each task, not one for each place. Places are packed into binary columns and go
 to buckets, whose number follows the size of the texts, by their anchors: neighbouring windows
-mostly share one, so a document's windows meet in few buckets and few answers return.
+mostly share one, so a document's windows meet in few buckets and few answers return. An anchor
+that the sketch counts more than ``HOT`` times has its windows dealt over further buckets by their
+own hash, so a phrase of many documents, with different words around it, fills no single bucket.
 
 Size: the sketch has a counter for every 16 bytes of text, and ``MAX_BITS`` at most; what is
-broadcast is one bit for each counter and row, at most ``ROWS * 2**MAX_BITS / 8`` bytes (64 MB).
+broadcast is one bit for each counter and row, at most ``ROWS * 2**MAX_BITS / 8`` bytes (64 MB),
+and 16 bytes for each counter above ``HOT``, of which each row has one for ``HOT`` anchors at most.
 Beyond that size it filters less and more windows are grouped; the result stays the same.
 
 Defined cases: null and empty texts have no words; texts under 35 words lose none; repeated rows
@@ -41,6 +44,8 @@ SLICE_BITS = 20
 #: Windows or anchors that a task holds before it sends them on, and text bytes for each bucket.
 HOLD = 1 << 20
 BUCKET_BYTES = 64 << 20
+#: Places of an anchor (up to 28 windows each) for which it gets one more bucket.
+HOT = 1 << 14
 
 _MIX = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93), (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xFF51AFD7ED558CCD))
 _SKETCH = (0x9E3779B97F4A7C15, 0xC4CEB9FE1A85EC53)
@@ -117,7 +122,8 @@ def _counters(a: np.ndarray, bits: int, row: int) -> np.ndarray:
 
 
 def _sketch_parts(held: list[np.ndarray], bits: int):
-    """Rows (slice, payload): the counters that the held anchors touch, times two, plus 1 if twice."""
+    """Rows (slice, payload, many): the counters that the held anchors touch, times two, plus 1 if
+    twice; and of those touched more often, each with its further times."""
     all_ = np.concatenate(held)
     low = min(bits, SLICE_BITS)
     for row in range(ROWS):
@@ -126,16 +132,20 @@ def _sketch_parts(held: list[np.ndarray], bits: int):
         slices = idx >> low
         at = np.flatnonzero(np.diff(slices, prepend=-1))
         for a, b in zip(at, [*at[1:], len(idx)]):
-            yield int(slices[a]) + (row << (bits - low)), packed[a:b].tobytes()
+            more = np.flatnonzero(n[a:b] > 2)
+            many = np.stack([packed[a:b][more] >> 1, n[a:b][more] - 2], axis=1).astype("<u4")
+            yield int(slices[a]) + (row << (bits - low)), packed[a:b].tobytes(), many.tobytes()
 
 
-def _rows(pairs, names):
-    pairs = list(pairs)
-    return batch(**{names[0]: pa.array([p[0] for p in pairs], pa.int32()), names[1]: pa.array([p[1] for p in pairs], pa.binary())})
+def _rows(parts, names):
+    parts = list(parts)
+    kinds = (pa.int32(), pa.binary(), pa.binary())
+    return batch(**{name: pa.array([p[i] for p in parts], kinds[i]) for i, name in enumerate(names)})
 
 
-def sketch(docs: DataFrame, bits: int) -> np.ndarray:
-    """ROWS x 2**bits / 8 bytes: a bit for each counter that the merged sketch holds at two or more."""
+def sketch(docs: DataFrame, bits: int, hot: int = HOT) -> tuple[np.ndarray, list[np.ndarray]]:
+    """ROWS x 2**bits / 8 bytes: a bit for each counter that the merged sketch holds at two or more;
+    and for each row the counters (ascending) that it holds above ``hot``, with their counts."""
     low = min(bits, SLICE_BITS)
 
     def count(batches):
@@ -147,30 +157,41 @@ def sketch(docs: DataFrame, bits: int) -> np.ndarray:
                     held.append(found)
                     size += len(found)
                 if size >= HOLD:
-                    yield _rows(_sketch_parts(held, bits), ("slice", "payload"))
+                    yield _rows(_sketch_parts(held, bits), ("slice", "payload", "many"))
                     held, size = [], 0
         if held:
-            yield _rows(_sketch_parts(held, bits), ("slice", "payload"))
+            yield _rows(_sketch_parts(held, bits), ("slice", "payload", "many"))
 
     def merge(batches):
         now, counts = None, None
+
+        def sent():
+            above = np.flatnonzero(counts > hot)
+            listed = np.stack([above, counts[above]], axis=1).astype("<i8")
+            return _rows([(now, np.packbits(counts > 1, bitorder="little").tobytes(), listed.tobytes())], ("slice", "bitmap", "hot"))
+
         for b in batches:
-            for s, payload in zip(b.column("slice").to_pylist(), b.column("payload").to_pylist()):
+            for s, payload, many in zip(*(b.column(c).to_pylist() for c in ("slice", "payload", "many"))):
                 if s != now:
                     if now is not None:
-                        yield _rows([(now, np.packbits(counts > 1, bitorder="little").tobytes())], ("slice", "bitmap"))
-                    now, counts = s, np.zeros(1 << low, np.uint8)
+                        yield sent()
+                    now, counts = s, np.zeros(1 << low, np.int64)
                 part = np.frombuffer(payload, "<u4")
-                counts[part >> 1] = np.minimum(counts[part >> 1] + 1 + (part & 1), 2)
+                counts[part >> 1] += 1 + (part & 1)
+                further = np.frombuffer(many, "<u4").reshape(-1, 2)
+                counts[further[:, 0]] += further[:, 1]
         if now is not None:
-            yield _rows([(now, np.packbits(counts > 1, bitorder="little").tobytes())], ("slice", "bitmap"))
+            yield sent()
 
-    parts = map_arrow(docs.select("text"), count, "slice int, payload binary")
-    merged = map_arrow(parts.repartition("slice").sortWithinPartitions("slice"), merge, "slice int, bitmap binary")
+    parts = map_arrow(docs.select("text"), count, "slice int, payload binary, many binary")
+    merged = map_arrow(parts.repartition("slice").sortWithinPartitions("slice"), merge, "slice int, bitmap binary, hot binary")
     out = np.zeros((ROWS << (bits - low), max(1, (1 << low) // 8)), np.uint8)
-    for r in merged.collect():  # ROWS * 2**bits / 8 bytes at most, whatever the size of the corpus
+    above = [np.zeros((0, 2), np.int64)] * len(out)
+    for r in merged.collect():  # ROWS * 2**bits / 8 bytes at most, whatever the size of the corpus, and few hot counters
         out[r["slice"]] = np.frombuffer(r["bitmap"], np.uint8)
-    return out.reshape(ROWS, -1)
+        above[r["slice"]] = np.frombuffer(r["hot"], "<i8").reshape(-1, 2) + np.array([(r["slice"] & ((1 << (bits - low)) - 1)) << low, 0])
+    each = len(out) // ROWS
+    return out.reshape(ROWS, -1), [np.concatenate(above[row * each : (row + 1) * each]) for row in range(ROWS)]
 
 
 def _maybe_repeated(least: np.ndarray, bits: int, bitmap: np.ndarray) -> np.ndarray:
@@ -181,6 +202,18 @@ def _maybe_repeated(least: np.ndarray, bits: int, bitmap: np.ndarray) -> np.ndar
     return hit
 
 
+def _shares(least: np.ndarray, bits: int, above: list[np.ndarray], hot: int) -> np.ndarray:
+    """Over how many buckets each anchor's windows are dealt: one, and one more for ``hot`` places."""
+    times = np.full(len(least), np.iinfo(np.int64).max)
+    for row, listed in enumerate(above):
+        if not len(listed):
+            return np.ones(len(least), np.uint64)
+        idx = _counters(least, bits, row)
+        at = np.minimum(np.searchsorted(listed[:, 0], idx), len(listed) - 1)
+        times = np.minimum(times, np.where(listed[at, 0] == idx, listed[at, 1], 0))
+    return (1 + times // hot).astype(np.uint64)
+
+
 def _groups(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order of the entries by their hashes, and in that order the number of each one's group."""
     order = np.lexsort((entries["h2"], entries["h1"]))
@@ -206,7 +239,7 @@ def _place_batch(places, bucket=None):
     return batch(**cols) if bucket is None else batch(bucket=pa.array([bucket(p) for p in places], pa.int32()), **cols)
 
 
-def _windows(batches, bits: int, bitmap: np.ndarray, buckets: int):
+def _windows(batches, bits: int, bitmap: np.ndarray, above: list[np.ndarray], buckets: int, hot: int = HOT):
     """Rows (bucket, rid, rid2, payload): with rid null entries to group, else settled places."""
 
     def sent(held, anchored):
@@ -238,7 +271,8 @@ def _windows(batches, bits: int, bitmap: np.ndarray, buckets: int):
                 e["h1"], e["h2"] = rolled(h, WINDOW)[at], (rolled(h, WINDOW, 1)[at] >> np.uint64(32)).astype(np.uint32)
                 e["rid"], e["rid2"], e["pos"] = rid, rid2, at
                 held.append(e)
-                anchored.append((least[at] % np.uint64(buckets)).astype(np.int32))
+                share = e["h1"] % _shares(least[at], bits, above, hot)  # equal windows stay together
+                anchored.append(((least[at] % np.uint64(buckets) + share) % np.uint64(buckets)).astype(np.int32))
                 size += len(e)
             if size >= HOLD:
                 yield from sent(held, anchored)
@@ -264,17 +298,17 @@ def _group(batches):
         yield _place_batch(_places(entries[many & ~known]))
 
 
-def repeated_places(docs: DataFrame) -> DataFrame:
+def repeated_places(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """rid, rid2, starts: for each document (by two hashes of doc_id and text) the first words of
     its repeated windows, as packed 32-bit numbers."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MAX_BITS, max(10, (int(size) // 16).bit_length()))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size) // BUCKET_BYTES)
-    shared = spark.sparkContext.broadcast(sketch(docs, bits))
+    shared = spark.sparkContext.broadcast(sketch(docs, bits, hot))
 
     def run(batches):
-        yield from _windows(batches, bits, shared.value, buckets)
+        yield from _windows(batches, bits, *shared.value, buckets, hot)
 
     places = map_arrow(docs.select("text", "rid", "rid2"), run, "bucket int, rid long, rid2 int, payload binary")
     found = map_arrow(places.repartition(buckets, "bucket"), _group, "rid long, rid2 int, payload binary")

@@ -467,6 +467,30 @@ def test_substring_keeps_spacing(spark):
     assert substring.deduplicate(documents(spark, [])).count() == 0
 
 
+def test_a_phrase_of_many_documents_fills_no_single_bucket(spark):
+    rng = np.random.default_rng(7)
+    others = lambda: " ".join(f"o{n}" for n in rng.integers(0, 1 << 40, 40))
+    phrase = " ".join(f"p{i}" for i in range(12))
+    texts = [(i, f"{others()} {phrase} {others()}") for i in range(300)]
+    texts += [(300, texts[7][1]), (301, f"{texts[8][1]} {others()}")]
+    docs = documents(spark, texts).selectExpr("text", "doc_id as rid", "cast(0 as int) as rid2")
+    bits, buckets, hot = 12, 64, 16
+    bitmap, above = substring.sketch(docs, bits, hot)
+    sizes, at = Counter(), {}
+    # each half alone, as two tasks
+    for half in (docs.where("rid % 2 = 0"), docs.where("rid % 2 = 1")):
+        for b in substring._windows(half.toArrow().to_batches(), bits, bitmap, above, buckets, hot):
+            for bucket, rid, payload in zip(*(b.column(c).to_pylist() for c in ("bucket", "rid", "payload"))):
+                if rid is None:
+                    entries = np.frombuffer(payload, substring._ENTRY)
+                    sizes[bucket] += len(entries)
+                    for h in entries["h1"].tolist():
+                        at.setdefault(h, set()).add(bucket)
+    assert max(sizes.values()) < sum(sizes.values()) / 6 and all(len(b) == 1 for b in at.values())
+    places = lambda n: {(r.rid, p) for r in substring.repeated_places(docs, n).collect() for x in r.starts for p in np.frombuffer(x, "<u4").tolist()}
+    assert places(hot) == places(1 << 30) == {(i, p) for i in (7, 8, 300, 301) for p in range(92 - 35 + 1)}
+
+
 def test_sketch_never_underestimates():
     rng = np.random.default_rng(4)
     h = rng.integers(0, 1 << 63, 500).astype(np.uint64)
