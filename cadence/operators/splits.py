@@ -6,11 +6,16 @@ violations); a safe split has none above zero.
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
+#: Candidate pairs whose losses are counted in one job.
+AHEAD = 64
+
 
 def chronological(stints: DataFrame, fraction: float = 0.6) -> DataFrame:
     """Games in order are train while the possessions before them are under ``fraction`` of all."""
@@ -50,37 +55,49 @@ def unseen_pairs(stints: DataFrame, n_pairs: int = 60, minimum: int = 3, solo: i
     """Pairs to hold out, taken greedily: most shared stints first, then the pair; a pair is taken
     if what is removed stays within the budget and every held player keeps ``solo`` stints.
 
-    The rule carries state from one candidate to the next, so the scan is sequential. It runs over
-    the candidates, whose number and stints the cap bounds; the stints of a pair are fetched in
-    chunks as the scan comes to it, and it ends once ``n_pairs`` are taken.
+    The rule carries state from one candidate to the next, so the scan is sequential. Stints count
+    by lineup; the removed lineups are those with a taken pair, so of the candidates, ``AHEAD`` at a
+    time, only their losses by player come back, an aggregate of the lineups without a taken pair;
+    those that follow a taken pair are counted anew. No stint and no lineup passes through the driver.
     """
     total = stints.count()
     cap = max(minimum, int(cap_share * total))
     left = {r[0]: r[1] for r in stints.select(F.explode("offense_player_ids").alias("p")).groupBy("p").count().toLocalIterator()}
-    ids = stints.select("stint_id", F.explode(S.pairs_of("offense_player_ids")).alias("p"), "offense_player_ids")
-    few = ids.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(minimum, cap))
-    # Lists are made only for pairs that the cap bounds.
-    listed = ids.select("p.a", "p.b", "stint_id", "offense_player_ids").join(few, ["a", "b"]).groupBy("a", "b", "n").agg(F.collect_list(F.struct("stint_id", "offense_player_ids")).alias("stints"))
-    removed: set = set()
-    players: set = set()
-    taken: list[tuple[int, int]] = []
-    for r in listed.orderBy(F.desc("n"), "a", "b").toLocalIterator():
-        new = [(s["stint_id"], s["offense_player_ids"]) for s in r["stints"] if s["stint_id"] not in removed]
-        if len(removed) + len(new) > budget * total:
-            continue
-        loss: dict = {}
-        for _, five in new:
-            for p in five:
-                loss[p] = loss.get(p, 0) + 1
-        if any(left[p] - loss.get(p, 0) < solo for p in players | {r["a"], r["b"]}):
-            continue
-        taken.append((r["a"], r["b"]))
-        players |= {r["a"], r["b"]}
-        removed |= {i for i, _ in new}
-        for p, k in loss.items():
-            left[p] -= k
-        if len(taken) == n_pairs:
-            break
+    lineups = stints.groupBy(F.array_sort("offense_player_ids").alias("five")).agg(F.count(F.lit(1)).alias("n")).persist()
+    try:
+        pairs = lineups.select("n", F.explode(S.pairs_of("five")).alias("p")).groupBy("p.a", "p.b").agg(F.sum("n").alias("n")).where(F.col("n").between(minimum, cap))
+        removed = 0
+        players: set = set()
+        taken: list[tuple[int, int]] = []
+        kept = lineups.select("five", "n")
+        ahead = pairs.orderBy(F.desc("n"), "a", "b").toLocalIterator()
+        waiting: list[tuple[int, int]] = []
+        while len(taken) < n_pairs:
+            waiting += [(r["a"], r["b"]) for r in islice(ahead, AHEAD - len(waiting))]
+            if not waiting:
+                break
+            wanted = F.broadcast(stints.sparkSession.createDataFrame(waiting, pairs.select("a", "b").schema))
+            met = kept.select("five", "n", F.explode(S.pairs_of("five")).alias("p")).select("five", "n", "p.a", "p.b").join(wanted, ["a", "b"])
+            losses: dict = {}
+            for x in met.select("a", "b", "n", F.explode("five").alias("p")).groupBy("a", "b", "p").agg(F.sum("n").alias("n")).toLocalIterator():
+                losses.setdefault((x["a"], x["b"]), {})[x["p"]] = x["n"]
+            for at, (a, b) in enumerate(waiting):
+                loss = losses.get((a, b), {})
+                new = loss.get(a, 0)  # each stint of the pair takes one from its first player
+                if removed + new > budget * total or any(left[p] - loss.get(p, 0) < solo for p in players | {a, b}):
+                    continue
+                taken.append((a, b))
+                players |= {a, b}
+                removed += new
+                kept = kept.where(~(F.array_contains("five", a) & F.array_contains("five", b)))
+                for p, k in loss.items():
+                    left[p] -= k
+                waiting = waiting[at + 1 :]
+                break
+            else:
+                waiting = []
+    finally:
+        lineups.unpersist()
     if not taken:
         raise ValueError("no pair can be held out within the budget")
     return taken

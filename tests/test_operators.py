@@ -114,6 +114,40 @@ def test_greedy_pairs_stay_within_the_budget(spark):
     assert {r.check: r.violations for r in splits.pair_gate(s, split, held).collect()} == {"together_in_train": 0, "never_in_test": 0, "player_unseen": 0}
 
 
+def test_greedy_pairs_equal_a_plain_scan_and_list_no_stints(spark, monkeypatch):
+    import itertools
+    from collections import Counter
+
+    from pyspark.sql import functions
+
+    fives = [list(x) for x in itertools.combinations(range(1, 9), 5)]
+    used = [fives[(i * i * 11) % len(fives)] for i in range(120)]
+    s = stints(spark, *[{"offense_player_ids": five, "defense_player_ids": [21, 22, 23, 24, 25]} for five in used])
+
+    def plain(n_pairs, minimum, solo, budget):
+        pairs = Counter(p for five in used for p in itertools.combinations(five, 2))
+        left, removed, players, taken = Counter(p for five in used for p in five), set(), set(), []
+        for (a, b), n in sorted(pairs.items(), key=lambda x: (-x[1], x[0])):
+            new = [i for i, five in enumerate(used) if n >= minimum and a in five and b in five and i not in removed]
+            loss = Counter(p for i in new for p in used[i])
+            if n < minimum or len(removed) + len(new) > budget * len(used) or any(left[p] - loss[p] < solo for p in players | {a, b}):
+                continue
+            taken, players, removed, left = [*taken, (a, b)], players | {a, b}, removed | set(new), left - loss
+            if len(taken) == n_pairs:
+                break
+        return taken
+
+    def refused(*_):
+        raise AssertionError("stints of a pair gathered into one row")
+
+    monkeypatch.setattr(functions, "collect_list", refused)
+    for args in ((4, 1, 2, 0.5), (4, 1, 40, 0.9), (2, 3, 2, 0.4)):
+        n_pairs, minimum, solo, budget = args
+        want = plain(*args)
+        if want:
+            assert splits.unseen_pairs(s, n_pairs=n_pairs, minimum=minimum, solo=solo, budget=budget, cap_share=1.0) == want
+
+
 def test_cumulative_totals_take_the_last_of_each_game(spark):
     e = spark.createDataFrame([(1, "a", 1, 1, 2), (1, "a", 2, 2, 4), (1, "b", 1, 2, 6)], "p int, g string, o int, off int, def int")
     assert tuple(profiles.last_then_sum(e, ["p"], "g", ["o"], ["off", "def"]).first()) == (1, 4, 10)
