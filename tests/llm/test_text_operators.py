@@ -291,6 +291,15 @@ def test_pii_kinds_and_redaction(spark, sample):
         assert [(s.kind, s.start, s.end) for s in r.spans if s.kind in pii.BASE] == slow_base(texts[r.doc_id])
 
 
+def test_a_long_secret_goes_whole(spark):
+    late, early = "x" * 200 + "7yz", "7" + "Ab/" * 100
+    texts = [(1, f"token={late} end"), (2, f"api_key: '{early}' end"), (3, "token=" + "x" * 300)]
+    found = {r.doc_id: [r.text[s.start : s.end] for s in r.spans if s.kind == "secret"] for r in pii.scan(documents(spark, texts)).join(documents(spark, texts).select("doc_id", "text"), "doc_id").collect()}
+    assert found == {1: [late], 2: [early], 3: []}
+    gone = {r.doc_id: r.text for r in pii.redact(documents(spark, texts)).collect()}
+    assert "7yz" not in gone[1] and "Ab/" not in gone[2] and gone[3] == texts[2][1]
+
+
 # -- toxicity -----------------------------------------------------------------------------------
 
 
