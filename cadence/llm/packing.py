@@ -16,16 +16,20 @@ so no bin, however many documents it holds, is gathered in one task. Only the hi
 single totals reach the driver.
 
 Defined cases: null text is the empty text, whose only token is the end id; text that spells a
-special token is ordinary text; repeated rows and repeated or null doc_ids are packed row by row;
+special token becomes that token, as the library has it by default; repeated rows and repeated or null doc_ids are packed row by row;
 an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +42,19 @@ END_ID = 2
 _WORD_BYTES, _WORDS = 48, 800_000
 _TAIL = b".,!?:;*#$%&|"
 _STEM_END = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+#: Characters that NFC leaves as they are, alone and side by side, that are no white space and that
+#: lower-case one by one.
+_PLAIN = regex.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
+#: Fixed value: how the vocabulary's file cuts text before merging.
+_PRETOKENS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level alphabets write a byte as the character of its number if that is printable, and
+    number the others from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: 256 + i for i, b in enumerate(others)}
 
 
 class WordIds(dict):
@@ -45,7 +62,9 @@ class WordIds(dict):
 
     The tokenizer drops white space, lowers the case and never merges across it, so a text's ids
     are its words' ids in turn. Marks after a letter or digit are tokens apart, so a word that
-    ends in them is its stem's ids and theirs.
+    ends in them is its stem's ids and theirs. Words of plain characters, which normalisation
+    leaves alone, go to the tokenizer's merges directly, others through all of it. Special tokens
+    are found in the text as it stands, before the case is lowered, as the library does.
     """
 
     def __init__(self, path: str):
@@ -53,15 +72,34 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # a word that spells one in another case is none
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.cut = regex.compile(_PRETOKENS).findall
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.special = {t.content.encode(): self.packed([i]) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.split_special = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")").split if self.special else None
+
+    def packed(self, ids: list[int]) -> bytes:
+        made = array("H" if self.kind == "<u2" else "I", ids)
+        if sys.byteorder == "big":
+            made.byteswap()
+        return made.tobytes()
+
+    def merged(self, word: str) -> list[int]:
+        """The ids of a word of plain characters."""
+        if word.isascii() and word.isalpha():
+            return [t.id for t in self.model.tokenize(word)]
+        pieces = (p.encode().decode("latin-1").translate(self.letters) for p in self.cut(word.lower()))
+        return [t.id for p in pieces for t in self.model.tokenize(p)]
 
     def __missing__(self, word: bytes) -> bytes:
         stem = word.rstrip(_TAIL)
         if stem and stem != word and stem[-1] in _STEM_END:
             ids = self[stem] + self[word[len(stem) :]]
         else:
-            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+            text = word.decode()
+            ids = self.packed(self.merged(text) if _PLAIN.fullmatch(text) else self.tokenizer.encode(text, add_special_tokens=False).ids)
         if len(word) <= _WORD_BYTES:
             if len(self) >= _WORDS:
                 self.clear()
@@ -69,6 +107,12 @@ class WordIds(dict):
         return ids
 
     def encode(self, text: bytes) -> bytes:
+        if self.split_special and b"<|" in text:
+            parts = self.split_special(text)
+            return b"".join(self.special[p] if i % 2 else self._plain(p) for i, p in enumerate(parts))
+        return self._plain(text)
+
+    def _plain(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.lower().split()))
 
 

@@ -244,11 +244,28 @@ def test_nnls_and_combinations():
     assert (used <= histogram).all() and used.sum() > 0.7 * histogram[1:].sum()
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=" \nabKÉé.,!'’s漢0²…́İΣK|<>*", max_size=30))
-def test_word_ids_any_text(text):
+@pytest.fixture(scope="module")
+def default_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(packing.word_bpe_path())
+
+
+_PIECES = [*" \nabKÉé.,!'’s漢0²…́İΣK|<>*­·ßǅª½ŉ\u00a0\u0085\x1c", "'re", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(_PIECES), max_size=20).map("".join))
+def test_word_ids_any_text(default_tokenizer, text):
+    cached = packing.word_ids(packing.word_bpe_path())
+    assert np.frombuffer(cached.encode(text.encode()), cached.kind).tolist() == default_tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_word_ids_of_each_plain_character(default_tokenizer):
     cached = packing.word_ids(packing.word_bpe_path())
-    assert np.frombuffer(cached.encode(text.encode()), cached.kind).tolist() == cached.tokenizer.encode(text, add_special_tokens=False).ids
+    for c in (chr(i) for i in range(0x21, 0x250) if packing._PLAIN.fullmatch(chr(i))):
+        for text in (c, f"a{c}b", c + c, f"{c}1", f"É{c}"):
+            assert np.frombuffer(cached.encode(text.encode()), cached.kind).tolist() == default_tokenizer.encode(text, add_special_tokens=False).ids
 
 
 # -- personal data ------------------------------------------------------------------------------
