@@ -2,15 +2,18 @@
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from cadence.llm import bpe, chat, license_scan, packing, pii, quality, simhash, substring, topk, toxicity
 
@@ -395,28 +398,58 @@ def test_toxicity_keeps_every_gram_apart(spark):
 # -- top-k search -------------------------------------------------------------------------------
 
 
-def test_topk_against_brute_force(spark):
+def topk_by_hand(data, k=10):
+    whole = lambda x: math.floor(Fraction(x) * 1024)
+    sound = [(i, [whole(x) for x in v]) for i, v in data if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = {}
+    for q, v in sound:
+        if q % 100 == 0 and q not in out:
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in sound if i != q and len(w) == len(v))[:k]
+            out[q] = [(n + 1, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(scores)]
+    return {q: v for q, v in out.items() if v}
+
+
+def topk_found(df, **how):
+    rows_ = topk.integer_vectors(df)
+    got = {}
+    for r in topk.search(rows_.where("vec_id % 100 = 0"), rows_, **how).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    return {q: sorted(v) for q, v in got.items()}
+
+
+@pytest.mark.parametrize("how", [{}, {"sent_bytes": 0, "size": (3, 100)}])
+def test_topk_against_brute_force(spark, how):
     rng = np.random.default_rng(3)
     data = [(i, [float(x) for x in rng.normal(0, 1, 16)]) for i in range(0, 950)]
     data += [(i, data[7][1]) for i in range(1000, 1040)]  # ties
     data += [(2000, None), (2001, [1.0, None] + [0.0] * 14), (2002, [float("nan")] * 16), (2003, [float("inf")] * 16), (None, [0.5] * 16), (2100, [1.0] * 3), (2101, [2.0] * 3)]
-    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(5)
-    rows_ = topk.integer_vectors(df)
-    found = topk.search(rows_.where("vec_id % 100 = 0"), rows_).collect()
-    got = {}
-    for r in found:
-        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    sound = {i: np.floor(1024 * np.array(v)).astype(np.int64) for i, v in data if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    for q, v in sound.items():
-        if q % 100:
-            continue
-        scores = sorted((-int(v @ w), i) for i, w in sound.items() if i != q and len(w) == len(v))[:10]
-        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(scores)]
-    assert set(got) == {q for q in sound if q % 100 == 0}
-    empty = rows_.limit(0)
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(5).withColumn("dim", F.lit("x")).withColumn("vector", F.lit(0))
+    assert topk_found(df, **how) == topk_by_hand(data)
+    empty = topk.integer_vectors(df).limit(0)
     assert topk.search(empty, empty).count() == 0
 
 
+@pytest.mark.parametrize("how", [{}, {"sent_bytes": 0, "size": (2, 7)}])
+def test_topk_takes_vectors_of_any_size(spark, how):
+    rng = np.random.default_rng(9)
+    data = [(i, [float(x) for x in rng.normal(0, 1, 5)]) for i in range(60)]
+    data += [(60 + i, [float(x) for x in rng.normal(0, 10.0 ** float(rng.integers(3, 12)), 5)]) for i in range(60)]
+    data += [(200, [1e300, -3.7, 0.0, 2.0**200, 1.0]), (201, [1.7e308] * 5), (202, [-1.7e308, 1.0, 1.0, 1.0, 5e-324]), (203, [2.0**18, 0.0, 0.0, 0.0, 0.0]), (300, [-(2.0**53) - 2, 1.5, 2.0**31, 0.0, 1e9])]
+    data += [(17, [1e6] * 5), (17, [9.0] * 5), (100, [5.0] * 5), (400, [0.0] * 5)]  # repeated vec_ids: 17 and perhaps 100
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    queries = [i for i, _ in data if i % 100 == 0]
+    single = [x for x in data if queries.count(x[0]) < 2]
+    once = spark.createDataFrame(single, "vec_id long, embedding array<double>").repartition(3)
+    assert topk_found(once, **how) == topk_by_hand(single)
+    assert set(topk_found(df, **how)) == set(queries)
+
+
+def test_topk_repeated_rows_and_queries(spark):
+    data = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [262144.0, 0.0]), (3, [2.0, 0.0]), (3, [2.0, 0.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    assert topk_found(df) == {0: [(1, 2, 1 << 38), (2, 3, 1 << 21), (3, 3, 1 << 21), (4, 1, 1 << 19)]}
+
+
 # -- license scans ------------------------------------------------------------------------------
 
 
