@@ -5,23 +5,26 @@ grams, occurs at two places that are anchors. Each partition counts its anchors
 sketch; the sketches are merged, slice by slice, in a shuffle. A sketch never underestimates, so a
 window whose anchor is estimated below two is unique and is dropped, and no repeated window is.
 
-Second pass: the remaining windows are grouped exactly, by a 96-bit hash of their whole word
-sequence. Before the shuffle each task settles the windows that repeat within its own rows and
+Second pass: the remaining windows are grouped by a 96-bit hash of their whole word sequence, made
+of 64-bit hashes of their words; two sequences are taken as equal if these hashes are. Before the
+shuffle each task settles the windows that repeat within its own rows and
 sends such a window on only once, so a passage that stands in a third of all documents arrives
-as one entry for each task, not one for each place. Places are packed into binary columns and go
+as one entry for each task (which remembers what it has settled), not one for each place. Places are packed into binary columns and go
 to buckets, whose number follows the size of the texts, by their anchors: neighbouring windows
 mostly share one, so a document's windows meet in few buckets and few answers return. An anchor
 that the sketch counts more than ``HOT`` times has its windows dealt over further buckets by their
 own hash, so a phrase of many documents, with different words around it, fills no single bucket.
 
-Size: the sketch has a counter for every 16 bytes of text, and ``MAX_BITS`` at most; what is
-broadcast is one bit for each counter and row, at most ``ROWS * 2**MAX_BITS / 8`` bytes (64 MB),
-and 16 bytes for each counter above ``HOT``, of which each row has one for ``HOT`` anchors at most.
-Beyond that size it filters less and more windows are grouped; the result stays the same.
+Size: the sketch has a counter for every 16 bytes of text. Up to ``MAX_BITS`` it is merged and
+broadcast: one bit for each counter and row, at most ``ROWS * 2**MAX_BITS / 8`` bytes (64 MB), and 16
+bytes for each counter above ``HOT``, of which each row has one for ``HOT`` anchors at most. A larger
+sketch is never gathered: its counters stay spread over the cluster, as rows of a table that each
+document's anchors are joined with, and each document gets back those at two or more. Either way
+the prefilter works alike at every size, and the result is the same.
 
 Defined cases: null and empty texts have no words; texts under 35 words lose none; repeated rows
 are repeats of one another; windows are judged on the input, so all places of a repeated window
-go; an empty table gives an empty result.
+go; a very long text is worked on whole; further columns stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, map_arrow, table, utf8, worker_cache
+from .common import batch, map_arrow, materialise, table, utf8, worker_cache
 
 WINDOW = 35
 GRAM = 8
@@ -224,8 +227,11 @@ def _groups(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _places(entries: np.ndarray):
-    """One (rid, rid2, positions) for each document."""
+    """One (rid, rid2, positions) for each document; rows that repeat a document give it once."""
     entries = entries[np.lexsort((entries["pos"], entries["rid2"], entries["rid"]))]
+    again = np.zeros(len(entries), bool)
+    again[1:] = (entries["pos"][1:] == entries["pos"][:-1]) & (entries["rid"][1:] == entries["rid"][:-1]) & (entries["rid2"][1:] == entries["rid2"][:-1])
+    entries = entries[~again]
     new = np.ones(len(entries), bool)
     new[1:] = (entries["rid"][1:] != entries["rid"][:-1]) | (entries["rid2"][1:] != entries["rid2"][:-1])
     at = np.flatnonzero(new)
@@ -239,19 +245,35 @@ def _place_batch(places, bucket=None):
     return batch(**cols) if bucket is None else batch(bucket=pa.array([bucket(p) for p in places], pa.int32()), **cols)
 
 
-def _windows(batches, bits: int, bitmap: np.ndarray, above: list[np.ndarray], buckets: int, hot: int = HOT):
-    """Rows (bucket, rid, rid2, payload): with rid null entries to group, else settled places."""
+def _listed(counters: np.ndarray, times: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """How often each wanted counter (of ``counters``, ascending) is counted; 0 if it isn't listed."""
+    if not len(counters):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(counters, wanted), len(counters) - 1)
+    return np.where(counters[at] == wanted, times[at], 0)
+
+
+def _windows(batches, bits: int, bitmap: np.ndarray | None, above: list[np.ndarray], buckets: int, hot: int = HOT):
+    """Rows (bucket, rid, rid2, payload): with rid null entries to group, else settled places.
+
+    Without ``bitmap`` each text comes with its own counters and their counts (``counters``, ``times``).
+    """
+    settled = [np.zeros(0, np.uint64)]  # windows that this task has found twice; forgotten when many
 
     def sent(held, anchored):
         entries, to = np.concatenate(held), np.concatenate(anchored)
         order, group = _groups(entries)
         entries, to = entries[order], to[order]
         size = np.bincount(group)
-        twice = size[group] > 1
-        yield _place_batch(_places(entries[twice]), lambda p: p[0] % buckets)
         first = np.flatnonzero(np.diff(group, prepend=-1))
+        known = np.isin(_key(entries[first]), settled[0])
+        twice = (size > 1) | known
+        yield _place_batch(_places(entries[twice[group]]), lambda p: p[0] % buckets)
+        first, twice = first[~known], twice[~known]
         on = entries[first]
-        on["pos"][size > 1] = _SETTLED
+        on["pos"][twice] = _SETTLED
+        kept = settled[0] if len(settled[0]) < HOLD else settled[0][:0]
+        settled[0] = np.concatenate([kept, _key(on[twice])])
         to = to[first]
         on, to = on[(order := np.argsort(to, kind="stable"))], to[order]
         at = np.flatnonzero(np.diff(to, prepend=-1))
@@ -260,18 +282,26 @@ def _windows(batches, bits: int, bitmap: np.ndarray, above: list[np.ndarray], bu
 
     held, anchored, size = [], [], 0
     for b in batches:
-        for t, rid, rid2 in zip(utf8(b.column("text")), b.column("rid").to_pylist(), b.column("rid2").to_pylist()):
+        own = zip(b.column("counters").to_pylist(), b.column("times").to_pylist()) if bitmap is None else [(None, None)] * b.num_rows
+        for t, rid, rid2, (counters, times) in zip(utf8(b.column("text")), b.column("rid").to_pylist(), b.column("rid2").to_pylist(), own):
             h = word_hashes((t or b"").split())
             least, _ = anchors(h)
             if not len(least):
                 continue
-            at = np.flatnonzero(_maybe_repeated(least, bits, bitmap))
+            if bitmap is None:
+                order = np.argsort(counters)
+                seen = _listed(np.array(counters, np.int64)[order], np.array(times, np.int64)[order], _counters(least, bits, 0))
+                at = np.flatnonzero(seen > 1)
+                shares = (1 + seen[at] // hot).astype(np.uint64)
+            else:
+                at = np.flatnonzero(_maybe_repeated(least, bits, bitmap))
+                shares = _shares(least[at], bits, above, hot)
             if len(at):
                 e = np.empty(len(at), _ENTRY)
                 e["h1"], e["h2"] = rolled(h, WINDOW)[at], (rolled(h, WINDOW, 1)[at] >> np.uint64(32)).astype(np.uint32)
                 e["rid"], e["rid2"], e["pos"] = rid, rid2, at
                 held.append(e)
-                share = e["h1"] % _shares(least[at], bits, above, hot)  # equal windows stay together
+                share = e["h1"] % shares  # equal windows stay together
                 anchored.append(((least[at] % np.uint64(buckets) + share) % np.uint64(buckets)).astype(np.int32))
                 size += len(e)
             if size >= HOLD:
@@ -281,6 +311,11 @@ def _windows(batches, bits: int, bitmap: np.ndarray, above: list[np.ndarray], bu
         yield from sent(held, anchored)
 
 
+def _key(entries: np.ndarray) -> np.ndarray:
+    """Both hashes of a window in one number, which tells windows of a task apart as well as h1."""
+    return entries["h1"] ^ (entries["h2"].astype(np.uint64) * np.uint64(_SKETCH[1]))
+
+
 def _group(batches):
     """Exact grouping of a bucket's windows; places of those found twice go on."""
     held = []
@@ -298,21 +333,48 @@ def _group(batches):
         yield _place_batch(_places(entries[many & ~known]))
 
 
-def repeated_places(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def _with_counters(docs: DataFrame, bits: int) -> DataFrame:
+    """The documents that have anchors counted twice or more, with these ``counters`` and ``times``:
+    a sketch of one row whose counters are rows of a table, with map-side sums."""
+
+    def run(batches):
+        for b in batches:
+            rid, rid2, counters, times = [], [], [], []
+            for t, r, r2 in zip(utf8(b.column("text")), b.column("rid").to_pylist(), b.column("rid2").to_pylist()):
+                c, n = np.unique(_counters(anchors(word_hashes((t or b"").split()))[1], bits, 0), return_counts=True)
+                rid.append(np.full(len(c), r, np.int64))
+                rid2.append(np.full(len(c), r2, np.int32))
+                counters.append(c)
+                times.append(n)
+            if rid:
+                yield batch(rid=pa.array(np.concatenate(rid)), rid2=pa.array(np.concatenate(rid2)), counter=pa.array(np.concatenate(counters), pa.int64()), n=pa.array(np.concatenate(times), pa.int64()))
+
+    each = map_arrow(docs.select("text", "rid", "rid2"), run, "rid long, rid2 int, counter long, n long").groupBy("rid", "rid2", "counter").agg(F.sum("n").alias("n"))
+    each = materialise(each, "substring-counters")
+    many = each.groupBy("counter").agg(F.sum("n").alias("times")).where("times > 1")
+    back = each.join(many, "counter").groupBy("rid", "rid2").agg(F.collect_list("counter").alias("counters"), F.collect_list("times").alias("times"))  # a document's anchors
+    return docs.join(back.hint("shuffle_hash"), ["rid", "rid2"])
+
+
+def repeated_places(docs: DataFrame, hot: int = HOT, max_bits: int = MAX_BITS) -> DataFrame:
     """rid, rid2, starts: for each document (by two hashes of doc_id and text) the first words of
     its repeated windows, as packed 32-bit numbers."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MAX_BITS, max(10, (int(size) // 16).bit_length()))
+    bits = max(10, (int(size) // 16).bit_length())
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size) // BUCKET_BYTES)
-    shared = spark.sparkContext.broadcast(sketch(docs, bits, hot))
+    schema = "bucket int, rid long, rid2 int, payload binary"
+    if bits > max_bits:
+        places = map_arrow(_with_counters(docs, bits).select("text", "rid", "rid2", "counters", "times"), lambda batches: _windows(batches, bits, None, [], buckets, hot), schema)
+    else:
+        shared = spark.sparkContext.broadcast(sketch(docs, bits, hot))
 
-    def run(batches):
-        yield from _windows(batches, bits, *shared.value, buckets, hot)
+        def run(batches):
+            yield from _windows(batches, bits, *shared.value, buckets, hot)
 
-    places = map_arrow(docs.select("text", "rid", "rid2"), run, "bucket int, rid long, rid2 int, payload binary")
+        places = map_arrow(docs.select("text", "rid", "rid2"), run, schema)
     found = map_arrow(places.repartition(buckets, "bucket"), _group, "rid long, rid2 int, payload binary")
-    return found.groupBy("rid", "rid2").agg(F.collect_list("payload").alias("starts"))
+    return found.groupBy("rid", "rid2").agg(F.collect_set("payload").alias("starts"))
 
 
 def _covered(starts: list[bytes] | None, n: int, window: int = WINDOW) -> np.ndarray:
@@ -333,7 +395,7 @@ def cut_words(text: bytes, gone: np.ndarray) -> bytes:
     return head + b"".join(text[starts[a] : ends[b - 1]] for a, b in zip(edge[::2], edge[1::2]))
 
 
-def deduplicate(docs: DataFrame, words_only: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, words_only: bool = False, max_bits: int = MAX_BITS) -> DataFrame:
     """The documents without their repeated words; all columns stay, ``n_words`` and ``n_removed``
     (long) are added in place of any so named. Documents that lose nothing keep their text as it
     is; others keep the spacing after each kept word. ``words_only``: every text becomes its kept
@@ -341,7 +403,7 @@ def deduplicate(docs: DataFrame, words_only: bool = False) -> DataFrame:
     """
     names = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     rid, rid2 = F.xxhash64("doc_id", "text"), F.hash("doc_id", "text")
-    places = repeated_places(docs.select("text", rid.alias("rid"), rid2.alias("rid2"))).toDF("__r", "__r2", "__starts")
+    places = repeated_places(docs.select("text", rid.alias("rid"), rid2.alias("rid2")), max_bits=max_bits).toDF("__r", "__r2", "__starts")
     keyed = docs.select(*names, rid.alias("__rid"), rid2.alias("__rid2"))
     # The places are the small side: a hash join spares sorting the texts.
     marked = keyed.join(places.hint("shuffle_hash"), (F.col("__rid") == F.col("__r")) & (F.col("__rid2") == F.col("__r2")), "left").select(*names, "__starts")
