@@ -4,13 +4,16 @@ A notice of n characters may be matched with up to k errors (insertions, deletio
 is cut into k + 1 seeds: whatever the k errors touch, one seed stays exact (pigeonhole). An
 automaton finds all seeds in one pass over the text; around each hit the notice must lie within a
 known stretch, and there the regex library's bounded-error matching verifies it and gives its span.
-Overlapping stretches of one notice are verified as one, so a text full of seeds costs no more.
+Stretches of one notice that start close by are verified as one window of bounded length: its best
+place first, then what is left on both sides of it. So a text full of seeds costs time in proportion
+to its length. Of places that overlap, the one with fewer errors counts, then the earlier one.
 
 The text searched is the text's words, lower-cased and joined by one space, so spacing and
 punctuation never count as errors; spans are given in words.
 
-Defined cases: null is the empty text, with no words; a phrase's places may overlap; repeated rows
-give repeated results; an empty table gives an empty result.
+Defined cases: null is the empty text, with no words; a very long text is scanned whole, in time in
+proportion to its length; a phrase's places may overlap; repeated rows give repeated results; further
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,6 +48,15 @@ NOTICES = (
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("agpl", "gnu affero general public license"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("bsl", "distributed under the boost software license version 1 0"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages"),
+    ("ofl", "this font software is licensed under the sil open font license"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights"),
+    ("artistic", "the artistic license 2 0"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"),
+    ("apache", "see the license for the specific language governing permissions and limitations under the license"),
 )
 #: One error for so many characters of a notice, MAX_ERRORS at most.
 PER_ERROR, MAX_ERRORS = 16, 5
@@ -99,41 +111,60 @@ class Scanner:
         line = b" " + b" ".join(words) + b" "
         hits = []
         for phrase, label, n in self.phrases:
+            first, counted = -1, 0
             at = line.find(phrase)
             while at >= 0:
-                first = line.count(b" ", 0, at + 1) - 1
+                first += line.count(b" ", counted, at + 1)
+                counted = at + 1
                 hits.append(Hit(label, first, first + n - 1, 0, True))
                 at = line.find(phrase, at + 1)
         hits += self._fuzzy(line.decode("utf-8", "replace"))
         return len(words), hits
 
     def _fuzzy(self, line: str) -> list[Hit]:
-        spans: dict[int, list[list[int]]] = {}
+        stretches: dict[int, set[tuple[int, int]]] = {}
         for end, (size, of) in self.automaton.iter(line):
             start = end - size + 1
             for number, at in of:
                 notice = self.notices[number]
-                low, high = max(0, start - at - notice.errors), min(len(line), start - at + len(notice.text) + notice.errors)
-                known = spans.setdefault(number, [])
-                if known and low <= known[-1][1]:
-                    known[-1][0] = min(low, known[-1][0])
-                    known[-1][1] = max(high, known[-1][1])
-                else:
-                    known.append([low, high])
-        if not spans:
-            return []
+                low, high = start - at - notice.errors, start - at + len(notice.text) + notice.errors
+                stretches.setdefault(number, set()).add((max(0, low), min(len(line), high)))
         starts = None
         out = []
-        for number, stretches in spans.items():
-            notice = self.notices[number]
-            for low, high in stretches:
-                for m in notice.pattern.finditer(line, low, high):
-                    if starts is None:
-                        starts = list(accumulate((len(w) + 1 for w in line[1:-1].split(" ")), initial=1))
-                    body = m[0]
-                    first = bisect_right(starts, m.start() + len(body) - len(body.lstrip(" "))) - 1
-                    last = bisect_right(starts, m.end() - 1 - (len(body) - len(body.rstrip(" ")))) - 1
-                    out.append(Hit(notice.label, max(0, first), max(0, last), sum(m.fuzzy_counts), False))
+        for number, of in stretches.items():
+            for m in self._places(self.notices[number], line, sorted(of)):
+                if starts is None:
+                    starts = list(accumulate((len(w) + 1 for w in line[1:-1].split(" ")), initial=1))
+                body = m[0]
+                first = bisect_right(starts, m.start() + len(body) - len(body.lstrip(" "))) - 1
+                last = bisect_right(starts, m.end() - 1 - (len(body) - len(body.rstrip(" ")))) - 1
+                out.append(Hit(self.notices[number].label, max(0, first), max(0, last), sum(m.fuzzy_counts), False))
+        return out
+
+    @staticmethod
+    def _places(notice: Notice, line: str, stretches: list[tuple[int, int]]) -> list[regex.Match]:
+        """The notice's places in the given stretches (ascending), none over another."""
+        windows: list[list[int]] = []
+        for low, high in stretches:
+            if windows and low <= windows[-1][0] + len(notice.text):
+                windows[-1][1] = max(high, windows[-1][1])
+            else:
+                windows.append([low, high])
+        found = []
+        for window in windows:
+            left = [tuple(window)]
+            while left:
+                low, high = left.pop()
+                m = notice.pattern.search(line, low, high) if high - low >= len(notice.text) - notice.errors else None
+                if m:
+                    found.append(m)
+                    left += [(low, m.start()), (m.end(), high)]
+        out: list[regex.Match] = []
+        for m in sorted(found, key=lambda m: m.span()):
+            if not out or m.start() >= out[-1].end():
+                out.append(m)
+            elif sum(m.fuzzy_counts) < sum(out[-1].fuzzy_counts):
+                out[-1] = m
         return out
 
 
