@@ -8,11 +8,13 @@ source, the text's control strings are escaped (one backslash more, after the fi
 and the turn is rendered and read again; after that both are identical, else it is an error. The loss covers assistants' texts.
 
 Each turn is rendered by itself, so a conversation of any length is never gathered; its digests
-are streamed over its turns in order.
+are streamed over its turns in order. A digest is sequential, so one task reads a conversation's
+turns, holding one Arrow batch of them at a time.
 
 Defined cases: null text and null role are empty; turns go by ``turn``, then role, then text, null
-turns first; repeated rows are turns of their own; a null conv_id is a conversation of its own; an
-empty table gives an empty result.
+turns first; repeated rows are turns of their own; a null conv_id is a conversation of its own;
+a very long text is rendered and read back whole; further columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,4 +34,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if tuple(found) == state or not found[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         state = tuple(found)
-        now = materialise(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        before, now = now, materialise(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        discard(before)

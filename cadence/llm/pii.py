@@ -1,16 +1,19 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust the score.
 
 Each kind has a pattern, a prior score, a check (Luhn, mod 97, octet range, digit counts) and
-words that raise the score when they stand just before the span. The base kinds (email, ip, card,
-phone) are kept whenever their check passes; the other kinds are kept at a score of 0.5 or more.
+words that raise the score when they stand just before or just after the span. The base kinds
+(email, ip, card, phone) are kept whenever their check passes; the other kinds are kept at a score
+of 0.5 or more.
 Patterns never backtrack over long runs, so a text costs time in proportion to its length.
 
 Kinds beyond the base: ``iban`` (mod 97 must hold), ``ssn`` (three, two and four digits; needs a
-context word), ``secret`` (access keys, and what follows ``password=`` and the like).
+context word), ``secret`` (access keys, and what follows ``password=`` and the like; without a digit
+it needs a context word).
 
 Defined cases: null is the empty text and has no spans; positions count code points; spans of
 different kinds may overlap; redaction replaces each run of overlapping spans by the marker of
-its first kind; repeated rows give repeated results; an empty table gives an empty result.
+its first kind; a very long text is scanned whole; repeated rows give repeated results; further
+columns stay as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from .common import batch, map_arrow, table
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "secret")
 THRESHOLD = 0.5
-#: Context words are looked for in so many characters before a span.
-CONTEXT = 40
+#: Context words are looked for in so many characters before and after a span.
+CONTEXT, AFTER = 40, 24
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -50,7 +53,7 @@ _WORDS = {
     "secret": ("key", "credential", "secret", "login"),
 }
 _CONTEXT = {k: re.compile(r"\b(?:" + "|".join(v) + r")", re.I) for k, v in _WORDS.items()}
-_PRIOR = {"email": 0.6, "ip": 0.5, "card": 0.3, "phone": 0.5, "iban": 0.2, "ssn": 0.3, "secret": 0.6}
+_PRIOR = {"email": 0.6, "ip": 0.5, "card": 0.3, "phone": 0.5, "iban": 0.2, "ssn": 0.3, "secret": 0.6, "phrase": 0.3}
 
 
 class Span(NamedTuple):
@@ -119,16 +122,17 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int, bool]]:
     for m in _SECRET.finditer(text):
         if m[1] is None:
             yield "secret", *m.span(), True
-        elif _DIGIT.search(m[1]):
-            yield "secret", *m.span(1), False
+        else:
+            yield "secret" if _DIGIT.search(m[1]) else "phrase", *m.span(1), False
 
 
 def find(text: str) -> list[Span]:
     """All kept spans, by start and then by kind as listed in ``KINDS``."""
     out = []
-    for kind, start, end, confirmed in _proposed(text):
-        near = _CONTEXT[kind].search(text, max(0, start - CONTEXT), start)
-        score = min(1.0, _PRIOR[kind] + 0.5 * confirmed + 0.3 * bool(near))
+    for proposed, start, end, confirmed in _proposed(text):
+        kind = "secret" if proposed == "phrase" else proposed
+        near = _CONTEXT[kind].search(text, max(0, start - CONTEXT), start) or _CONTEXT[kind].search(text, end, end + AFTER)
+        score = min(1.0, _PRIOR[proposed] + 0.5 * confirmed + 0.3 * bool(near))
         if kind in BASE or score >= THRESHOLD:
             out.append(Span(kind, start, end, round(score, 2)))
     return sorted(out, key=lambda s: (s.start, KINDS.index(s.kind)))

@@ -11,9 +11,13 @@ most ``risk`` of the good documents. A stratum with too few labels certifies not
 the method rejects nothing.
 
 Defined cases: a null or empty text has no words, fails the base rules and is not kept; a null
-``lang`` is a stratum of its own; a label whose document is absent, a null label and a document
-listed twice in ``labels`` (each row counts once) do no harm; repeated rows give repeated results;
-an empty table gives an empty result; an empty ``labels`` table certifies nothing.
+``lang`` is a stratum of its own; a label whose document is absent and a null label count for
+nothing; a document listed twice in ``labels`` counts once, or not at all if its labels differ. The
+bound assumes independent trials: where labelled documents may be copies of one another, ``by_text``
+counts a text once in a stratum however many of them hold it (by its 64-bit hash; near copies are
+trials of their own). A very long text is measured whole;
+repeated rows give repeated results; clashing columns are carried under names of their own; an empty
+table gives an empty result; an empty ``labels`` table certifies nothing.
 """
 
 from __future__ import annotations
@@ -100,8 +104,8 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def signals(docs: DataFrame, stratum: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, stratum, the five counts and the shares of ``LADDERS`` of every whole text; the
-    columns ``carry`` follow as ``in_<column>``."""
+    """doc_id, stratum, text_key (a hash), the five counts and the shares of ``LADDERS`` of every
+    whole text; the columns ``carry`` follow as ``in_<column>``."""
     names = [*_COUNTS, *LADDERS]
 
     def run(batches):
@@ -110,10 +114,10 @@ def signals(docs: DataFrame, stratum: str = "lang", carry: tuple[str, ...] = ())
             columns = list(zip(*rows)) if rows else [[]] * len(names)
             kinds = [pa.int64()] * len(_COUNTS) + [pa.float64()] * len(LADDERS)
             made = {k: pa.array(v, t) for k, v, t in zip(names, columns, kinds)}
-            yield batch(doc_id=b.column("doc_id"), stratum=b.column("stratum"), **made, **{f"in_{c}": b.column(f"in_{c}") for c in carry})
+            yield batch(doc_id=b.column("doc_id"), stratum=b.column("stratum"), text_key=b.column("text_key"), **made, **{f"in_{c}": b.column(f"in_{c}") for c in carry})
 
-    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col("text").alias("__text"), *[F.col(f"`{c}`").alias(f"in_{c}") for c in carry])
-    schema = ["doc_id long", "stratum string", *(f"{c} long" for c in _COUNTS), *(f"{c} double" for c in LADDERS), *(f"`in_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)]
+    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.xxhash64("text").alias("text_key"), F.col("text").alias("__text"), *[F.col(f"`{c}`").alias(f"in_{c}") for c in carry])
+    schema = ["doc_id long", "stratum string", "text_key long", *(f"{c} long" for c in _COUNTS), *(f"{c} double" for c in LADDERS), *(f"`in_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)]
     return map_arrow(few, run, ", ".join(schema))
 
 
@@ -165,15 +169,19 @@ def certify(counts: list[tuple[int, int]], risk: float, delta: float) -> int:
     return held
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, by_text: bool = False) -> DataFrame:
     """stratum, one ``max_<signal>`` per signal (null: none certified), good, risk_bound.
 
     Rows: one for each stratum that has labelled good documents. The counts behind them are one
     aggregated row for each stratum.
     """
-    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id"))
+    marks = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
+    good = marks.where("low = 1 and high = 1").select("doc_id")
+    trials = measured.join(good, "doc_id").select("stratum", "text_key", *LADDERS)
+    if by_text:
+        trials = trials.dropDuplicates(["stratum", "text_key"])
     above = [F.sum((F.col(s) > c).cast("long")).alias(f"{s}_{i}") for s, ladder in LADDERS.items() for i, c in enumerate(ladder)]
-    counts = materialise(measured.join(good, "doc_id").groupBy("stratum").agg(F.count(F.lit(1)).alias("good"), *above), "quality-counts")
+    counts = materialise(trials.groupBy("stratum").agg(F.count(F.lit(1)).alias("good"), *above), "quality-counts")
     strata = max(1, counts.count())
     per_test = delta / (strata * len(LADDERS))
 
@@ -205,18 +213,18 @@ def _verdicts(measured: DataFrame, limits: DataFrame) -> DataFrame:
     return known.withColumn("base_failed", base).withColumn("reason", reason).withColumn("kept", F.col("reason").isNull())
 
 
-def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, by_text: bool = False) -> DataFrame:
     """Each document's counts, ``base_failed``, ``kept`` and ``reason`` (null if kept)."""
     measured = materialise(signals(docs), "quality-signals")
-    return _verdicts(measured, cutoffs(measured, labels, risk, delta)).select("doc_id", *_COUNTS, "base_failed", "kept", "reason")
+    return _verdicts(measured, cutoffs(measured, labels, risk, delta, by_text)).select("doc_id", *_COUNTS, "base_failed", "kept", "reason")
 
 
-def keep(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, by_text: bool = False) -> DataFrame:
     """The documents, all columns, that the rules keep; each row is judged by its own text."""
     measured = materialise(signals(docs, carry=tuple(docs.columns)), "quality-measured")
-    kept = _verdicts(measured, cutoffs(measured, labels, risk, delta)).where("kept")
+    kept = _verdicts(measured, cutoffs(measured, labels, risk, delta, by_text)).where("kept")
     return kept.select(*[F.col(f"`in_{c}`").alias(c) for c in docs.columns])
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), by_text=True)

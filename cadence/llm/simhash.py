@@ -14,8 +14,9 @@ pairs. Both ways are exact.
 
 Defined cases: a null or empty text has fingerprint zero, which links like any other; texts of
 fewer than three words hash their whole word sequence; a null doc_id takes part, but is no
-component's name unless the component has no other; repeated rows get the same component; an
-empty table gives an empty result.
+component's name unless the component has no other; a very long text is hashed whole, in blocks;
+repeated rows get the same component; further columns are ignored, or stay in ``deduplicate``; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

@@ -17,8 +17,8 @@ orders 6 to 4 and 12 below, and 24 or 16 for each context. That is what is colle
 and it grows with the corpus.
 
 Defined cases: null and empty texts have no evidence and get the curve's score for none; a
-doc_id labelled twice counts twice; a null label counts for nothing; a null doc_id is not held
-out; without labels of both classes every score is 0; an empty table gives an empty result.
+doc_id labelled twice counts twice, as do repeated rows; a null label counts for nothing; a null
+doc_id is not held out; a very long text is scored whole; further columns are ignored; without labels of both classes every score is 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations

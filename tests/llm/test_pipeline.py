@@ -1,5 +1,6 @@
 """The pipeline against the same stages by brute force, and every operator on empty tables."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -7,9 +8,9 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline
-from cadence.llm import bpe, chat, license_scan, packing, pii, quality, simhash, substring, topk, toxicity
+from cadence.llm import bpe, chat, license_scan, packing, pii, quality, registry, simhash, substring, topk, toxicity
 
-from .helpers import documents
+from .helpers import AWKWARD, documents
 from .test_text_operators import WORD, slow_components, slow_counts, slow_fingerprint
 
 
@@ -61,6 +62,54 @@ def test_stages_return_documents(spark, sf):
         assert 0 < out.count() <= docs.count()
 
 
+def test_stages_take_awkward_rows(spark, sf):
+    """Nulls, empty and very long texts, repeated rows and clashing columns, against brute force."""
+    docs = documents(spark, AWKWARD, extra=True)
+    got = {name: stage(spark, docs, sf) for name, stage in corpus_pipeline.STAGES}
+    for name, _ in corpus_pipeline.STAGES[:-1]:
+        assert tuple(got[name].columns) == corpus_pipeline.COLUMNS, name
+    found = {name: [(r.doc_id, r.text) for r in df.collect()] for name, df in got.items() if name != "packing"}
+    counts = {t: slow_counts(t) for _, t in AWKWARD if t not in (AWKWARD[-1][1], AWKWARD[-2][1])}
+    # the labels of sf certify no cutoff: the base rules decide
+    assert Counter(found["quality"]) == Counter(x for x in AWKWARD if x[1] in counts and counts[x[1]][0] >= 20 and 100 * counts[x[1]][4] <= 30 * counts[x[1]][0])
+    # 1 to 3 have no words; 7 and 8 are copies
+    assert sorted(i or 0 for i, _ in found["near_dedup"]) == [0, 1, 4, 5, 6, 7, 9, 10]
+    cut = dict(found["substring_dedup"])
+    assert cut[1] is None and cut[7] == cut[8] == "" and all(cut[i] == t for i, t in AWKWARD if i not in (7, 8))
+    assert Counter(found["pii"]) == Counter((i, t and pii.redacted(t, pii.find(t))) for i, t in AWKWARD)
+    tokens = Counter()
+    for r in got["packing"].collect():
+        tokens[r.doc_id] += r.length
+    assert tokens[1] == tokens[2] == tokens[3] == 1 and tokens[8] == 2 * tokens[7] and set(tokens) == {i for i, _ in AWKWARD}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, documents(spark, [], extra=True), sf).count() == 0, name
+
+
+def test_queries_by_name(spark, sf):
+    """Each registered query over a given table, with its SQL where there is some."""
+    import duckdb
+
+    found = {name: query(spark, sf) for name, query in registry.queries().items()}
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    for name, df in found.items():
+        if name not in ("op4_packing", "op7_topk", "op9_chat"):
+            assert df.count() == n, name
+    duck = duckdb.connect()
+    for t in ("embeddings", "conversations"):
+        duck.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    for name, sql in registry.oracle_sql().items():
+        wanted = duck.sql(sql)
+        assert Counter(tuple(r[c] for c in wanted.columns) for r in found[name].collect()) == Counter(wanted.fetchall()), name
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in found["op5_pii"].collect():
+        spans = ",".join(f"{s.kind}:{s.start}:{s.end}" for s in pii.find(texts[r.doc_id] or "") if s.kind in pii.BASE)
+        assert r.base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+    for r in found["op8_licenses"].collect():
+        places = [h for h in license_scan.Scanner().scan((texts[r.doc_id] or "").encode())[1] if h.exact] if r.n_base else []
+        assert r.n_base == len(places) and r.first_word == min((h.first_word for h in places), default=None) and r.last_word == max((h.first_word for h in places), default=None)
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+
+
 def test_empty_tables(spark):
     docs = documents(spark, [], extra=True)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

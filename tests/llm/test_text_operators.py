@@ -73,6 +73,25 @@ def test_binomial_bound_is_exact():
     assert quality.upper_bound(0, 0, 0.05) == 1 and quality.upper_bound(5, 5, 0.05) == 1
 
 
+def test_quality_certifies_what_a_plain_ladder_does(spark):
+    """Cutoffs against counts by hand: one trial for each distinct text, conflicting labels out."""
+    text = lambda i, stars: " ".join(f"w{i}x{j}{'*' * (j < stars)}" for j in range(30))
+    good = [(i, text(i, i % 9 if i < 400 else 0)) for i in range(4000)]
+    texts = good + [(9000 + i, good[3][1]) for i in range(3000)] + [(20_000, text(1, 30))]
+    marks = [(i, 1, 0) for i, _ in texts] + [(5, 1, 0), (6, 0, 0), (7, None, 0)]
+    docs = documents(spark, texts)
+    limits = quality.cutoffs(quality.signals(docs), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"), by_text=True).collect()
+    trials = {t for i, t in texts if i != 6}
+    assert [r.good for r in limits] == [len(trials)]
+    share = lambda t: sum(c in "#*$%&|<>" for c in t) / len(t.replace(" ", ""))
+    held = None
+    for cutoff in quality.LADDERS["symbol_share"]:
+        if quality.upper_bound(sum(share(t) > cutoff for t in trials), len(trials), quality.DELTA / len(quality.LADDERS)) > quality.RISK / len(quality.LADDERS):
+            break
+        held = cutoff
+    assert limits[0].max_symbol_share == held
+
+
 def test_quality_rejects_junk_within_its_risk(spark):
     good = [(i, " ".join(f"word{(i * 7 + j) % 501}{j}" for j in range(30))) for i in range(3000)]
     junk = [(10_000 + i, " ".join(f"w{i}{j}***" for j in range(30))) for i in range(50)]
@@ -311,6 +330,12 @@ def test_pii_kinds_and_redaction(spark, sample):
         assert [(s.kind, s.start, s.end) for s in r.spans if s.kind in pii.BASE] == slow_base(texts[r.doc_id])
 
 
+def test_pii_context_on_either_side():
+    spans = lambda text: [(s.kind, s.score) for s in pii.find(text)]
+    assert spans("123-45-6789") == [] and spans("123-45-6789 is my taxpayer number") == spans("my ssn 123-45-6789") == [("ssn", 0.6)]
+    assert spans("password=correcthorse") == [] and spans("the login has password=correcthorse") == [("secret", 0.6)]
+
+
 def test_a_long_secret_goes_whole(spark):
     late, early = "x" * 200 + "7yz", "7" + "Ab/" * 100
     texts = [(1, f"token={late} end"), (2, f"api_key: '{early}' end"), (3, "token=" + "x" * 300)]
@@ -471,6 +496,56 @@ def test_license_scan(spark, sample):
     assert len(found) == len(AWKWARD)
 
 
+def least_edits(pattern, text):
+    """The least edit distance of the pattern to any stretch of the text."""
+    row = list(range(len(pattern) + 1))
+    best = row[-1]
+    for c in text:
+        last, row[0] = row[0], 0
+        for i, p in enumerate(pattern, 1):
+            last, row[i] = row[i], min(last + (p != c), row[i] + 1, row[i - 1] + 1)
+        best = min(best, row[-1])
+    return best
+
+
+def test_notices_are_found_up_to_their_errors_and_no_further():
+    rng = np.random.default_rng(11)
+    letters = list("abcdeilnorst ")
+    scanner = license_scan.Scanner()
+    for notice in scanner.notices:
+        for edits in range(notice.errors + 3):
+            body = list(notice.text)
+            for _ in range(edits):
+                at = int(rng.integers(0, len(body)))
+                kind = int(rng.integers(0, 3))
+                body[at : at + (kind != 1)] = [] if kind == 2 else [str(rng.choice(letters))]
+            text = f"some words before {''.join(body)} and some after"
+            line = " " + " ".join(text.split()) + " "
+            expect = {n.text for n in scanner.notices if least_edits(n.text, line) <= n.errors}
+            found = scanner._fuzzy(line)
+            assert {h.label for h in found} == {n.label for n in scanner.notices if n.text in expect}
+            words_ = text.split()
+            for h in found:
+                said = " ".join(words_[h.first_word : h.last_word + 1])
+                assert any(least_edits(n.text, f" {said} ") <= n.errors for n in scanner.notices if n.label == h.label)
+
+
+def test_every_place_of_a_notice_is_found_in_time_that_grows_with_the_text():
+    import time
+
+    scanner = license_scan.Scanner()
+    one, exact = "licensed under a creative comons attribution 4 0 international license", "licensed under a creative commons attribution 4 0 international license"
+    _, hits = scanner.scan(f"{one} x {exact} y {one}".encode())
+    assert [(h.first_word, h.last_word, h.errors) for h in hits if h.label == "cc-by" and not h.exact] == [(0, 9, 1), (11, 20, 0), (22, 31, 1)]
+    times = []
+    for n in (4_000, 16_000):
+        start = time.process_time()
+        count, hits = scanner.scan(b"mit license " * n + f"{one} z ".encode() * (n // 40))
+        times.append(time.process_time() - start)
+        assert sum(h.exact for h in hits) == n and sum(h.label == "cc-by" and not h.exact for h in hits) == n // 40
+    assert times[1] < 10 * times[0] + 1
+
+
 # -- chat formatting ----------------------------------------------------------------------------
 
 
@@ -516,6 +591,9 @@ def test_substring_against_brute_force(spark, sample):
     found = substring.deduplicate(documents(spark, texts, extra=True), words_only=True).collect()
     got = Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.text.encode()).hexdigest()) for r in found)
     assert got == slow_repeats(texts)
+    # a sketch too large to gather gives the same
+    apart = substring.deduplicate(documents(spark, texts, extra=True), words_only=True, max_bits=4).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.text.encode()).hexdigest()) for r in apart) == got
 
 
 def test_substring_keeps_spacing(spark):
