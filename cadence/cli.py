@@ -9,12 +9,16 @@ import argparse
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import contract, splits
 from .plans import models, report
 from .sources import records
 
 
+KINDS = ("chronological", "unseen_lineup", "unseen_pair")
+
+
 def _session() -> SparkSession:
     return SparkSession.builder.appName("cadence").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
@@ -26,6 +30,9 @@ def _validate(a, s: DataFrame) -> DataFrame:
 def _split(a, s: DataFrame) -> DataFrame:
     if a.kind == "chronological":
         return splits.chronological(s, a.fraction)
+    if a.kind == "all":
+        parts = [_split(argparse.Namespace(**{**vars(a), "kind": k}), s).select(F.lit(k).alias("kind"), "stint_id", "side") for k in KINDS]
+        return parts[0].union(parts[1]).union(parts[2])
     if a.kind == "unseen_lineup":
         return splits.hold_out_lineups(s, splits.unseen_lineups(s, a.count))
     return splits.hold_out_pairs(s, s.sparkSession.createDataFrame(splits.unseen_pairs(s, a.count), "a long, b long"))
@@ -45,6 +52,43 @@ def _predict(a, s: DataFrame) -> DataFrame:
     return gram.predict(models.design_rows(s), fit.table(s.sparkSession))
 
 
+def _halves(a, s: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The second table, if given, is the test side; else the later part of the first."""
+    if a.test:
+        return s, records.read_stints(s.sparkSession, a.test)
+    sided = s.join(splits.chronological(s, a.fraction), "stint_id")
+    return sided.where("side = 'train'").drop("side"), sided.where("side = 'test'").drop("side")
+
+
+def _table(a, s: DataFrame, name: str) -> DataFrame:
+    path = getattr(a, name)
+    if not path:
+        raise ValueError(f"this verb needs --{name}")
+    return s.sparkSession.read.parquet(path)
+
+
+def _ladder(a, s: DataFrame) -> DataFrame:
+    return models.ladder(s, {k: _split(argparse.Namespace(**{**vars(a), "kind": k}), s) for k in KINDS})
+
+
+def _roles(a, s: DataFrame) -> DataFrame:
+    v = _table(a, s, "features")
+    return models.kmeans(v, "member", [c for c in v.columns if c != "member"], a.count)
+
+
+def _confirm(a, s: DataFrame) -> DataFrame:
+    seasons = [r[0] for r in s.select("season_index").distinct().orderBy("season_index").collect()]  # a few
+    return models.confirm([s.where(F.col("season_index") == k) for k in seasons])
+
+
+def _against(a, s: DataFrame) -> DataFrame:
+    fit = records.load_fit(s.sparkSession, a.fit)
+    five = lambda text: [int(x) for x in (text or "").split(",") if x]
+    if a.defense:
+        return models.matchup(fit, five(a.first), five(a.defense), s.sparkSession)
+    return models.compare_lineups(fit, five(a.first), five(a.second), s.sparkSession)
+
+
 def _compare(a, s: DataFrame) -> DataFrame:
     return models.compare_rungs(s, splits.chronological(s, a.fraction))
 
@@ -63,6 +107,17 @@ VERBS = {
     "interactions": (lambda a, s: models.bootstrap_interactions(s, a.count), "pair effects with intervals"),
     "lift": (lambda a, s: models.lift(s, a.side), "players' lift of their teammates"),
     "backtest": (lambda a, s: models.backtest(s, a.minimum), "moves against predictions"),
+    "ladder": (_ladder, "the model ladder on all three splits, with intervals"),
+    "transport": (lambda a, s: models.transport(*_halves(a, s)), "one table's fit on another"),
+    "calibrate": (lambda a, s: models.calibrated_groups(*_halves(a, s)), "calibration of group predictions"),
+    "roles": (_roles, "clusters of players' features"),
+    "redundancy": (lambda a, s: models.compare_interactions(*_halves(a, s), _table(a, s, "roles"), a.count, a.minimum, _table(a, s, "features")), "interaction terms and placebos"),
+    "evaluate_lift": (lambda a, s: models.evaluate_lift(*_halves(a, s), a.side), "lift against its placebo"),
+    "mechanistic": (lambda a, s: models.mechanistic_outcomes(*_halves(a, s), _table(a, s, "outcomes")), "outcomes' own fits"),
+    "receivers": (lambda a, s: models.evaluate_receivers(_table(a, s, "production")), "teammates' effects on receivers"),
+    "confirm": (_confirm, "whether pair effects of a season come back in others"),
+    "against": (_against, "two lineups against each other, or an offense against a defense"),
+    "strongest": (lambda a, s: models.strongest(_fit(a, s), a.count), "the coefficients of greatest size"),
 }
 
 
@@ -75,12 +130,20 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--minimum", type=int, default=200)
     p.add_argument("--count", type=int, default=8)
     p.add_argument("--fraction", type=float, default=0.6)
-    p.add_argument("--kind", choices=("chronological", "unseen_lineup", "unseen_pair"), default="chronological")
+    p.add_argument("--kind", choices=(*KINDS, "all"), default="chronological")
     p.add_argument("--model", choices=("ridge", "hierarchical", "pairs"), default="ridge")
     p.add_argument("--side", choices=("offense", "defense"), default="offense")
     p.add_argument("--game")
     p.add_argument("--team", type=int)
     p.add_argument("--player", type=int)
+    p.add_argument("--test", help="a second table of stints, for the test side")
+    p.add_argument("--roles", help="Parquet of (member, role)")
+    p.add_argument("--features", help="Parquet of (member, features)")
+    p.add_argument("--outcomes", help="Parquet of (stint_id, counts)")
+    p.add_argument("--production", help="Parquet of (stint_id, game_date, member, fg, ft, assisted, w)")
+    p.add_argument("--first", help="five ids, comma-joined")
+    p.add_argument("--second", help="five ids, comma-joined")
+    p.add_argument("--defense", help="five ids, comma-joined")
     p.add_argument("--save", help="where fit keeps the model")
     p.add_argument("--fit", help="the model that predict reads")
     return p

@@ -6,49 +6,114 @@ results are (i, j, g) with i <= j and (i, b). Their size depends on the columns,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def scaler(stints: DataFrame) -> DataFrame:
+def scaler(stints: DataFrame, *more: Column) -> DataFrame:
     """One row of training means and deviations of margin and rest (zero deviation: 1)."""
     sd = lambda c: F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0))
-    return stints.agg(F.avg("score_margin_offense").alias("m_margin"), sd("score_margin_offense").alias("s_margin"), F.avg("days_rest_offense").alias("m_rest"), sd("days_rest_offense").alias("s_rest"))
+    return stints.agg(F.avg("score_margin_offense").alias("m_margin"), sd("score_margin_offense").alias("s_margin"), F.avg("days_rest_offense").alias("m_rest"), sd("days_rest_offense").alias("s_rest"), *more)
 
 
-def context(stints: DataFrame, scale: DataFrame, seasons: list[int], periods: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
-    """stint_id and the context columns in order; period 4 means the fourth or later, and the first
-    season is the baseline."""
-    z = lambda c, k: (F.col(c) - F.col(f"m_{k}")) / F.col(f"s_{k}")
+def context_columns(seasons: list[int], scale: dict[str, Column], periods: tuple[int, ...] = (2, 3, 4)) -> dict[str, Column]:
+    """The context columns in order; period 4 means the fourth or later, and the first season is the
+    baseline. ``scale`` has ``scaler``'s four values."""
+    z = lambda c, k: (F.col(c) - scale[f"m_{k}"]) / scale[f"s_{k}"]
     cols = {"intercept": F.lit(1.0), "home": F.col("home_offense").cast("double"), "margin": z("score_margin_offense", "margin"), "margin2": z("score_margin_offense", "margin") * z("score_margin_offense", "margin")}
     for p in periods:
         cols[f"period_{p}"] = (F.col("period") >= p if p == max(periods) else F.col("period") == p).cast("double")
     cols |= {"playoff": F.col("playoff").cast("double"), "rest": z("days_rest_offense", "rest"), "garbage": F.col("garbage_time_weight") - 1}
-    for s in seasons[1:]:
-        cols[f"season_{s}"] = (F.col("season_index") == s).cast("double")
+    return cols | {f"season_{s}": (F.col("season_index") == s).cast("double") for s in seasons[1:]}
+
+
+_SCALE = ("m_margin", "s_margin", "m_rest", "s_rest")
+
+
+def context(stints: DataFrame, scale: DataFrame, seasons: list[int], periods: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
+    """stint_id and the context columns in order."""
+    cols = context_columns(seasons, {k: F.col(k) for k in _SCALE}, periods)
     return stints.crossJoin(F.broadcast(scale)).select("stint_id", *[v.alias(k) for k, v in cols.items()])  # scale: one row
 
 
-def design(stints: DataFrame, context_rows: DataFrame | None = None) -> DataFrame:
-    """stint_id, y, w and ``cells``: an array of (col, val). Offense counts +1, defense -1."""
+def design(stints: DataFrame, context: dict[str, Column] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """stint_id, the columns ``keep``, y, w and ``cells``: an array of (col, val). Offense counts +1,
+    defense -1. Context columns are worked out in the same row, so a stint is read once."""
     y, w = 100.0 * F.col("points_scored") / F.col("offensive_possessions"), F.col("offensive_possessions").cast("double")
     side = lambda members, tag, v: F.transform(members, lambda p: F.struct(F.concat(F.lit(tag), p.cast("string")).alias("col"), F.lit(v).alias("val")))
-    players = F.concat(side("offense_player_ids", "o", 1.0), side("defense_player_ids", "d", -1.0))
-    if context_rows is None:
-        return stints.select("stint_id", y.alias("y"), w.alias("w"), players.alias("cells"))
-    names = [c for c in context_rows.columns if c != "stint_id"]
-    both = stints.join(context_rows.select("stint_id", *[F.col(n).alias(f"c_{n}") for n in names]), "stint_id")
-    cells = F.array(*[F.struct(F.lit(f"c_{n}").alias("col"), F.col(f"c_{n}").alias("val")) for n in names])
-    return both.select("stint_id", y.alias("y"), w.alias("w"), F.concat(cells, players).alias("cells"))
+    cells = F.concat(side("offense_player_ids", "o", 1.0), side("defense_player_ids", "d", -1.0))
+    if context:
+        cells = F.concat(F.array(*[F.struct(F.lit(f"c_{n}").alias("col"), c.alias("val")) for n, c in context.items()]), cells)
+    return stints.select("stint_id", *keep, y.alias("y"), w.alias("w"), cells.alias("cells"))
+
+
+#: Products of a batch are summed in a dense table of so many cells at most, else by sorting.
+_DENSE = 1 << 23
 
 
 def gram(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(i, j, g), i <= j: sums of w times the product of two cells of a row. Pairs are made within
-    the row's own array, so the only shuffle is the aggregate, with map-side sums."""
+    the row's own array and summed within each Arrow batch, so the shuffle holds sums only."""
     by = by or []
-    cells = F.filter("cells", lambda c: c["val"] != 0)
-    pairs = F.flatten(F.transform(cells, lambda a: F.transform(F.filter(cells, lambda b: b["col"] >= a["col"]), lambda b: F.struct(a["col"].alias("i"), b["col"].alias("j"), (a["val"] * b["val"]).alias("v")))))
-    return rows.select(*by, "w", F.explode(pairs).alias("p")).groupBy(*by, "p.i", "p.j").agg(F.sum(F.col("w") * F.col("p.v")).alias("g"))
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema), "i string", "j string", "g double"])
+
+    def run(batches):
+        for b in batches:
+            cells = pa.array(b.column("cells"))
+            lengths = np.diff(cells.offsets.to_numpy()) if len(cells) else np.zeros(0, np.int64)
+            flat = cells.flatten()
+            names = flat.field("col").dictionary_encode()
+            order = np.argsort(np.array(names.dictionary.to_pylist(), object)) if len(names.dictionary) else np.zeros(0, np.int64)
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            col, val = rank[names.indices.to_numpy()], flat.field("val").cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            used = val != 0
+            row, col, val = row[used], col[used], val[used]
+            at = np.lexsort((col, row))
+            row, col, val = row[at], col[at], val[at]
+            size = np.bincount(row, minlength=len(lengths))
+            first = np.cumsum(size) - size
+            w = b.column("w").cast(pa.float64()).to_numpy(zero_copy_only=False)
+            group = pa.StructArray.from_arrays([b.column(c) for c in by], by).to_pylist() if by else None
+            keys = {k: n for n, k in enumerate(dict.fromkeys(tuple(g.values()) for g in group))} if by else {(): 0}
+            code = np.array([keys[tuple(g.values())] for g in group], np.int64) if by else np.zeros(len(w), np.int64)
+            p = len(order)
+            dense = np.zeros(len(keys) * p * p) if len(keys) * p * p <= _DENSE else None
+            hit = np.zeros(0 if dense is None else len(dense), bool)  # sums of zero count too
+            spots, sums = [], []
+            for n in np.unique(size[size > 0]):
+                u, v = np.triu_indices(n)
+                some = np.flatnonzero(size == n)
+                for low in range(0, len(some), step := max(1, (1 << 20) // len(u))):
+                    part = some[low : low + step]
+                    place = first[part][:, None] + np.arange(n)
+                    c, x = col[place], val[place]
+                    twice = 1 + ((u < v) & (c[:, u] == c[:, v]))  # a column that stands twice in a row
+                    spot = ((code[part][:, None] * p + c[:, u]) * p + c[:, v]).ravel()
+                    weight = (w[part][:, None] * x[:, u] * x[:, v] * twice).ravel()
+                    if dense is not None:
+                        dense += np.bincount(spot, weight, len(dense))
+                        hit[spot] = True
+                    else:
+                        found, where = np.unique(spot, return_inverse=True)
+                        spots.append(found)
+                        sums.append(np.bincount(where, weight))
+            if dense is not None:
+                spot = np.flatnonzero(hit)
+                g = dense[spot]
+            else:
+                spot, g = np.concatenate([np.zeros(0, np.int64), *spots]), np.concatenate([np.zeros(0), *sums])
+            labels = names.dictionary.take(pa.array(order))
+            every = list(keys)
+            kinds = [b.schema.field(c).type for c in by]
+            lead = [pa.array([k[n] for k in every], t).take(pa.array(spot // (p * p))) for n, t in enumerate(kinds)] if p else [pa.array([], t) for t in kinds]
+            yield pa.RecordBatch.from_arrays([*lead, labels.take(pa.array(spot // p % p if p else spot)), labels.take(pa.array(spot % p if p else spot)), pa.array(g)], names=[*by, "i", "j", "g"])
+
+    return rows.select(*by, "w", "cells").mapInArrow(run, schema).groupBy(*by, "i", "j").agg(F.sum("g").alias("g"))
 
 
 def rhs(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -69,10 +134,37 @@ def group_rows(rows: DataFrame, group: str) -> DataFrame:
     return cells.join(total, group).select(group, "col", (F.col("v") / F.col("total")).alias("val"), F.col("total").alias("weight"))
 
 
-def predict(rows: DataFrame, coefficients: DataFrame) -> DataFrame:
-    """stint_id and a prediction for each coefficient column (``coef`` gives ``predicted``): unseen
-    columns contribute nothing. Several models share one join."""
+def scored(rows: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """``rows`` without their cells, with a prediction for each coefficient column (``coef`` gives
+    ``predicted``): unseen columns contribute nothing. Each row is finished where it lies; the
+    coefficients (a model's, so of bounded number) go to every task."""
+    table = coefficients.toArrow()
     names = [c for c in coefficients.columns if c != "col"]
-    cells = rows.select("stint_id", F.explode("cells").alias("c")).select("stint_id", F.col("c.col").alias("col"), F.col("c.val").alias("val"))
-    out = lambda n: "predicted" if n == "coef" else n
-    return cells.join(coefficients, "col", "left").groupBy("stint_id").agg(*[F.sum(F.coalesce(F.col("val") * F.col(n), F.lit(0.0))).alias(out(n)) for n in names])
+    known = table.column("col").combine_chunks()
+    values = np.column_stack([table.column(c).to_numpy() for c in names] or [np.zeros(len(known))])
+    model = rows.sparkSession.sparkContext.broadcast((known.to_pylist(), np.vstack([values, np.zeros((1, values.shape[1]))])))
+    kept = [c for c in rows.columns if c != "cells"]
+
+    def run(batches):
+        known, values = model.value
+        known = pa.array(known, pa.string())
+        for b in batches:
+            cells = pa.array(b.column("cells"))
+            flat = cells.flatten()
+            at = pc.index_in(flat.field("col"), value_set=known).fill_null(len(known)).to_numpy()
+            val = flat.field("val").cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy())) if len(cells) else np.zeros(0, np.int64)
+            out = [np.bincount(row, values[at, k] * val, len(cells)) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *map(pa.array, out)], names=[*kept, *(_predicted(n) for n in names)])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema), *(f"`{_predicted(n)}` double" for n in names)])
+    return rows.select(*kept, "cells").mapInArrow(run, schema)
+
+
+def _predicted(name: str) -> str:
+    return "predicted" if name == "coef" else name
+
+
+def predict(rows: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """stint_id and the predictions of ``scored``."""
+    return scored(rows.select("stint_id", "cells"), coefficients)

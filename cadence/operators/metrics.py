@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import ordered
 
 #: Two-sided normal quantiles of the coverage levels.
 LEVELS = {"50": 0.6744897501960817, "80": 1.2815515655446004, "95": 1.959963984540054}
@@ -77,31 +78,33 @@ def regression(df: DataFrame, y: str, x: str) -> DataFrame:
     return s.select("n", pick(F.col("s"), F.lit(0.0)).alias("slope"), pick(F.col("i"), F.col("m")).alias("intercept"), pick(F.col("c"), F.lit(0.0)).alias("correlation"))
 
 
-def numbered(groups: DataFrame, key: str) -> DataFrame:
-    """Groups with ``place`` from 0 in the order of their key, and their number ``n``: few rows."""
-    return groups.withColumn("place", F.row_number().over(Window.orderBy(key)) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
-
-
-def bootstrap(groups: DataFrame, key: str, replicates: int, seed: int, **sums: Column) -> DataFrame:
-    """replicate, and sums over groups drawn with replacement by hash: as many draws as groups.
+def draws(groups: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
+    """replicate, place, times, and ``groups`` with their ``place`` and number: draws with
+    replacement by hash, as many as groups.
 
     Draw d of replicate r takes the group at place md5(seed|r|d) mod n. Draws are made where the
     groups lie and counted by place, so the join is on the place, not a product of all rows.
     """
-    placed = numbered(groups, key)
-    places = placed.select(F.col("place").alias("d"), "n")
-    draws = places.select("d", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    taken = draws.select("replicate", S.draw(F.col("n"), F.lit(seed), F.col("replicate"), F.col("d")).alias("place")).groupBy("replicate", "place").agg(F.count(F.lit(1)).alias("times"))
-    joined = taken.join(placed.drop("n"), "place")
+    placed, n = ordered.numbered(groups, [F.col(key)])
+    each = placed.select(F.col("place").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    taken = each.select("replicate", S.draw(F.lit(max(n, 1)), F.lit(seed), F.col("replicate"), F.col("d")).alias("place")).groupBy("replicate", "place").agg(F.count(F.lit(1)).alias("times"))
+    return taken.join(placed, "place")
+
+
+def bootstrap(groups: DataFrame, key: str, replicates: int, seed: int, **sums: Column) -> DataFrame:
+    """replicate, sums over groups drawn with replacement, and the number of draws."""
+    joined = draws(groups, key, replicates, seed)
     return joined.groupBy("replicate").agg(*[F.sum(F.col("times") * c).alias(name) for name, c in sums.items()], F.sum("times").alias("draws"))
 
 
-def interval(replicates: DataFrame, value: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """One row: the sorted values at floor(low B) and min(floor(high B), B - 1), and the share above 0."""
-    s = replicates.agg(F.array_sort(F.collect_list(value)).alias("v"))  # B values
+def interval(replicates: DataFrame, value: str, low: float = 0.025, high: float = 0.975, fewest: int = 3) -> DataFrame:
+    """One row: the sorted values at floor(low B) and min(floor(high B), B - 1), and the share above
+    0; zeros if fewer than ``fewest`` groups were drawn from, as so few say nothing."""
+    s = replicates.agg(F.array_sort(F.collect_list(value)).alias("v"), F.max("draws").alias("groups"))  # B values
     b = F.size("v")
-    at = lambda p: F.get("v", F.least(F.floor(p * b).cast("int"), b - 1))
-    return s.select(at(low).alias("low"), at(high).alias("high"), (F.size(F.filter("v", lambda x: x > 0)) / b).alias("share_positive"))
+    known = F.coalesce(F.col("groups") >= fewest, F.lit(False))
+    at = lambda p: F.when(known, F.get("v", F.least(F.floor(p * b).cast("int"), b - 1))).otherwise(0.0)
+    return s.select(at(low).alias("low"), at(high).alias("high"), F.when(known, F.size(F.filter("v", lambda x: x > 0)) / b).otherwise(0.0).alias("share_positive"))
 
 
 def by_context(rows: DataFrame, actual: str, predicted: str, weight: str) -> DataFrame:

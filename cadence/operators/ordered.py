@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -115,3 +115,27 @@ def live_changes(df: DataFrame, possession: list[str], order: str, lineup: str)
     live = df.where(F.size(lineup) > 0)
     first = F.first(lineup).over(Window.partitionBy(*possession).orderBy(order))
     return live.withColumn("__first", first).groupBy(*possession).agg(F.max((F.col(lineup) != F.col("__first")).cast("int")).cast("boolean").alias("split"))
+
+
+def numbered(df: DataFrame, order: list[Column], parts: int = 64) -> tuple[DataFrame, int]:
+    """``df`` with ``place`` from 0 in the given order, and the number of rows.
+
+    No task ranks all rows: the order is cut at keys of a hash sample (``parts`` ranges), rows are
+    ranked within ranges, and the ranges' sizes give each its first place. The keys of the sample and
+    the sizes, ``parts`` of each, are all that passes through the driver. Ranges follow from the keys
+    themselves, so a lost task is ranked alike again.
+    """
+    keyed = df.withColumn("__key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
+    some = sorted(tuple(r[0]) for r in keyed.select("__key").orderBy(F.xxhash64("__key"), "__key").limit(16 * parts).collect())
+    cuts = some[len(some) // parts :: max(1, len(some) // parts)]
+    kind = keyed.schema["__key"].dataType
+    below = F.size(F.filter(F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(c, kind)]) for c in cuts]), lambda c: c <= F.col("__key"))) if cuts else F.lit(0)
+    ranged = keyed.withColumn("__range", below)
+    sizes = {r["__range"]: r["count"] for r in ranged.groupBy("__range").count().collect()}
+    before, total = [], 0
+    for k in range(len(cuts) + 1):
+        before.append(total)
+        total += sizes.get(k, 0)
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy("__key")) - 1
+    place = F.get(F.array(*[F.lit(int(n)) for n in before]), F.col("__range")) + rank
+    return ranged.withColumn("place", place.cast("long")).drop("__key", "__range"), total

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import ordered
 
 
 def tally(events: DataFrame, by: list[str], **flags: Column) -> DataFrame:
@@ -76,12 +77,11 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 def permuted(df: DataFrame, key: str, value: str, seed: int) -> DataFrame:
-    """``value`` dealt out anew among keys: by rank in hash order. Ranks need a total order, and the
-    table has a row for each member, not for each event."""
-    order = Window.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key)
-    source = df.select(F.row_number().over(Window.orderBy(key)).alias("place"), key)
-    dealt = df.select(F.row_number().over(order).alias("place"), value)
-    return source.join(dealt, "place").select(key, value)
+    """``value`` dealt out anew among keys: the key at each place of the keys' order gets the value at
+    the same place of a seeded hash order."""
+    source, _ = ordered.numbered(df.select(key), [F.col(key)])
+    dealt, _ = ordered.numbered(df, [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)])
+    return source.join(dealt.select("place", value), "place").select(key, value)
 
 
 OUTCOMES = {

@@ -9,6 +9,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,7 @@ class Statistics:
     q: float
     var_y: float
     slogw: float
+    sw: float = 0.0
 
     def block(self, prefixes: tuple[str, ...]) -> np.ndarray:
         return np.array([c.startswith(prefixes) for c in self.columns])
@@ -43,38 +46,41 @@ def collect(rows: DataFrame, fold: str | None = None) -> dict[object, Statistics
     """Statistics of all rows (key None) or of each fold, from one pass over the design.
 
     The outcome stands in each row as one more cell (``~y``, last in order), so that one aggregate
-    gives the Gram matrix, the right-hand side and the sum of squares together.
+    gives the Gram matrix, the right-hand side and the sum of squares together. Its columns are
+    counted before any cell comes to the driver.
     """
     by = [fold] if fold else []
+    outcome = F.array(F.struct(F.lit("~y").alias("col"), F.col("y").cast("double").alias("val")))
     rows = rows.persist()
+    sums = gram.gram(rows.withColumn("cells", F.concat("cells", outcome)), by).persist()
     try:
-        outcome = F.array(F.struct(F.lit("~y").alias("col"), F.col("y").cast("double").alias("val")))
-        cells = gram.gram(rows.withColumn("cells", F.concat("cells", outcome)), by).collect()
         moments = gram.moments(rows, by).collect()
+        columns = [r[0] for r in sums.where("i = j and i <> '~y'").select("i").distinct().orderBy("i").limit(MAX_COLUMNS + 1).collect()]
+        if len(columns) > MAX_COLUMNS:
+            raise ValueError(f"there are more than {MAX_COLUMNS} columns")
+        cells = sums.toArrow()
     finally:
+        sums.unpersist()
         rows.unpersist()
-    columns = sorted({r["i"] for r in cells} - {"~y"})
-    if len(columns) > MAX_COLUMNS:
-        raise ValueError(f"{len(columns)} columns are more than {MAX_COLUMNS}")
-    at = {c: k for k, c in enumerate(columns)}
-    key = (lambda r: r[fold]) if fold else (lambda r: None)
+    known = pa.array(columns, pa.string())
+    i, j = (pc.index_in(cells.column(c), value_set=known).combine_chunks().fill_null(-1).to_numpy() for c in ("i", "j"))
+    g, folds = cells.column("g").to_numpy(), cells.column(fold).to_pylist() if fold else None
     size = len(columns)
-    out = {key(m): Statistics(columns, np.zeros((size, size)), np.zeros(size), m["n"], m["q"], m["var_y"] or 0.0, m["slogw"]) for m in moments}
-    for r in cells:
-        s = out[key(r)]
-        if r["i"] == "~y":
-            continue  # the sum of squares, which the moments hold for rows with y = 0 too
-        if r["j"] == "~y":
-            s.b[at[r["i"]]] = r["g"]
-        else:
-            s.g[at[r["i"]], at[r["j"]]] = s.g[at[r["j"]], at[r["i"]]] = r["g"]
+    out = {}
+    for m in moments:
+        key = m[fold] if fold else None
+        s = out[key] = Statistics(columns, np.zeros((size, size)), np.zeros(size), m["n"], m["q"], m["var_y"] or 0.0, m["slogw"], m["sw"])
+        mine = np.array([f == key for f in folds], bool) if fold else np.ones(len(g), bool)
+        inner, outer = mine & (i >= 0) & (j >= 0), mine & (i >= 0) & (j < 0)
+        s.g[i[inner], j[inner]] = s.g[j[inner], i[inner]] = g[inner]
+        s.b[i[outer]] = g[outer]  # y with itself: the sum of squares, which the moments hold
     return out
 
 
 def total(parts: list[Statistics]) -> Statistics:
     n = sum(p.n for p in parts)
     add = lambda f: sum(f(p) for p in parts)
-    return Statistics(parts[0].columns, add(lambda p: p.g), add(lambda p: p.b), n, add(lambda p: p.q), add(lambda p: p.var_y * p.n) / max(n, 1), add(lambda p: p.slogw))
+    return Statistics(parts[0].columns, add(lambda p: p.g), add(lambda p: p.b), n, add(lambda p: p.q), add(lambda p: p.var_y * p.n) / max(n, 1), add(lambda p: p.slogw), add(lambda p: p.sw))
 
 
 def ridge(s: Statistics, penalty: float, context_penalty: float = 1e-3) -> np.ndarray:
@@ -138,23 +144,31 @@ def expectation_maximisation(s: Statistics, blocks: dict[str, tuple[str, ...]],
     return Fit(s.columns, mu, chol, variances, sigma2, log)
 
 
+#: The largest inverse factor that is sent to every task (8 bytes a cell, squared).
+MAX_SENT = 6_000
+
+
 def group_predictive(fit: Fit, group_rows: DataFrame, group: str) -> DataFrame:
     """group, mean, sd, weight: the posterior of each group's mean design row plus noise / weight.
-    Each group's row is finished in its own task, against the factor of the model's size."""
+    Each group's row is finished in its own task, from the columns of the factor's inverse that it
+    uses; the inverse is worked out once and sent up to ``MAX_SENT`` columns."""
+    if len(fit.columns) > MAX_SENT:
+        raise ValueError(f"{len(fit.columns)} columns are more than {MAX_SENT}, the most whose factor is sent out")
     at = {c: k for k, c in enumerate(fit.columns)}
-    model = group_rows.sparkSession.sparkContext.broadcast((at, fit.coef, fit.covariance_factor, fit.sigma2))
+    inverse = np.ascontiguousarray(np.linalg.inv(fit.covariance_factor).T)  # row c: the inverse's column c
+    model = group_rows.sparkSession.sparkContext.broadcast((at, fit.coef, inverse, fit.sigma2))
     listed = group_rows.groupBy(group, "weight").agg(F.collect_list(F.struct("col", "val")).alias("cells"))
 
     def run(frames):
-        at, coef, chol, sigma2 = model.value
+        at, coef, inverse, sigma2 = model.value
         for pdf in frames:
-            g = np.zeros((len(pdf), len(coef)))
-            for i, cells in enumerate(pdf["cells"]):
-                for c in cells:
-                    if c["col"] in at:
-                        g[i, at[c["col"]]] = c["val"]
-            spread = (np.linalg.solve(chol, g.T) ** 2).sum(axis=0)
-            yield pdf[[group, "weight"]].assign(mean=g @ coef, sd=np.sqrt(spread + sigma2 / pdf["weight"].to_numpy()))
+            mean, spread = [], []
+            for cells in pdf["cells"]:
+                pairs = [(at[c["col"]], c["val"]) for c in cells if c["col"] in at]
+                k, x = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs])
+                mean.append(float(x @ coef[k]))
+                spread.append(float(((x @ inverse[k]) ** 2).sum()))
+            yield pdf[[group, "weight"]].assign(mean=mean, sd=np.sqrt(np.array(spread) + sigma2 / pdf["weight"].to_numpy()))
 
     kind = group_rows.schema[group].dataType.simpleString()
     return listed.mapInPandas(run, f"{group} {kind}, weight double, mean double, sd double")
@@ -184,15 +198,12 @@ def _with_extra(rows: DataFrame, cells: DataFrame) -> DataFrame:
     return rows.join(cells, "stint_id", "left").withColumn("cells", F.when(F.col("extra").isNull(), F.col("cells")).otherwise(F.concat("cells", "extra"))).drop("extra")
 
 
-def shrunk_lineup_means(stints: DataFrame) -> DataFrame:
-    """lineup, shrinkage, estimate: empirical-Bayes means of lineups around the overall mean."""
-    y, w = S.rating(F.col("points_scored"), F.col("offensive_possessions")), F.col("offensive_possessions").cast("double")
-    rows = stints.select(S.lineup_id("offense_player_ids").alias("lineup"), y.alias("y"), w.alias("w"))
-    mu = rows.agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("mu"))
-    e = F.col("y") - F.col("mu")
-    groups = rows.crossJoin(F.broadcast(mu)).groupBy("lineup").agg(F.first("mu").alias("mu"), F.sum("w").alias("w"), F.sum(F.col("w") * e).alias("we"), F.sum(F.col("w") * e * e).alias("wee"))  # mu: one row
-    groups = groups.select("lineup", "mu", "w", (F.col("we") / F.col("w")).alias("mean"), (F.col("wee") - F.col("we") * F.col("we") / F.col("w")).alias("ss"))
+def shrunk_lineup_shifts(residuals: DataFrame) -> DataFrame:
+    """(lineup, e, w), residuals of the context model, to lineup, shrinkage, shift: each lineup's mean
+    residual, shrunk towards zero by the share of its variance that lies between lineups."""
+    groups = residuals.groupBy("lineup").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("e")).alias("we"), F.sum(F.col("w") * F.col("e") * F.col("e")).alias("wee"))
+    groups = groups.select("lineup", "w", (F.col("we") / F.col("w")).alias("mean"), (F.col("wee") - F.col("we") * F.col("we") / F.col("w")).alias("ss"))
     sums = groups.agg((F.sum("ss") / F.sum("w")).alias("sigma2"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("mean") * F.col("mean")).alias("s2"), F.sum(F.col("w") * F.col("mean")).alias("s1"), F.sum(F.col("w") / F.greatest("w", F.lit(1.0))).alias("sn"))
     parts = sums.select("sigma2", F.greatest(F.lit(0.0), F.col("s2") / F.col("sw") - (F.col("s1") / F.col("sw")) * (F.col("s1") / F.col("sw")) - F.col("sigma2") * F.col("sn") / F.col("sw")).alias("tau2"))
-    b = F.col("tau2") / (F.col("tau2") + F.col("sigma2") / F.greatest("w", F.lit(1.0)))
-    return groups.crossJoin(F.broadcast(parts)).select("lineup", b.alias("shrinkage"), (F.col("mu") + F.col("mean") * b).alias("estimate"))  # parts: one row
+    b = F.when(F.col("tau2") > 0, F.col("tau2") / (F.col("tau2") + F.col("sigma2") / F.greatest("w", F.lit(1.0)))).otherwise(0.0)
+    return groups.crossJoin(F.broadcast(parts)).select("lineup", b.alias("shrinkage"), (F.col("mean") * b).alias("shift"))  # parts: one row

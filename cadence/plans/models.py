@@ -5,6 +5,8 @@ Every fit is one distributed pass (``linear.collect``) and a solve of the model'
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,17 +19,22 @@ MIN_STINTS, MIN_TRANSPORT = 50, 10
 PLAYERS = {"player": ("o", "d")}
 
 
-def design_rows(stints: DataFrame, train: DataFrame | None = None) -> DataFrame:
-    """Context and player cells; scaler and seasons come from ``train`` only."""
+def design_rows(stints: DataFrame, train: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Context and player cells, beside the columns ``keep``; scaler and seasons come from ``train``
+    only: one row of it, which is all that reaches the driver."""
     train = stints if train is None else train
-    seasons = [r[0] for r in train.select("season_index").distinct().orderBy("season_index").collect()]  # a few
-    return gram.design(stints, gram.context(stints, gram.scaler(train), seasons))
+    seen = gram.scaler(train, F.array_sort(F.collect_set("season_index")).alias("seasons")).first()  # a few seasons
+    scale = {k: F.lit(None if seen[k] is None else float(seen[k])).cast("double") for k in seen.asDict() if k != "seasons"}
+    return gram.design(stints, gram.context_columns(seen["seasons"], scale), keep)
+
+
+def _lineups(stints: DataFrame) -> DataFrame:
+    return stints.withColumn("lineup", S.lineup_id("offense_player_ids"))
 
 
 def fit_ridge(stints: DataFrame, folds: int = 3) -> linear.Fit:
     """Additive ridge, its strength chosen over game-blocked folds, from one pass."""
-    rows = design_rows(stints).join(ordered.folds(stints, "game_id", folds).select("stint_id", "fold"), "stint_id")
-    parts = linear.collect(rows, "fold")
+    parts = linear.collect(design_rows(ordered.folds(stints, "game_id", folds), stints, ("fold",)), "fold")
     penalty = linear.choose_penalty(parts)
     whole = linear.total(list(parts.values()))
     coef = linear.ridge(whole, penalty)
@@ -41,7 +48,7 @@ def fit_hierarchical(stints: DataFrame) -> linear.Fit:
 def fit_pairs(stints: DataFrame, minimum: int) -> linear.Fit:
     admitted = contract.pair_exposure(stints, minimum)
     rows = linear.with_pairs(design_rows(stints), stints, admitted)
-    return linear.expectation_maximisation(linear.collect(rows)[None], PLAYERS | {"pair": ("p",)})
+    return linear.expectation_maximisation(linear.collect(rows)[None], PLAYERS | {"pair": ("p",)}, rounds=30)
 
 
 def fit_role_pairs(stints: DataFrame, roles: DataFrame, k: int) -> linear.Fit:
@@ -53,119 +60,188 @@ def fit_role_pairs(stints: DataFrame, roles: DataFrame, k: int) -> linear.Fit:
 
 def fit_redundancy(stints: DataFrame, vectors: DataFrame, names: list[str]) -> linear.Fit:
     """vectors: (member, names...): concentration of each name, standardised, as dense columns."""
-    members = stints.select("stint_id", F.explode("offense_player_ids").alias("member")).join(vectors, "member", "left").na.fill(0.0, names)
-    conc = profiles.standardised(profiles.concentration(members, "stint_id", names), names).select("stint_id", *[F.col(f"z_{n}").alias(n) for n in names])
-    rows = linear.with_columns(design_rows(stints), conc, "x_")
+    rows = linear.with_columns(design_rows(stints), concentrations(stints, vectors, names, stints), "x_")
     return linear.expectation_maximisation(linear.collect(rows)[None], PLAYERS | {"redundancy": ("x_",)})
 
 
 def residual_rows(stints: DataFrame, folds: int = 4) -> DataFrame:
-    """stint_id, offense_player_ids, e, w: residuals under fits that left the stint's game out."""
-    sided = ordered.folds(stints, "game_id", folds)
-    rows = design_rows(stints).join(sided.select("stint_id", "fold"), "stint_id")
+    """stint_id, game_id, offense_player_ids, e, w: residuals under fits that left the stint's game out."""
+    rows = design_rows(ordered.folds(stints, "game_id", folds), stints, ("fold", "game_id", "offense_player_ids"))
     parts = linear.collect(rows, "fold")
-    coefs = []
+    columns, table = next(iter(parts.values())).columns if parts else [], {}
     for held in parts:
-        others = linear.total([p for k, p in parts.items() if k != held])
-        coefs += [(held, c, float(v)) for c, v in zip(others.columns, linear.ridge(others, 30.0))]
-    table = stints.sparkSession.createDataFrame(coefs, "fold int, col string, coef double")  # folds x columns
-    cells = rows.select("stint_id", "fold", F.explode("cells").alias("c")).select("stint_id", "fold", F.col("c.col").alias("col"), F.col("c.val").alias("val"))
-    predicted = cells.join(table, ["fold", "col"], "left").groupBy("stint_id").agg(F.sum(F.coalesce(F.col("val") * F.col("coef"), F.lit(0.0))).alias("predicted"))
-    return rows.select("stint_id", "y", "w").join(predicted, "stint_id").join(stints.select("stint_id", "offense_player_ids"), "stint_id").select("stint_id", "offense_player_ids", (F.col("y") - F.col("predicted")).alias("e"), "w")
+        table[held] = linear.ridge(linear.total([p for k, p in parts.items() if k != held]), 30.0)
+    held = sorted(table)
+    coefs = stints.sparkSession.createDataFrame([(c, *[float(table[k][i]) for k in held]) for i, c in enumerate(columns)], "col string, " + ", ".join(f"f{k} double" for k in held))  # folds x columns
+    predicted = F.coalesce(*[F.when(F.col("fold") == k, F.col(f"f{k}")) for k in held])
+    return gram.scored(rows, coefs).select("stint_id", "game_id", "offense_player_ids", (F.col("y") - predicted).alias("e"), "w")
 
 
-def low_rank(residuals: DataFrame, rank: int = 2, strength: float = 25.0, sweeps: int = 20, tolerance: float = 1e-7, weights: str = "w") -> tuple[list[int], np.ndarray, np.ndarray, float]:
+#: Up to so many pairs the statistics over (pair, pair) are gathered once; beyond, each half-step
+#: reads the rows.
+MAX_PAIRS = 4_000
+
+
+def low_rank(residuals: DataFrame, rank: int = 2, strength: float = 25.0, sweeps: int = 20, tolerance: float = 1e-7, weights: str = "w", max_pairs: int = MAX_PAIRS) -> tuple[list[int], np.ndarray, np.ndarray, float]:
     """Provision and need vectors by alternating ridge: an ordered pair (i, j) of a lineup adds
-    p_i . n_j. The target's statistics over (pair, pair) are gathered once; each half-step then
-    works on them alone, so twenty sweeps cost one pass over the stints."""
+    p_i . n_j. With few pairs the target's statistics over (pair, pair) are gathered once and each
+    half-step works on them alone; with many, a half-step is a pass over the rows, whose design has
+    ``rank`` columns a player, against the other side's vectors. Both give the same vectors."""
     both = residuals.withColumn("m", F.array_sort("offense_player_ids"))
+    pairs_of = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b > a), lambda b: F.concat_ws("-", a.cast("string"), b.cast("string")))))
     stats = both.agg((F.sum(F.col(weights) * F.col("e")) / F.sum(weights)).alias("mu"), F.sqrt(F.sum(F.col(weights) * F.col("e") * F.col("e")) / F.sum(weights)).alias("sd")).first()
     mu, sd = stats["mu"] or 0.0, stats["sd"] or 1.0
-    cells = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b > a), lambda b: F.struct(F.concat_ws("-", a.cast("string"), b.cast("string")).alias("col"), F.lit(1.0).alias("val")))))
-    rows = both.select("stint_id", ((F.col("e") - mu) / sd).alias("y"), F.col(weights).alias("w"), cells.alias("cells"))
-    s = linear.collect(rows)[None]
-    pairs = [tuple(map(int, c.split("-"))) for c in s.columns]
-    players = sorted({p for ab in pairs for p in ab})
+    scaled = both.select("stint_id", "m", ((F.col("e") - mu) / sd).alias("y"), F.col(weights).alias("w"), F.transform(pairs_of, lambda c: F.struct(c.alias("col"), F.lit(1.0).alias("val"))).alias("cells"))
+    players = [r[0] for r in both.select(F.explode("m").alias("p")).distinct().orderBy("p").collect()]  # the model's columns
+    n_pairs = scaled.select(F.explode("cells.col").alias("c")).distinct().count()
+    if len(players) * rank > linear.MAX_COLUMNS:
+        raise ValueError(f"{len(players)} players are too many for rank {rank}")
     at = {p: k for k, p in enumerate(players)}
-    a, b = np.array([at[x] for x, _ in pairs]), np.array([at[y] for _, y in pairs])
     rng = np.random.default_rng(0)
     p, q = rng.normal(0, 0.1, (2, len(players), rank))
+    half = _half_by_pairs(linear.collect(scaled.drop("m"))[None], at) if n_pairs <= max_pairs else _half_by_rows(scaled.drop("cells").persist(), players)
     for _ in range(sweeps):
         before = p @ q.T
         for _side in range(2):
-            # target of pair (a, b): p_a . q_b + p_b . q_a, linear in p for a given q
-            m = np.zeros((len(pairs), len(players) * rank))
-            for k in range(rank):
-                m[np.arange(len(pairs)), a * rank + k] += q[b, k]
-                m[np.arange(len(pairs)), b * rank + k] += q[a, k]
-            p = np.linalg.solve(m.T @ s.g @ m + strength * np.eye(m.shape[1]), m.T @ s.b).reshape(len(players), rank)
+            g, b = half(q)
+            p = np.linalg.solve(g + strength * np.eye(len(b)), b).reshape(len(players), rank)
             p, q = q, p
         if np.abs(p @ q.T - before).max() < tolerance:
             break
     return players, p, q, sd
 
 
-def interactions(players: list[int], p: np.ndarray, q: np.ndarray, scale: float, spark: SparkSession) -> DataFrame:
-    c = (p @ q.T + (p @ q.T).T) * scale
-    return spark.createDataFrame([(players[i], players[j], float(c[i, j])) for i in range(len(players)) for j in range(i + 1, len(players))], "a long, b long, effect double")
+def _half_by_pairs(s: linear.Statistics, at: dict[int, int]):
+    """The normal equations of one side's vectors from those of the pairs: the target of pair (a, b),
+    p_a . q_b + p_b . q_a, is linear in p for a given q."""
+    pairs = [tuple(at[int(x)] for x in c.split("-")) for c in s.columns]
+    a, b = np.array([x for x, _ in pairs]), np.array([y for _, y in pairs])
+
+    def equations(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rank = q.shape[1]
+        m = np.zeros((len(pairs), len(at) * rank))
+        for k in range(rank):
+            m[np.arange(len(pairs)), a * rank + k] += q[b, k]
+            m[np.arange(len(pairs)), b * rank + k] += q[a, k]
+        return m.T @ s.g @ m, m.T @ s.b
+
+    return equations
+
+
+def _half_by_rows(rows: DataFrame, players: list[int]):
+    """The same from one pass over the rows (stint_id, m, y, w): a player's columns in a row are the
+    sum of the others' vectors."""
+
+    def equations(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rank = q.shape[1]
+        vectors = rows.sparkSession.createDataFrame([(str(p), *map(float, v)) for p, v in zip(players, q)], "col string, " + ", ".join(f"q{k} double" for k in range(rank)))
+        five = F.transform("m", lambda x: F.struct(x.cast("string").alias("col"), F.lit(1.0).alias("val")))
+        totals = gram.scored(rows.withColumn("cells", five), vectors)
+        own = vectors.select("col", F.array(*[f"q{k}" for k in range(rank)]).alias("own"))
+        member = totals.select("stint_id", "y", "w", F.array(*[f"q{k}" for k in range(rank)]).alias("total"), F.explode("m").alias("p")).withColumn("col", F.col("p").cast("string"))
+        each = member.join(F.broadcast(own), "col").select("stint_id", "y", "w", F.transform(F.arrays_zip("total", "own"), lambda z, k: F.struct(F.concat_ws(":", F.col("col"), k.cast("string")).alias("col"), (z["total"] - z["own"]).alias("val"))).alias("c"))
+        cells = each.groupBy("stint_id", "y", "w").agg(F.flatten(F.collect_list("c")).alias("cells"))  # five members' columns
+        s = linear.collect(cells)[None]
+        place = {f"{p}:{k}": i * rank + k for i, p in enumerate(players) for k in range(rank)}
+        spot = np.array([place[c] for c in s.columns])
+        g, b = np.zeros((len(place), len(place))), np.zeros(len(place))
+        g[np.ix_(spot, spot)], b[spot] = s.g, s.b
+        return g, b
+
+    return equations
+
+
+def interactions(players: list[int], p: np.ndarray, q: np.ndarray, scale: float, spark: SparkSession, met: DataFrame | None = None) -> DataFrame:
+    """a, b, effect of all pairs, or of the pairs ``met`` (a, b) only. The vectors of the players, the
+    model's size, are joined with the pairs in Spark."""
+    vectors = spark.createDataFrame([(int(m), [float(x) for x in u], [float(x) for x in v]) for m, u, v in zip(players, p, q)], "m long, p array<double>, q array<double>")
+    if met is None:
+        ids = spark.createDataFrame([(int(m),) for m in players], "a long")
+        met = ids.withColumn("b", F.explode(F.array(*[F.lit(int(m)) for m in players]))).where("a < b")
+    dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    side = lambda n: F.broadcast(vectors.select(F.col("m").alias(n), F.col("p").alias(f"p_{n}"), F.col("q").alias(f"q_{n}")))
+    return met.join(side("a"), "a").join(side("b"), "b").select("a", "b", ((dot("p_a", "q_b") + dot("p_b", "q_a")) * float(scale)).alias("effect"))
+
+
+def pairs_met(stints: DataFrame) -> DataFrame:
+    return stints.select(F.explode(S.pairs_of("offense_player_ids")).alias("p")).select("p.a", "p.b").distinct()
+
+
+def reference_centred(effects: DataFrame, reference: DataFrame) -> DataFrame:
+    """``effects`` (lineup, effect) less their mean over the ``reference`` lineups (lineup, weight), by
+    weight, so that an effect says by how much a lineup differs from the usual."""
+    mean = reference.join(effects, "lineup").agg((F.sum(F.col("weight") * F.col("effect")) / F.sum("weight")).alias("centre"))
+    return effects.crossJoin(F.broadcast(mean)).select("lineup", (F.col("effect") - F.coalesce("centre", F.lit(0.0))).alias("effect"))  # mean: one row
+
+
+def lineup_effects(stints: DataFrame, effects: DataFrame) -> DataFrame:
+    """lineup, effect: the sum of its pairs' effects; pairs without one add nothing."""
+    fives = _lineups(stints).select("lineup", F.array_sort("offense_player_ids").alias("five")).distinct()
+    pairs = fives.select("lineup", F.explode(S.pairs_of("five")).alias("x")).select("lineup", "x.a", "x.b").join(effects.select("a", "b", "effect"), ["a", "b"], "left")
+    return pairs.groupBy("lineup").agg(F.sum(F.coalesce("effect", F.lit(0.0))).alias("effect"))
 
 
 def choose_strength(stints: DataFrame, grid: tuple[float, ...] = (8.0, 25.0, 70.0, 200.0)) -> float:
-    """The grid value with the greatest gain over groups; the largest if none gains."""
+    """The grid value with the greatest gain over groups of the other half; the largest if none gains."""
     rows = residual_rows(stints).persist()
+    half = F.xxhash64("stint_id") % 2 == 0
+    test = _lineups(rows.where(~half))
     best, gain = grid[-1], 0.0
-    for value in grid:
-        players, p, q, sd = low_rank(rows.where("xxhash64(stint_id) % 2 = 0"), strength=value)
-        effects = interactions(players, p, q, sd, stints.sparkSession)
-        test = rows.where("xxhash64(stint_id) % 2 <> 0").withColumn("lineup", S.lineup_id("offense_player_ids"))
-        pairs = test.select("stint_id", F.explode(S.pairs_of("offense_player_ids")).alias("x")).select("stint_id", "x.a", "x.b").join(effects, ["a", "b"], "left").groupBy("stint_id").agg(F.sum(F.coalesce("effect", F.lit(0.0))).alias("model"))
-        found = metrics.group_rmse_gain(test.join(pairs, "stint_id").withColumn("base", F.lit(0.0)), "lineup", "e", "base", "model", "w").first()["gain"]
-        if (found or 0.0) > gain:
-            best, gain = value, found
-    rows.unpersist()
+    try:
+        for value in grid:
+            effects = interactions(*low_rank(rows.where(half), strength=value), stints.sparkSession, pairs_met(rows.where(half)))
+            model = lineup_effects(test, effects).withColumnRenamed("effect", "model")
+            found = metrics.group_rmse_gain(test.join(model, "lineup").withColumn("base", F.lit(0.0)), "lineup", "e", "base", "model", "w").first()["gain"]
+            if (found or 0.0) > gain:
+                best, gain = value, found
+    finally:
+        rows.unpersist()
     return best
 
 
 def bootstrap_interactions(stints: DataFrame, members: int = 8, seed: int = 0) -> DataFrame:
-    """a, b, effect, low, high, p_positive: effects under game-resampled weights, centred on the
-    point fit. A game's weight in a replicate is its Poisson count from a hash, so replicates are
-    columns of one table."""
-    rows = residual_rows(stints).join(stints.select("stint_id", "game_id"), "stint_id").persist()
+    """a, b, effect, low, high, p_positive of the pairs that met: effects under game-resampled weights,
+    centred on the point fit. A game's weight in a replicate is its Poisson count from a hash."""
+    rows = residual_rows(stints).persist()
     spark = stints.sparkSession
-    point = interactions(*low_rank(rows), spark)
+    met = pairs_met(stints)
+    try:
+        players, p, q, sd = low_rank(rows)
+        fits = [(players, p, q, sd)]
+        for r in range(members):
+            u = S.draw(1_000_000, F.lit(seed), F.lit(r), F.col("game_id")) / 1_000_000
+            times = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).otherwise(4)
+            fits.append(low_rank(rows.withColumn("w", F.col("w") * times).where("w > 0")))
+    finally:
+        rows.unpersist()
+    point = interactions(*fits[0], spark, met)
     parts = None
-    for r in range(members):
-        u = S.draw(1_000_000, F.lit(seed), F.lit(r), F.col("game_id")) / 1_000_000
-        times = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).otherwise(4)
-        weighted = rows.withColumn("w", F.col("w") * times).where("w > 0")
-        one = interactions(*low_rank(weighted), spark).withColumn("member", F.lit(r))
+    for r, fit in enumerate(fits[1:]):
+        one = interactions(*fit, spark, met).withColumn("member", F.lit(r))
         parts = one if parts is None else parts.union(one)
     spread = parts.groupBy("a", "b").agg(F.avg("effect").alias("m"), F.array_sort(F.collect_list("effect")).alias("v"))  # members
     shifted = point.join(spread, ["a", "b"])
     at = lambda p: F.get("v", F.least(F.floor(p * F.size("v")).cast("int"), F.size("v") - 1)) - F.col("m") + F.col("effect")
     above = F.size(F.filter("v", lambda x: x - F.col("m") + F.col("effect") > 0)) / F.size("v")
-    out = shifted.select("a", "b", "effect", at(0.1).alias("low"), at(0.9).alias("high"), above.alias("p_positive"))
-    return out
+    return shifted.select("a", "b", "effect", at(0.1).alias("low"), at(0.9).alias("high"), above.alias("p_positive"))
 
 
 def lift(stints: DataFrame, side: str = "offense", grid: tuple[float, ...] = (0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0), permute: int | None = None) -> DataFrame:
-    """member, lift: how much better teammates do beside a player, given additive effects.
+    """member, lift: how much better teammates do beside a player, given additive effects. Defense
+    enters the additive fit with a minus sign, and so do its teammates' effects here.
 
     Stage one is the ridge fit; stage two regresses its residuals on the sum of the four teammates'
     effects for each player present, with a ridge prior whose variance maximises the marginal
     likelihood over the grid. Both stages use statistics of one pass each.
     """
     base = fit_ridge(stints)
-    tag, members = ("o", "offense_player_ids") if side == "offense" else ("d", "defense_player_ids")
+    tag, members, sign = ("o", "offense_player_ids", 1.0) if side == "offense" else ("d", "defense_player_ids", -1.0)
     alpha = base.table(stints.sparkSession).where(F.col("col").startswith(tag)).select(F.expr("cast(substring(col, 2) as bigint)").alias("member"), F.col("coef").alias("alpha"))
     if permute is not None:
         alpha = profiles.permuted(alpha, "member", "alpha", permute)
-    rows = design_rows(stints)
-    residual = rows.join(gram.predict(rows, base.table(stints.sparkSession)), "stint_id").select("stint_id", (F.col("y") - F.col("predicted")).alias("y"), "w")
-    present = stints.select("stint_id", F.explode(members).alias("member")).join(alpha, "member", "left").na.fill(0.0, ["alpha"])
-    sums = present.groupBy("stint_id").agg(F.sum("alpha").alias("total"), F.collect_list(F.struct("member", "alpha")).alias("five"))
-    cells = F.transform("five", lambda m: F.struct(F.concat(F.lit("l"), m["member"].cast("string")).alias("col"), (F.col("total") - m["alpha"]).alias("val")))
-    s = linear.collect(residual.join(sums, "stint_id").select("stint_id", "y", "w", cells.alias("cells")))[None]
+    scored = gram.scored(design_rows(stints, keep=(members,)), base.table(stints.sparkSession))
+    residual = scored.select("stint_id", (F.col("y") - F.col("predicted")).alias("y"), "w", F.explode(members).alias("member"))
+    s = linear.collect(lift_rows(residual, alpha, sign))[None]
     sigma2, best, top = base.sigma2, None, -np.inf
     for tau2 in grid:
         chol = np.linalg.cholesky(s.g / sigma2 + np.eye(len(s.b)) / tau2)
@@ -176,6 +252,15 @@ def lift(stints: DataFrame, side: str = "offense", grid: tuple[float, ...] = (0.
     return stints.sparkSession.createDataFrame([(int(c[1:]), float(v)) for c, v in zip(s.columns, best)], "member long, lift double")
 
 
+def lift_rows(residual: DataFrame, alpha: DataFrame, sign: float = 1.0) -> DataFrame:
+    """Residuals by member present (stint_id, member, y, w) and effects (member, alpha) to design rows
+    with a cell for each member: ``sign`` times the sum of the others' effects."""
+    present = residual.join(F.broadcast(alpha), "member", "left").na.fill(0.0, ["alpha"])  # a row for each player of the model
+    sums = present.groupBy("stint_id", "y", "w").agg(F.sum("alpha").alias("total"), F.collect_list(F.struct("member", "alpha")).alias("five"))  # five
+    cells = F.transform("five", lambda m: F.struct(F.concat(F.lit("l"), m["member"].cast("string")).alias("col"), (sign * (F.col("total") - m["alpha"])).alias("val")))
+    return sums.select("stint_id", "y", "w", cells.alias("cells"))
+
+
 def receiver_design(production: DataFrame, credit: float = 0.5) -> DataFrame:
     """Rows (stint_id, receiver, y, w, cells) of (stint_id, game_date, member, fg, ft, assisted, w):
     the receiver's production against the four beside; rows without teammates go."""
@@ -234,51 +319,110 @@ def kmeans(vectors: DataFrame, key: str, names: list[str], k: int, seed: int = 0
     return points.select(key, nearest(centres)["i"].alias("cluster"))
 
 
+RUNGS = ("0_context", "1_lineup", "2_ridge", "3_hierarchical", "4_interactions")
+
+
+def rungs(train: DataFrame, test: DataFrame, interacting: bool = False) -> DataFrame:
+    """stint_id, lineup, game_id, y, w and each rung's prediction of the test stints: context mean, plus
+    shrunk lineup residuals, additive ridge, hierarchical fit, and (``interacting``) that with low-rank
+    pair effects of its residuals."""
+    spark = train.sparkSession
+    keep = ("lineup", "game_id", "offense_player_ids")
+    train, test = _lineups(train), _lineups(test)
+    fit_rows, rows = design_rows(train, keep=keep), design_rows(test, train, keep)
+    s = linear.collect(fit_rows)[None]
+    mask = s.block(("c_",))
+    zero = np.zeros(len(mask))
+    zero[mask] = np.linalg.solve(s.g[np.ix_(mask, mask)] + 1e-3 * np.eye(mask.sum()), s.b[mask])
+    fits = {"0_context": zero, "2_ridge": linear.ridge(s, 30.0), "3_hierarchical": linear.expectation_maximisation(s, PLAYERS).coef}
+    coefs = spark.createDataFrame([(c, *[float(v[i]) for v in fits.values()]) for i, c in enumerate(s.columns)], "col string, " + ", ".join(f"`{n}` double" for n in fits))
+    residuals = gram.scored(fit_rows, coefs.select("col", F.col("0_context").alias("coef"))).select("lineup", (F.col("y") - F.col("predicted")).alias("e"), "w")
+    shifts = linear.shrunk_lineup_shifts(residuals).select("lineup", "shift")
+    scored = gram.scored(rows, coefs).join(shifts, "lineup", "left").withColumn("1_lineup", F.col("0_context") + F.coalesce("shift", F.lit(0.0)))
+    if interacting:
+        effects = interactions(*low_rank(residual_rows(train)), spark, pairs_met(train))
+        scored = scored.join(lineup_effects(test, effects), "lineup", "left").withColumn("4_interactions", F.col("3_hierarchical") + F.coalesce("effect", F.lit(0.0)))
+    return scored.select("stint_id", "lineup", "game_id", "y", "w", *RUNGS[: 4 + interacting])
+
+
+def lineup_shifts(stints: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
+    """lineup, shrinkage, shift: rung 1's shrunk residuals of the context model, perhaps with some of its
+    columns only."""
+    rows = design_rows(_lineups(stints), keep=("lineup",))
+    wanted = (lambda c: c["col"].isin(*[f"c_{n}" for n in names])) if names else (lambda c: c["col"].startswith("c_"))
+    rows = rows.withColumn("cells", F.filter("cells", wanted))
+    s = linear.collect(rows)[None]
+    coefs = stints.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(s.columns, linear.ridge(s, 0.0))], "col string, coef double")
+    return linear.shrunk_lineup_shifts(gram.scored(rows, coefs).select("lineup", (F.col("y") - F.col("predicted")).alias("e"), "w"))
+
+
+def rung_errors(scored: DataFrame, group: str, names: tuple[str, ...]) -> DataFrame:
+    """rung, micro_rmse, macro_rmse, rows, groups: all rungs from one pass over rows and one over groups."""
+    long = scored.select(group, "y", "w", F.explode(F.array(*[F.struct(F.lit(n).alias("rung"), F.col(n).alias("p")) for n in names])).alias("x")).select(group, "y", "w", "x.rung", "x.p")
+    e = F.col("y") - F.col("p")
+    groups = long.groupBy("rung", group).agg(F.sum("w").alias("w"), F.sum(F.col("w") * e * e).alias("see"), (F.sum(F.col("w") * e) / F.sum("w")).alias("gap"), F.count(F.lit(1)).alias("n"))
+    return groups.groupBy("rung").agg(F.sqrt(F.sum("see") / F.sum("w")).alias("micro_rmse"), metrics.rmse(F.col("gap")).alias("macro_rmse"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("groups"))
+
+
 def compare_rungs(stints: DataFrame, split: DataFrame) -> DataFrame:
-    """rung, macro_rmse, micro_rmse: context mean, shrunk lineup mean, ridge and hierarchical fits of
-    the train side, scored by lineup on the test side."""
+    """rung, micro_rmse, macro_rmse, rows, groups: rungs 0 to 3 of the train side, scored by lineup on
+    the test side."""
     if stints.count() < MIN_STINTS:
         raise ValueError(f"at least {MIN_STINTS} stints are needed")
-    spark = stints.sparkSession
     sided = stints.join(split.where("side <> 'drop'"), "stint_id")
-    train, test = sided.where("side = 'train'").drop("side"), sided.where("side = 'test'").drop("side")
-    rows = design_rows(test, train).persist()
-    s = linear.collect(design_rows(train))[None]
-    context = np.where(s.block(("c_",)), 1.0, 0.0)
-    mask = context > 0
-    zero = np.zeros(len(context))
-    zero[mask] = np.linalg.solve(s.g[np.ix_(mask, mask)] + 1e-3 * np.eye(mask.sum()), s.b[mask])
-    fits = {"0_context": zero, "2_ridge": linear.ridge(s, 30.0), "3_hierarchical": linear.expectation_maximisation(s, PLAYERS).coef}
-    test = test.withColumn("lineup", S.lineup_id("offense_player_ids")).select("stint_id", "lineup")
-    scored = rows.select("stint_id", "y", "w").join(test, "stint_id")
-    table = [(c, *[float(v[i]) for v in fits.values()]) for i, c in enumerate(s.columns)]
-    coefs = spark.createDataFrame(table, "col string, " + ", ".join(f"`{n}` double" for n in fits))
-    scored = scored.join(gram.predict(rows, coefs), "stint_id")
-    means = linear.shrunk_lineup_means(train).select("lineup", "estimate")
-    scored = scored.join(means, "lineup", "left").withColumn("1_lineup", F.coalesce("estimate", F.col("0_context"))).persist()
+    train, test = sided.where("side = 'train'").drop("side").persist(), sided.where("side = 'test'").drop("side")
+    try:
+        return rung_errors(rungs(train, test), "lineup", RUNGS[:4])
+    finally:
+        train.unpersist()
+
+
+def ladder(stints: DataFrame, holdouts: dict[str, DataFrame], replicates: int = 200, seed: int = 0) -> DataFrame:
+    """holdout, rung, micro_rmse, macro_rmse, groups, and how far the rung's macro error lies under the
+    additive ridge's over resampled groups (low, high, share_positive), for rungs 0 to 4 on each split."""
+    if stints.count() < MIN_STINTS:
+        raise ValueError(f"at least {MIN_STINTS} stints are needed")
     out = None
-    for name in sorted([*fits, "1_lineup"]):
-        one = metrics.micro_macro(scored, "lineup", "y", name, "w").select(F.lit(name).alias("rung"), "micro_rmse", "macro_rmse", "rows", "groups")
+    for name, split in holdouts.items():
+        sided = stints.join(split.where("side <> 'drop'"), "stint_id")
+        train, test = sided.where("side = 'train'").drop("side").persist(), sided.where("side = 'test'").drop("side")
+        scored = rungs(train, test, interacting=True)
+        errors = rung_errors(scored, "lineup", RUNGS)
+        groups = scored.groupBy("lineup").agg(*[metrics.weighted_mean(c, "w").alias(c) for c in ("y", *RUNGS)])
+        square = lambda c: (F.col("y") - F.col(c)) * (F.col("y") - F.col(c))
+        drawn = metrics.bootstrap(groups, "lineup", replicates, seed, **{f"s{i}": square(r) for i, r in enumerate(RUNGS)})
+        root = lambda i: F.sqrt(F.col(f"s{i}") / F.col("draws"))
+        deltas = None
+        for i, rung in enumerate(RUNGS):
+            one = metrics.interval(drawn.withColumn("delta", root(2) - root(i)), "delta").withColumn("rung", F.lit(rung))
+            deltas = one if deltas is None else deltas.union(one)
+        one = errors.join(deltas, "rung").select(F.lit(name).alias("holdout"), "rung", "micro_rmse", "macro_rmse", "groups", "low", "high", "share_positive")
         out = one if out is None else out.union(one)
     return out
 
 
 def transport(train: DataFrame, test: DataFrame) -> DataFrame:
-    """novelty, lineups, macro_rmse of the hierarchical fit of one table on another's lineups."""
+    """kind, level, lineups, macro_rmse of the hierarchical fit of one table on another's lineups: by
+    novelty, by whether train covers all the lineup's pairs, and by context (rows in place of lineups)."""
     if test.count() < MIN_TRANSPORT:
         raise ValueError(f"at least {MIN_TRANSPORT} test stints are needed")
     fit = fit_hierarchical(train)
-    rows = design_rows(test, train)
-    lineups = test.select("stint_id", S.lineup_id("offense_player_ids").alias("lineup"))
-    scored = rows.select("stint_id", "y", "w").join(gram.predict(rows, fit.table(train.sparkSession)), "stint_id").join(lineups, "stint_id")
-    groups = metrics.grouped(scored, "lineup", "y", "predicted", "w").join(splits.novelty(train, test).select("lineup", "novelty"), "lineup")
-    return groups.groupBy("novelty").agg(F.count(F.lit(1)).alias("lineups"), metrics.rmse(F.col("actual") - F.col("predicted")).alias("macro_rmse"))
+    test = _lineups(test)
+    scored = gram.scored(design_rows(test, train, ("lineup", "score_margin_offense", "period")), fit.table(train.sparkSession)).persist()
+    groups = metrics.grouped(scored, "lineup", "y", "predicted", "w").persist()
+    error = metrics.rmse(F.col("actual") - F.col("predicted")).alias("macro_rmse")
+    novel = groups.join(splits.novelty(train, test).select("lineup", "novelty"), "lineup").groupBy(F.col("novelty").alias("level")).agg(F.count(F.lit(1)).alias("lineups"), error)
+    fives = test.select("lineup", F.array_sort("offense_player_ids").alias("five")).distinct()
+    covered = metrics.pair_coverage(groups, fives, contract.pair_exposure(train, MIN_TRANSPORT), "actual", "predicted").select(F.when(F.col("covered"), "covered").otherwise("uncovered").alias("level"), "lineups", F.col("rmse").alias("macro_rmse"))
+    context = metrics.by_context(scored, "y", "predicted", "w").select(F.col("context").alias("level"), F.col("rows").alias("lineups"), F.col("rmse").alias("macro_rmse"))
+    parts = [d.select(F.lit(k).alias("kind"), "level", "lineups", "macro_rmse") for k, d in (("novelty", novel), ("pairs", covered), ("context", context))]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 def calibrated_groups(train: DataFrame, test: DataFrame) -> DataFrame:
     """One row: the calibration report of the hierarchical fit's group predictions."""
     fit = fit_hierarchical(train)
-    rows = design_rows(test, train).join(test.select("stint_id", S.lineup_id("offense_player_ids").alias("lineup")), "stint_id")
+    rows = design_rows(_lineups(test), train, ("lineup",))
     predicted = linear.group_predictive(fit, gram.group_rows(rows, "lineup"), "lineup")
     actual = rows.groupBy("lineup").agg(metrics.weighted_mean("y", "w").alias("actual"))
     return metrics.calibration(predicted.join(actual, "lineup"), "mean", "sd", "actual")
@@ -292,19 +436,20 @@ def backtest(stints: DataFrame, threshold: int = 50, min_rows: int = 50) -> Data
     if len(seasons) < 2:
         raise ValueError("at least two seasons are needed")
     out = None
+    stints = stints.persist()
     for season in seasons[1:]:
         train, after = stints.where(F.col("season_index") < season), stints.where(F.col("season_index") == season)
         if train.count() < min_rows:
             continue
         fit = fit_hierarchical(train)
-        rows = design_rows(after, train)
-        scored = rows.select("stint_id", "y", "w").join(gram.predict(rows, fit.table(stints.sparkSession)), "stint_id")
+        scored = gram.scored(design_rows(after, train), fit.table(stints.sparkSession))
         members = after.select("stint_id", F.col("offense_team_id").cast("string").alias("to_team"), F.explode("offense_player_ids").alias("player_id"))
         for cohort, changed in (("real", True), ("phantom", False)):
             moved = profiles.moves(exposure, threshold, changed).where(F.col("season_index") == season - 1).select("player_id", "to_team")
             delta = members.join(moved, ["player_id", "to_team"]).join(scored, "stint_id").groupBy("player_id").agg((metrics.weighted_mean("y", "w") - metrics.weighted_mean("predicted", "w")).alias("delta"))
             one = delta.select(F.lit(cohort).alias("cohort"), F.lit(season).alias("season_index"), "player_id", "delta")
             out = one if out is None else out.union(one)
+    stints.unpersist()
     if out is None:
         raise ValueError("no season has enough rows before it")
     return out
@@ -346,33 +491,37 @@ def predict_lineups(fit: linear.Fit, lineups: DataFrame) -> DataFrame:
     return out.select("lineup", "mean", "sd", *[(F.col("mean") + s * z * F.col("sd")).alias(f"{n}_{k}") for k, z in (("80", z80), ("95", z95)) for n, s in (("low", -1), ("high", 1))], "known_members")
 
 
-def ridge_band(stints: DataFrame, replicates: int = 20, seed: int = 3) -> DataFrame:
-    """col, coef, sd: the ridge coefficients' spread over game-resampled fits. Statistics are
-    gathered once for each of some game blocks; a replicate is a reweighting of blocks."""
-    blocks = 50
-    rows = design_rows(stints).join(stints.select("stint_id", (F.abs(F.xxhash64("game_id")) % blocks).alias("block")), "stint_id")
-    parts = list(linear.collect(rows, "block").values())
-    rng = np.random.default_rng(seed)
-    whole = linear.total(parts)
-    fits = []
-    for _ in range(replicates):
-        times = np.bincount(rng.integers(0, len(parts), len(parts)), minlength=len(parts))
-        g, b = (sum(t * getattr(p, k) for t, p in zip(times, parts)) for k in ("g", "b"))
-        fits.append(linear.ridge(linear.Statistics(whole.columns, g, b, whole.n, whole.q, whole.var_y, whole.slogw), 30.0))
-    sd = np.std(fits, axis=0, ddof=1)
-    coef = linear.ridge(whole, 30.0)
-    return stints.sparkSession.createDataFrame([(c, float(v), float(s)) for c, v, s in zip(whole.columns, coef, sd)], "col string, coef double, sd double")
-
-
-def compare_interactions(train: DataFrame, test: DataFrame, roles: DataFrame, k: int, minimum: int) -> DataFrame:
-    """model, macro_rmse, gain: pair and role-pair terms, and their placebos (roles dealt out anew,
-    pairs admitted at random), against the hierarchical fit, by lineup on the test side."""
+def ridge_band(train: DataFrame, test: DataFrame, replicates: int = 20, seed: int = 3, penalty: float = 30.0) -> DataFrame:
+    """lineup, weight, point, sd: the additive ridge's group predictions, with the spread of fits over
+    resampled games and the noise of a group's own weight: sqrt(variance + sigma^2 / weight). A game's
+    rows weigh as often as it was drawn, so all replicates' statistics come from one pass."""
     spark = train.sparkSession
-    base_rows, test_rows = design_rows(train), design_rows(test, train).persist()
+    rows = design_rows(train, keep=("game_id",))
+    base = linear.collect(rows)[None]
+    coef = linear.ridge(base, penalty)
+    drawn = metrics.draws(train.select("game_id").distinct(), "game_id", replicates, seed).select("game_id", "replicate", "times")
+    parts = linear.collect(rows.join(drawn, "game_id").withColumn("w", F.col("w") * F.col("times")).drop("times", "game_id"), "replicate")
+    at = {c: i for i, c in enumerate(base.columns)}
+    fits = np.zeros((len(parts), len(coef)))
+    for k, s in enumerate(parts.values()):
+        fits[k, [at[c] for c in s.columns]] = linear.ridge(s, penalty)
+    table = spark.createDataFrame([(c, float(coef[i]), *map(float, fits[:, i])) for c, i in at.items()], "col string, point double, " + ", ".join(f"r{k} double" for k in range(len(parts))))
+    scored = gram.scored(design_rows(_lineups(test), train, ("lineup",)), table)
+    groups = scored.groupBy("lineup").agg(F.sum("w").alias("weight"), metrics.weighted_mean("point", "w").alias("point"), *[metrics.weighted_mean(f"r{k}", "w").alias(f"r{k}") for k in range(len(parts))])
+    sigma2 = base.residual(coef) / float(base.sw)
+    spread = groups.select("lineup", "weight", "point", F.explode(F.array(*[f"r{k}" for k in range(len(parts))])).alias("r")).groupBy("lineup", "weight", "point").agg(F.var_samp("r").alias("v"))
+    return spread.select("lineup", "weight", "point", F.sqrt(F.coalesce("v", F.lit(0.0)) + F.lit(sigma2) / F.col("weight")).alias("sd"))
+
+
+def compare_interactions(train: DataFrame, test: DataFrame, roles: DataFrame, k: int, minimum: int, vectors: DataFrame | None = None) -> DataFrame:
+    """model, macro_rmse, micro_rmse: pair, role-pair and (with ``vectors``: member, features)
+    redundancy terms, and their placebos (roles and vectors dealt out anew, pairs admitted at random),
+    against the hierarchical fit, by lineup on the test side."""
+    spark = train.sparkSession
+    test = _lineups(test)
+    base_rows, test_rows = design_rows(train).persist(), design_rows(test, train, ("lineup",)).persist()
     admitted = contract.pair_exposure(train, minimum).select("a", "b")
-    every = train.select(F.explode(S.pairs_of("offense_player_ids")).alias("p")).select("p.a", "p.b").distinct()
-    n = admitted.count()
-    random_pairs = every.orderBy(F.md5(S.pair_id("a", "b"))).limit(n)
+    random_pairs = pairs_met(train).orderBy(F.md5(S.pair_id("a", "b"))).limit(admitted.count())
     roled = lambda s, r: profiles.role_pairs(s.select(F.col("stint_id").alias("row"), F.explode("offense_player_ids").alias("member")).join(r, "member", "left"), k)
     shuffled = profiles.permuted(roles, "member", "role", 17)
     variants = {
@@ -382,22 +531,121 @@ def compare_interactions(train: DataFrame, test: DataFrame, roles: DataFrame, k:
         "roles": (linear.with_role_pairs(base_rows, roled(train, roles)), linear.with_role_pairs(test_rows, roled(test, roles))),
         "roles_placebo": (linear.with_role_pairs(base_rows, roled(train, shuffled)), linear.with_role_pairs(test_rows, roled(test, shuffled))),
     }
-    lineups = test.select("stint_id", S.lineup_id("offense_player_ids").alias("lineup"))
+    if vectors is not None:
+        names = [c for c in vectors.columns if c != "member"]
+        packed = vectors.select("member", F.struct(*names).alias("v"))
+        dealt = profiles.permuted(packed, "member", "v", 19).select("member", *[F.col(f"v.{n}").alias(n) for n in names])
+        for name, given in (("redundancy", vectors), ("redundancy_placebo", dealt)):
+            conc = lambda s, given=given: concentrations(s, given, names, train)
+            variants[name] = (linear.with_columns(base_rows, conc(train), "x_"), linear.with_columns(test_rows, conc(test), "x_"))
     out = None
     for name, (fit_rows, score_rows) in variants.items():
-        fit = linear.expectation_maximisation(linear.collect(fit_rows)[None], PLAYERS | {"extra": ("p", "r")})
-        scored = test_rows.select("stint_id", "y", "w").join(gram.predict(score_rows, fit.table(spark)), "stint_id").join(lineups, "stint_id")
-        one = metrics.micro_macro(scored, "lineup", "y", "predicted", "w").select(F.lit(name).alias("model"), "macro_rmse", "micro_rmse")
+        fit = linear.expectation_maximisation(linear.collect(fit_rows)[None], PLAYERS | {"extra": ("p", "r", "x_")}, rounds=30)
+        one = rung_errors(gram.scored(score_rows, fit.table(spark).withColumnRenamed("coef", name)), "lineup", (name,))
         out = one if out is None else out.union(one)
-    return out
+    return out.select(F.col("rung").alias("model"), "macro_rmse", "micro_rmse")
+
+
+def concentrations(stints: DataFrame, vectors: DataFrame, names: list[str], train: DataFrame) -> DataFrame:
+    """stint_id and, for each feature, the concentration among its five, scaled as in ``train``."""
+    of = lambda s: profiles.concentration(s.select("stint_id", F.explode("offense_player_ids").alias("member")).join(vectors, "member", "left").na.fill(0.0, names), "stint_id", names)
+    scale = of(train).agg(*[f(n).alias(f"{k}_{n}") for n in names for k, f in (("m", F.avg), ("s", F.stddev_pop))])
+    z = lambda n: (F.col(n) - F.col(f"m_{n}")) / F.coalesce(F.nullif(F.col(f"s_{n}"), F.lit(0.0)), F.lit(1.0))
+    return of(stints).crossJoin(F.broadcast(scale)).select("stint_id", *[z(n).alias(n) for n in names])  # scale: one row
+
+
+def evaluate_lift(train: DataFrame, test: DataFrame, side: str = "offense", permute: int = 23) -> DataFrame:
+    """model, macro_rmse, micro_rmse: the additive ridge, with players' lift of their teammates added, and
+    with the lift of effects dealt out anew, by lineup on the test side."""
+    base = fit_ridge(train)
+    spark = train.sparkSession
+    tag, members, sign = ("o", "offense_player_ids", 1.0) if side == "offense" else ("d", "defense_player_ids", -1.0)
+    alpha = base.table(spark).where(F.col("col").startswith(tag)).select(F.expr("cast(substring(col, 2) as bigint)").alias("member"), F.col("coef").alias("alpha"))
+    scored = gram.scored(design_rows(_lineups(test), train, ("lineup", members)), base.table(spark)).withColumnRenamed("predicted", "base")
+    present = scored.select("stint_id", F.explode(members).alias("member")).withColumns({"y": F.lit(0.0), "w": F.lit(0.0)})
+    for name, dealt in (("lift", None), ("lift_placebo", permute)):
+        found = lift(train, side, permute=dealt)
+        used = alpha if dealt is None else profiles.permuted(alpha, "member", "alpha", dealt)
+        coefs = found.select(F.concat(F.lit("l"), F.col("member").cast("string")).alias("col"), F.col("lift").alias("extra"))
+        extra = gram.scored(lift_rows(present, used, sign), coefs).select("stint_id", "extra")
+        scored = scored.join(extra, "stint_id", "left").withColumn(name, F.col("base") + F.coalesce("extra", F.lit(0.0))).drop("extra")
+    names = ("base", "lift", "lift_placebo")
+    return rung_errors(scored, "lineup", names).select(F.col("rung").alias("model"), "macro_rmse", "micro_rmse")
 
 
 def mechanistic(train: DataFrame, test: DataFrame, counts: DataFrame, outcome: str, minimum: int = 1) -> DataFrame:
-    """One row: errors of an outcome's additive fit (its own denominators as weights) by lineup."""
+    """One row: errors of an outcome's additive fit (its own denominators as weights) by lineup, of the
+    training mean, and its gain over that. ``test`` may be another table, for transport."""
     valued = profiles.outcome(counts, outcome, minimum).select("stint_id", F.col("value").alias("y"), F.col("weight").alias("w"))
-    rows = lambda s: design_rows(s, train).drop("y", "w").join(valued, "stint_id")
+    rows = lambda s: design_rows(_lineups(s), train, ("lineup",)).drop("y", "w").join(valued, "stint_id")
     stats = linear.collect(rows(train))[None]
-    table = train.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(stats.columns, linear.ridge(stats, 30.0))], "col string, coef double")
-    score = rows(test)
-    scored = score.select("stint_id", "y", "w").join(gram.predict(score, table), "stint_id").join(test.select("stint_id", S.lineup_id("offense_player_ids").alias("lineup")), "stint_id")
-    return metrics.micro_macro(scored, "lineup", "y", "predicted", "w")
+    table = train.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(stats.columns, linear.ridge(stats, 30.0))], "col string, model double")
+    intercept = stats.columns.index("c_intercept")
+    mean = float(stats.b[intercept] / stats.g[intercept, intercept]) if stats.g[intercept, intercept] else 0.0
+    scored = gram.scored(rows(test), table).withColumn("base", F.lit(mean))
+    gain = metrics.group_rmse_gain(scored, "lineup", "y", "base", "model", "w").select("base_rmse", "model_rmse", "gain")
+    return metrics.micro_macro(scored, "lineup", "y", "model", "w").crossJoin(gain)  # one row each
+
+
+def mechanistic_outcomes(train: DataFrame, test: DataFrame, counts: DataFrame, minimum: int = 1) -> DataFrame:
+    """``mechanistic`` for every outcome whose columns ``counts`` has, a row each."""
+    out = None
+    for name, (top, bottom) in profiles.OUTCOMES.items():
+        if top in counts.columns and bottom in counts.columns:
+            one = mechanistic(train, test, counts, name, minimum).withColumn("outcome", F.lit(name))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def confirm(parts: list[DataFrame], strengths: tuple[float, ...] = (8.0, 25.0, 70.0)) -> DataFrame:
+    """first, second, strength, groups, correlation: whether pair effects fitted on one part of the data
+    come back on another, over the pairs that both have."""
+    fits = [residual_rows(p).persist() for p in parts]
+    met = [pairs_met(p) for p in parts]
+    out = None
+    for value in strengths:
+        effects = [interactions(*low_rank(f, strength=value), f.sparkSession, m).select(S.pair_id("a", "b").alias("pair"), "effect") for f, m in zip(fits, met)]
+        for i in range(len(effects)):
+            for j in range(i + 1, len(effects)):
+                one = metrics.mediation(effects[i], effects[j], "pair", "effect").select(F.lit(i).alias("first"), F.lit(j).alias("second"), F.lit(value).alias("strength"), "groups", "correlation")
+                out = one if out is None else out.union(one)
+    for f in fits:
+        f.unpersist()
+    return out
+
+
+def compare_lineups(fit: linear.Fit, first: list[int], second: list[int], spark: SparkSession, weight: float = 100.0) -> DataFrame:
+    """One row: two offenses' predictions, their difference, its sd (shared terms cancel) and the
+    chance that the first is better."""
+    if len(set(first)) != 5 or len(set(second)) != 5:
+        raise ValueError("a lineup has five different members")
+    at = {c: k for k, c in enumerate(fit.columns)}
+    x = np.zeros((2, len(at)))
+    for row, five in enumerate((first, second)):
+        for c in ("c_intercept", *(f"o{p}" for p in five)):
+            if c in at:
+                x[row, at[c]] = 1.0
+    gap = x[0] - x[1]
+    spread = float((np.linalg.solve(fit.covariance_factor, gap) ** 2).sum()) + 2 * fit.sigma2 / weight
+    mean, sd = float(gap @ fit.coef), float(np.sqrt(spread))
+    better = 0.5 * (1 + math.erf(mean / (sd * math.sqrt(2)))) if sd else float(mean > 0)
+    return spark.createDataFrame([(float(x[0] @ fit.coef), float(x[1] @ fit.coef), mean, sd, better)], "first double, second double, difference double, sd double, p_first double")
+
+
+def matchup(fit: linear.Fit, offense: list[int], defense: list[int], spark: SparkSession, weight: float = 100.0) -> DataFrame:
+    """One row: an offense's prediction against a defense, with its talent and context parts."""
+    if len(set(offense)) != 5 or len(set(defense)) != 5 or set(offense) & set(defense):
+        raise ValueError("two disjoint lineups of five different members are needed")
+    at = {c: k for k, c in enumerate(fit.columns)}
+    x = np.zeros(len(at))
+    for c, v in [("c_intercept", 1.0), *((f"o{p}", 1.0) for p in offense), *((f"d{p}", -1.0) for p in defense)]:
+        if c in at:
+            x[at[c]] = v
+    part = lambda tag: float(sum(x[k] * fit.coef[k] for c, k in at.items() if c.startswith(tag)))
+    spread = float((np.linalg.solve(fit.covariance_factor, x) ** 2).sum()) + fit.sigma2 / weight
+    return spark.createDataFrame([(part("c_"), part("o"), part("d"), float(x @ fit.coef), math.sqrt(spread))], "context double, offense double, defense double, mean double, sd double")
+
+
+def strongest(coefficients: DataFrame, n: int, prefix: str = "", value: str = "coef") -> DataFrame:
+    """The n columns of greatest size that start with ``prefix``, ties by name."""
+    return coefficients.where(F.col("col").startswith(prefix)).orderBy(F.desc(F.abs(F.col(value))), "col").limit(n)

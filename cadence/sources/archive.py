@@ -63,13 +63,15 @@ def result_rows(spark: SparkSession, paths: list[str] | str, columns: list[str])
 
 def provider_csv(spark: SparkSession, folders: list[str], provider: str) -> DataFrame:
     """All of a provider's CSV files in the folders, with the file and the row's place in reading
-    order (files by path), as strings; blanks are null."""
+    order (files by path), as strings; blanks are null. Spark packs files into tasks by size, so a
+    place is the file, the block within it and the row's number within the task."""
     paths = [f"{f.rstrip('/')}/{PROVIDERS[provider]}" for f in folders]
     try:
         df = spark.read.option("header", True).option("nullValue", "").csv(paths)
     except Exception as e:
         raise ArchiveError(f"no {provider} files in {folders}") from e
-    return df.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"), "*")
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return df.select(F.col("_metadata.file_path").alias("file"), place.alias("place"), "*")
 
 
 def typed(df: DataFrame, integers: list[str], nullable: list[str]) -> DataFrame:

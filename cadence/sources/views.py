@@ -11,42 +11,54 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
-#: How many player ids the views draw lineups from, on each side.
-PLAYERS = 12
+#: Teams, and the players of each; and how far apart the slots of a lineup lie.
+TEAMS, ROSTER, STEPS = 30, 10, (1, 3, 7, 9)
+#: Player ids are under this number on offense, and from 1000 on defense.
+PLAYERS = TEAMS * ROSTER
+#: Players in these slots and above belong to another team each season.
+MOVERS = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _five(start, step, lines, player):
+    """Five different slots of a roster: ``step`` apart from ``start`` on, the last one further in
+    orders of six lines and more; each as the id that ``player`` gives it, in order."""
+    apart = F.element_at(F.array(*map(F.lit, STEPS)), (step % len(STEPS) + 1).cast("int"))
+    slots = F.transform(F.array(*map(F.lit, range(5))), lambda i: (start + (i + F.when((i == 4) & (lines >= 6), 1).otherwise(0)) * apart) % ROSTER)
+    return F.array_sort(F.transform(slots, player))
+
+
 def stints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One stint for each order with five different members on both sides."""
+    """One stint for each order with lines. Its customer gives the offense's team and the order the
+    defense's; its highest part and supplier say which five of a team's ten players play."""
     lines = table(spark, sf_dir, "lineitem")
-    sides = (
-        lines.groupBy("l_orderkey")
-        .agg(
-            F.array_sort(F.collect_set(F.col("l_suppkey") % PLAYERS)).alias("o"),
-            F.array_sort(F.collect_set(F.col("l_partkey") % PLAYERS)).alias("d"),
-            F.sum("l_quantity").cast("int").alias("offensive_possessions"),
-            F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 1000).cast("int").alias("points_scored"),
-        )
-        .where("size(o) >= 5 and size(d) >= 5")
+    sides = lines.groupBy("l_orderkey").agg(
+        F.max("l_suppkey").alias("a"),
+        F.max("l_partkey").alias("b"),
+        F.count(F.lit(1)).alias("lines"),
+        F.sum("l_quantity").cast("int").alias("offensive_possessions"),
+        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 1000).cast("int").alias("points_scored"),
     )
     orders = table(spark, sf_dir, "orders")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    season = F.year("o_orderdate") - 1992
     period, remaining, margin = (cust % 5 + 1).cast("int"), (key % 720).cast("double"), (key % 61 - 30).cast("int")
+    moved = lambda slot: ((cust + F.when(slot >= MOVERS, season).otherwise(0)) % TEAMS) * ROSTER + slot
     return orders.join(sides, key == F.col("l_orderkey")).select(
         key.cast("string").alias("stint_id"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("game_id"),
         F.to_date("o_orderdate").alias("game_date"),
         F.year("o_orderdate").cast("string").alias("season"),
-        (F.year("o_orderdate") - 1992).cast("int").alias("season_index"),
+        season.cast("int").alias("season_index"),
         period.alias("period"),
         remaining.alias("start_time_seconds"),
-        (cust % 30).alias("offense_team_id"),
-        (100 + cust % 30).alias("defense_team_id"),
-        F.slice("o", 1, 5).alias("offense_player_ids"),
-        F.transform(F.slice("d", 1, 5), lambda x: x + 1000).alias("defense_player_ids"),
+        (cust % TEAMS).alias("offense_team_id"),
+        (100 + key % TEAMS).alias("defense_team_id"),
+        _five(F.col("a"), F.col("b"), F.col("lines"), moved).alias("offense_player_ids"),
+        _five(F.col("b"), F.col("a"), F.col("lines"), lambda slot: 1000 + key % TEAMS * ROSTER + slot).alias("defense_player_ids"),
         "offensive_possessions",
         "points_scored",
         (key % 2 == 0).alias("home_offense"),
@@ -107,23 +119,31 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.col("user_id").alias("player_id"), "events", "views", "clicks", "purchases", rate("clicks", "views").alias("click_rate"), rate("purchases", "clicks").alias("buy_rate"), rate("spent", "purchases").alias("basket"))
 
 
-STINT_SQL = """
+_SLOTS_SQL = "list_transform(range(0, 5), lambda i: ({start} + (i + CASE WHEN i = 4 AND lines >= 6 THEN 1 ELSE 0 END) * [1, 3, 7, 9][{step} % 4 + 1]) % 10)"
+
+STINT_SQL = f"""
 sides AS (
-  SELECT l_orderkey, list_sort(list_distinct(list(l_suppkey % 12))) AS o, list_sort(list_distinct(list(l_partkey % 12))) AS d,
+  SELECT l_orderkey, max(l_suppkey) AS a, max(l_partkey) AS b, count(*) AS lines,
     CAST(sum(l_quantity) AS INTEGER) AS offensive_possessions,
     CAST(round(sum(l_extendedprice * (1 - l_discount)) / 1000) AS INTEGER) AS points_scored
   FROM lineitem GROUP BY l_orderkey
+), seated AS (
+  SELECT *, year(o_orderdate) - 1992 AS season_no, {_SLOTS_SQL.format(start="a", step="b")} AS oslots, {_SLOTS_SQL.format(start="b", step="a")} AS dslots
+  FROM orders JOIN sides ON o_orderkey = l_orderkey
+), fives AS (
+  SELECT *, list_sort(list_transform(oslots, lambda j: ((o_custkey + CASE WHEN j >= 8 THEN season_no ELSE 0 END) % 30) * 10 + j)) AS o,
+    list_sort(list_transform(dslots, lambda j: 1000 + o_orderkey % 30 * 10 + j)) AS d FROM seated
 ), stint AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS stint_id, strftime(o_orderdate, '%Y-%m-%d') AS game_id, CAST(o_orderdate AS DATE) AS game_date,
-    CAST(year(o_orderdate) AS VARCHAR) AS season, CAST(year(o_orderdate) - 1992 AS INTEGER) AS season_index,
+    CAST(year(o_orderdate) AS VARCHAR) AS season, CAST(season_no AS INTEGER) AS season_index,
     CAST(o_custkey % 5 + 1 AS INTEGER) AS period, CAST(o_orderkey % 720 AS DOUBLE) AS start_time_seconds,
-    o_custkey % 30 AS offense_team_id, 100 + o_custkey % 30 AS defense_team_id,
-    o[1:5] AS offense_player_ids, list_transform(d[1:5], lambda x: x + 1000) AS defense_player_ids,
+    o_custkey % 30 AS offense_team_id, 100 + o_orderkey % 30 AS defense_team_id,
+    o AS offense_player_ids, d AS defense_player_ids,
     offensive_possessions, points_scored, o_orderkey % 2 = 0 AS home_offense, CAST(o_orderkey % 61 - 30 AS INTEGER) AS score_margin_offense,
     o_orderpriority = '1-URGENT' AS playoff, CAST(o_custkey % 4 AS INTEGER) AS days_rest_offense,
     CASE WHEN o_custkey % 5 + 1 >= 4 AND o_orderkey % 720 < 300 AND abs(o_orderkey % 61 - 30) > 25 THEN 0.2::DOUBLE ELSE 1.0::DOUBLE END AS garbage_time_weight,
-    array_to_string(o[1:5], '-') AS lineup
-  FROM orders JOIN sides ON o_orderkey = l_orderkey WHERE len(o) >= 5 AND len(d) >= 5
+    array_to_string(o, '-') AS lineup
+  FROM fives
 )"""
 
 POSSESSION_SQL = """
