@@ -33,7 +33,7 @@ def _round(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 STINT = f"WITH {STINT_SQL}"
 PAIRS = """, pair AS (
-  SELECT stint_id, a, b, offensive_possessions FROM (SELECT stint_id, offensive_possessions, offense_player_ids AS m, unnest(offense_player_ids) AS a FROM stint) x, (SELECT unnest(range(0, 300)) AS b) y WHERE b > a AND list_contains(m, b)
+  SELECT stint_id, a, b, offensive_possessions FROM (SELECT stint_id, offensive_possessions, offense_player_ids AS m, unnest(offense_player_ids) AS a FROM stint) x, (SELECT unnest(range(0, 120)) AS b) y WHERE b > a AND list_contains(m, b)
 )"""
 
 # -- contract and exposure ------------------------------------------------------------------------
@@ -400,8 +400,8 @@ def unseen_pair_split(spark, sf):
 
 @query(f"""{_CHRONO_SQL}, tr AS (SELECT * FROM stint JOIN split USING (stint_id) WHERE side = 'train'), te AS (SELECT * FROM stint JOIN split USING (stint_id) WHERE side = 'test'),
   l AS (SELECT lineup, any_value(offense_player_ids) AS m, count(*) AS stints, sum(offensive_possessions) AS possessions FROM te GROUP BY lineup),
-  trp AS (SELECT DISTINCT x.a, b FROM (SELECT offense_player_ids AS m, unnest(offense_player_ids) AS a FROM tr) x, (SELECT unnest(range(0, 300)) AS b) y WHERE b > a AND list_contains(m, b)),
-  lp AS (SELECT lineup, a, b FROM (SELECT lineup, m, unnest(m) AS a FROM l) x, (SELECT unnest(range(0, 300)) AS b) y WHERE b > a AND list_contains(m, b)),
+  trp AS (SELECT DISTINCT x.a, b FROM (SELECT offense_player_ids AS m, unnest(offense_player_ids) AS a FROM tr) x, (SELECT unnest(range(0, 120)) AS b) y WHERE b > a AND list_contains(m, b)),
+  lp AS (SELECT lineup, a, b FROM (SELECT lineup, m, unnest(m) AS a FROM l) x, (SELECT unnest(range(0, 120)) AS b) y WHERE b > a AND list_contains(m, b)),
   am AS (SELECT lineup, bool_and(trp.a IS NOT NULL) AS ok FROM lp LEFT JOIN trp ON trp.a = lp.a AND trp.b = lp.b GROUP BY lineup)
   SELECT lineup, CASE WHEN lineup IN (SELECT lineup FROM tr) THEN 'seen' WHEN ok THEN 'partially_seen' ELSE 'unseen' END AS novelty, stints, possessions FROM l LEFT JOIN am USING (lineup)""")
 def novelty_classes(spark, sf):
@@ -743,9 +743,7 @@ def player_lift(spark, sf):
 def receiver_model(spark, sf):
     from . import models
 
-    lines = V.table(spark, sf, "lineitem").join(V.table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("game_date")), F.col("l_orderkey") == F.col("o_orderkey"))
-    produced = lines.groupBy(F.col("l_orderkey").alias("stint_id"), "game_date", (F.col("l_suppkey") % V.PLAYERS).alias("member")).agg(F.sum("l_quantity").alias("fg"), F.sum("l_tax").alias("ft"), F.sum("l_discount").alias("assisted"), F.count(F.lit(1)).cast("double").alias("w"))
-    return models.evaluate_receivers(produced)
+    return models.evaluate_receivers(_produced(spark, sf))
 
 
 @query()
@@ -783,7 +781,7 @@ def transaction_backtest(spark, sf):
 
     s = V.stints(spark, sf)
     teams = s.select(F.explode("offense_player_ids").alias("p"), "season_index", "offense_team_id", "offensive_possessions").groupBy("p", "season_index", "offense_team_id").agg(F.sum("offensive_possessions").alias("n"))
-    threshold = int(teams.agg(F.percentile_approx("n", 0.97)).first()[0])
+    threshold = int(teams.agg(F.percentile_approx("n", 0.1)).first()[0])
     return models.backtest(s, threshold=threshold)
 
 
@@ -832,9 +830,9 @@ def holdout_groups(spark, sf):
 
 
 _SIDES_SQL = f"""{_CHRONO_SQL}, tr AS (SELECT * FROM stint JOIN split USING (stint_id) WHERE side = 'train'), te AS (SELECT * FROM stint JOIN split USING (stint_id) WHERE side = 'test'),
-trp AS (SELECT a, b, count(*) AS n FROM (SELECT offense_player_ids AS m, unnest(offense_player_ids) AS a FROM tr) x, (SELECT unnest(range(0, 300)) AS b) y WHERE b > a AND list_contains(m, b) GROUP BY ALL),
-tep AS (SELECT DISTINCT a, b FROM (SELECT offense_player_ids AS m, unnest(offense_player_ids) AS a FROM te) x, (SELECT unnest(range(0, 300)) AS b) y WHERE b > a AND list_contains(m, b)),
-l AS (SELECT lineup, any_value(offense_player_ids) AS m FROM te GROUP BY lineup), lp AS (SELECT lineup, a, b FROM (SELECT lineup, m, unnest(m) AS a FROM l) x, (SELECT unnest(range(0, 300)) AS b) y WHERE b > a AND list_contains(m, b)),
+trp AS (SELECT a, b, count(*) AS n FROM (SELECT offense_player_ids AS m, unnest(offense_player_ids) AS a FROM tr) x, (SELECT unnest(range(0, 120)) AS b) y WHERE b > a AND list_contains(m, b) GROUP BY ALL),
+tep AS (SELECT DISTINCT a, b FROM (SELECT offense_player_ids AS m, unnest(offense_player_ids) AS a FROM te) x, (SELECT unnest(range(0, 120)) AS b) y WHERE b > a AND list_contains(m, b)),
+l AS (SELECT lineup, any_value(offense_player_ids) AS m FROM te GROUP BY lineup), lp AS (SELECT lineup, a, b FROM (SELECT lineup, m, unnest(m) AS a FROM l) x, (SELECT unnest(range(0, 120)) AS b) y WHERE b > a AND list_contains(m, b)),
 nov AS (SELECT lineup, CASE WHEN lineup IN (SELECT lineup FROM tr) THEN 'seen' WHEN bool_and(trp.a IS NOT NULL) THEN 'partially_seen' ELSE 'unseen' END AS novelty, bool_and(coalesce(n, 0) >= 10) AS covered FROM lp LEFT JOIN trp ON trp.a = lp.a AND trp.b = lp.b GROUP BY lineup)"""
 
 
@@ -862,7 +860,7 @@ def pair_coverage_breakdown(spark, sf):
     return _round(metrics.pair_coverage(_groups(spark, sf), fives, contract.pair_exposure(train, 10), "actual", "point"), "rmse")
 
 
-@query(f"""{_SCORED_SQL} SELECT a, b, count(*) AS stints, round(sum(w * y) / sum(w), 6) AS actual, round(sum(w * model) / sum(w), 6) AS predicted FROM (SELECT y, model, w, offense_player_ids AS m, unnest(offense_player_ids) AS a FROM scored) x, (SELECT unnest(range(0, 300)) AS b) z WHERE b > a AND list_contains(m, b) GROUP BY a, b HAVING count(*) >= 5""")
+@query(f"""{_SCORED_SQL} SELECT a, b, count(*) AS stints, round(sum(w * y) / sum(w), 6) AS actual, round(sum(w * model) / sum(w), 6) AS predicted FROM (SELECT y, model, w, offense_player_ids AS m, unnest(offense_player_ids) AS a FROM scored) x, (SELECT unnest(range(0, 120)) AS b) z WHERE b > a AND list_contains(m, b) GROUP BY a, b HAVING count(*) >= 5""")
 def pair_level_errors(spark, sf):
     return _round(metrics.pair_errors(_scored(spark, sf), "y", "model", "w"), "actual", "predicted")
 
@@ -914,3 +912,143 @@ def quarantine_feed(spark, sf):
 def gram_context_cross(spark, sf):
     g = gram.gram(_context_rows(spark, sf)).where("i like 'c\\\\_%' and j not like 'c\\\\_%'")
     return _round(g, "g", digits=3)
+
+
+# -- designs and further pieces of the models -------------------------------------------------------
+
+
+@query(f"""{STINT} SELECT stint_id, offensive_possessions FROM stint WHERE stint_id IN (SELECT CAST(l_orderkey AS VARCHAR) FROM lineitem WHERE l_returnflag = 'R')""")
+def subset_rows(spark, sf):
+    ids = V.table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").cast("string").alias("stint_id"))
+    return contract.subset(V.stints(spark, sf), ids).select("stint_id", "offensive_possessions")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_linenumber - l_suppkey % 4 AS BIGINT) AS settled, l_linenumber - l_suppkey % 4 < 0 OR l_linenumber - l_suppkey % 4 > 6 AS ambiguous FROM lineitem")
+def settled_scores(spark, sf):
+    settled = S.settled_points(F.col("l_linenumber"), F.col("l_suppkey") % 4)
+    return V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", settled.cast("long").alias("settled"), S.ambiguous(settled).alias("ambiguous"))
+
+
+@query(f"{STINT}, r AS (SELECT season, 100.0::DOUBLE * points_scored / offensive_possessions AS y, offensive_possessions::DOUBLE AS w FROM stint) SELECT season, count(*) AS n, sum(w) AS sw, round(sum(ln(w)), 4) AS slogw, round(sum(w * y * y), 1) AS q, round(var_pop(y), 4) AS var_y FROM r GROUP BY season")
+def row_moments(spark, sf):
+    m = gram.moments(gram.design(V.stints(spark, sf), keep=("season",)), ["season"])
+    return _round(_round(m, "slogw", "var_y", digits=4), "q", digits=1)
+
+
+def _produced(spark, sf):
+    lines = V.table(spark, sf, "lineitem").join(V.table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("game_date")), F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.groupBy(F.col("l_orderkey").alias("stint_id"), "game_date", (F.col("l_suppkey") % V.PLAYERS).alias("member")).agg(F.sum("l_quantity").alias("fg"), F.sum("l_tax").alias("ft"), F.sum("l_discount").alias("assisted"), F.count(F.lit(1)).cast("double").alias("w"))
+
+
+_RECEIVER_SQL = """WITH p AS (SELECT l_orderkey AS stint_id, l_suppkey % 120 AS member, sum(l_quantity) + sum(l_tax) + 0.5::DOUBLE * sum(l_discount) AS y, CAST(count(*) AS DOUBLE) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+m AS (SELECT *, count(*) OVER (PARTITION BY stint_id) AS n FROM p), r AS (SELECT * FROM m WHERE n > 1),
+cell AS (SELECT stint_id, member, w, y, 'c_intercept' AS col FROM r UNION ALL SELECT stint_id, member, w, y, 'u' || member FROM r UNION ALL SELECT a.stint_id, a.member, a.w, a.y, 't' || b.member FROM r a JOIN r b ON a.stint_id = b.stint_id AND a.member <> b.member)"""
+
+
+@query(f"{_RECEIVER_SQL} SELECT a.col AS i, b.col AS j, round(sum(a.w), 4) AS g FROM cell a JOIN cell b ON a.stint_id = b.stint_id AND a.member = b.member AND a.col <= b.col GROUP BY ALL")
+def receiver_gram(spark, sf):
+    from . import models
+
+    return _round(gram.gram(models.receiver_design(_produced(spark, sf))), "g", digits=4)
+
+
+@query(f"{_RECEIVER_SQL} SELECT col AS i, round(sum(w * y), 3) AS b FROM cell GROUP BY col")
+def receiver_rhs(spark, sf):
+    from . import models
+
+    return _round(gram.rhs(models.receiver_design(_produced(spark, sf))), "b", digits=3)
+
+
+_LIFT_SQL = f"""{STINT}, m AS (SELECT stint_id, offensive_possessions::DOUBLE AS w, unnest(defense_player_ids) AS p FROM stint), v AS (SELECT stint_id, w, p, (p % 7 - 3)::DOUBLE AS alpha FROM m),
+t AS (SELECT *, -1.0::DOUBLE * (sum(alpha) OVER (PARTITION BY stint_id) - alpha) AS val FROM v)"""
+
+
+@query(f"{_LIFT_SQL} SELECT 'l' || a.p AS i, 'l' || b.p AS j, round(sum(a.w * a.val * b.val), 3) AS g FROM t a JOIN t b ON a.stint_id = b.stint_id AND 'l' || a.p <= 'l' || b.p WHERE a.val <> 0 AND b.val <> 0 GROUP BY ALL")
+def lift_gram(spark, sf):
+    from . import models
+
+    s = V.stints(spark, sf)
+    alpha = s.select(F.explode("defense_player_ids").alias("member")).distinct().withColumn("alpha", (F.col("member") % 7 - 3).cast("double"))
+    present = s.select("stint_id", F.lit(0.0).alias("y"), F.col("offensive_possessions").cast("double").alias("w"), F.explode("defense_player_ids").alias("member"))
+    return _round(gram.gram(models.lift_rows(present, alpha, -1.0)), "g", digits=3)
+
+
+@query(f"{STINT}{_CELL_SQL}, b AS (SELECT col, round(sum(w * y * val), 3) AS coef FROM cell GROUP BY col) SELECT col, coef FROM b ORDER BY abs(coef) DESC, col LIMIT 10")
+def strongest_columns(spark, sf):
+    from . import models
+
+    totals = gram.rhs(gram.design(V.stints(spark, sf))).select(F.col("i").alias("col"), F.round("b", 3).alias("coef"))
+    return models.strongest(totals, 10)
+
+
+_OUTCOME_COLUMNS = {"points": "sum(l_linenumber)", "rim": "count(*) FILTER (l_returnflag = 'R')", "threes": "count(*) FILTER (l_returnflag = 'A')", "turnovers": "count(*) FILTER (l_linestatus = 'O')", "assisted": "count(*) FILTER (l_tax > 0.04)", "attempts": "count(*)", "made": "count(*) FILTER (l_discount > 0.02)", "possessions": "sum(l_quantity)"}
+
+
+def _outcome_counts(spark, sf):
+    n = lambda c: F.sum(c.cast("long"))
+    return V.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.sum("l_linenumber").alias("points"), n(F.col("l_returnflag") == "R").alias("rim"), n(F.col("l_returnflag") == "A").alias("threes"), n(F.col("l_linestatus") == "O").alias("turnovers"), n(F.col("l_tax") > 0.04).alias("assisted"), F.count(F.lit(1)).alias("attempts"), n(F.col("l_discount") > 0.02).alias("made"), F.sum("l_quantity").alias("possessions"),
+    )
+
+
+@query(f"""WITH g AS (SELECT l_orderkey, {", ".join(f"{v} AS {k}" for k, v in _OUTCOME_COLUMNS.items())} FROM lineitem GROUP BY l_orderkey)
+  {" UNION ALL ".join(f"SELECT '{name}' AS outcome, l_orderkey, CAST({bottom} AS DOUBLE) AS weight, round(coalesce(CAST({top} AS DOUBLE) / nullif(CAST({bottom} AS DOUBLE), 0), 0), 6) AS value FROM g WHERE {bottom} >= 1" for name, (top, bottom) in profiles.OUTCOMES.items())}""")
+def outcome_values(spark, sf):
+    counts, out = _outcome_counts(spark, sf), None
+    for name in profiles.OUTCOMES:
+        one = profiles.outcome(counts, name).select(F.lit(name).alias("outcome"), "l_orderkey", "weight", "value")
+        out = one if out is None else out.union(one)
+    return _round(out, "value")
+
+
+@query(f"""{STINT}{PAIRS}, l AS (SELECT lineup, a, b, CAST((a * 7 + b) % 11 - 5 AS DOUBLE) AS effect FROM (SELECT DISTINCT lineup, a, b FROM pair JOIN stint USING (stint_id))), s AS (SELECT lineup, sum(effect) AS effect FROM l GROUP BY lineup),
+  r AS (SELECT lineup, sum(offensive_possessions)::DOUBLE AS weight FROM stint GROUP BY lineup), c AS (SELECT sum(weight * effect) / sum(weight) AS centre FROM s JOIN r USING (lineup)) SELECT lineup, round(effect - centre, 6) AS effect FROM s, c""")
+def centred_lineup_effects(spark, sf):
+    from . import models
+
+    s = V.stints(spark, sf)
+    effects = models.lineup_effects(s, models.pairs_met(s).withColumn("effect", ((F.col("a") * 7 + F.col("b")) % 11 - 5).cast("double")))
+    reference = s.groupBy(S.lineup_id("offense_player_ids").alias("lineup")).agg(F.sum("offensive_possessions").cast("double").alias("weight"))
+    return _round(models.reference_centred(effects, reference), "effect")
+
+
+@query()
+def ladder(spark, sf):
+    from . import models
+
+    s = V.stints(spark, sf)
+    pairs = spark.createDataFrame(splits.unseen_pairs(s, n_pairs=4, budget=0.5, cap_share=1.0), "a long, b long")
+    holdouts = {"chronological": splits.chronological(s), "unseen_lineup": splits.hold_out_lineups(s, splits.unseen_lineups(s, 20)), "unseen_pair": splits.hold_out_pairs(s, pairs)}
+    return models.ladder(s, holdouts)
+
+
+@query()
+def lift_evaluation(spark, sf):
+    from . import models
+
+    return models.evaluate_lift(*_halves(spark, sf))
+
+
+@query()
+def confirmation_sweep(spark, sf):
+    from . import models
+
+    s = V.stints(spark, sf)
+    return models.confirm([s.where("season_index % 2 = 0"), s.where("season_index % 2 = 1")])
+
+
+@query()
+def mechanistic_transport(spark, sf):
+    from . import models
+
+    counts = _outcome_counts(spark, sf).withColumn("stint_id", F.col("l_orderkey").cast("string"))
+    return models.mechanistic_outcomes(*_halves(spark, sf), counts)
+
+
+@query()
+def lineup_duel(spark, sf):
+    from . import models
+
+    s = V.stints(spark, sf)
+    first, second = (list(r["offense_player_ids"]) for r in s.groupBy("offense_player_ids").agg(F.sum("offensive_possessions").alias("n")).orderBy(F.desc("n"), "offense_player_ids").limit(2).collect())
+    return models.compare_lineups(models.fit_hierarchical(s), first, second, spark)

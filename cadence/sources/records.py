@@ -111,3 +111,16 @@ def csv_fingerprints(spark: SparkSession, paths: list[str]) -> DataFrame:
     lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
     first = lines.where("start = 0").groupBy("file").agg(F.first("value").alias("header"))
     return lines.groupBy("file").agg((F.count(F.lit(1)) - 1).alias("rows")).join(first, "file").select("file", F.sha2("header", 256).alias("header_sha256"), "rows")
+
+
+def checked_stints(spark: SparkSession, path: str, manifest: dict) -> DataFrame:
+    """The stints of one file, if it is the one that the manifest lists: the same sha256 (of its bytes,
+    taken in Spark), number of rows and possessions; else ValueError with all that differs."""
+    digest = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()
+    stints = read_stints(spark, path)
+    found = stints.agg(F.count(F.lit(1)).alias("stints_written"), F.coalesce(F.sum("offensive_possessions"), F.lit(0)).alias("accepted_possessions")).first().asDict()
+    found["stints_sha256"] = digest[0] if digest else None
+    wrong = [f"{k}: {manifest[k]} listed, {v} found" for k, v in sorted(found.items()) if k in manifest and manifest[k] != v]
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return stints

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 #: Teams, and the players of each; and how far apart the slots of a lineup lie.
-TEAMS, ROSTER, STEPS = 30, 10, (1, 3, 7, 9)
+TEAMS, ROSTER, STEPS = 12, 10, (1, 3, 7, 9)
 #: Player ids are under this number on offense, and from 1000 on defense.
 PLAYERS = TEAMS * ROSTER
 #: Players in these slots and above belong to another team each season.
-MOVERS = 8
+MOVERS = 9
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,13 +131,13 @@ sides AS (
   SELECT *, year(o_orderdate) - 1992 AS season_no, {_SLOTS_SQL.format(start="a", step="b")} AS oslots, {_SLOTS_SQL.format(start="b", step="a")} AS dslots
   FROM orders JOIN sides ON o_orderkey = l_orderkey
 ), fives AS (
-  SELECT *, list_sort(list_transform(oslots, lambda j: ((o_custkey + CASE WHEN j >= 8 THEN season_no ELSE 0 END) % 30) * 10 + j)) AS o,
-    list_sort(list_transform(dslots, lambda j: 1000 + o_orderkey % 30 * 10 + j)) AS d FROM seated
+  SELECT *, list_sort(list_transform(oslots, lambda j: ((o_custkey + CASE WHEN j >= 9 THEN season_no ELSE 0 END) % 12) * 10 + j)) AS o,
+    list_sort(list_transform(dslots, lambda j: 1000 + o_orderkey % 12 * 10 + j)) AS d FROM seated
 ), stint AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS stint_id, strftime(o_orderdate, '%Y-%m-%d') AS game_id, CAST(o_orderdate AS DATE) AS game_date,
     CAST(year(o_orderdate) AS VARCHAR) AS season, CAST(season_no AS INTEGER) AS season_index,
     CAST(o_custkey % 5 + 1 AS INTEGER) AS period, CAST(o_orderkey % 720 AS DOUBLE) AS start_time_seconds,
-    o_custkey % 30 AS offense_team_id, 100 + o_orderkey % 30 AS defense_team_id,
+    o_custkey % 12 AS offense_team_id, 100 + o_orderkey % 12 AS defense_team_id,
     o AS offense_player_ids, d AS defense_player_ids,
     offensive_possessions, points_scored, o_orderkey % 2 = 0 AS home_offense, CAST(o_orderkey % 61 - 30 AS INTEGER) AS score_margin_offense,
     o_orderpriority = '1-URGENT' AS playoff, CAST(o_custkey % 4 AS INTEGER) AS days_rest_offense,

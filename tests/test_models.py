@@ -74,3 +74,68 @@ def test_too_few_rows_are_refused(league):
     stints = league[0].limit(20)
     with pytest.raises(ValueError):
         models.compare_rungs(stints, splits.chronological(stints))
+
+
+def test_low_rank_by_rows_is_that_by_pairs(league):
+    rows = models.residual_rows(league[0].limit(300)).cache()
+    a, b = (models.low_rank(rows, sweeps=3, max_pairs=n) for n in (10_000, 1))
+    assert a[0] == b[0] and np.allclose(a[1], b[1], atol=1e-8) and np.allclose(a[2], b[2], atol=1e-8)
+
+
+def test_lift_changes_sign_with_the_side(spark):
+    present = spark.createDataFrame([("s", m, 1.0, 2.0) for m in (1, 2, 3)], "stint_id string, member long, y double, w double")
+    alpha = spark.createDataFrame([(1, 1.0), (2, 4.0)], "member long, alpha double")
+    for sign in (1.0, -1.0):
+        found = {c["col"]: c["val"] for c in models.lift_rows(present, alpha, sign).first()["cells"]}
+        assert found == {"l1": sign * 4.0, "l2": sign * 1.0, "l3": sign * 5.0}
+
+
+def test_evaluators_on_planted_effects(league):
+    stints = league[0].cache()
+    spark = stints.sparkSession
+    sided = stints.join(splits.chronological(stints), "stint_id")
+    train, test = sided.where("side = 'train'").drop("side").cache(), sided.where("side = 'test'").drop("side").cache()
+    found = models.ladder(stints, {"chronological": splits.chronological(stints)}, replicates=20).collect()
+    rungs = {r.rung: r for r in found}
+    assert set(rungs) == set(models.RUNGS) and rungs["2_ridge"].low == rungs["2_ridge"].high == 0
+    assert rungs["0_context"].high < 0  # worse than the ridge, whatever the draw
+    band = models.ridge_band(train, test, replicates=5).collect()
+    assert len(band) == test.select("offense_player_ids").distinct().count() and all(r.sd > 0 for r in band)
+    lifted = {r.model: r.macro_rmse for r in models.evaluate_lift(train, test).collect()}
+    assert set(lifted) == {"base", "lift", "lift_placebo"}
+    sweep = models.confirm([train, test], (25.0,)).collect()
+    assert len(sweep) == 1 and sweep[0].groups > 0 and -1 <= sweep[0].correlation <= 1
+    fit = models.fit_hierarchical(stints)
+    best = sorted(range(12), key=lambda m: league[1][m])
+    duel = models.compare_lineups(fit, best[-5:], best[:5], spark).first()
+    assert duel.difference > 0 and duel.p_first > 0.8
+    game = models.matchup(fit, best[:5], list(range(12, 17)), spark).first()
+    assert abs(game.context + game.offense + game.defense - game.mean) < 1e-9
+    with pytest.raises(ValueError):
+        models.matchup(fit, best[:5], best[:5], spark)
+
+
+def test_places_follow_the_order(spark):
+    from cadence.operators import metrics, ordered
+
+    keys = [(f"k{(i * 37) % 1000:04d}",) for i in range(1000)]
+    found, n = ordered.numbered(spark.createDataFrame(keys, "k string").repartition(7), [F.col("k")], parts=8)
+    assert n == 1000 and [r.place for r in found.orderBy("k").collect()] == list(range(1000))
+    few = metrics.bootstrap(spark.createDataFrame([("a", 1.0), ("b", 2.0)], "k string, v double"), "k", 10, 1, v=F.col("v"))
+    assert tuple(metrics.interval(few, "v").first()) == (0.0, 0.0, 0.0)
+
+
+def test_a_fit_of_the_size_of_a_league(spark):
+    """300 players and 15,000 stints: the additive and hierarchical fits and group predictions."""
+    import time
+
+    stints, truth = models.synthetic(spark, players=330, stints=15_500, truth_sd=3.0)
+    stints = stints.cache()
+    stints.count()
+    start = time.time()
+    fit = models.fit_hierarchical(stints)
+    assert time.time() - start < 60
+    effects = {r.member: r.effect for r in truth.collect()}
+    found = [(effects[int(c[1:])], v) for c, v in zip(fit.columns, fit.coef) if c[0] == "o"]
+    assert len(found) > 150 and np.corrcoef(*zip(*found))[0, 1] > 0.6
+    stints.unpersist()

@@ -115,3 +115,26 @@ def test_command_line(spark, tmp_path):
     assert cli.main(["lineups", "--stints", str(path), "--out", str(tmp_path / "o"), "--minimum", "0"]) == 2
     assert report.bars([("a", 1.0)], "t").startswith("<h2>t</h2><svg")
     assert stints(spark, {}).count() == 1
+
+
+def test_provider_files_are_read_in_path_order(spark, tmp_path):
+    """The larger file is the later one, which Spark puts into a task of its own first."""
+    from cadence.operators import reconcile
+
+    for n, rows in ((1, 3), (2, 5000)):
+        (tmp_path / f"nbastats_{n}.csv").write_text("PLAYER1_ID,PLAYER1_NAME\n" + "".join(f"7,name {n}.{i}\n" for i in range(rows)))
+    rows = archive.provider_csv(spark, [str(tmp_path)], "nbastats")
+    names = [r.PLAYER1_NAME for r in rows.orderBy("place").collect()]
+    assert names == [f"name 1.{i}" for i in range(3)] + [f"name 2.{i}" for i in range(5000)]
+    assert reconcile.first_names(rows, "PLAYER1_ID", "PLAYER1_NAME", ["place"]).first().PLAYER1_NAME == "name 1.0"
+
+
+def test_stints_are_held_against_their_manifest(spark, tmp_path):
+    import hashlib
+
+    path = tmp_path / "stints.jsonl"
+    path.write_text(line(offensive_possessions=7) + "\n")
+    listed = {"stints_sha256": hashlib.sha256(path.read_bytes()).hexdigest(), "stints_written": 1, "accepted_possessions": 7}
+    assert records.checked_stints(spark, str(path), listed).count() == 1
+    with pytest.raises(ValueError, match="stints_sha256"):
+        records.checked_stints(spark, str(path), listed | {"stints_sha256": "0"})
