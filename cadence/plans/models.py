@@ -382,23 +382,25 @@ def ladder(stints: DataFrame, holdouts: dict[str, DataFrame], replicates: int =
     additive ridge's over resampled groups (low, high, share_positive), for rungs 0 to 4 on each split."""
     if stints.count() < MIN_STINTS:
         raise ValueError(f"at least {MIN_STINTS} stints are needed")
-    out = None
+    out, schema = [], None
     for name, split in holdouts.items():
         sided = stints.join(split.where("side <> 'drop'"), "stint_id")
         train, test = sided.where("side = 'train'").drop("side").persist(), sided.where("side = 'test'").drop("side")
-        scored = rungs(train, test, interacting=True)
+        scored = rungs(train, test, interacting=True).persist()
         errors = rung_errors(scored, "lineup", RUNGS)
         groups = scored.groupBy("lineup").agg(*[metrics.weighted_mean(c, "w").alias(c) for c in ("y", *RUNGS)])
         square = lambda c: (F.col("y") - F.col(c)) * (F.col("y") - F.col(c))
-        drawn = metrics.bootstrap(groups, "lineup", replicates, seed, **{f"s{i}": square(r) for i, r in enumerate(RUNGS)})
+        drawn = metrics.bootstrap(groups, "lineup", replicates, seed, **{f"s{i}": square(r) for i, r in enumerate(RUNGS)}).persist()
         root = lambda i: F.sqrt(F.col(f"s{i}") / F.col("draws"))
         deltas = None
         for i, rung in enumerate(RUNGS):
             one = metrics.interval(drawn.withColumn("delta", root(2) - root(i)), "delta").withColumn("rung", F.lit(rung))
             deltas = one if deltas is None else deltas.union(one)
         one = errors.join(deltas, "rung").select(F.lit(name).alias("holdout"), "rung", "micro_rmse", "macro_rmse", "groups", "low", "high", "share_positive")
-        out = one if out is None else out.union(one)
-    return out
+        out, schema = out + one.collect(), one.schema  # a row for each rung
+        for held in (drawn, scored, train):
+            held.unpersist()
+    return stints.sparkSession.createDataFrame(out, schema)
 
 
 def transport(train: DataFrame, test: DataFrame) -> DataFrame:
