@@ -13,8 +13,10 @@ Rows with crc32(doc_id) mod 5 = 0 are held out altogether; remainders 1 to 3 are
 remainder 4 fits the curve. Counts cover every labelled row; the curve sees at most
 ``CURVE_ROWS`` rows, by hash order. The model keeps each gram's own counts, under a 64-bit hash of
 its letters, so its tables are as long as there are distinct grams: 16 bytes for each gram of
-orders 6 to 4 and 12 below, and 24 or 16 for each context. That is what is collected and broadcast,
-and it grows with the corpus.
+orders 6 to 4 and 12 below, and 24 or 16 for each context, at most 204 bytes for each distinct
+6-letter gram. They are sent to the tasks up to ``BROADCAST_GRAMS`` such grams. A larger model stays
+in Spark: the texts' distinct words are cut into grams, these are joined with the counts order by
+order, and the words' evidence is joined with the texts. Both ways give the same scores.
 
 Defined cases: null and empty texts have no evidence and get the curve's score for none; a
 doc_id labelled twice counts twice, as do repeated rows; a null label counts for nothing; a null
@@ -24,6 +26,8 @@ doc_id is not held out; a very long text is scored whole; further columns are ig
 from __future__ import annotations
 
 import uuid
+from collections import Counter
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +44,10 @@ FOLDS = 5
 CURVE_ROWS = 20_000
 #: Distinct grams that a task holds before it sends them on.
 HOLD = 300_000
+#: Up to so many distinct 6-letter grams (408 MB of tables at most) the model is sent to the tasks.
+BROADCAST_GRAMS = 2_000_000
+#: Shares into which a frequent gram's words, or a frequent word's texts, are dealt for a join.
+SALT = 16
 
 #: Lower-cases A-Z and turns all other ASCII but digits and letters into spaces.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -83,15 +91,20 @@ def _values(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndar
     return np.where((keys[at] == wanted)[:, None], values[at], 0)
 
 
+def _grams(word: bytes) -> list[str]:
+    """A word's grams of ``ORDER`` letters, padding included."""
+    padded = chr(_START) * (ORDER - 1) + word.decode("utf-8", "replace") + chr(_END)
+    return [padded[i : i + ORDER] for i in range(len(padded) - ORDER + 1)]
+
+
 def gram_counts(rows: DataFrame) -> DataFrame:
     """(text, toxic) to (gram, c0, c1): how often each 6-letter gram stands in either class."""
 
     def sent(held):
         grams = {}
         for (word, toxic), n in held.items():
-            padded = chr(_START) * (ORDER - 1) + word.decode("utf-8", "replace") + chr(_END)
-            for i in range(len(padded) - ORDER + 1):
-                grams.setdefault(padded[i : i + ORDER], [0, 0])[toxic] += n
+            for gram in _grams(word):
+                grams.setdefault(gram, [0, 0])[toxic] += n
         return batch(gram=pa.array(list(grams), pa.string()), c0=pa.array([n[0] for n in grams.values()], pa.int64()), c1=pa.array([n[1] for n in grams.values()], pa.int64()))
 
     def run(batches):
@@ -110,10 +123,9 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return counted.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
-def _tables(top: DataFrame) -> dict[str, np.ndarray]:
-    """``n<order>`` counts of grams, under the sorted keys ``grams<order>``; ``s<order>`` their sums
-    over a context and ``t<order>`` its numbers of different grams, under ``contexts<order>``; two
-    columns for class orders."""
+def _levels(top: DataFrame) -> DataFrame:
+    """(order, gram, c0, c1) for the grams of every order: raw counts at the highest, continuation
+    counts below, in c0 alone for the orders that both classes share."""
     levels, now = [], top
     for order in range(ORDER, 0, -1):
         levels.append(now.select(F.lit(order).alias("order"), "gram", "c0", "c1"))
@@ -122,9 +134,13 @@ def _tables(top: DataFrame) -> dict[str, np.ndarray]:
             now = now.groupBy(shorter.alias("gram")).agg(F.sum((F.col("c0") > 0).cast("long")).alias("c0"), F.sum((F.col("c1") > 0).cast("long")).alias("c1"))
         elif order > 1:
             now = now.groupBy(shorter.alias("gram")).agg(F.count(F.lit(1)).alias("c0"), F.lit(0).cast("long").alias("c1"))
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.union(level)
+    return reduce(DataFrame.union, levels)
+
+
+def _tables(top: DataFrame) -> dict[str, np.ndarray]:
+    """``n<order>`` counts of grams, under the sorted keys ``grams<order>``; ``s<order>`` their sums
+    over a context and ``t<order>`` its numbers of different grams, under ``contexts<order>``; two
+    columns for class orders."""
 
     def run(batches):
         for b in batches:
@@ -143,10 +159,10 @@ def _tables(top: DataFrame) -> dict[str, np.ndarray]:
             key, value = np.concatenate(keys), np.concatenate(values)
             yield batch(kind=pa.array(kinds, pa.string()), key=pa.array(key, pa.int64()), v0=pa.array(value[:, 0], pa.int64()), v1=pa.array(value[:, 1], pa.int64()))
 
-    keyed = map_arrow(every, run, "kind string, key long, v0 long, v1 long").groupBy("kind", "key").agg(F.sum("v0").alias("v0"), F.sum("v1").alias("v1"))
+    keyed = map_arrow(_levels(top), run, "kind string, key long, v0 long, v1 long").groupBy("kind", "key").agg(F.sum("v0").alias("v0"), F.sum("v1").alias("v1"))
     found = materialise(keyed.select("kind", "key", F.col("v0").cast("float").alias("v0"), F.col("v1").cast("float").alias("v1")), "toxicity-counts")
     out = {}
-    # A row for each distinct gram and context: the model, which grows with the corpus.
+    # A row for each distinct gram and context, of which the caller has checked the number.
     for order in range(1, ORDER + 1):
         for kind in "nst":
             part = found.where(F.col("kind") == f"{kind}{order}").select("key", "v0", "v1").toArrow()
@@ -166,9 +182,9 @@ def evidence(words: list[bytes], tables: dict[str, np.ndarray]) -> np.ndarray:
     ends = every[first]  # each different gram is looked up once
     p = np.full((len(ends), 1), 1.0 / 1024)
     for order in range(1, ORDER + 1):
-        n = _values(tables[f"grams{order}"], tables[f"n{order}"], _keys(letters, ends, order))
+        n = _values(tables[f"grams{order}"], tables[f"n{order}"], _keys(letters, ends, order)).astype(np.float64)
         context = _keys(letters, ends, order - 1, 1)
-        s, t = (_values(tables[f"contexts{order}"], tables[f"{k}{order}"], context) for k in "st")
+        s, t = (_values(tables[f"contexts{order}"], tables[f"{k}{order}"], context).astype(np.float64) for k in "st")
         seen = s > 0
         safe = np.where(seen, s, 1)
         p = np.where(seen, np.maximum(n - DISCOUNT, 0) / safe + DISCOUNT * t / safe * p, p)
@@ -211,6 +227,89 @@ def _measured(docs: DataFrame, columns: list[str], tables) -> DataFrame:
     return map_arrow(few, run, ", ".join([schema, *(f"{k} double" for k in FEATURES)]))
 
 
+def _dealt(many: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
+    """``many`` left-joined with ``few`` (unique in ``key``), a key's rows dealt over ``SALT`` shares
+    by ``by``."""
+    shares = few.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return many.withColumn("share", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int")).join(shares, [key, "share"], "left").drop("share")
+
+
+def _gram_evidence(levels: DataFrame, grams: DataFrame) -> DataFrame:
+    """(gram, ratio) of distinct grams: the log-likelihood of its last letter under the toxic model
+    less that under the ordinary one. Each order joins the distinct endings of that length with
+    their counts, their contexts and the probabilities of the order below."""
+    lower = None
+    for order in range(1, ORDER + 1):
+        classes = (0, 1) if order > SHARED else (0, 0)
+        counts = levels.where(F.col("order") == order).select("gram", "c0", "c1")
+        context = F.expr(f"substring(gram, 1, {order - 1})").alias("context")
+        contexts = counts.groupBy(context).agg(*(F.sum(f"c{k}").alias(f"s{k}") for k in (0, 1)), *(F.sum((F.col(f"c{k}") > 0).cast("long")).alias(f"t{k}") for k in (0, 1)))
+        endings = grams.select(F.expr(f"substring(gram, {ORDER - order + 1}, {order})").alias("gram")).distinct()
+        now = endings.select("gram", context, F.expr("substring(gram, 2)").alias("ending")).join(counts, "gram", "left").join(contexts, "context", "left")
+        now = now.join(lower, "ending") if lower is not None else now.select("*", *(F.lit(1.0 / 1024).alias(f"p{k}") for k in (0, 1)))
+        p = []
+        for k, c in enumerate(classes):
+            n, s, t = F.coalesce(F.col(f"c{c}"), F.lit(0)), F.col(f"s{c}"), F.col(f"t{c}")
+            p.append(F.when(s > 0, F.greatest(n - F.lit(DISCOUNT), F.lit(0.0)) / s + F.lit(DISCOUNT) * t / s * F.col(f"p{k}")).otherwise(F.col(f"p{k}")).alias(f"p{k}"))
+        lower = now.select(F.col("gram").alias("ending"), *p)
+    return lower.select(F.col("ending").alias("gram"), (F.log("p1") - F.log("p0")).alias("ratio"))
+
+
+def _joined(docs: DataFrame, columns: list[str], levels: DataFrame) -> DataFrame:
+    """What ``_measured`` gives, by joins, for a model of any size."""
+
+    def words(batches):
+        for b in batches:
+            at, word, n = [], [], []
+
+            def sent():
+                return batch(**{c: b.column(c).take(pa.array(at, pa.int64())) for c in ("row", *columns)}, word=pa.array(word, pa.binary()), n=pa.array(n, pa.int64()))
+
+            for i, text in enumerate(utf8(b.column("text"))):
+                counted = Counter(words_of(text)) or {None: 0}
+                at += [i] * len(counted)
+                word += counted.keys()
+                n += counted.values()
+                if len(at) >= HOLD:
+                    yield sent()
+                    at, word, n = [], [], []
+            if at:
+                yield sent()
+
+    def cut(batches):
+        for b in batches:
+            ids, found, n = [], [], []
+
+            def sent():
+                return batch(id=pa.array(ids, pa.binary()), gram=pa.array(found, pa.string()), n=pa.array(n, pa.int64()))
+
+            for i, word in zip(b.column("id").to_pylist(), b.column("word").to_pylist()):
+                counted = Counter(_grams(word))
+                ids += [i] * len(counted)
+                found += counted.keys()
+                n += counted.values()
+                if len(ids) >= HOLD:
+                    yield sent()
+                    ids, found, n = [], [], []
+            if ids:
+                yield sent()
+
+    few = docs.select(F.monotonically_increasing_id().alias("row"), "text", *columns)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in few.schema if f.name != "text")
+    held = materialise(map_arrow(few, words, f"{schema}, word binary, n long"), "toxicity-words")
+    # Long words go by a digest, as a word of many letters has as many grams.
+    named = held.withColumn("id", F.when(F.octet_length("word") <= 32, F.col("word")).otherwise(F.unhex(F.sha2("word", 256))))
+    pieces = materialise(map_arrow(named.where("word is not null").select("id", "word").distinct(), cut, "id binary, gram string, n long"), "toxicity-pieces")
+    ratios = materialise(_gram_evidence(levels, pieces.select("gram").distinct()), "toxicity-ratios")
+    ratio, n = F.coalesce("ratio", F.lit(0.0)), F.col("n")
+    known = _dealt(pieces, ratios, "gram", "id").groupBy("id").agg(F.sum(n * ratio).alias("ratio"))
+    best = F.slice(F.sort_array(F.flatten(F.collect_list(F.array_repeat(ratio, F.least(n, F.lit(STRONGEST)).cast("int")))), asc=False), 1, STRONGEST)
+    text = _dealt(named.drop("word"), known, "id", "row").groupBy("row", *columns).agg(F.sum(n * ratio).alias("total"), F.sum(n).alias("words"), F.max(ratio).alias("peak"), best.alias("best"))
+    mean = F.when(F.col("words") > 0, F.col("total") / F.col("words")).otherwise(0.0)
+    strong = F.aggregate("best", F.lit(0.0), lambda a, x: a + x) / STRONGEST
+    return text.select(*columns, mean.alias("mean"), "peak", strong.alias("strong"))
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 100) -> np.ndarray:
     """Logistic weights (constant last) by Newton's method on standardised features."""
     mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -225,19 +324,23 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 1
     return np.append(w[:-1] / sd, w[-1] - (w[:-1] * mean / sd).sum())
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted and ``FEATURES`` of every whole text."""
+def score(docs: DataFrame, labels: DataFrame, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+    """doc_id, held_out, score, predicted, mean and peak evidence of every whole text; a model of more
+    than ``broadcast_grams`` grams is joined with the texts' words in place of being sent to the tasks."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("fold", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS, F.lit(-1)).cast("int"))
     marks = labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     # The labels are the small side, but grow with the documents: a hash join, without sorting texts.
     train = materialise(docs.where("fold > 0").join(marks.hint("shuffle_hash"), "doc_id"), "toxicity-train")
     counts = materialise(gram_counts(train.where(f"fold < {FOLDS - 1}")), "toxicity-grams")
-    tables = spark.sparkContext.broadcast(_tables(counts))
-    curve = _measured(train.where(f"fold = {FOLDS - 1}"), ["doc_id", "toxic"], tables).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS).toArrow()
+    if counts.count() <= broadcast_grams:
+        measured = partial(_measured, tables=spark.sparkContext.broadcast(_tables(counts)))
+    else:
+        measured = partial(_joined, levels=materialise(_levels(counts), "toxicity-levels"))
+    curve = measured(train.where(f"fold = {FOLDS - 1}"), ["doc_id", "toxic"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS).toArrow()
     y = curve.column("toxic").to_numpy().astype(float)
     x = np.column_stack([curve.column(k).to_numpy() for k in FEATURES])
-    found = _measured(docs, ["doc_id", "fold"], tables)
+    found = measured(docs, ["doc_id", "fold"])
     if len(set(y.tolist())) == 2:
         *weights, constant = (float(v) for v in fit_curve(x, y))
         line = sum((w * F.col(k) for w, k in zip(weights, FEATURES)), F.lit(constant))

@@ -420,6 +420,21 @@ def test_toxicity_keeps_every_gram_apart(spark):
     assert len(model["grams6"]) == len({("\2" * 5 + w + "\3")[i : i + 6] for t, _ in texts for w in t.split() for i in range(7)})
 
 
+def test_toxicity_of_a_model_too_large_to_send(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(["ka", "lo", "mi", "漢", "té"], int(rng.integers(1, 5))))
+    texts = [(i, " ".join([word() for _ in range(int(rng.integers(1, 40)))] + ["zugora", "zugora"] * (i % 3 == 0))) for i in range(20, 320)]
+    texts += AWKWARD + [(50, texts[30][1]), (50, texts[30][1])]
+    docs = documents(spark, texts, extra=True)
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(320)], "doc_id long, quality int, toxic int")
+    sent, joined = (sorted((tuple(r) for r in toxicity.score(docs, labels, **how).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[2])) for how in ({}, {"broadcast_grams": 0}))
+    assert len(sent) == len(texts) and [r[:2] for r in sent] == [r[:2] for r in joined]
+    for a, b in zip(sent, joined):
+        assert b[2:] == pytest.approx(a[2:], rel=1e-6, abs=1e-9)
+    assert any(r[2] > 0.9 for r in sent) and any(r[2] < 0.1 for r in sent)
+    assert toxicity.score(docs.limit(0), labels, broadcast_grams=-1).count() == 0
+
+
 # -- top-k search -------------------------------------------------------------------------------
 
 
