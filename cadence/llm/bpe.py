@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding, with a hierarchical-bitmap rank queue.
 
 A pre-token's bytes form a linked list. For each merge rank there is a bucket of the list
-positions whose pair has that rank; a bitmap of three levels, 256 to one, says which buckets hold
-anything, and find-first-set finds the lowest rank in three steps however many pairs wait. The
+positions whose pair has that rank; a bitmap of two levels says which buckets hold
+anything, and find-first-set finds the lowest rank in two steps however many pairs wait. The
 leftmost position of that bucket merges; entries whose pair has changed since are stale and are
 skipped. A pre-token of n bytes costs O(n log n), which suits very long runs without spaces.
 
@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+from heapq import heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -27,60 +28,57 @@ from pyspark.sql import functions as F
 
 from .common import batch, map_arrow, table, worker_cache
 
-#: Bits of a bitmap word; two levels of words and one word above them cover 2**24 ranks.
-_BITS = 8
-_MASK = (1 << _BITS) - 1
 
+def rank_queue(ranks: int):
+    """(push, pop) of a priority queue of (rank, position): lowest rank first, then lowest position.
 
-class RankQueue:
-    """A priority queue of (rank, position): lowest rank first, then lowest position."""
+    ``low`` holds a bitmap of ranks in words of 2**``bits``, ``top`` says which words hold anything;
+    ``bits`` is half the bits of a rank, so both levels are of about the same width. The state lies in
+    closures, as reading attributes would take a good part of the time.
+    """
+    bits = max(1, (ranks.bit_length() + 1) // 2)
+    mask = (1 << bits) - 1
+    low = [0] * ((ranks >> bits) + 1)
+    top = 0
+    buckets: dict[int, int | list[int]] = {}  # a lone position, or a heap of them
 
-    def __init__(self, ranks: int):
-        self.low = [0] * ((ranks >> _BITS) + 1)
-        self.mid = [0] * ((ranks >> 2 * _BITS) + 1)
-        self.top = 0
-        self.buckets: dict[int, int | list[int]] = {}  # a lone position, or a heap of them
-
-    def push(self, rank: int, position: int) -> None:
-        buckets = self.buckets
+    def push(rank: int, position: int) -> None:
+        nonlocal top
         if rank in buckets:
             bucket = buckets[rank]
             if type(bucket) is list:
-                heapq.heappush(bucket, position)
+                heappush(bucket, position)
             else:
                 buckets[rank] = [bucket, position] if bucket < position else [position, bucket]
             return
         buckets[rank] = position
-        k, m = rank >> _BITS, rank >> 2 * _BITS
-        self.low[k] |= 1 << (rank & _MASK)
-        self.mid[m] |= 1 << (k & _MASK)
-        self.top |= 1 << m
+        k = rank >> bits
+        low[k] |= 1 << (rank & mask)
+        top |= 1 << k
 
-    def pop(self) -> tuple[int, int] | None:
-        top = self.top
+    def pop() -> tuple[int, int] | None:
+        nonlocal top
         if not top:
             return None
-        m = (top & -top).bit_length() - 1
-        bits = self.mid[m]
-        k = (m << _BITS) + (bits & -bits).bit_length() - 1
-        bits = self.low[k]
-        rank = (k << _BITS) + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
+        k = (top & -top).bit_length() - 1
+        word = low[k]
+        first = word & -word
+        rank = (k << bits) + first.bit_length() - 1
+        bucket = buckets[rank]
         if type(bucket) is list:
-            position = heapq.heappop(bucket)
+            position = heappop(bucket)
             if bucket:
                 return rank, position
         else:
             position = bucket
-        del self.buckets[rank]
-        bits &= bits - 1
-        self.low[k] = bits
-        if not bits:
-            bits = self.mid[m] = self.mid[m] & ~(1 << (k & _MASK))
-            if not bits:
-                self.top &= ~(1 << m)
+        del buckets[rank]
+        low[k] = word = word ^ first
+        if not word:
+            top &= top - 1
         return rank, position
 
+    return push, pop
+
 
 class BytePairs:
     """Encodes and decodes by a file of ``base64(token) rank`` lines and a splitting pattern."""
@@ -90,7 +88,7 @@ class BytePairs:
             self.ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
         self.tokens = {r: t for t, r in self.ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.queue = RankQueue(max(self.tokens) + 1)
+        self.push, self.pop = rank_queue(max(self.tokens) + 1)
         self.pieces = _Remembered(self.merge)
         self.chunks = _Remembered(self.packed)
 
@@ -99,7 +97,7 @@ class BytePairs:
         ranks = self.ranks
         if piece in ranks:
             return [ranks[piece]]
-        n, rank_of, push, pop = len(piece), ranks.get, self.queue.push, self.queue.pop
+        n, rank_of, push, pop = len(piece), ranks.get, self.push, self.pop
         after = list(range(1, n + 2))  # the start of the next part
         before = list(range(-1, n))
         pair = [None] * (n + 1)  # the rank of the pair that starts here
@@ -136,7 +134,7 @@ class BytePairs:
         """The ids of a stretch of text as little-endian 32-bit numbers."""
         pieces = self.pieces
         ids = [t for piece in self.split(text) for t in pieces[piece.encode()]]
-        return np.array(ids, "<u4").tobytes()
+        return pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian 32-bit numbers."""
