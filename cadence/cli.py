@@ -11,8 +11,8 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import contract, splits
-from .plans import models, report
+from .operators import contract, profiles, splits
+from .plans import evaluation, ingest, models, report
 from .sources import records
 
 
@@ -93,6 +93,25 @@ def _compare(a, s: DataFrame) -> DataFrame:
     return models.compare_rungs(s, splits.chronological(s, a.fraction))
 
 
+def _decompose(a, s: DataFrame) -> DataFrame:
+    fit = records.load_fit(s.sparkSession, a.fit)
+    return evaluation.decomposed(models.design_rows(s), fit.table(s.sparkSession))
+
+
+def _examples(a, s: DataFrame) -> DataFrame:
+    train, test = _halves(a, s)
+    return evaluation.unseen_examples(train, test, models.fit_ridge(train).table(s.sparkSession), a.count)
+
+
+def _carried(a, s: DataFrame) -> DataFrame:
+    roles = _table(a, s, "roles")
+    return evaluation.transport_outcome(*_halves(a, s), _table(a, s, "outcomes"), roles, a.count, a.outcome)
+
+
+def _ingest(a, spark: SparkSession) -> None:
+    ingest.write(ingest.ingest(spark.read.parquet(a.stints), spark.read.parquet(a.games)), a.out)
+
+
 VERBS = {
     "validate": (_validate, "rows that break the contract"),
     "lineups": (lambda a, s: contract.lineup_observations(s, a.minimum, a.game, a.team, a.player), "observed lineups"),
@@ -117,6 +136,12 @@ VERBS = {
     "receivers": (lambda a, s: models.evaluate_receivers(_table(a, s, "production")), "teammates' effects on receivers"),
     "confirm": (_confirm, "whether pair effects of a season come back in others"),
     "against": (_against, "two lineups against each other, or an offense against a defense"),
+    "totals": (lambda a, s: contract.selection_totals(s, a.minimum, a.game, a.team, a.player), "totals of a selection"),
+    "decompose": (_decompose, "talent, context and residual under a saved model"),
+    "examples": (_examples, "lineups never seen before, with what their predictions are made of"),
+    "production": (lambda a, s: evaluation.evaluate_production(_table(a, s, "production")), "receivers' own level and their teammates' lift"),
+    "outcome_transport": (_carried, "an outcome's role model on another table"),
+    "ingest": (None, "possessions (Parquet at --stints) and --games to stints, quarantine and manifest"),
     "strongest": (lambda a, s: models.strongest(_fit(a, s), a.count), "the coefficients of greatest size"),
 }
 
@@ -140,6 +165,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--roles", help="Parquet of (member, role)")
     p.add_argument("--features", help="Parquet of (member, features)")
     p.add_argument("--outcomes", help="Parquet of (stint_id, counts)")
+    p.add_argument("--outcome", default="three_share", choices=tuple(profiles.OUTCOMES), help="which outcome is carried over")
+    p.add_argument("--games", help="Parquet of (game_id, team, points)")
     p.add_argument("--production", help="Parquet of (stint_id, game_date, member, fg, ft, assisted, w)")
     p.add_argument("--first", help="five ids, comma-joined")
     p.add_argument("--second", help="five ids, comma-joined")
@@ -153,6 +180,11 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = _session()
     try:
+        if a.verb == "ingest":
+            if not a.games:
+                raise ValueError("this verb needs --games")
+            _ingest(a, spark)
+            return 0
         stints = records.read_stints(spark, a.stints)
         out = VERBS[a.verb][0](a, stints)
         out.write.mode("overwrite").parquet(a.out)

@@ -87,16 +87,32 @@ def overview(df: DataFrame) -> DataFrame:
     return totals.crossJoin(players).crossJoin(seasons)  # one row each
 
 
-def lineup_observations(df: DataFrame, minimum: int, game: str | None = None, team: int | None = None, player: int | None = None) -> DataFrame:
-    """Lineups' totals and rates; the minimum holds for lineups, not for the selection's totals."""
-    if not 1 <= minimum <= 1_000_000:
-        raise ValueError("minimum possessions must be from 1 to 1,000,000")
+def selected(df: DataFrame, game: str | None = None, team: int | None = None, player: int | None = None) -> DataFrame:
+    """The stints of a game, an offense's team and a player of it, as far as they are given."""
     if game is not None:
         df = df.where(F.col("game_id") == game)
     if team is not None:
         df = df.where(F.col("offense_team_id") == team)
     if player is not None:
         df = df.where(F.array_contains("offense_player_ids", F.lit(player)))
+    return df
+
+
+def selection_totals(df: DataFrame, minimum: int, game: str | None = None, team: int | None = None, player: int | None = None) -> DataFrame:
+    """One row: totals of the whole selection, with the number of lineups and of those that reach the
+    minimum, which bounds no total."""
+    per = selected(df, game, team, player).groupBy(S.lineup_id("offense_player_ids").alias("lineup")).agg(
+        F.sum("offensive_possessions").alias("n"), F.sum("points_scored").alias("p"), F.count(F.lit(1)).alias("s"), F.sum((F.col("garbage_time_weight") < 1).cast("long")).alias("d")
+    )
+    totals = per.agg(F.sum("n").alias("possessions"), F.sum("p").alias("points"), F.sum("s").alias("stints"), F.sum("d").alias("downweighted"), F.count(F.lit(1)).alias("lineups"), F.sum((F.col("n") >= minimum).cast("long")).alias("listed"))
+    return totals.withColumn("rating", S.rating(F.col("points"), F.col("possessions")))
+
+
+def lineup_observations(df: DataFrame, minimum: int, game: str | None = None, team: int | None = None, player: int | None = None) -> DataFrame:
+    """Lineups' totals and rates; the minimum holds for lineups, not for the selection's totals."""
+    if not 1 <= minimum <= 1_000_000:
+        raise ValueError("minimum possessions must be from 1 to 1,000,000")
+    df = selected(df, game, team, player)
     grouped = df.groupBy(S.lineup_id("offense_player_ids").alias("lineup")).agg(
         F.sum("offensive_possessions").alias("possessions"),
         F.sum("points_scored").alias("points"),

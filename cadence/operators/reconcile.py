@@ -55,6 +55,19 @@ def reason_histogram(possessions: DataFrame) -> DataFrame:
     return possessions.where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("possessions"))
 
 
+def status_histogram(games: DataFrame) -> DataFrame:
+    """status, reason (null: none), games: how often each outcome of a game's checks came up."""
+    return games.groupBy("status", "reason").agg(F.count(F.lit(1)).alias("games"))
+
+
+def score_sums(possessions: DataFrame, keys: list[str], period: str) -> DataFrame:
+    """Points by ``keys`` and period, and by ``keys`` alone (period null). Technical free throws, within
+    raw_points, count for the final score only, as no period's official score lists them apart."""
+    settled = F.sum(F.col("raw_points") - F.col("technical_points"))
+    sums = possessions.where("counted").rollup(*keys, period).agg(F.when(F.grouping(period) == 1, F.sum("raw_points")).otherwise(settled).cast("long").alias("points"), F.grouping(keys[-1]).alias("g"))
+    return sums.where("g = 0").drop("g")
+
+
 def quarantine_feed(possessions: DataFrame) -> DataFrame:
     """Excluded possessions, but for empty ones, which only the manifest lists."""
     return possessions.where("reason is not null and reason <> 'empty_possession'")

@@ -243,6 +243,7 @@ def _line_possessions(spark, sf):
     lines = V.table(spark, sf, "lineitem").select(
         "l_orderkey", (F.col("l_discount") < 0.095).alias("known_team"), F.when(F.col("l_quantity") < 2, 0).otherwise(1).alias("events"), F.when(F.col("l_linenumber") > 6, 4).otherwise(5).alias("lineup_size"),
         F.col("l_linenumber").alias("raw_points"), (F.col("l_suppkey") % 4).cast("int").alias("technical_points"), (F.col("l_tax") > 0.07).alias("split_lineup"), F.col("l_quantity").alias("points"),
+        (F.col("l_suppkey") % 2).alias("team"), (F.col("l_linenumber") % 4 + 1).alias("period"),
     )
     return reconcile.validated(lines)
 
@@ -1052,3 +1053,85 @@ def lineup_duel(spark, sf):
     s = V.stints(spark, sf)
     first, second = (list(r["offense_player_ids"]) for r in s.groupBy("offense_player_ids").agg(F.sum("offensive_possessions").alias("n")).orderBy(F.desc("n"), "offense_player_ids").limit(2).collect())
     return models.compare_lineups(models.fit_hierarchical(s), first, second, spark)
+
+
+# -- selections, sums and evaluations beside the ladder --------------------------------------------
+
+
+@query(f"""{STINT}, l AS (SELECT lineup, sum(offensive_possessions) AS n, sum(points_scored) AS p, count(*) AS s, count(*) FILTER (garbage_time_weight < 1) AS d FROM stint WHERE offense_team_id = 3 GROUP BY lineup)
+  SELECT CAST(sum(n) AS BIGINT) AS possessions, CAST(sum(p) AS BIGINT) AS points, CAST(sum(s) AS BIGINT) AS stints, CAST(sum(d) AS BIGINT) AS downweighted, count(*) AS lineups, count(*) FILTER (n >= 20) AS listed, round(100.0::DOUBLE * sum(p) / sum(n), 6) AS rating FROM l""")
+def selection_totals(spark, sf):
+    return _round(contract.selection_totals(V.stints(spark, sf), 20, team=3), "rating")
+
+
+@query(f"""WITH g AS (SELECT l_orderkey, min(CASE WHEN r <> 'split_lineup' THEN r END) AS reason FROM (SELECT l_orderkey, {_REASON_SQL} AS r FROM lineitem) GROUP BY l_orderkey)
+  SELECT CASE WHEN reason IS NULL THEN 'accepted' ELSE 'quarantined' END AS status, reason, count(*) AS games FROM g GROUP BY ALL""")
+def status_histogram(spark, sf):
+    games = _line_possessions(spark, sf).groupBy("l_orderkey").agg(F.min(F.when(~F.col("counted"), F.col("reason"))).alias("reason"))
+    return reconcile.status_histogram(games.withColumn("status", F.when(F.col("reason").isNull(), "accepted").otherwise("quarantined")))
+
+
+@query(f"""WITH p AS (SELECT l_orderkey, l_suppkey % 2 AS team, l_linenumber % 4 + 1 AS period, l_linenumber AS raw, l_suppkey % 4 AS technical, {_REASON_SQL} AS r FROM lineitem), c AS (SELECT * FROM p WHERE r IS NULL OR r = 'split_lineup')
+  SELECT l_orderkey, team, period, CAST(sum(raw - technical) AS BIGINT) AS points FROM c GROUP BY ALL UNION ALL SELECT l_orderkey, team, NULL, CAST(sum(raw) AS BIGINT) FROM c GROUP BY ALL""")
+def score_sums(spark, sf):
+    return reconcile.score_sums(_line_possessions(spark, sf), ["l_orderkey", "team"], "period")
+
+
+def _ruled(s: DataFrame) -> DataFrame:
+    """Coefficients of a fixed rule for the players that the stints hold, the intercept and the home side."""
+    side = lambda ids, tag, m, shift: s.select(F.explode(ids).alias("p")).distinct().select(F.concat(F.lit(tag), F.col("p").cast("string")).alias("col"), (F.col("p") % m - shift).cast("double").alias("coef"))
+    fixed = s.sparkSession.createDataFrame([("c_intercept", 100.0), ("c_home", 1.5)], "col string, coef double")
+    return side("offense_player_ids", "o", 7, 3).union(side("defense_player_ids", "d", 5, 2)).union(fixed)
+
+
+@query(f"""{STINT}, t AS (SELECT stint_id, offensive_possessions::DOUBLE AS w, 100.0::DOUBLE * points_scored / offensive_possessions AS y, CASE WHEN home_offense THEN 1.5 ELSE 0 END::DOUBLE AS context,
+    (100 + list_sum(list_transform(offense_player_ids, lambda p: p % 7 - 3)) - list_sum(list_transform(defense_player_ids, lambda p: p % 5 - 2)))::DOUBLE AS talent FROM stint)
+  SELECT stint_id, round(y, 6) AS y, w, talent, context, talent + context AS predicted, round(y - talent - context, 6) AS residual FROM t""")
+def decomposition(spark, sf):
+    from . import evaluation
+
+    s = V.stints(spark, sf)
+    rows = gram.design(s, {"intercept": F.lit(1.0), "home": F.col("home_offense").cast("int").cast("double")})
+    return _round(evaluation.decomposed(rows, _ruled(s)), "y", "residual")
+
+
+@query(f"""{STINT}{PAIRS}, o AS (SELECT p, 100.0::DOUBLE * sum(pts) / sum(n) AS estimate, sum(n) AS n FROM (SELECT unnest(offense_player_ids) AS p, points_scored AS pts, offensive_possessions AS n FROM stint) GROUP BY p),
+  d AS (SELECT p, -100.0::DOUBLE * sum(pts) / sum(n) AS estimate FROM (SELECT unnest(defense_player_ids) AS p, points_scored AS pts, offensive_possessions AS n FROM stint) GROUP BY p),
+  s AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS at FROM o WHERE n >= 400), q AS (SELECT a, b, 100.0::DOUBLE * sum(points_scored) / sum(stint.offensive_possessions) AS estimate FROM pair JOIN stint USING (stint_id) GROUP BY a, b),
+  c AS (SELECT (q.a * 5 + q.b * 3) % 13 - 6 AS truth, estimate FROM q JOIN s x ON x.p = q.a JOIN s y ON y.p = q.b WHERE x.at < y.at AND (7 * x.at + y.at) % 11 = 0)
+  SELECT (SELECT round(corr(p % 7 - 3, estimate), 6) FROM o) AS offense_correlation, (SELECT round(corr(p % 5 - 2, estimate), 6) FROM d) AS defense_correlation, (SELECT count(*) FROM s) AS supported,
+    (SELECT count(*) FROM c) AS pairs, (SELECT CASE WHEN count(*) >= 8 THEN round(coalesce(corr(truth, estimate), 0), 6) END FROM c) AS pair_correlation""")
+def effect_recovery(spark, sf):
+    from . import evaluation
+
+    s = V.stints(spark, sf)
+    rating = 100.0 * F.sum("points_scored") / F.sum("offensive_possessions")
+    by = lambda ids: s.select(F.explode(ids).alias("member"), "points_scored", "offensive_possessions").groupBy("member").agg(rating.alias("rating"), F.sum("offensive_possessions").alias("possessions"))
+    o, d = by("offense_player_ids"), by("defense_player_ids")
+    talent = o.select(F.lit("offense").alias("side"), "member", (F.col("member") % 7 - 3).cast("double").alias("truth"), F.col("rating").alias("estimate"))
+    talent = talent.union(d.select(F.lit("defense"), "member", (F.col("member") % 5 - 2).cast("double"), -F.col("rating")))
+    pairs = s.select(F.explode(S.pairs_of("offense_player_ids")).alias("x"), "points_scored", "offensive_possessions").groupBy("x.a", "x.b").agg(rating.alias("estimate"))
+    return _round(evaluation.recovery(talent, pairs.withColumn("truth", ((F.col("a") * 5 + F.col("b") * 3) % 13 - 6).cast("double")), o), "offense_correlation", "defense_correlation", "pair_correlation")
+
+
+@query()
+def unseen_examples(spark, sf):
+    from . import evaluation
+
+    return evaluation.unseen_examples(*_halves(spark, sf), _ruled(V.stints(spark, sf)))
+
+
+@query()
+def production_evaluation(spark, sf):
+    from . import evaluation
+
+    return evaluation.evaluate_production(_produced(spark, sf))
+
+
+@query()
+def outcome_transport(spark, sf):
+    from . import evaluation
+
+    counts = _outcome_counts(spark, sf).withColumn("stint_id", F.col("l_orderkey").cast("string"))
+    roles = V.table(spark, sf, "supplier").select((F.col("s_suppkey") % V.PLAYERS).alias("member")).distinct().withColumn("role", F.col("member") % 3)
+    return evaluation.transport_outcome(*_halves(spark, sf), counts, roles, 3)

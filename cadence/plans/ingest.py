@@ -36,3 +36,12 @@ def ingest(possessions: DataFrame, games: DataFrame) -> dict[str, DataFrame]:
     emitted = stints.groupBy("game_id").agg(F.count(F.lit(1)).alias("stints"))
     listed = status.join(emitted, "game_id", "left").na.fill(0, ["stints"])
     return {"stints": stints, "quarantine": reconcile.quarantine_feed(checked), "games": listed, "totals": reconcile.manifest_totals(listed)}
+
+
+def write(outputs: dict[str, DataFrame], folder: str) -> dict:
+    """The outputs of ``ingest`` as JSON lines in a folder each, the totals as one row (``manifest``),
+    which is returned. Files that stand there already are refused."""
+    for name in ("stints", "quarantine", "games"):
+        outputs[name].write.json(f"{folder}/{name}")
+    outputs["totals"].coalesce(1).write.json(f"{folder}/manifest")  # one row
+    return outputs["totals"].sparkSession.read.json(f"{folder}/manifest").first().asDict()

@@ -148,6 +148,22 @@ def expectation_maximisation(s: Statistics, blocks: dict[str, tuple[str, ...]],
 MAX_SENT = 6_000
 
 
+#: Prior variances of lifts.
+LIFT_GRID = (0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0)
+
+
+def evidence(s: Statistics, sigma2: float, grid: tuple[float, ...] = LIFT_GRID) -> np.ndarray:
+    """Coefficients under a normal prior, whose variance has the greatest marginal likelihood over the grid."""
+    best, top = np.zeros(len(s.b)), -np.inf
+    for tau2 in grid:
+        chol = np.linalg.cholesky(s.g / sigma2 + np.eye(len(s.b)) / tau2)
+        half = np.linalg.solve(chol, s.b / sigma2)
+        score = 0.5 * half @ half - np.log(np.diag(chol)).sum() - 0.5 * len(s.b) * np.log(tau2)
+        if score > top:
+            top, best = score, np.linalg.solve(chol.T, half)
+    return best
+
+
 def group_predictive(fit: Fit, group_rows: DataFrame, group: str) -> DataFrame:
     """group, mean, sd, weight: the posterior of each group's mean design row plus noise / weight.
     Each group's row is finished in its own task, from the columns of the factor's inverse that it

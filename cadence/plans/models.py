@@ -226,7 +226,7 @@ def bootstrap_interactions(stints: DataFrame, members: int = 8, seed: int = 0) -
     return shifted.select("a", "b", "effect", at(0.1).alias("low"), at(0.9).alias("high"), above.alias("p_positive"))
 
 
-def lift(stints: DataFrame, side: str = "offense", grid: tuple[float, ...] = (0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0), permute: int | None = None) -> DataFrame:
+def lift(stints: DataFrame, side: str = "offense", grid: tuple[float, ...] = linear.LIFT_GRID, permute: int | None = None) -> DataFrame:
     """member, lift: how much better teammates do beside a player, given additive effects. Defense
     enters the additive fit with a minus sign, and so do its teammates' effects here.
 
@@ -242,13 +242,7 @@ def lift(stints: DataFrame, side: str = "offense", grid: tuple[float, ...] = (0.
     scored = gram.scored(design_rows(stints, keep=(members,)), base.table(stints.sparkSession))
     residual = scored.select("stint_id", (F.col("y") - F.col("predicted")).alias("y"), "w", F.explode(members).alias("member"))
     s = linear.collect(lift_rows(residual, alpha, sign))[None]
-    sigma2, best, top = base.sigma2, None, -np.inf
-    for tau2 in grid:
-        chol = np.linalg.cholesky(s.g / sigma2 + np.eye(len(s.b)) / tau2)
-        half = np.linalg.solve(chol, s.b / sigma2)
-        score = 0.5 * half @ half - np.log(np.diag(chol)).sum() - 0.5 * len(s.b) * np.log(tau2)
-        if score > top:
-            top, best = score, np.linalg.solve(chol.T, half)
+    best = linear.evidence(s, base.sigma2, grid)
     return stints.sparkSession.createDataFrame([(int(c[1:]), float(v)) for c, v in zip(s.columns, best)], "member long, lift double")
 
 

@@ -52,6 +52,27 @@ def snapshot_files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(tail.alias("file"), "length", F.sha2("content", 256).alias("sha256"))
 
 
+def changed_files(spark: SparkSession, path: str, recorded: DataFrame) -> DataFrame:
+    """(file, problem) where a snapshot's files differ from those ``recorded`` (file, sha256): missing,
+    changed, or not recorded."""
+    found = snapshot_files(spark, path).select("file", F.col("sha256").alias("found"))
+    both = recorded.select("file", F.col("sha256").alias("recorded")).join(found, "file", "full")
+    problem = F.when(F.col("found").isNull(), "missing").when(F.col("recorded").isNull(), "not recorded").when(F.col("found") != F.col("recorded"), "changed")
+    return both.select("file", problem.alias("problem")).where("problem is not null")
+
+
+def write_snapshot(parts: dict[str, DataFrame], path: str, plays: list[str], shots: list[str]) -> DataFrame:
+    """Writes what ``convert`` gives, payloads as one JSON line a game, and returns the provenance: each
+    file written with its length and sha256, to be kept beside the snapshot for ``changed_files``."""
+    spark = parts["games"].sparkSession
+    for name in ("games", "period_scores", "names", "incomplete"):
+        parts[name].write.json(f"{path}/{name}")
+    envelope(parts["play_by_play"], "PlayByPlay", plays).write.json(f"{path}/play_by_play")
+    for side in ("home", "away"):
+        envelope(parts["shots"].where(F.col("side") == side), "Shots", shots).write.json(f"{path}/shots_{side}")
+    return snapshot_files(spark, path).where(F.col("file").endswith(".json"))
+
+
 def result_rows(spark: SparkSession, paths: list[str] | str, columns: list[str]) -> DataFrame:
     """Rows of ``resultSets[0]`` envelopes (names and rows apart): file, place and the named columns
     as strings, in the archive's order, never sorted by event number."""

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadence.operators import gram, splits
-from cadence.plans import linear, models
+from cadence.plans import evaluation, linear, models
 
 
 @pytest.fixture(scope="module")
@@ -139,3 +139,47 @@ def test_a_fit_of_the_size_of_a_league(spark):
     found = [(effects[int(c[1:])], v) for c, v in zip(fit.columns, fit.coef) if c[0] == "o"]
     assert len(found) > 150 and np.corrcoef(*zip(*found))[0, 1] > 0.6
     stints.unpersist()
+
+
+def test_decomposition_adds_up_and_recovers_the_truth(league):
+    stints, truth = league
+    spark = stints.sparkSession
+    fit = models.fit_hierarchical(stints).table(spark)
+    rows = models.design_rows(stints)
+    found = evaluation.decomposed(rows, fit).join(gram.predict(rows, fit).withColumnRenamed("predicted", "whole"), "stint_id")
+    worst = found.agg(F.max(F.abs(F.col("talent") + F.col("context") - F.col("whole"))), F.max(F.abs(F.col("y") - F.col("whole") - F.col("residual")))).first()
+    assert max(worst) < 1e-9
+    known = spark.createDataFrame(list(truth.items()), "member long, truth double")
+    side = lambda tag, name: fit.where(F.col("col").startswith(tag) & ~F.col("col").startswith("c_")).select(F.lit(name).alias("side"), F.expr("cast(substring(col, 2) as bigint)").alias("member"), F.col("coef").alias("estimate")).join(known, "member").select("side", "member", "truth", "estimate")
+    pairs = spark.createDataFrame([(0, 11, 1.0, 2.0)], "a long, b long, truth double, estimate double")
+    exposure = known.select("member", F.lit(1000).alias("possessions"))
+    got = evaluation.recovery(side("o", "offense").union(side("d", "defense")), pairs, exposure).first()
+    assert got.offense_correlation > 0.9 and got.defense_correlation > 0.9 and got.supported == len(truth)
+    assert got.pairs == 1 and got.pair_correlation is None  # too few pairs say nothing
+
+
+def test_unseen_examples_are_unseen(league):
+    stints = league[0]
+    sided = stints.join(splits.chronological(stints), "stint_id")
+    train, test = sided.where("side = 'train'").drop("side"), sided.where("side = 'test'").drop("side")
+    found = evaluation.unseen_examples(train, test, models.fit_ridge(train).table(stints.sparkSession), 4).collect()
+    seen = {tuple(sorted(r[0])) for r in train.select("offense_player_ids").collect()}
+    assert len(found) == 4 and all(tuple(map(int, r.lineup.split("-"))) not in seen for r in found)
+    assert all(abs(r.talent + r.context - r.predicted) < 1e-9 for r in found)
+
+
+def test_planted_lift_beats_its_placebo(spark):
+    rng = np.random.default_rng(5)
+    gift = {m: float(v) for m, v in enumerate(np.linspace(-3, 3, 12))}
+    rows = []
+    for s in range(900):
+        five = [int(m) for m in rng.choice(12, 5, replace=False)]
+        for m in five:
+            made = 10 + m + sum(gift[x] for x in five if x != m) + rng.normal(0, 1)
+            rows.append((f"s{s}", f"2020-{1 + s // 75:02d}-01", m, made, 0.0, 0.0, 1.0))
+    production = spark.createDataFrame(rows, "stint_id string, game_date string, member long, fg double, ft double, assisted double, w double").withColumn("game_date", F.to_date("game_date"))
+    _, lift = evaluation.production_lift(production)
+    found = {int(r.col[1:]): r.coef for r in lift.collect()}
+    assert np.corrcoef([gift[m] for m in found], list(found.values()))[0, 1] > 0.95
+    errors = {r.model: r.micro_rmse for r in evaluation.evaluate_production(production).collect()}
+    assert errors["lift"] < 0.6 * errors["base"] and errors["lift_placebo"] > errors["lift"]

@@ -166,7 +166,22 @@ def test_possessions_fail_in_order(spark):
     assert found == [("unknown_team", False), ("empty_possession", False), ("lineup_not_five", False), ("ambiguous_scoring", False), ("split_lineup", True), (None, True)]
 
 
-def test_ingest_quarantines_and_emits(spark):
+def test_score_sums_take_technical_points_in_the_final_only(spark):
+    p = spark.createDataFrame([("g", "x", 1, 3, 1, True), ("g", "x", 2, 2, 0, True), ("g", "x", 2, 9, 0, False), ("g", "y", 1, 0, 0, True)], "game_id string, team string, period int, raw_points int, technical_points int, counted boolean")
+    found = {(r.team, r.period): r.points for r in reconcile.score_sums(p, ["game_id", "team"], "period").collect()}
+    assert found == {("x", 1): 2, ("x", 2): 2, ("x", None): 5, ("y", 1): 0, ("y", None): 0}
+    assert reconcile.score_sums(p.limit(0), ["game_id", "team"], "period").count() == 0
+
+
+def test_totals_of_a_selection_ignore_the_minimum(spark):
+    df = stints(spark, {}, {"stint_id": "b"})
+    few, many = (contract.selection_totals(df, n).first() for n in (1, 1_000_000))
+    assert few.possessions == many.possessions and few.stints == 2 and (few.listed, many.listed) == (1, 0)
+    none = contract.selection_totals(df, 1, player=-1).first()
+    assert none.lineups == 0 and none.possessions is None and none.rating is None
+
+
+def test_ingest_quarantines_and_emits(spark, tmp_path):
     cols = "game_id string, period int, sequence int, offense string, lineup_a string, lineup_b string, start_seconds double, margin int, known_team boolean, events int, lineup_size int, raw_points int, technical_points int, split_lineup boolean"
     row = lambda g, s, o, pts, la="A", size=5, period=1: (g, period, s, o, la, "B", 10.0 * s, 0, True, 1, size, pts, 0, False)
     poss = [row("ok", 1, "x", 2), row("ok", 2, "y", 0), row("ok", 3, "x", 3, la="A2"), row("score", 1, "x", 2), row("score", 2, "y", 1, size=4), row("twice", 1, "x", 2), row("twice", 2, "x", 1)]
@@ -176,6 +191,8 @@ def test_ingest_quarantines_and_emits(spark):
     assert status == {"ok": ("accepted", None, 3, 3), "score": ("quarantined", "score_mismatch", 0, 0), "twice": ("quarantined", "alternation_period_1", 2, 0)}
     assert {r.game_id for r in out["stints"].collect()} == {"ok"}
     assert out["totals"].first().stints_written == 3 and out["quarantine"].count() == 1
+    assert ingest.write(out, str(tmp_path / "kept"))["stints_written"] == 3
+    assert spark.read.json(str(tmp_path / "kept" / "stints")).count() == 3
 
 
 def test_gram_equals_the_dense_product(spark):

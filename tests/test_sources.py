@@ -79,6 +79,14 @@ def test_archive_conversion(spark, tmp_path):
     assert [r.EVENTNUM for r in out["play_by_play"].orderBy("place").collect()] == ["5", "2"]
     assert {(r.game_id, r.missing) for r in out["incomplete"].collect()} == {("0022100002", "datanba,shotdetail")}
     assert json.loads(archive.envelope(out["play_by_play"], "PlayByPlay", ["EVENTNUM"]).first().payload)["resultSets"][0]["rowSet"] == [["5"], ["2"]]
+    listed = archive.write_snapshot(out, str(tmp_path / "snap"), ["EVENTNUM"], ["TEAM_ID"]).select("file", "sha256").collect()
+    listed = spark.createDataFrame(listed, "file string, sha256 string")
+    plain = lambda d: d.where(~F.col("file").endswith("_SUCCESS") & ~F.col("file").endswith(".crc"))
+    assert spark.read.json(str(tmp_path / "snap" / "play_by_play")).count() == 1
+    assert plain(archive.changed_files(spark, str(tmp_path / "snap"), listed)).count() == 0
+    (tmp_path / "snap" / "more.json").write_text("{}")
+    other = listed.withColumn("sha256", F.when(F.col("file").startswith("names/"), "0").otherwise(F.col("sha256"))).union(spark.createDataFrame([("gone.json", "0")]))
+    assert {r.problem for r in plain(archive.changed_files(spark, str(tmp_path / "snap"), other)).collect()} == {"missing", "changed", "not recorded"}
     nested = archive.nested_periods(spark.createDataFrame([("g", 2, 1, "b"), ("g", 1, 0, "a")], "game_id string, period int, place int, tid string"), ["tid"])
     assert json.loads(nested.first().payload) == {"g": {"pd": [{"p": 1, "pla": [{"tid": "a"}]}, {"p": 2, "pla": [{"tid": "b"}]}]}}
 
@@ -113,6 +121,8 @@ def test_command_line(spark, tmp_path):
     assert cli.main(["lineups", "--stints", str(path), "--out", str(tmp_path / "o"), "--minimum", "10", "--report", str(tmp_path / "r.html")]) == 0
     assert spark.read.parquet(str(tmp_path / "o")).first().stints == 3 and "<table>" in (tmp_path / "r.html").read_text()
     assert cli.main(["lineups", "--stints", str(path), "--out", str(tmp_path / "o"), "--minimum", "0"]) == 2
+    assert cli.main(["totals", "--stints", str(path), "--out", str(tmp_path / "t")]) == 0 and spark.read.parquet(str(tmp_path / "t")).first().stints == 3
+    assert cli.main(["ingest", "--stints", str(path), "--out", str(tmp_path / "i")]) == 2
     assert report.bars([("a", 1.0)], "t").startswith("<h2>t</h2><svg")
     assert stints(spark, {}).count() == 1
 
