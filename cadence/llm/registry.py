@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, license_scan, packing, pii, quality, simhash, substring, topk, toxicity
+from . import bpe, chat, license_scan, packing, pii, quality, simhash, spelling, substring, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": license_scan.op8_licenses,
         "op9_chat": chat.op9_chat,
         "op10_substring": substring.op10_substring,
+        "op11_spelling": spelling.op11_spelling,
     }
 
 
