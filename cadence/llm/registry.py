@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, license_scan, packing, pii, quality, simhash, spelling, substring, topk, toxicity
+from . import bpe, chat, hard_negatives, language, license_scan, packing, pii, quality, simhash, spelling, substring, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chat": chat.op9_chat,
         "op10_substring": substring.op10_substring,
         "op11_spelling": spelling.op11_spelling,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+        "op13_language": language.op13_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_topk": topk.OP7_SQL, "op9_chat": chat.OP9_SQL}
+    return {"op7_topk": topk.OP7_SQL, "op9_chat": chat.OP9_SQL, "op12_hard_negatives": hard_negatives.OP12_SQL}
