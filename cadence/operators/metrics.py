@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,10 +95,46 @@ def draws(groups: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
     return taken.join(placed, "place")
 
 
-def bootstrap(groups: DataFrame, key: str, replicates: int, seed: int, **sums: Column) -> DataFrame:
-    """replicate, sums over groups drawn with replacement, and the number of draws."""
-    joined = draws(groups, key, replicates, seed)
-    return joined.groupBy("replicate").agg(*[F.sum(F.col("times") * c).alias(name) for name, c in sums.items()], F.sum("times").alias("draws"))
+#: Values of groups (8 bytes each) of so many bytes altogether go to every task.
+SENT_BYTES = 64 << 20
+
+
+def bootstrap(groups: DataFrame, key: str, replicates: int, seed: int, sent_bytes: int = SENT_BYTES, **sums: Column) -> DataFrame:
+    """replicate, sums over groups drawn with replacement, and the number of draws.
+
+    While the groups' values take ``sent_bytes`` at most, they go to every task, which makes the
+    draws of its own groups' places and adds up a vector of all replicates' sums: what is shuffled is one row for each
+    task and replicate. Beyond that, draws are counted by place and joined with the groups.
+    """
+    names = list(sums)
+    placed, n = ordered.numbered(groups.select(key, *[c.cast("double").alias(name) for name, c in sums.items()]), [F.col(key)])
+    if n * (len(names) + 1) * 8 > sent_bytes:
+        joined = draws(groups, key, replicates, seed)
+        return joined.groupBy("replicate").agg(*[F.sum(F.col("times") * c).alias(name) for name, c in sums.items()], F.sum("times").alias("draws"))
+    values = np.zeros((n, len(names)))
+    table = placed.select("place", *names).toArrow()
+    for k, name in enumerate(names):
+        values[table.column("place").to_numpy(), k] = table.column(name).fill_null(0.0).to_numpy()
+    sent = groups.sparkSession.sparkContext.broadcast(values)
+
+    def run(batches):
+        started = [hashlib.md5(f"{seed}|{r}|".encode()) for r in range(replicates)]
+        total, count = np.zeros((replicates, len(names))), 0
+        for b in batches:
+            for d in b.column("place").to_pylist():
+                last, at = str(d).encode(), np.empty(replicates, np.int64)
+                for r, base in enumerate(started):
+                    one = base.copy()
+                    one.update(last)
+                    at[r] = int.from_bytes(one.digest()[:4], "big") % n
+                total += sent.value[at]
+                count += 1
+        if count:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates), pa.int32()), *map(pa.array, total.T.copy()), pa.array(np.full(replicates, count), pa.int64())], names=["replicate", *names, "draws"])
+
+    spread = placed.select("place").repartition(max(1, min(256, n * replicates // 200_000)))
+    parts = spread.mapInArrow(run, ", ".join(["replicate int", *(f"`{name}` double" for name in names), "draws bigint"]))
+    return parts.groupBy("replicate").agg(*[F.sum(name).alias(name) for name in names], F.sum("draws").alias("draws"))
 
 
 def interval(replicates: DataFrame, value: str, low: float = 0.025, high: float = 0.975, fewest: int = 3) -> DataFrame:

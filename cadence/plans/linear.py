@@ -6,7 +6,7 @@ of the model (context columns and players), not of the data.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import gram
+from ..operators import shared
 
 #: The largest number of columns whose Gram matrix is solved on the driver (8 bytes a cell, squared).
 MAX_COLUMNS = 12_000
@@ -43,40 +43,53 @@ class Statistics:
 
 
 def collect(rows: DataFrame, fold: str | None = None) -> dict[object, Statistics]:
-    """Statistics of all rows (key None) or of each fold, from one pass over the design.
+    """Statistics of all rows (key None) or of each fold, from one pass over the design."""
+    return collect_many(rows, {"y": ("y", "w")}, fold)["y"]
 
-    The outcome stands in each row as one more cell (``~y``, last in order), so that one aggregate
-    gives the Gram matrix, the right-hand side and the sum of squares together. Its columns are
-    counted before any cell comes to the driver.
+
+def collect_many(rows: DataFrame, responses: dict[str, tuple[str, str]], fold: str | None = None) -> dict[str, dict[object, Statistics]]:
+    """Statistics for each response (name: value and weight columns) and fold (None: all rows), over
+    the columns of all variants (see ``operators.shared``), from one pass over the rows.
+
+    What comes to the driver is bounded: columns and keys are counted first, and columns squared,
+    times folds, times responses, may be ``MAX_COLUMNS`` squared at most.
     """
-    by = [fold] if fold else []
-    outcome = F.array(F.struct(F.lit("~y").alias("col"), F.col("y").cast("double").alias("val")))
-    rows = rows.persist()
-    sums = gram.gram(rows.withColumn("cells", F.concat("cells", outcome)), by).persist()
+    lead = [fold] if fold else []
+    sums = shared.sums(rows, list(responses.values()), fold).persist()
     try:
-        moments = gram.moments(rows, by).collect()
-        columns = [r[0] for r in sums.where("i = j and i <> '~y'").select("i").distinct().orderBy("i").limit(MAX_COLUMNS + 1).collect()]
-        if len(columns) > MAX_COLUMNS:
-            raise ValueError(f"there are more than {MAX_COLUMNS} columns")
+        columns = [r[0] for r in sums.where("i = j and i < '~'").select("i").distinct().orderBy("i").limit(MAX_COLUMNS + 1).collect()]
+        keys = [r[0] for r in sums.where("i = '~n'").select(*lead or [F.lit(None)]).distinct().limit(MAX_COLUMNS).collect()] or ([] if fold else [None])
+        if len(columns) > MAX_COLUMNS or len(columns) ** 2 * len(keys) * len(responses) > MAX_COLUMNS**2:
+            raise ValueError(f"{len(columns)} columns of {len(keys)} parts and {len(responses)} responses are more than the driver may hold")
         cells = sums.toArrow()
     finally:
         sums.unpersist()
-        rows.unpersist()
-    known = pa.array(columns, pa.string())
-    i, j = (pc.index_in(cells.column(c), value_set=known).combine_chunks().fill_null(-1).to_numpy() for c in ("i", "j"))
-    g, folds = cells.column("g").to_numpy(), cells.column(fold).to_pylist() if fold else None
+    known = pa.array([*columns, shared.OUTCOME, *shared.MOMENTS], pa.string())
+    i, j = (pc.index_in(cells.column(c), value_set=known).combine_chunks().to_numpy() for c in ("i", "j"))
+    code = pc.index_in(cells.column(fold), value_set=pa.array(keys, cells.column(fold).type)).combine_chunks().to_numpy() if fold else np.zeros(len(i), np.int64)
     size = len(columns)
-    out = {}
-    for m in moments:
-        key = m[fold] if fold else None
-        s = out[key] = Statistics(columns, np.zeros((size, size)), np.zeros(size), m["n"], m["q"], m["var_y"] or 0.0, m["slogw"], m["sw"])
-        mine = np.array([f == key for f in folds], bool) if fold else np.ones(len(g), bool)
-        inner, outer = mine & (i >= 0) & (j >= 0), mine & (i >= 0) & (j < 0)
-        s.g[i[inner], j[inner]] = s.g[j[inner], i[inner]] = g[inner]
-        s.b[i[outer]] = g[outer]  # y with itself: the sum of squares, which the moments hold
+    out: dict[str, dict[object, Statistics]] = {}
+    for r, name in enumerate(responses):
+        g, out[name] = cells.column(f"g{r}").to_numpy(), {}
+        for k, key in enumerate(keys):
+            mine = code == k
+            inner, outer = mine & (j < size), mine & (j == size)
+            moment = dict(zip(i[mine & (i > size)] - size - 1, g[mine & (i > size)]))
+            n, sw, slogw, q, sy, syy = (float(moment.get(m, 0.0)) for m in range(len(shared.MOMENTS)))
+            if not n and fold:
+                continue
+            s = out[name][key] = Statistics(columns, np.zeros((size, size)), np.zeros(size), int(n), q, max(0.0, syy / n - (sy / n) ** 2), slogw, sw)
+            s.g[i[inner], j[inner]] = s.g[j[inner], i[inner]] = g[inner]
+            s.b[i[outer]] = g[outer]
     return out
 
 
+def cut(s: Statistics, keep: np.ndarray) -> Statistics:
+    """The statistics of the model that has only the columns ``keep`` (a mask)."""
+    at = np.flatnonzero(keep)
+    return replace(s, columns=[s.columns[k] for k in at], g=s.g[np.ix_(at, at)], b=s.b[at])
+
+
 def total(parts: list[Statistics]) -> Statistics:
     n = sum(p.n for p in parts)
     add = lambda f: sum(f(p) for p in parts)
