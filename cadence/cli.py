@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import contract, profiles, splits
-from .plans import evaluation, ingest, models, report
+from .plans import confirmation, evaluation, ingest, models, report
 from .sources import records
 
 
@@ -77,8 +77,17 @@ def _roles(a, s: DataFrame) -> DataFrame:
 
 
 def _confirm(a, s: DataFrame) -> DataFrame:
+    held = s.sparkSession.createDataFrame(splits.unseen_pairs(s, a.count), "a long, b long")
+    holdouts = {"unseen_lineup": (splits.hold_out_lineups(s, splits.unseen_lineups(s, 120)), "lineup", None), "unseen_pair": (splits.hold_out_pairs(s, held), "pair", held)}
+    roles = _table(a, s, "roles")
+    k = (roles.agg(F.max("role")).first()[0] or 0) + 1
+    outcomes = (a.outcome,) if a.outcomes else ()
+    return confirmation.confirm(s, holdouts, {k: roles}, _table(a, s, "features"), _table(a, s, "outcomes") if a.outcomes else None, outcomes)[0]
+
+
+def _stability(a, s: DataFrame) -> DataFrame:
     seasons = [r[0] for r in s.select("season_index").distinct().orderBy("season_index").collect()]  # a few
-    return models.confirm([s.where(F.col("season_index") == k) for k in seasons])
+    return models.pair_stability([s.where(F.col("season_index") == k) for k in seasons])
 
 
 def _against(a, s: DataFrame) -> DataFrame:
@@ -130,11 +139,12 @@ VERBS = {
     "transport": (lambda a, s: models.transport(*_halves(a, s)), "one table's fit on another"),
     "calibrate": (lambda a, s: models.calibrated_groups(*_halves(a, s)), "calibration of group predictions"),
     "roles": (_roles, "clusters of players' features"),
-    "redundancy": (lambda a, s: models.compare_interactions(*_halves(a, s), _table(a, s, "roles"), a.count, a.minimum, _table(a, s, "features")), "interaction terms and placebos"),
+    "redundancy": (lambda a, s: confirmation.compare(*_halves(a, s), _table(a, s, "roles"), a.count, a.minimum, _table(a, s, "features")), "interaction terms and placebos"),
     "evaluate_lift": (lambda a, s: models.evaluate_lift(*_halves(a, s), a.side), "lift against its placebo"),
     "mechanistic": (lambda a, s: models.mechanistic_outcomes(*_halves(a, s), _table(a, s, "outcomes")), "outcomes' own fits"),
     "receivers": (lambda a, s: models.evaluate_receivers(_table(a, s, "production")), "teammates' effects on receivers"),
-    "confirm": (_confirm, "whether pair effects of a season come back in others"),
+    "confirm": (_confirm, "role and redundancy models against placebos on held-out lineups and pairs, with intervals"),
+    "stability": (_stability, "whether pair effects of a season come back in others"),
     "against": (_against, "two lineups against each other, or an offense against a defense"),
     "totals": (lambda a, s: contract.selection_totals(s, a.minimum, a.game, a.team, a.player), "totals of a selection"),
     "decompose": (_decompose, "talent, context and residual under a saved model"),

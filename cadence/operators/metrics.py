@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,21 +108,24 @@ def bootstrap(groups: DataFrame, key: str, replicates: int, seed: int, sent_byte
     task and replicate. Beyond that, draws are counted by place and joined with the groups.
     """
     names = list(sums)
-    placed, n = ordered.numbered(groups.select(key, *[c.cast("double").alias(name) for name, c in sums.items()]), [F.col(key)])
-    if n * (len(names) + 1) * 8 > sent_bytes:
+    wanted = groups.select(key, *[c.cast("double").alias(name) for name, c in sums.items()]).persist()
+    try:
+        n = wanted.count()
+        table = wanted.toArrow() if n * (len(names) + 1) * 8 <= sent_bytes else None
+    finally:
+        wanted.unpersist()
+    if table is None:
         joined = draws(groups, key, replicates, seed)
         return joined.groupBy("replicate").agg(*[F.sum(F.col("times") * c).alias(name) for name, c in sums.items()], F.sum("times").alias("draws"))
-    values = np.zeros((n, len(names)))
-    table = placed.select("place", *names).toArrow()
-    for k, name in enumerate(names):
-        values[table.column("place").to_numpy(), k] = table.column(name).fill_null(0.0).to_numpy()
+    table = table.take(pc.sort_indices(table, sort_keys=[(key, "ascending")], null_placement="at_start"))  # a group's place is its key's
+    values = np.column_stack([table.column(name).fill_null(0.0).to_numpy() for name in names])
     sent = groups.sparkSession.sparkContext.broadcast(values)
 
     def run(batches):
         started = [hashlib.md5(f"{seed}|{r}|".encode()) for r in range(replicates)]
         total, count = np.zeros((replicates, len(names))), 0
         for b in batches:
-            for d in b.column("place").to_pylist():
+            for d in b.column("id").to_pylist():
                 last, at = str(d).encode(), np.empty(replicates, np.int64)
                 for r, base in enumerate(started):
                     one = base.copy()
@@ -132,8 +136,8 @@ def bootstrap(groups: DataFrame, key: str, replicates: int, seed: int, sent_byte
         if count:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates), pa.int32()), *map(pa.array, total.T.copy()), pa.array(np.full(replicates, count), pa.int64())], names=["replicate", *names, "draws"])
 
-    spread = placed.select("place").repartition(max(1, min(256, n * replicates // 200_000)))
-    parts = spread.mapInArrow(run, ", ".join(["replicate int", *(f"`{name}` double" for name in names), "draws bigint"]))
+    places = groups.sparkSession.range(0, n, 1, max(1, min(256, n * replicates // 200_000)))
+    parts = places.mapInArrow(run, ", ".join(["replicate int", *(f"`{name}` double" for name in names), "draws bigint"]))
     return parts.groupBy("replicate").agg(*[F.sum(name).alias(name) for name in names], F.sum("draws").alias("draws"))
 
 

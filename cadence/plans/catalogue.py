@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import contract, gram, intervals, metrics, ordered, profiles, reconcile, splits
+from ..operators import contract, gram, intervals, metrics, ordered, profiles, reconcile, shared, splits
 from ..sources import views as V
 from ..sources.views import POSSESSION_SQL, PROFILE_SQL, STINT_SQL, WINDOW_SQL
 
@@ -802,12 +802,21 @@ def ridge_band(spark, sf):
     return models.ridge_band(*_halves(spark, sf))
 
 
+def _supplier_roles(spark, sf, k):
+    return V.table(spark, sf, "supplier").select((F.col("s_suppkey") % V.PLAYERS).alias("member")).distinct().withColumn("role", F.col("member") % k)
+
+
+def _exposure_vectors(stints):
+    """member, a, b: what a player's possessions and games say of them."""
+    return contract.player_exposure(stints).select(F.col("player").alias("member"), (F.col("off_possessions") / 1000).alias("a"), F.col("games").cast("double").alias("b"))
+
+
 @query()
 def interaction_comparison(spark, sf):
-    from . import models
+    from . import confirmation
 
-    roles = V.table(spark, sf, "supplier").select((F.col("s_suppkey") % V.PLAYERS).alias("member")).distinct().withColumn("role", F.col("member") % 3)
-    return models.compare_interactions(*_halves(spark, sf), roles, 3, 20)
+    s = V.stints(spark, sf)
+    return confirmation.compare(*_halves(spark, sf), _supplier_roles(spark, sf, 3), 3, 20, _exposure_vectors(s))
 
 
 @query()
@@ -1031,11 +1040,77 @@ def lift_evaluation(spark, sf):
 
 
 @query()
-def confirmation_sweep(spark, sf):
+def pair_stability(spark, sf):
     from . import models
 
     s = V.stints(spark, sf)
-    return models.confirm([s.where("season_index % 2 = 0"), s.where("season_index % 2 = 1")])
+    return models.pair_stability([s.where("season_index % 2 = 0"), s.where("season_index % 2 = 1")])
+
+
+@query()
+def confirmation_sweep(spark, sf):
+    from . import confirmation
+
+    s = V.stints(spark, sf)
+    held = spark.createDataFrame(splits.unseen_pairs(s), "a long, b long")
+    holdouts = {"unseen_lineup": (splits.hold_out_lineups(s, splits.unseen_lineups(s, 120)), "lineup", None), "unseen_pair": (splits.hold_out_pairs(s, held), "pair", held)}
+    counts = _outcome_counts(spark, sf).withColumn("stint_id", F.col("l_orderkey").cast("string"))
+    return confirmation.confirm(s, holdouts, {k: _supplier_roles(spark, sf, k) for k in (3, 5, 7)}, _exposure_vectors(s), counts, ("three_share",))[0]
+
+
+_VARIANT_SQL = f"""{STINT}, n AS (SELECT CAST(l_orderkey AS VARCHAR) AS stint_id, count(*) FILTER (l_returnflag = 'A') AS threes, count(*) AS attempts FROM lineitem GROUP BY 1),
+  r AS (SELECT stint_id, offense_player_ids AS o, defense_player_ids AS d, 100.0::DOUBLE * points_scored / offensive_possessions AS y, offensive_possessions::DOUBLE AS w, CASE WHEN attempts >= 3 THEN threes::DOUBLE / attempts END AS ys, CASE WHEN attempts >= 3 THEN attempts::DOUBLE END AS ws FROM stint LEFT JOIN n USING (stint_id)),
+  m AS (SELECT stint_id, unnest(o) AS p FROM r), q AS (SELECT x.stint_id, x.p AS p, z.p AS q FROM m x JOIN m z ON x.stint_id = z.stint_id AND x.p < z.p),
+  role AS (SELECT stint_id, 'role' AS v, p % 3 AS a, q % 3 AS b, 3 AS k FROM q WHERE p <> 11 AND q <> 11 UNION ALL SELECT stint_id, 'other', (p // 3) % 4, (q // 3) % 4, 4 FROM q),
+  cell AS (SELECT stint_id, '' AS v, 'o' || unnest(o) AS col, 1.0::DOUBLE AS val FROM r UNION ALL SELECT stint_id, '', 'd' || unnest(d), -1.0 FROM r
+    UNION ALL SELECT stint_id, v, 'v:' || v || '|' || CAST(least(a, b) * k - least(a, b) * (least(a, b) - 1) // 2 + greatest(a, b) - least(a, b) AS BIGINT), count(*) FROM role GROUP BY ALL
+    UNION ALL SELECT stint_id, 'alike', 'v:alike|z', power(sum(p % 5 - 2), 2) - sum(power(p % 5 - 2, 2)) FROM m GROUP BY stint_id),
+  pair AS (SELECT v.stint_id, v.v AS variant, v.col AS i, u.col AS j, v.val * u.val AS x FROM cell v JOIN cell u ON v.stint_id = u.stint_id AND v.col <= u.col AND (v.v = u.v OR v.v = '' OR u.v = '')),
+  prod AS (SELECT stint_id, i, j, x FROM pair UNION ALL SELECT stint_id, col, '~y', val FROM cell)
+  SELECT i, j, round(sum(x * w * CASE WHEN j = '~y' THEN y ELSE 1 END), 3) AS points, round(coalesce(sum(x * ws * CASE WHEN j = '~y' THEN ys ELSE 1 END), 0), 3) AS shots FROM prod JOIN r USING (stint_id) GROUP BY i, j HAVING bool_or(x <> 0)"""
+
+
+@query(_VARIANT_SQL)
+def variant_statistics(spark, sf):
+    from . import confirmation, variants
+
+    s, members = V.stints(spark, sf), spark.range(V.PLAYERS).select(F.col("id").alias("member"))
+    counts = _outcome_counts(spark, sf).withColumn("stint_id", F.col("l_orderkey").cast("string"))
+    known = [
+        variants.of_roles("role", members.select("member", F.when(F.col("member") != 11, F.col("member") % 3).alias("role")), 3),
+        variants.of_roles("other", members.select("member", (F.floor(F.col("member") / 3) % 4).alias("role")), 4),
+        variants.Variant("alike", features=("z",), vectors={m: [float(m % 5 - 2)] for m in range(V.PLAYERS)}),
+    ]
+    valued = confirmation.with_outcomes(s, counts, ("three_share",), 3)
+    rows = variants.add(gram.design(valued, keep=(variants.MEMBERS, "y_three_share", "w_three_share")), known)
+    return shared.sums(rows, [("y", "w"), ("y_three_share", "w_three_share")]).where("i < '~'").select("i", "j", F.round("g0", 3).alias("points"), F.round("g1", 3).alias("shots"))
+
+
+_FLAT = {"constant": "1.0", "copy": "CASE WHEN home_offense THEN 1.0 ELSE 0 END", "half": "0.5 * abs(score_margin_offense)", "size": "abs(score_margin_offense)::DOUBLE", "zero": "0.0"}
+
+
+@query(f"""{STINT}, v AS (SELECT stint_id, 'home' AS col, CASE WHEN home_offense THEN 1.0 ELSE 0 END::DOUBLE AS x FROM stint {" ".join(f"UNION ALL SELECT stint_id, '{n}', CAST({e} AS DOUBLE) FROM stint" for n, e in _FLAT.items())}),
+  f AS (SELECT col FROM v GROUP BY col HAVING max(x) = min(x)), c AS (SELECT a.col AS a, b.col AS b, corr(a.x, b.x) AS r FROM v a JOIN v b USING (stint_id) WHERE a.col < b.col AND a.col NOT IN (FROM f) AND b.col NOT IN (FROM f) GROUP BY ALL)
+  SELECT 'c_' || col AS col FROM f UNION SELECT 'c_' || b FROM c WHERE abs(r) > 1 - 1e-9""")
+def dropped_columns(spark, sf):
+    from . import linear
+
+    m = F.abs("score_margin_offense").cast("double")
+    home = F.col("home_offense").cast("int").cast("double")
+    columns = {"intercept": F.lit(1.0), "home": home, "constant": F.lit(1.0), "copy": home, "half": 0.5 * m, "size": m, "zero": F.lit(0.0)}
+    rows = gram.design(V.stints(spark, sf).withColumns({c: F.array().cast("array<bigint>") for c in ("offense_player_ids", "defense_player_ids")}), columns)
+    # a column that is all zero has no cell to be seen by: it is found by its absence
+    s = linear.collect(rows)[None]
+    gone = [c for c, x in zip(s.columns, linear.dependent(s)) if x] + [f"c_{n}" for n in columns if f"c_{n}" not in s.columns]
+    return spark.createDataFrame([(c,) for c in gone], "col string")
+
+
+@query()
+def redundancy_evaluation(spark, sf):
+    from . import confirmation
+
+    s = V.stints(spark, sf)
+    return confirmation.redundancy_effects(s, _exposure_vectors(s).where(F.col("member") < V.PLAYERS))
 
 
 @query()

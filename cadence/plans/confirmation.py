@@ -14,25 +14,15 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import contract, gram, metrics, profiles
 from . import linear, variants
-from .models import PLAYERS, design_rows, pairs_met
+from .models import PLAYERS, design_rows, pairs_met, rung_errors
 
 POINTS = "points_per_100"
 _BLOCKS = PLAYERS | {"extra": ("v:",)}
-ROUNDS = 60
+ROUNDS = 30
 #: Groups that a mediation needs at least.
 FEWEST = 5
 
 
-def dealt_roles(roles: DataFrame, seed: int) -> DataFrame:
-    return profiles.permuted(roles, "member", "role", seed)
-
-
-def dealt_vectors(vectors: DataFrame, seed: int) -> DataFrame:
-    names = [c for c in vectors.columns if c != "member"]
-    packed = vectors.select("member", F.struct(*names).alias("v"))
-    return profiles.permuted(packed, "member", "v", seed).select("member", *[F.col(f"v.{n}").alias(n) for n in names])
-
-
 def _responses(outcomes: tuple[str, ...]) -> dict[str, tuple[str, str]]:
     return {POINTS: ("y", "w")} | {o: (f"y_{o}", f"w_{o}") for o in outcomes}
 
@@ -71,7 +61,8 @@ def _table(train: DataFrame, coefs: dict[str, tuple[list[str], np.ndarray]]) ->
 
 
 def _fit(s: linear.Statistics) -> tuple[list[str], np.ndarray]:
-    return s.columns, linear.expectation_maximisation(s, _BLOCKS, rounds=ROUNDS).coef
+    fit = linear.expectation_maximisation(s, _BLOCKS, rounds=ROUNDS)
+    return fit.columns, fit.coef
 
 
 def _deltas(groups: DataFrame, pairs: dict[str, tuple[str, str]], replicates: int, seed: int) -> dict[str, tuple]:
@@ -108,9 +99,9 @@ def confirm(stints: DataFrame, holdouts: dict[str, tuple], roles: dict[int, Data
             known = {}
             for k, r in sorted(roles.items()):
                 known["role", k] = variants.of_roles(f"role{k}", r, k)
-                known["role_placebo", k] = variants.of_roles(f"role_placebo{k}", dealt_roles(r, seed + 1), k)
+                known["role_placebo", k] = variants.dealt(known["role", k], f"role_placebo{k}", seed + 1)
             known["redundancy", 0] = variants.of_vectors("redundancy", vectors, train)
-            known["redundancy_placebo", 0] = variants.of_vectors("redundancy_placebo", dealt_vectors(vectors, seed + 1), train)
+            known["redundancy_placebo", 0] = variants.scaled(variants.dealt(known["redundancy", 0], "redundancy_placebo", seed + 1), train)
             stats = model_statistics(train, list(known.values()), outcomes)
             coefs: dict[str, tuple] = {}
             for response, s in stats.items():
@@ -160,14 +151,14 @@ def compare(train: DataFrame, test: DataFrame, roles: DataFrame, k: int, minimum
     """model, macro_rmse, micro_rmse: pair, role-pair and (with ``vectors``: member, features)
     redundancy terms, and their placebos (roles and vectors dealt out anew, pairs admitted at random),
     against the hierarchical fit, by lineup on the test side. One pass over either side."""
-    from .models import rung_errors
-
     admitted = contract.pair_exposure(train, minimum).select("a", "b")
     chosen = variants.of_pairs("pairs", admitted)
     random_pairs = pairs_met(train).orderBy(F.md5(S.pair_id("a", "b"))).limit(len(chosen.pairs))
-    known = [chosen, variants.of_pairs("pairs_placebo", random_pairs), variants.of_roles("roles", roles, k), variants.of_roles("roles_placebo", dealt_roles(roles, 17), k)]
+    roled = variants.of_roles("roles", roles, k)
+    known = [chosen, variants.of_pairs("pairs_placebo", random_pairs), roled, variants.dealt(roled, "roles_placebo", 17)]
     if vectors is not None:
-        known += [variants.of_vectors("redundancy", vectors, train), variants.of_vectors("redundancy_placebo", dealt_vectors(vectors, 19), train)]
+        alike = variants.of_vectors("redundancy", vectors, train)
+        known += [alike, variants.scaled(variants.dealt(alike, "redundancy_placebo", 19), train)]
     s = model_statistics(train, known)[POINTS]
     coefs = {"base": _fit(model_part(s, None))} | {v.name: _fit(model_part(s, v)) for v in known}
     named = test.withColumn("lineup", S.lineup_id(variants.MEMBERS))

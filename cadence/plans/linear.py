@@ -14,7 +14,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
 from ..operators import shared
 
 #: The largest number of columns whose Gram matrix is solved on the driver (8 bytes a cell, squared).
@@ -96,9 +95,38 @@ def total(parts: list[Statistics]) -> Statistics:
     return Statistics(parts[0].columns, add(lambda p: p.g), add(lambda p: p.b), n, add(lambda p: p.q), add(lambda p: p.var_y * p.n) / max(n, 1), add(lambda p: p.slogw), add(lambda p: p.sw))
 
 
+def dependent(s: Statistics, blocks: tuple[str, ...] = ("c_",), tolerance: float = 1e-10) -> np.ndarray:
+    """A mask of the columns of ``blocks`` that say nothing beyond the others: dead ones (all zero), and
+    those that are sums of multiples of others, such as constants beside the intercept and copies.
+
+    A pivoted Cholesky factorisation of their scaled Gram matrix: the column with the most left to
+    say is taken, the intercept before all and of equals the first; what is left under ``tolerance`` is dependent.
+    """
+    at = np.flatnonzero(s.block(blocks))
+    at = at[np.argsort([s.columns[k] != "c_intercept" for k in at], kind="stable")]
+    size = np.diag(s.g)[at]
+    scale = np.where(size > 0, 1 / np.sqrt(np.where(size > 0, size, 1.0)), 0.0)
+    g = s.g[np.ix_(at, at)] * np.outer(scale, scale)
+    left, free, steps = np.diag(g).copy(), np.ones(len(at), bool), np.zeros((0, len(at)))
+    while free.any():
+        k = 0 if not len(steps) and left[0] > 0 else int(np.argmax(np.where(free, left, -1.0)))
+        if left[k] <= tolerance:
+            break
+        step = (g[k] - steps[:, k] @ steps) / np.sqrt(left[k])
+        steps, free[k] = np.vstack([steps, step]), False
+        left = left - step * step
+    out = np.zeros(len(s.columns), bool)
+    out[at[free]] = True
+    return out
+
+
 def ridge(s: Statistics, penalty: float, context_penalty: float = 1e-3) -> np.ndarray:
+    """Coefficients of all columns; dependent ones have none."""
+    some = np.flatnonzero(~dependent(s))
     weight = np.where(s.block(("c_",)), context_penalty, penalty)
-    return np.linalg.solve(s.g + np.diag(weight), s.b)
+    coef = np.zeros(len(s.columns))
+    coef[some] = np.linalg.solve(s.g[np.ix_(some, some)] + np.diag(weight[some]), s.b[some])
+    return coef
 
 
 def choose_penalty(folds: dict[object, Statistics], grid: tuple[float, ...] = (3.0, 10.0, 30.0, 100.0)) -> float:
@@ -124,13 +152,20 @@ class Fit:
     sigma2: float
     log_likelihoods: list[float]
 
+    def on(self, columns: list[str]) -> np.ndarray:
+        """The coefficients of ``columns``; zero for those that the fit doesn't have."""
+        known = dict(zip(self.columns, self.coef))
+        return np.array([known.get(c, 0.0) for c in columns])
+
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(c, float(v)) for c, v in zip(self.columns, self.coef)], "col string, coef double")
 
 
 def expectation_maximisation(s: Statistics, blocks: dict[str, tuple[str, ...]], tolerance: float = 1e-6, rounds: int = 200) -> Fit:
     """Variance components by EM: one variance for each block of columns, a wide fixed prior for the
-    context, one noise variance. The likelihood must not fall; every step uses the statistics only."""
+    context, one noise variance. The likelihood must not fall; every step uses the statistics only.
+    Dependent columns are left out of the fit, so they add nothing to a prediction either."""
+    s = cut(s, ~dependent(s))
     p = len(s.columns)
     masks = {k: s.block(v) for k, v in blocks.items()}
     masks = {k: m for k, m in masks.items() if m.any()}
@@ -149,7 +184,7 @@ def expectation_maximisation(s: Statistics, blocks: dict[str, tuple[str, ...]],
         log.append(float(-0.5 * (s.n * np.log(2 * np.pi * sigma2) - s.slogw + s.q / sigma2 - half @ half + np.log(prior).sum() + 2 * np.log(np.diag(chol)).sum())))
         trace = sigma2 * (p - float((v / prior).sum()))
         new = {k: max(1e-12, float((mu[m] @ mu[m] + v[m].sum()) / m.sum())) for k, m in masks.items()}
-        new_sigma2 = max(1e-12, (s.residual(mu) + trace) / s.n)
+        new_sigma2 = max(1e-12, 1e-6 * s.var_y, (s.residual(mu) + trace) / s.n)  # an exact outcome leaves no noise
         step = max([abs(np.log(new[k] / variances[k])) for k in masks] + [abs(np.log(new_sigma2 / sigma2))])
         variances, sigma2 = new, new_sigma2
         if step < tolerance:
@@ -203,26 +238,12 @@ def group_predictive(fit: Fit, group_rows: DataFrame, group: str) -> DataFrame:
     return listed.mapInPandas(run, f"{group} {kind}, weight double, mean double, sd double")
 
 
-def with_pairs(rows: DataFrame, stints: DataFrame, admitted: DataFrame) -> DataFrame:
-    """Design rows with a cell for each admitted pair (a, b) on offense; others add nothing."""
-    pairs = stints.select("stint_id", F.explode(S.pairs_of("offense_player_ids")).alias("p")).select("stint_id", "p.a", "p.b").join(admitted.select("a", "b"), ["a", "b"])
-    cells = pairs.groupBy("stint_id").agg(F.collect_list(F.struct(F.concat(F.lit("p"), S.pair_id("a", "b")).alias("col"), F.lit(1.0).alias("val"))).alias("extra"))
-    return _with_extra(rows, cells)
-
-
 def with_role_pairs(rows: DataFrame, bins: DataFrame) -> DataFrame:
     """Design rows with the counts of role-pair bins (row, bin, n)."""
     cells = bins.groupBy(F.col("row").alias("stint_id")).agg(F.collect_list(F.struct(F.concat(F.lit("r"), F.col("bin").cast("string")).alias("col"), F.col("n").cast("double").alias("val"))).alias("extra"))
     return _with_extra(rows, cells)
 
 
-def with_columns(rows: DataFrame, extra: DataFrame, tag: str) -> DataFrame:
-    """Design rows with dense extra columns (stint_id, ...), missing rows as zeros."""
-    names = [c for c in extra.columns if c != "stint_id"]
-    cells = extra.select("stint_id", F.array(*[F.struct(F.lit(tag + c).alias("col"), F.coalesce(F.col(c), F.lit(0.0)).alias("val")) for c in names]).alias("extra"))
-    return _with_extra(rows, cells)
-
-
 def _with_extra(rows: DataFrame, cells: DataFrame) -> DataFrame:
     return rows.join(cells, "stint_id", "left").withColumn("cells", F.when(F.col("extra").isNull(), F.col("cells")).otherwise(F.concat("cells", "extra"))).drop("extra")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import contract, gram, metrics, ordered, profiles, splits
-from . import linear
+from . import linear, variants
 
 MIN_STINTS, MIN_TRANSPORT = 50, 10
 PLAYERS = {"player": ("o", "d")}
@@ -45,23 +45,24 @@ def fit_hierarchical(stints: DataFrame) -> linear.Fit:
     return linear.expectation_maximisation(linear.collect(design_rows(stints))[None], PLAYERS)
 
 
+def _fit_with(stints: DataFrame, variant: variants.Variant, block: str, rounds: int = 200) -> linear.Fit:
+    rows = variants.add(design_rows(stints, keep=(variants.MEMBERS,)), [variant])
+    return linear.expectation_maximisation(linear.collect(rows)[None], PLAYERS | {block: (variant.prefix,)}, rounds=rounds)
+
+
 def fit_pairs(stints: DataFrame, minimum: int) -> linear.Fit:
-    admitted = contract.pair_exposure(stints, minimum)
-    rows = linear.with_pairs(design_rows(stints), stints, admitted)
-    return linear.expectation_maximisation(linear.collect(rows)[None], PLAYERS | {"pair": ("p",)}, rounds=30)
+    """With a column for each pair of at least ``minimum`` shared stints."""
+    return _fit_with(stints, variants.of_pairs("pairs", contract.pair_exposure(stints, minimum), "p"), "pair", 30)
 
 
 def fit_role_pairs(stints: DataFrame, roles: DataFrame, k: int) -> linear.Fit:
     """roles: (member, role); members without a role form no pair."""
-    members = stints.select(F.col("stint_id").alias("row"), F.explode("offense_player_ids").alias("member")).join(roles, "member", "left")
-    rows = linear.with_role_pairs(design_rows(stints), profiles.role_pairs(members, k))
-    return linear.expectation_maximisation(linear.collect(rows)[None], PLAYERS | {"roles": ("r",)})
+    return _fit_with(stints, variants.of_roles("roles", roles, k, "r"), "roles")
 
 
 def fit_redundancy(stints: DataFrame, vectors: DataFrame, names: list[str]) -> linear.Fit:
     """vectors: (member, names...): concentration of each name, standardised, as dense columns."""
-    rows = linear.with_columns(design_rows(stints), concentrations(stints, vectors, names, stints), "x_")
-    return linear.expectation_maximisation(linear.collect(rows)[None], PLAYERS | {"redundancy": ("x_",)})
+    return _fit_with(stints, variants.of_vectors("redundancy", vectors.select("member", *names), stints, "x_"), "redundancy")
 
 
 def residual_rows(stints: DataFrame, folds: int = 4) -> DataFrame:
@@ -328,7 +329,7 @@ def rungs(train: DataFrame, test: DataFrame, interacting: bool = False) -> DataF
     mask = s.block(("c_",))
     zero = np.zeros(len(mask))
     zero[mask] = np.linalg.solve(s.g[np.ix_(mask, mask)] + 1e-3 * np.eye(mask.sum()), s.b[mask])
-    fits = {"0_context": zero, "2_ridge": linear.ridge(s, 30.0), "3_hierarchical": linear.expectation_maximisation(s, PLAYERS).coef}
+    fits = {"0_context": zero, "2_ridge": linear.ridge(s, 30.0), "3_hierarchical": linear.expectation_maximisation(s, PLAYERS).on(s.columns)}
     coefs = spark.createDataFrame([(c, *[float(v[i]) for v in fits.values()]) for i, c in enumerate(s.columns)], "col string, " + ", ".join(f"`{n}` double" for n in fits))
     residuals = gram.scored(fit_rows, coefs.select("col", F.col("0_context").alias("coef"))).select("lineup", (F.col("y") - F.col("predicted")).alias("e"), "w")
     shifts = linear.shrunk_lineup_shifts(residuals).select("lineup", "shift")
@@ -509,47 +510,6 @@ def ridge_band(train: DataFrame, test: DataFrame, replicates: int = 20, seed: in
     return spread.select("lineup", "weight", "point", F.sqrt(F.coalesce("v", F.lit(0.0)) + F.lit(sigma2) / F.col("weight")).alias("sd"))
 
 
-def compare_interactions(train: DataFrame, test: DataFrame, roles: DataFrame, k: int, minimum: int, vectors: DataFrame | None = None) -> DataFrame:
-    """model, macro_rmse, micro_rmse: pair, role-pair and (with ``vectors``: member, features)
-    redundancy terms, and their placebos (roles and vectors dealt out anew, pairs admitted at random),
-    against the hierarchical fit, by lineup on the test side."""
-    spark = train.sparkSession
-    test = _lineups(test)
-    base_rows, test_rows = design_rows(train).persist(), design_rows(test, train, ("lineup",)).persist()
-    admitted = contract.pair_exposure(train, minimum).select("a", "b")
-    random_pairs = pairs_met(train).orderBy(F.md5(S.pair_id("a", "b"))).limit(admitted.count())
-    roled = lambda s, r: profiles.role_pairs(s.select(F.col("stint_id").alias("row"), F.explode("offense_player_ids").alias("member")).join(r, "member", "left"), k)
-    shuffled = profiles.permuted(roles, "member", "role", 17)
-    variants = {
-        "base": (base_rows, test_rows),
-        "pairs": (linear.with_pairs(base_rows, train, admitted), linear.with_pairs(test_rows, test, admitted)),
-        "pairs_placebo": (linear.with_pairs(base_rows, train, random_pairs), linear.with_pairs(test_rows, test, random_pairs)),
-        "roles": (linear.with_role_pairs(base_rows, roled(train, roles)), linear.with_role_pairs(test_rows, roled(test, roles))),
-        "roles_placebo": (linear.with_role_pairs(base_rows, roled(train, shuffled)), linear.with_role_pairs(test_rows, roled(test, shuffled))),
-    }
-    if vectors is not None:
-        names = [c for c in vectors.columns if c != "member"]
-        packed = vectors.select("member", F.struct(*names).alias("v"))
-        dealt = profiles.permuted(packed, "member", "v", 19).select("member", *[F.col(f"v.{n}").alias(n) for n in names])
-        for name, given in (("redundancy", vectors), ("redundancy_placebo", dealt)):
-            conc = lambda s, given=given: concentrations(s, given, names, train)
-            variants[name] = (linear.with_columns(base_rows, conc(train), "x_"), linear.with_columns(test_rows, conc(test), "x_"))
-    out = None
-    for name, (fit_rows, score_rows) in variants.items():
-        fit = linear.expectation_maximisation(linear.collect(fit_rows)[None], PLAYERS | {"extra": ("p", "r", "x_")}, rounds=30)
-        one = rung_errors(gram.scored(score_rows, fit.table(spark).withColumnRenamed("coef", name)), "lineup", (name,))
-        out = one if out is None else out.union(one)
-    return out.select(F.col("rung").alias("model"), "macro_rmse", "micro_rmse")
-
-
-def concentrations(stints: DataFrame, vectors: DataFrame, names: list[str], train: DataFrame) -> DataFrame:
-    """stint_id and, for each feature, the concentration among its five, scaled as in ``train``."""
-    of = lambda s: profiles.concentration(s.select("stint_id", F.explode("offense_player_ids").alias("member")).join(vectors, "member", "left").na.fill(0.0, names), "stint_id", names)
-    scale = of(train).agg(*[f(n).alias(f"{k}_{n}") for n in names for k, f in (("m", F.avg), ("s", F.stddev_pop))])
-    z = lambda n: (F.col(n) - F.col(f"m_{n}")) / F.coalesce(F.nullif(F.col(f"s_{n}"), F.lit(0.0)), F.lit(1.0))
-    return of(stints).crossJoin(F.broadcast(scale)).select("stint_id", *[z(n).alias(n) for n in names])  # scale: one row
-
-
 def evaluate_lift(train: DataFrame, test: DataFrame, side: str = "offense", permute: int = 23) -> DataFrame:
     """model, macro_rmse, micro_rmse: the additive ridge, with players' lift of their teammates added, and
     with the lift of effects dealt out anew, by lineup on the test side."""
@@ -593,7 +553,7 @@ def mechanistic_outcomes(train: DataFrame, test: DataFrame, counts: DataFrame, m
     return out
 
 
-def confirm(parts: list[DataFrame], strengths: tuple[float, ...] = (8.0, 25.0, 70.0)) -> DataFrame:
+def pair_stability(parts: list[DataFrame], strengths: tuple[float, ...] = (8.0, 25.0, 70.0)) -> DataFrame:
     """first, second, strength, groups, correlation: whether pair effects fitted on one part of the data
     come back on another, over the pairs that both have."""
     fits = [residual_rows(p).persist() for p in parts]

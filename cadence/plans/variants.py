@@ -8,7 +8,8 @@ pairs) is of the model's size: it goes to every task, after a count. All variant
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import hashlib
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -43,35 +44,49 @@ class Variant:
     vectors: dict[int, list[float]] = field(default_factory=dict)
     shift: np.ndarray | None = None
     scale: np.ndarray | None = None
+    tag: str | None = None
 
     @property
     def prefix(self) -> str:
-        return f"v:{self.name}|"
+        return self.tag or f"v:{self.name}|"
 
     def players(self) -> set[int]:
         return {*self.roles, *self.vectors, *(m for p in self.pairs for m in p)}
 
 
-def of_roles(name: str, roles: DataFrame, k: int) -> Variant:
+def of_roles(name: str, roles: DataFrame, k: int, tag: str | None = None) -> Variant:
     """roles: (member, role), null for none."""
-    return Variant(name, k=k, roles={int(r[0]): int(r[1]) for r in _bounded(roles.where("role IS NOT NULL"), ["member", "role"])})
+    return Variant(name, k=k, tag=tag, roles={int(r[0]): int(r[1]) for r in _bounded(roles.where("role IS NOT NULL"), ["member", "role"])})
 
 
-def of_pairs(name: str, admitted: DataFrame) -> Variant:
+def of_pairs(name: str, admitted: DataFrame, tag: str | None = None) -> Variant:
     """admitted: (a, b), a < b."""
-    return Variant(name, pairs=sorted((int(r[0]), int(r[1])) for r in _bounded(admitted, ["a", "b"])))
+    return Variant(name, tag=tag, pairs=sorted((int(r[0]), int(r[1])) for r in _bounded(admitted, ["a", "b"])))
 
 
-def of_vectors(name: str, vectors: DataFrame, train: DataFrame) -> Variant:
+def of_vectors(name: str, vectors: DataFrame, train: DataFrame, tag: str | None = None) -> Variant:
     """vectors: (member, features...). Concentrations are scaled by their mean and deviation over ``train``."""
     names = [c for c in vectors.columns if c != "member"]
     rows = _bounded(vectors, ["member", *names])
-    plain = Variant(name, features=tuple(names), vectors={int(r[0]): [float(x or 0.0) for x in r[1:]] for r in rows})
+    return scaled(Variant(name, tag=tag, features=tuple(names), vectors={int(r[0]): [float(x or 0.0) for x in r[1:]] for r in rows}), train)
+
+
+def scaled(v: Variant, train: DataFrame) -> Variant:
+    plain = replace(v, shift=None, scale=None)
     cells = add(train.select(MEMBERS), [plain]).select(F.explode(F.flatten("extras")).alias("c"))
     found = {r["col"]: (r["m"], r["s"]) for r in cells.groupBy("c.col").agg(F.avg("c.val").alias("m"), F.stddev_pop("c.val").alias("s")).collect()}  # a row for each feature
-    scale = [found.get(plain.prefix + n, (0.0, 1.0)) for n in names]
-    plain.shift, plain.scale = np.array([m for m, _ in scale]), np.array([s or 1.0 for _, s in scale])
-    return plain
+    scale = [found.get(plain.prefix + n, (0.0, 1.0)) for n in v.features]
+    return replace(v, shift=np.array([m for m, _ in scale]), scale=np.array([s or 1.0 for _, s in scale]))
+
+
+def dealt(v: Variant, name: str, seed: int) -> Variant:
+    """The placebo: what is known of players dealt out anew among them, as ``profiles.permuted`` does
+    (the player at each place of the ids' order gets what stands at that place of a seeded hash order)."""
+    def again(known: dict) -> dict:
+        order = sorted(known, key=lambda m: (hashlib.md5(f"{seed}|{m}".encode()).hexdigest(), m))
+        return {m: known[x] for m, x in zip(sorted(known), order)}
+
+    return replace(v, name=name, roles=again(v.roles), vectors=again(v.vectors))
 
 
 def role_pair_bin(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:

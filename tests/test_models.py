@@ -103,7 +103,7 @@ def test_evaluators_on_planted_effects(league):
     assert len(band) == test.select("offense_player_ids").distinct().count() and all(r.sd > 0 for r in band)
     lifted = {r.model: r.macro_rmse for r in models.evaluate_lift(train, test).collect()}
     assert set(lifted) == {"base", "lift", "lift_placebo"}
-    sweep = models.confirm([train, test], (25.0,)).collect()
+    sweep = models.pair_stability([train, test], (25.0,)).collect()
     assert len(sweep) == 1 and sweep[0].groups > 0 and -1 <= sweep[0].correlation <= 1
     fit = models.fit_hierarchical(stints)
     best = sorted(range(12), key=lambda m: league[1][m])
@@ -183,3 +183,32 @@ def test_planted_lift_beats_its_placebo(spark):
     assert np.corrcoef([gift[m] for m in found], list(found.values()))[0, 1] > 0.95
     errors = {r.model: r.micro_rmse for r in evaluation.evaluate_production(production).collect()}
     assert errors["lift"] < 0.6 * errors["base"] and errors["lift_placebo"] > errors["lift"]
+
+
+def test_dependent_columns_change_no_prediction(league):
+    stints = league[0]
+    rows = models.design_rows(stints)
+    cell = lambda name, v: F.struct(F.lit(f"c_{name}").alias("col"), v.alias("val"))
+    home = F.filter("cells", lambda c: c["col"] == "c_home")[0]["val"]
+    more = rows.withColumn("cells", F.concat("cells", F.array(cell("constant", F.lit(4.0)), cell("copy", home), cell("mixed", 2 * home - 3.0), cell("dead", F.lit(0.0)))))
+    one, two = (linear.collect(r)[None] for r in (rows, more))
+    gone = {c for c, x in zip(two.columns, linear.dependent(two)) if x}
+    assert {"c_constant", "c_mixed"} <= gone and gone & {"c_copy", "c_home"} and "c_intercept" not in gone
+    for fit in (lambda s: linear.ridge(s, 10.0), lambda s: linear.expectation_maximisation(s, models.PLAYERS)):
+        found = []
+        for s, r in ((one, rows), (two, more)):
+            f = fit(s)
+            names, coef = (s.columns, f) if isinstance(f, np.ndarray) else (f.columns, f.coef)
+            table = stints.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(names, coef)], "col string, coef double")
+            found.append({x.stint_id: x.predicted for x in gram.predict(r, table).collect()})
+        assert max(abs(found[0][k] - found[1][k]) for k in found[0]) < 1e-4
+
+
+def test_a_column_dead_in_train_adds_nothing_in_test(league):
+    stints = league[0]
+    train, test = stints.where("days_rest_offense = 1"), stints.where("days_rest_offense = 2")
+    fit = models.fit_hierarchical(train)
+    assert "c_rest" not in fit.columns or fit.coef[fit.columns.index("c_rest")] == 0
+    moved = test.withColumn("days_rest_offense", F.lit(40))
+    of = lambda t: {r.stint_id: r.predicted for r in gram.scored(models.design_rows(t, train), fit.table(stints.sparkSession)).collect()}
+    assert of(test) == of(moved)
