@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -1039,6 +1040,33 @@ def lift_evaluation(spark, sf):
     return models.evaluate_lift(*_halves(spark, sf))
 
 
+_RULED_SQL = """cell AS (SELECT stint_id, 'o' || unnest(offense_player_ids) AS col, unnest(offense_player_ids) % 7 - 3 AS v, 1.0::DOUBLE AS val, offensive_possessions::DOUBLE AS w FROM stint
+  UNION ALL SELECT stint_id, 'd' || unnest(defense_player_ids), unnest(defense_player_ids) % 5 - 2, -1.0, offensive_possessions FROM stint UNION ALL SELECT stint_id, 'c_intercept', 100, 1.0, offensive_possessions FROM stint)"""
+
+
+@query(f"""{STINT}, {_RULED_SQL}, r AS (SELECT stint_id, sum(val * v) AS fitted FROM cell GROUP BY stint_id)
+  SELECT col, round(sum(w * val * fitted), 2) AS product FROM cell JOIN r USING (stint_id) GROUP BY col""")
+def gram_product(spark, sf):
+    from . import tiled
+
+    t = tiled.collect(gram.design(V.stints(spark, sf), {"intercept": F.lit(1.0)}))
+    rule = {"c": lambda c: 100, "o": lambda c: int(c[1:]) % 7 - 3, "d": lambda c: int(c[1:]) % 5 - 2}
+    v = np.array([[float(rule[c[0]](c))] for c in t.columns])
+    found = t.product(v)[:, 0]
+    t.close()
+    return _round(spark.createDataFrame([(c, float(x)) for c, x in zip(t.columns, found)], "col string, product double"), "product", digits=2)
+
+
+@query()
+def tiled_fit(spark, sf):
+    from . import models, tiled
+
+    t = tiled.collect(models.design_rows(V.stints(spark, sf)))
+    coef = tiled.ridge(t, 30.0)
+    t.close()
+    return spark.createDataFrame([(c, round(float(v), 6)) for c, v in zip(t.columns, coef)], "col string, coef double")
+
+
 @query()
 def pair_stability(spark, sf):
     from . import models

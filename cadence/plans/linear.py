@@ -192,8 +192,11 @@ def expectation_maximisation(s: Statistics, blocks: dict[str, tuple[str, ...]],
     return Fit(s.columns, mu, chol, variances, sigma2, log)
 
 
-#: The largest inverse factor that is sent to every task (8 bytes a cell, squared).
-MAX_SENT = 6_000
+#: A posterior covariance of so many bytes at most goes to every task; a larger one is cut into tiles
+#: of ``TILE`` columns a side, which meet the groups' pieces by a join.
+SENT_BYTES, TILE = 64 << 20, 1024
+#: Groups whose pieces meet one copy of a tile.
+AT_ONCE = 20_000
 
 
 #: Prior variances of lifts.
@@ -212,30 +215,93 @@ def evidence(s: Statistics, sigma2: float, grid: tuple[float, ...] = LIFT_GRID)
     return best
 
 
-def group_predictive(fit: Fit, group_rows: DataFrame, group: str) -> DataFrame:
+def _forms(group: np.ndarray, a: np.ndarray, x: np.ndarray, other: np.ndarray, b: np.ndarray, y: np.ndarray, matrix: np.ndarray, n: int) -> np.ndarray:
+    """For each group of 0..n-1 the sum of x * matrix[a, b] * y over its entries of both kinds."""
+    out = np.zeros(n)
+    for i, j in shared.ragged(group, np.bincount(other, minlength=n)):
+        out += np.bincount(group[i], x[i] * matrix[a[i], b[j]] * y[j], n)
+    return out
+
+
+def group_predictive(fit: Fit, group_rows: DataFrame, group: str, sent_bytes: int = SENT_BYTES, tile: int = TILE) -> DataFrame:
     """group, mean, sd, weight: the posterior of each group's mean design row plus noise / weight.
-    Each group's row is finished in its own task, from the columns of the factor's inverse that it
-    uses; the inverse is worked out once and sent up to ``MAX_SENT`` columns."""
-    if len(fit.columns) > MAX_SENT:
-        raise ValueError(f"{len(fit.columns)} columns are more than {MAX_SENT}, the most whose factor is sent out")
+
+    A group uses only the entries of the posterior covariance between its own columns. They are
+    looked up where the group lies, in a covariance that every task has, or, if that is larger than
+    ``sent_bytes``, tile by tile: a group's row is cut into pieces of a tile's columns, each two of
+    which meet the tile of theirs, and the sums of all tiles are added up.
+    """
     at = {c: k for k, c in enumerate(fit.columns)}
-    inverse = np.ascontiguousarray(np.linalg.inv(fit.covariance_factor).T)  # row c: the inverse's column c
-    model = group_rows.sparkSession.sparkContext.broadcast((at, fit.coef, inverse, fit.sigma2))
+    half = np.linalg.inv(fit.covariance_factor)
+    covariance = half.T @ half
+    small, wide = covariance.nbytes <= sent_bytes, len(fit.columns)
+    spark = group_rows.sparkSession
+    model = spark.sparkContext.broadcast((fit.columns, fit.coef, covariance if small else None))
     listed = group_rows.groupBy(group, "weight").agg(F.collect_list(F.struct("col", "val")).alias("cells"))
-
-    def run(frames):
-        at, coef, inverse, sigma2 = model.value
-        for pdf in frames:
-            mean, spread = [], []
-            for cells in pdf["cells"]:
-                pairs = [(at[c["col"]], c["val"]) for c in cells if c["col"] in at]
-                k, x = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs])
-                mean.append(float(x @ coef[k]))
-                spread.append(float(((x @ inverse[k]) ** 2).sum()))
-            yield pdf[[group, "weight"]].assign(mean=mean, sd=np.sqrt(np.array(spread) + sigma2 / pdf["weight"].to_numpy()))
-
     kind = group_rows.schema[group].dataType.simpleString()
-    return listed.mapInPandas(run, f"{group} {kind}, weight double, mean double, sd double")
+
+    def entries(b):
+        columns, coef, covariance = model.value
+        cells = pa.array(b.column("cells"))
+        flat = cells.flatten()
+        row = np.repeat(np.arange(len(b)), pc.list_value_length(cells).to_numpy(zero_copy_only=False))
+        k = pc.index_in(flat.field("col"), value_set=pa.array(columns, pa.string())).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        x = flat.field("val").to_numpy(zero_copy_only=False).astype(float)
+        some = k >= 0
+        row, k, x = row[some], k[some], x[some]
+        return row, k, x, np.bincount(row, x * coef[k], len(b)), covariance
+
+    def run(batches):
+        for b in batches:
+            row, k, x, mean, covariance = entries(b)
+            spread = _forms(row, k, x, row, k, x, covariance, len(b))
+            sd = np.sqrt(np.maximum(spread, 0) + sigma2 / b.column("weight").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([b.column(group), b.column("weight"), pa.array(mean), pa.array(sd)], names=[group, "weight", "mean", "sd"])
+
+    sigma2 = fit.sigma2
+    if small:
+        return listed.mapInArrow(run, f"{group} {kind}, weight double, mean double, sd double")
+
+    salts = max(1, -(-listed.count() // AT_ONCE))
+    blocks = range(-(-wide // tile))
+    cut_up = [(i, j, covariance[i * tile : (i + 1) * tile, j * tile : (j + 1) * tile].tobytes()) for i in blocks for j in blocks if i <= j]
+    tiles = spark.createDataFrame(cut_up, "bi int, bj int, data binary").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+    def pieces(batches):
+        for b in batches:
+            row, k, x, mean, _ = entries(b)
+            order = np.lexsort((k, row))
+            row, k, x = row[order], k[order], x[order]
+            part = row * len(blocks) + k // tile
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+            bounds = np.append(first, len(part))
+            owner, block = row[first], k[first] // tile
+            i, j = ([*z] for z in zip(*((u, v) for u, v in shared.ragged(owner, np.bincount(owner, minlength=len(b)))))) if len(first) else ([], [])
+            i, j = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (i, j))
+            i, j = i[block[i] <= block[j]], j[block[i] <= block[j]]
+            slab = lambda u, what: pa.array([what[bounds[m] : bounds[m + 1]].tobytes() for m in u], pa.binary())
+            local = k % tile
+            yield pa.RecordBatch.from_arrays(
+                [b.column(group).take(pa.array(owner[i])), b.column("weight").take(pa.array(owner[i])), pa.array(mean[owner[i]]), pa.array(block[i].astype(np.int32)), pa.array(block[j].astype(np.int32)), slab(i, local), slab(i, x), slab(j, local), slab(j, x)],
+                names=[group, "weight", "mean", "bi", "bj", "a", "x", "b", "y"],
+            )
+
+    def met(left, right):
+        if not right.num_rows or not left.num_rows:
+            return pa.table({group: left.column(group)[:0], "weight": left.column("weight")[:0], "mean": left.column("mean")[:0], "spread": pa.array([], pa.float64())})
+        bi, bj = right.column("bi")[0].as_py(), right.column("bj")[0].as_py()
+        matrix = np.frombuffer(right.column("data")[0].as_py(), np.float64).reshape(-1, min(tile, wide - bj * tile))
+        a, x, b, y = (left.column(c).to_pylist() for c in "axby")
+        number = lambda z: np.repeat(np.arange(len(z)), [len(v) // 8 for v in z])
+        whole = lambda z, t: np.frombuffer(b"".join(z), t)
+        found = _forms(number(a), whole(a, np.int64), whole(x, float), number(b), whole(b, np.int64), whole(y, float), matrix, len(a)) * (1 if bi == bj else 2)
+        return pa.table({group: left.column(group), "weight": left.column("weight"), "mean": left.column("mean"), "spread": pa.array(found)})
+
+    cut = listed.mapInArrow(pieces, f"{group} {kind}, weight double, mean double, bi int, bj int, a binary, x binary, b binary, y binary")
+    cut = cut.withColumn("salt", F.pmod(F.xxhash64(group), F.lit(salts)).cast("int"))
+    parts = cut.groupBy("bi", "bj", "salt").cogroup(tiles.groupBy("bi", "bj", "salt")).applyInArrow(met, f"{group} {kind}, weight double, mean double, spread double")
+    total = parts.groupBy(group, "weight").agg(F.first("mean").alias("mean"), F.sum("spread").alias("spread"))
+    return total.select(group, "weight", "mean", F.sqrt(F.greatest("spread", F.lit(0.0)) + F.lit(sigma2) / F.col("weight")).alias("sd"))
 
 
 def with_role_pairs(rows: DataFrame, bins: DataFrame) -> DataFrame:

@@ -589,7 +589,8 @@ def compare_lineups(fit: linear.Fit, first: list[int], second: list[int], spark:
 
 
 def matchup(fit: linear.Fit, offense: list[int], defense: list[int], spark: SparkSession, weight: float = 100.0) -> DataFrame:
-    """One row: an offense's prediction against a defense, with its talent and context parts."""
+    """One row: an offense's prediction against a defense, with its talent and context parts, 80 and
+    95 % bounds, and how many of either five the fit knows."""
     if len(set(offense)) != 5 or len(set(defense)) != 5 or set(offense) & set(defense):
         raise ValueError("two disjoint lineups of five different members are needed")
     at = {c: k for k, c in enumerate(fit.columns)}
@@ -598,8 +599,11 @@ def matchup(fit: linear.Fit, offense: list[int], defense: list[int], spark: Spar
         if c in at:
             x[at[c]] = v
     part = lambda tag: float(sum(x[k] * fit.coef[k] for c, k in at.items() if c.startswith(tag)))
-    spread = float((np.linalg.solve(fit.covariance_factor, x) ** 2).sum()) + fit.sigma2 / weight
-    return spark.createDataFrame([(part("c_"), part("o"), part("d"), float(x @ fit.coef), math.sqrt(spread))], "context double, offense double, defense double, mean double, sd double")
+    mean, sd = float(x @ fit.coef), math.sqrt(float((np.linalg.solve(fit.covariance_factor, x) ** 2).sum()) + fit.sigma2 / weight)
+    bounds = [mean + sign * metrics.LEVELS[k] * sd for k in ("80", "95") for sign in (-1, 1)]
+    known = [sum(f"{tag}{p}" in at for p in five) for tag, five in (("o", offense), ("d", defense))]
+    names = "context double, offense double, defense double, mean double, sd double, low_80 double, high_80 double, low_95 double, high_95 double, known_offense int, known_defense int"
+    return spark.createDataFrame([(part("c_"), part("o"), part("d"), mean, sd, *bounds, *known)], names)
 
 
 def strongest(coefficients: DataFrame, n: int, prefix: str = "", value: str = "coef") -> DataFrame:

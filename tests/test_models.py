@@ -111,6 +111,9 @@ def test_evaluators_on_planted_effects(league):
     assert duel.difference > 0 and duel.p_first > 0.8
     game = models.matchup(fit, best[:5], list(range(12, 17)), spark).first()
     assert abs(game.context + game.offense + game.defense - game.mean) < 1e-9
+    assert game.low_95 < game.low_80 < game.mean < game.high_80 < game.high_95 and (game.known_offense, game.known_defense) == (5, 5)
+    stranger = models.matchup(fit, [*best[:4], 999], list(range(12, 17)), spark).first()
+    assert stranger.known_offense == 4
     with pytest.raises(ValueError):
         models.matchup(fit, best[:5], best[:5], spark)
 
