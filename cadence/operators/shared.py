@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: What a response's moments are called, as i and j; they sort behind all columns.
-MOMENTS = ("~n", "~sw", "~slogw", "~q", "~sy", "~syy")
+MOMENTS = ("~n", "~sw", "~slogw", "~q", "~sy", "~syy", "~swy")
 OUTCOME = "~y"
 #: Products made at once, and cells of a dense table of sums.
 _AT_ONCE, _DENSE = 1 << 21, 1 << 22
@@ -140,7 +140,7 @@ def sums(rows: DataFrame, responses: list[tuple[str, str]], by: str | None = Non
             at, h = line.result()
             part = weights > 0
             logs = np.log(np.where(part, weights, 1.0))
-            moment = [part, weights, logs, weights * y * y, np.where(part, y, 0.0), np.where(part, y * y, 0.0)]
+            moment = [part, weights, logs, weights * y * y, np.where(part, y, 0.0), np.where(part, y * y, 0.0), weights * y]
             m = [[np.bincount(code, x[r], len(keys)) for r in range(len(responses))] for x in moment]
             key = np.concatenate([spot // (p * p) if p else spot, at // p if p else at, *[np.arange(len(keys))] * len(MOMENTS)])
             tail = pa.array(np.repeat(MOMENTS, len(keys)), pa.string())

@@ -722,9 +722,10 @@ def redundancy_fit(spark, sf):
 
 @query()
 def low_rank_interactions(spark, sf):
-    from . import models
+    from . import chemistry, models
 
-    return models.interactions(*models.low_rank(models.residual_rows(V.stints(spark, sf))), spark, models.pairs_met(V.stints(spark, sf)))
+    s = V.stints(spark, sf)
+    return models.interactions(chemistry.low_rank(models.residual_rows(s)), models.pairs_met(s))
 
 
 @query()
@@ -1067,6 +1068,83 @@ def tiled_fit(spark, sf):
     return spark.createDataFrame([(c, round(float(v), 6)) for c, v in zip(t.columns, coef)], "col string, coef double")
 
 
+_FIVES_SQL = """roster AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT unnest(offense_player_ids) AS p FROM stint)),
+  draw AS (SELECT t AS row, k, ('0x' || substr(md5('991|' || t || '|' || k), 1, 8))::BIGINT % (n - k) AS x FROM (SELECT unnest(range(0, 4000)) AS t), (SELECT unnest(range(0, 5)) AS k), (SELECT any_value(n) AS n FROM roster)),
+  d AS (SELECT row, max(x) FILTER (k = 0) AS x0, max(x) FILTER (k = 1) AS x1, max(x) FILTER (k = 2) AS x2, max(x) FILTER (k = 3) AS x3, max(x) FILTER (k = 4) AS x4 FROM draw GROUP BY row),
+  a1 AS (SELECT *, [x0] AS c FROM d), a2 AS (SELECT * REPLACE (list_append(c, {0}1{1}) AS c) FROM a1), a3 AS (SELECT * REPLACE (list_append(c, {0}2{1}) AS c) FROM a2), a4 AS (SELECT * REPLACE (list_append(c, {0}3{1}) AS c) FROM a3), a5 AS (SELECT * REPLACE (list_append(c, {0}4{1}) AS c) FROM a4),
+  five AS (SELECT a.row, r.p FROM (SELECT row, unnest(c) AS place FROM a5) a JOIN roster r USING (place))""".format("list_reduce(list_prepend(x", ", list_sort(c)), lambda x, y: x + CASE WHEN x >= y THEN 1 ELSE 0 END)")
+
+
+def _roster(stints) -> DataFrame:
+    return ordered.numbered(stints.select(F.explode("offense_player_ids").alias("p")).distinct(), [F.col("p")])
+
+
+@query(f"""{STINT}, {_FIVES_SQL} SELECT row, array_to_string(list_sort(list(p)), '-') AS five FROM five GROUP BY row""")
+def random_fives(spark, sf):
+    from . import chemistry
+
+    roster, n = _roster(V.stints(spark, sf))
+    places = chemistry.random_fives(spark, n).select("row", F.explode("five").alias("place"))
+    return places.join(roster, "place").groupBy("row").agg(F.concat_ws("-", F.transform(F.array_sort(F.collect_list("p")), lambda p: p.cast("string"))).alias("five"))
+
+
+def _ruled_vectors(players: list[int]):
+    from . import chemistry
+
+    p = np.array([[m % 5 - 2, m % 3 - 1] for m in players], float)
+    q = np.array([[m % 7 - 3, m % 4 - 1.5] for m in players], float)
+    return chemistry.centred(chemistry.Interactions(players, p, q, 2.0))
+
+
+_EFFECT_SQL = "2 * (sum(p % 5 - 2) * sum(p % 7 - 3) - sum((p % 5 - 2) * (p % 7 - 3)) + sum(p % 3 - 1) * sum(p % 4 - 1.5) - sum((p % 3 - 1) * (p % 4 - 1.5)))"
+
+
+@query(f"""{STINT}, {_FIVES_SQL}, f AS (SELECT {_EFFECT_SQL} AS e FROM five GROUP BY row), l AS (SELECT lineup, unnest(any_value(offense_player_ids)) AS p FROM stint GROUP BY lineup)
+  SELECT lineup, round({_EFFECT_SQL} - (SELECT avg(e) FROM f), 6) AS effect FROM l GROUP BY lineup""")
+def lineup_chemistry(spark, sf):
+    from . import chemistry
+
+    s = V.stints(spark, sf)
+    players = [r[0] for r in _roster(s)[0].orderBy("place").select("p").collect()]  # the model's columns
+    lineups = s.select(S.lineup_id("offense_player_ids").alias("lineup"), F.array_sort("offense_player_ids").alias("offense_player_ids")).distinct()
+    return chemistry.effects(lineups, [_ruled_vectors(players)]).select("lineup", F.round(F.get("effects", F.lit(0)), 6).alias("effect"))
+
+
+@query()
+def lineup_intervals(spark, sf):
+    from . import models
+
+    train, test = _halves(spark, sf)
+    lineups = test.select(S.lineup_id("offense_player_ids").alias("lineup"), F.array_sort("offense_player_ids").alias("offense_player_ids")).distinct()
+    return models.lineup_intervals(train, lineups).drop("offense_player_ids")
+
+
+@query()
+def ensemble_groups(spark, sf):
+    from . import models
+
+    return models.ensemble_groups(*_halves(spark, sf))
+
+
+@query()
+def strength_choice(spark, sf):
+    from . import chemistry, models
+
+    rows = models.residual_rows(V.stints(spark, sf)).persist()
+    best, gains = chemistry.choose_strength(rows)
+    rows.unpersist()
+    return spark.createDataFrame([(float(v), float(g), v == best) for v, g in gains.items()], "strength double, gain double, chosen boolean")
+
+
+@query()
+def lineup_matchup(spark, sf):
+    from . import models
+
+    s = V.stints(spark, sf)
+    top = lambda side: list(s.groupBy(side).agg(F.sum("offensive_possessions").alias("n")).orderBy(F.desc("n"), side).first()[0])
+    return models.matchup(models.fit_hierarchical(s), top("offense_player_ids"), top("defense_player_ids"), spark)
+
+
 @query()
 def pair_stability(spark, sf):
     from . import models

@@ -32,6 +32,7 @@ class Statistics:
     var_y: float
     slogw: float
     sw: float = 0.0
+    swy: float = 0.0
 
     def block(self, prefixes: tuple[str, ...]) -> np.ndarray:
         return np.array([c.startswith(prefixes) for c in self.columns])
@@ -74,10 +75,10 @@ def collect_many(rows: DataFrame, responses: dict[str, tuple[str, str]], fold: s
             mine = code == k
             inner, outer = mine & (j < size), mine & (j == size)
             moment = dict(zip(i[mine & (i > size)] - size - 1, g[mine & (i > size)]))
-            n, sw, slogw, q, sy, syy = (float(moment.get(m, 0.0)) for m in range(len(shared.MOMENTS)))
+            n, sw, slogw, q, sy, syy, swy = (float(moment.get(m, 0.0)) for m in range(len(shared.MOMENTS)))
             if not n and fold:
                 continue
-            s = out[name][key] = Statistics(columns, np.zeros((size, size)), np.zeros(size), int(n), q, max(0.0, syy / n - (sy / n) ** 2), slogw, sw)
+            s = out[name][key] = Statistics(columns, np.zeros((size, size)), np.zeros(size), int(n), q, max(0.0, syy / n - (sy / n) ** 2), slogw, sw, swy)
             s.g[i[inner], j[inner]] = s.g[j[inner], i[inner]] = g[inner]
             s.b[i[outer]] = g[outer]
     return out
@@ -92,7 +93,7 @@ def cut(s: Statistics, keep: np.ndarray) -> Statistics:
 def total(parts: list[Statistics]) -> Statistics:
     n = sum(p.n for p in parts)
     add = lambda f: sum(f(p) for p in parts)
-    return Statistics(parts[0].columns, add(lambda p: p.g), add(lambda p: p.b), n, add(lambda p: p.q), add(lambda p: p.var_y * p.n) / max(n, 1), add(lambda p: p.slogw), add(lambda p: p.sw))
+    return Statistics(parts[0].columns, add(lambda p: p.g), add(lambda p: p.b), n, add(lambda p: p.q), add(lambda p: p.var_y * p.n) / max(n, 1), add(lambda p: p.slogw), add(lambda p: p.sw), add(lambda p: p.swy))
 
 
 def dependent(s: Statistics, blocks: tuple[str, ...] = ("c_",), tolerance: float = 1e-10) -> np.ndarray:

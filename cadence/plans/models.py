@@ -6,6 +6,7 @@ Every fit is one distributed pass (``linear.collect``) and a solve of the model'
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import contract, gram, metrics, ordered, profiles, splits
-from . import linear, variants
+from . import chemistry, linear, variants
 
 MIN_STINTS, MIN_TRANSPORT = 50, 10
 PLAYERS = {"player": ("o", "d")}
@@ -78,90 +79,11 @@ def residual_rows(stints: DataFrame, folds: int = 4) -> DataFrame:
     return gram.scored(rows, coefs).select("stint_id", "game_id", "offense_player_ids", (F.col("y") - predicted).alias("e"), "w")
 
 
-#: Up to so many pairs the statistics over (pair, pair) are gathered once; beyond, each half-step
-#: reads the rows.
-MAX_PAIRS = 4_000
-
-
-def low_rank(residuals: DataFrame, rank: int = 2, strength: float = 25.0, sweeps: int = 20, tolerance: float = 1e-7, weights: str = "w", max_pairs: int = MAX_PAIRS) -> tuple[list[int], np.ndarray, np.ndarray, float]:
-    """Provision and need vectors by alternating ridge: an ordered pair (i, j) of a lineup adds
-    p_i . n_j. With few pairs the target's statistics over (pair, pair) are gathered once and each
-    half-step works on them alone; with many, a half-step is a pass over the rows, whose design has
-    ``rank`` columns a player, against the other side's vectors. Both give the same vectors."""
-    both = residuals.withColumn("m", F.array_sort("offense_player_ids"))
-    pairs_of = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b > a), lambda b: F.concat_ws("-", a.cast("string"), b.cast("string")))))
-    stats = both.agg((F.sum(F.col(weights) * F.col("e")) / F.sum(weights)).alias("mu"), F.sqrt(F.sum(F.col(weights) * F.col("e") * F.col("e")) / F.sum(weights)).alias("sd")).first()
-    mu, sd = stats["mu"] or 0.0, stats["sd"] or 1.0
-    scaled = both.select("stint_id", "m", ((F.col("e") - mu) / sd).alias("y"), F.col(weights).alias("w"), F.transform(pairs_of, lambda c: F.struct(c.alias("col"), F.lit(1.0).alias("val"))).alias("cells"))
-    players = [r[0] for r in both.select(F.explode("m").alias("p")).distinct().orderBy("p").collect()]  # the model's columns
-    n_pairs = scaled.select(F.explode("cells.col").alias("c")).distinct().count()
-    if len(players) * rank > linear.MAX_COLUMNS:
-        raise ValueError(f"{len(players)} players are too many for rank {rank}")
-    at = {p: k for k, p in enumerate(players)}
-    rng = np.random.default_rng(0)
-    p, q = rng.normal(0, 0.1, (2, len(players), rank))
-    half = _half_by_pairs(linear.collect(scaled.drop("m"))[None], at) if n_pairs <= max_pairs else _half_by_rows(scaled.drop("cells").persist(), players)
-    for _ in range(sweeps):
-        before = p @ q.T
-        for _side in range(2):
-            g, b = half(q)
-            p = np.linalg.solve(g + strength * np.eye(len(b)), b).reshape(len(players), rank)
-            p, q = q, p
-        if np.abs(p @ q.T - before).max() < tolerance:
-            break
-    return players, p, q, sd
-
-
-def _half_by_pairs(s: linear.Statistics, at: dict[int, int]):
-    """The normal equations of one side's vectors from those of the pairs: the target of pair (a, b),
-    p_a . q_b + p_b . q_a, is linear in p for a given q."""
-    pairs = [tuple(at[int(x)] for x in c.split("-")) for c in s.columns]
-    a, b = np.array([x for x, _ in pairs]), np.array([y for _, y in pairs])
-
-    def equations(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rank = q.shape[1]
-        m = np.zeros((len(pairs), len(at) * rank))
-        for k in range(rank):
-            m[np.arange(len(pairs)), a * rank + k] += q[b, k]
-            m[np.arange(len(pairs)), b * rank + k] += q[a, k]
-        return m.T @ s.g @ m, m.T @ s.b
-
-    return equations
-
-
-def _half_by_rows(rows: DataFrame, players: list[int]):
-    """The same from one pass over the rows (stint_id, m, y, w): a player's columns in a row are the
-    sum of the others' vectors."""
-
-    def equations(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rank = q.shape[1]
-        vectors = rows.sparkSession.createDataFrame([(str(p), *map(float, v)) for p, v in zip(players, q)], "col string, " + ", ".join(f"q{k} double" for k in range(rank)))
-        five = F.transform("m", lambda x: F.struct(x.cast("string").alias("col"), F.lit(1.0).alias("val")))
-        totals = gram.scored(rows.withColumn("cells", five), vectors)
-        own = vectors.select("col", F.array(*[f"q{k}" for k in range(rank)]).alias("own"))
-        member = totals.select("stint_id", "y", "w", F.array(*[f"q{k}" for k in range(rank)]).alias("total"), F.explode("m").alias("p")).withColumn("col", F.col("p").cast("string"))
-        each = member.join(F.broadcast(own), "col").select("stint_id", "y", "w", F.transform(F.arrays_zip("total", "own"), lambda z, k: F.struct(F.concat_ws(":", F.col("col"), k.cast("string")).alias("col"), (z["total"] - z["own"]).alias("val"))).alias("c"))
-        cells = each.groupBy("stint_id", "y", "w").agg(F.flatten(F.collect_list("c")).alias("cells"))  # five members' columns
-        s = linear.collect(cells)[None]
-        place = {f"{p}:{k}": i * rank + k for i, p in enumerate(players) for k in range(rank)}
-        spot = np.array([place[c] for c in s.columns])
-        g, b = np.zeros((len(place), len(place))), np.zeros(len(place))
-        g[np.ix_(spot, spot)], b[spot] = s.g, s.b
-        return g, b
-
-    return equations
-
-
-def interactions(players: list[int], p: np.ndarray, q: np.ndarray, scale: float, spark: SparkSession, met: DataFrame | None = None) -> DataFrame:
-    """a, b, effect of all pairs, or of the pairs ``met`` (a, b) only. The vectors of the players, the
-    model's size, are joined with the pairs in Spark."""
-    vectors = spark.createDataFrame([(int(m), [float(x) for x in u], [float(x) for x in v]) for m, u, v in zip(players, p, q)], "m long, p array<double>, q array<double>")
-    if met is None:
-        ids = spark.createDataFrame([(int(m),) for m in players], "a long")
-        met = ids.withColumn("b", F.explode(F.array(*[F.lit(int(m)) for m in players]))).where("a < b")
-    dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    side = lambda n: F.broadcast(vectors.select(F.col("m").alias(n), F.col("p").alias(f"p_{n}"), F.col("q").alias(f"q_{n}")))
-    return met.join(side("a"), "a").join(side("b"), "b").select("a", "b", ((dot("p_a", "q_b") + dot("p_b", "q_a")) * float(scale)).alias("effect"))
+def interactions(model: chemistry.Interactions, met: DataFrame) -> DataFrame:
+    """a, b, effect of the pairs ``met`` (a, b)."""
+    plain = replace(model, centre=0.0)
+    found = chemistry.effects(met.select("a", "b", F.array("a", "b").alias("pair")), [plain], "pair")
+    return found.select("a", "b", F.get("effects", F.lit(0)).alias("effect"))
 
 
 def pairs_met(stints: DataFrame) -> DataFrame:
@@ -182,49 +104,42 @@ def lineup_effects(stints: DataFrame, effects: DataFrame) -> DataFrame:
     return pairs.groupBy("lineup").agg(F.sum(F.coalesce("effect", F.lit(0.0))).alias("effect"))
 
 
-def choose_strength(stints: DataFrame, grid: tuple[float, ...] = (8.0, 25.0, 70.0, 200.0)) -> float:
-    """The grid value with the greatest gain over groups of the other half; the largest if none gains."""
+def bootstrap_interactions(stints: DataFrame, members: int = 8, seed: int = 0) -> DataFrame:
+    """a, b, effect, low, high, p_positive of the pairs that met: effects under game-resampled weights,
+    centred on the point fit."""
     rows = residual_rows(stints).persist()
-    half = F.xxhash64("stint_id") % 2 == 0
-    test = _lineups(rows.where(~half))
-    best, gain = grid[-1], 0.0
     try:
-        for value in grid:
-            effects = interactions(*low_rank(rows.where(half), strength=value), stints.sparkSession, pairs_met(rows.where(half)))
-            model = lineup_effects(test, effects).withColumnRenamed("effect", "model")
-            found = metrics.group_rmse_gain(test.join(model, "lineup").withColumn("base", F.lit(0.0)), "lineup", "e", "base", "model", "w").first()["gain"]
-            if (found or 0.0) > gain:
-                best, gain = value, found
+        fits = [replace(m, centre=0.0) for m in chemistry.ensemble(rows, members=members, seed=seed)]
     finally:
         rows.unpersist()
-    return best
+    pairs = pairs_met(stints).select("a", "b", F.array("a", "b").alias("pair"))
+    return chemistry.intervals(pairs, fits, "pair").select("a", "b", F.col("point").alias("effect"), "low", "high", "p_positive")
 
 
-def bootstrap_interactions(stints: DataFrame, members: int = 8, seed: int = 0) -> DataFrame:
-    """a, b, effect, low, high, p_positive of the pairs that met: effects under game-resampled weights,
-    centred on the point fit. A game's weight in a replicate is its Poisson count from a hash."""
+def chemistry_of(stints: DataFrame, members: int = 0, seed: int = 0) -> tuple[list[chemistry.Interactions], float, dict[float, float]]:
+    """The centred interaction fit of a table and its ensemble, the strength chosen by held-out games, and the
+    gains of all strengths."""
     rows = residual_rows(stints).persist()
-    spark = stints.sparkSession
-    met = pairs_met(stints)
     try:
-        players, p, q, sd = low_rank(rows)
-        fits = [(players, p, q, sd)]
-        for r in range(members):
-            u = S.draw(1_000_000, F.lit(seed), F.lit(r), F.col("game_id")) / 1_000_000
-            times = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).otherwise(4)
-            fits.append(low_rank(rows.withColumn("w", F.col("w") * times).where("w > 0")))
+        strength, gains = chemistry.choose_strength(rows)
+        return chemistry.ensemble(rows, strength, members, seed), strength, gains
     finally:
         rows.unpersist()
-    point = interactions(*fits[0], spark, met)
-    parts = None
-    for r, fit in enumerate(fits[1:]):
-        one = interactions(*fit, spark, met).withColumn("member", F.lit(r))
-        parts = one if parts is None else parts.union(one)
-    spread = parts.groupBy("a", "b").agg(F.avg("effect").alias("m"), F.array_sort(F.collect_list("effect")).alias("v"))  # members
-    shifted = point.join(spread, ["a", "b"])
-    at = lambda p: F.get("v", F.least(F.floor(p * F.size("v")).cast("int"), F.size("v") - 1)) - F.col("m") + F.col("effect")
-    above = F.size(F.filter("v", lambda x: x - F.col("m") + F.col("effect") > 0)) / F.size("v")
-    return shifted.select("a", "b", "effect", at(0.1).alias("low"), at(0.9).alias("high"), above.alias("p_positive"))
+
+
+def lineup_intervals(stints: DataFrame, lineups: DataFrame, members: int = 8, seed: int = 0) -> DataFrame:
+    """``lineups`` (with offense_player_ids) with the interaction's effect on each, its 80 % interval and
+    the chance that it helps; a lineup with an unseen player has 0 and 0.5."""
+    return chemistry.intervals(lineups, chemistry_of(stints, members, seed)[0])
+
+
+def ensemble_groups(train: DataFrame, test: DataFrame, members: int = 8, seed: int = 0) -> DataFrame:
+    """A row for each lineup of the test side: actual, additive and full means, and the ensemble's
+    mean, deviation and share above zero."""
+    fits, _, _ = chemistry_of(train, members, seed)
+    additive = fit_ridge(train)
+    rows = gram.scored(design_rows(_lineups(test), train, ("lineup", "offense_player_ids")), additive.table(train.sparkSession)).withColumnRenamed("predicted", "additive")
+    return chemistry.group_rows(rows, fits, "lineup")
 
 
 def lift(stints: DataFrame, side: str = "offense", grid: tuple[float, ...] = linear.LIFT_GRID, permute: int | None = None) -> DataFrame:
@@ -335,8 +250,8 @@ def rungs(train: DataFrame, test: DataFrame, interacting: bool = False) -> DataF
     shifts = linear.shrunk_lineup_shifts(residuals).select("lineup", "shift")
     scored = gram.scored(rows, coefs).join(shifts, "lineup", "left").withColumn("1_lineup", F.col("0_context") + F.coalesce("shift", F.lit(0.0)))
     if interacting:
-        effects = interactions(*low_rank(residual_rows(train)), spark, pairs_met(train))
-        scored = scored.join(lineup_effects(test, effects), "lineup", "left").withColumn("4_interactions", F.col("3_hierarchical") + F.coalesce("effect", F.lit(0.0)))
+        fitted, _, _ = chemistry_of(train)
+        scored = chemistry.effects(scored, fitted).withColumn("4_interactions", F.col("3_hierarchical") + F.get("effects", F.lit(0)))
     return scored.select("stint_id", "lineup", "game_id", "y", "w", *RUNGS[: 4 + interacting])
 
 
@@ -560,7 +475,7 @@ def pair_stability(parts: list[DataFrame], strengths: tuple[float, ...] = (8.0,
     met = [pairs_met(p) for p in parts]
     out = None
     for value in strengths:
-        effects = [interactions(*low_rank(f, strength=value), f.sparkSession, m).select(S.pair_id("a", "b").alias("pair"), "effect") for f, m in zip(fits, met)]
+        effects = [interactions(chemistry.low_rank(f, strength=value), m).select(S.pair_id("a", "b").alias("pair"), "effect") for f, m in zip(fits, met)]
         for i in range(len(effects)):
             for j in range(i + 1, len(effects)):
                 one = metrics.mediation(effects[i], effects[j], "pair", "effect").select(F.lit(i).alias("first"), F.lit(j).alias("second"), F.lit(value).alias("strength"), "groups", "correlation")

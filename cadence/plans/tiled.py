@@ -136,7 +136,7 @@ def collect(rows: DataFrame) -> Tiled:
     if len(context) > MAX_CONTEXT:
         raise ValueError(f"there are more than {MAX_CONTEXT} context columns")
     tail = {r["i"]: r["g0"] for r in sums.where("i >= '~'").collect()}
-    n, sw, slogw, q, sy, syy = (float(tail.get(m) or 0.0) for m in shared.MOMENTS)
+    n, sw, slogw, q, sy, syy, _ = (float(tail.get(m) or 0.0) for m in shared.MOMENTS)
     b, wide = np.zeros(p), np.zeros((p, len(context)))
     for r in sums.where(F.col("j") == shared.OUTCOME).select("i", "g0").collect():  # a row for each column
         b[at[r["i"]]] = r["g0"]

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadence.operators import gram, splits
-from cadence.plans import evaluation, linear, models
+from cadence.plans import chemistry, evaluation, linear, models
 
 
 @pytest.fixture(scope="module")
@@ -66,8 +66,8 @@ def test_kmeans_finds_planted_clusters(spark):
 
 def test_same_input_same_output(league):
     stints = league[0].limit(300).cache()
-    a, b = (models.low_rank(models.residual_rows(stints)) for _ in range(2))
-    assert a[0] == b[0] and np.allclose(a[1], b[1]) and np.allclose(a[2], b[2])
+    a, b = (chemistry.low_rank(models.residual_rows(stints)) for _ in range(2))
+    assert a.players == b.players and np.allclose(a.p, b.p) and np.allclose(a.q, b.q)
 
 
 def test_too_few_rows_are_refused(league):
@@ -78,8 +78,10 @@ def test_too_few_rows_are_refused(league):
 
 def test_low_rank_by_rows_is_that_by_pairs(league):
     rows = models.residual_rows(league[0].limit(300)).cache()
-    a, b = (models.low_rank(rows, sweeps=3, max_pairs=n) for n in (10_000, 1))
-    assert a[0] == b[0] and np.allclose(a[1], b[1], atol=1e-8) and np.allclose(a[2], b[2], atol=1e-8)
+    a, b = (chemistry.low_rank(rows, sweeps=3, max_pairs=n) for n in (10_000, 1))
+    assert a.players == b.players and np.allclose(a.p, b.p, atol=1e-8) and np.allclose(a.q, b.q, atol=1e-8)
+    plan = chemistry.member_cells(rows.select("offense_player_ids", "e", "w"), a.players, a.q)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("InMemoryTableScan")[0]  # a half-step shuffles its sums alone
 
 
 def test_lift_changes_sign_with_the_side(spark):
