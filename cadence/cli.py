@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .operators import contract, profiles, splits
 from .plans import confirmation, evaluation, ingest, models, report
-from .sources import records
+from .sources import archive, records
 
 
 KINDS = ("chronological", "unseen_lineup", "unseen_pair")
@@ -152,6 +153,8 @@ VERBS = {
     "production": (lambda a, s: evaluation.evaluate_production(_table(a, s, "production")), "receivers' own level and their teammates' lift"),
     "outcome_transport": (_carried, "an outcome's role model on another table"),
     "ingest": (None, "possessions (Parquet at --stints) and --games to stints, quarantine and manifest"),
+    "convert": (None, "the providers' CSV files of --archive to a snapshot, with index and provenance"),
+    "manifest": (None, "rows, possessions and file hashes of --stints, as JSON"),
     "strongest": (lambda a, s: models.strongest(_fit(a, s), a.count), "the coefficients of greatest size"),
 }
 
@@ -159,7 +162,8 @@ VERBS = {
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="cadence", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     p.add_argument("verb", choices=VERBS, help="; ".join(f"{k}: {v[1]}" for k, v in VERBS.items()))
-    p.add_argument("--stints", required=True)
+    p.add_argument("--stints")
+    p.add_argument("--archive", help="folders of provider CSV files, comma-joined")
     p.add_argument("--out", required=True, help="folder of the Parquet result")
     p.add_argument("--report", help="also write the first rows as an HTML page")
     p.add_argument("--minimum", type=int, default=200)
@@ -190,6 +194,17 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = _session()
     try:
+        if a.verb == "convert":
+            if not a.archive:
+                raise ValueError("this verb needs --archive")
+            archive.convert_archive(spark, a.archive.split(","), a.out)
+            return 0
+        if not a.stints:
+            raise ValueError("this verb needs --stints")
+        if a.verb == "manifest":
+            with open(a.out, "w", encoding="utf-8") as f:
+                json.dump(records.stints_manifest(spark, a.stints), f, sort_keys=True)
+            return 0
         if a.verb == "ingest":
             if not a.games:
                 raise ValueError("this verb needs --games")

@@ -5,6 +5,8 @@ Files are listed and read by Spark, so a path may lie in any store it knows.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,9 +47,9 @@ def snapshot_problems(spark: SparkSession, path: str) -> DataFrame:
     return repeated.union(leaving).union(absent)
 
 
-def snapshot_files(spark: SparkSession, path: str) -> DataFrame:
-    """file (relative), length, sha256."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+def snapshot_files(spark: SparkSession, path: str, folders: tuple[str, ...] = ()) -> DataFrame:
+    """file (relative), length, sha256; of some folders only, if any are named."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{path}/{f}" for f in folders] or path)
     tail = F.element_at(F.split("path", path.rstrip("/").split("/")[-1] + "/", 2), 2)
     return raw.select(tail.alias("file"), "length", F.sha2("content", 256).alias("sha256"))
 
@@ -61,16 +63,94 @@ def changed_files(spark: SparkSession, path: str, recorded: DataFrame) -> DataFr
     return both.select("file", problem.alias("problem")).where("problem is not null")
 
 
-def write_snapshot(parts: dict[str, DataFrame], path: str, plays: list[str], shots: list[str]) -> DataFrame:
-    """Writes what ``convert`` gives, payloads as one JSON line a game, and returns the provenance: each
-    file written with its length and sha256, to be kept beside the snapshot for ``changed_files``."""
-    spark = parts["games"].sparkSession
-    for name in ("games", "period_scores", "names", "incomplete"):
-        parts[name].write.json(f"{path}/{name}")
-    envelope(parts["play_by_play"], "PlayByPlay", plays).write.json(f"{path}/play_by_play")
-    for side in ("home", "away"):
-        envelope(parts["shots"].where(F.col("side") == side), "Shots", shots).write.json(f"{path}/shots_{side}")
-    return snapshot_files(spark, path).where(F.col("file").endswith(".json"))
+PAYLOADS = ("play_by_play", "shots_home", "shots_away")
+#: Payloads lie in so many folders by game, so that a few games are read from a few of them.
+BUCKETS = 32
+#: Games in a document of the index.
+INDEXED = 1000
+
+
+def bucket(game_id) -> F.Column:
+    return F.pmod(F.crc32(game_id.cast("string")), F.lit(BUCKETS)).cast("int")
+
+
+def committed(spark: SparkSession, path: str) -> bool:
+    """Whether the snapshot has its index, which is written last: a file, or a folder whose job ended."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/index.json")
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = spark._jvm.org.apache.hadoop.fs.Path(target, "_SUCCESS")
+    return store.exists(done) or (store.exists(target) and store.getFileStatus(target).isFile())
+
+
+def write_snapshot(parts: dict[str, DataFrame], path: str, plays: list[str], shots: list[str], sources: DataFrame | None = None) -> DataFrame:
+    """Writes what ``convert`` gives so that ``snapshot_games`` and ``payloads`` read it back, and
+    returns the provenance, which is kept beside it: each file written, and each source file
+    (``sources``: file, length, sha256), with its length and sha256.
+
+    Payloads come first, one JSON line a game; then names, the games that lack a provider, and the
+    provenance; the index comes last. A write that is broken off leaves no index, and may be
+    repeated; one that has its index is refused. The index is a folder of documents of ``INDEXED``
+    games, so no task and no driver holds all of them.
+    """
+    spark, path = parts["games"].sparkSession, path.rstrip("/")
+    if committed(spark, path):
+        raise ArchiveError(f"{path} holds a snapshot")
+    sides = {side: envelope(parts["shots"].where(F.col("side") == side), "Shots", shots) for side in ("home", "away")}
+    written = dict(zip(PAYLOADS, (envelope(parts["play_by_play"], "PlayByPlay", plays), sides["home"], sides["away"])))
+    for name, payload in written.items():
+        payload.withColumn("bucket", bucket(F.col("game_id"))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").json(f"{path}/{name}")
+    for name in ("names", "incomplete"):
+        parts[name].write.mode("overwrite").json(f"{path}/{name}")
+    provenance = snapshot_files(spark, path, (*PAYLOADS, "names", "incomplete")).where(F.col("file").endswith(".json")).withColumn("kind", F.lit("snapshot"))
+    if sources is not None:
+        provenance = provenance.unionByName(sources.select("file", "length", "sha256", F.lit("source").alias("kind")))
+    provenance.write.mode("overwrite").json(f"{path}/provenance")
+
+    files = None
+    for name in PAYLOADS:
+        one = spark.read.schema("game_id string, bucket int").json(f"{path}/{name}").select("game_id", F.concat(F.lit(f"{name}/bucket="), F.col("bucket").cast("string"), F.lit("/"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).alias("file"))
+        files = one if files is None else files.union(one)
+    files = files.groupBy("game_id").agg(F.array_sort(F.collect_set("file")).alias("files"))  # three a game
+    team = lambda side: F.col(f"{side}_team_id").cast("string")
+    scores = parts["period_scores"].groupBy("game_id").pivot("side", ["hs", "vs"]).agg(F.transform(F.array_sort(F.collect_list(F.struct("period", "points"))), lambda x: x["points"].cast("int")))  # a game's periods
+    both = lambda h, v: F.map_from_arrays(F.array(team("home"), team("away")), F.array(h, v))
+    none = F.array().cast("array<int>")
+    games = parts["games"].join(scores, "game_id", "left").join(files, "game_id", "left").select(
+        "game_id", F.date_format("game_date", "yyyyMMdd").alias("game_date"), "season", "season_type", F.col("home_team_id").cast("bigint").alias("home_team_id"), F.col("away_team_id").cast("bigint").alias("away_team_id"),
+        both(F.col("home_rest").cast("int"), F.col("away_rest").cast("int")).alias("days_rest"),
+        F.struct(both(F.col("home_score").cast("int"), F.col("away_score").cast("int")).alias("final_score"), both(F.coalesce("hs", none), F.coalesce("vs", none)).alias("period_scores")).alias("reconciliation"),
+        F.coalesce("files", F.array().cast("array<string>")).alias("files"),
+    )
+    count = max(1, -(-games.count() // INDEXED))
+    documents = games.groupBy(F.pmod(F.crc32("game_id"), F.lit(count)).alias("document")).agg(F.array_sort(F.collect_list(F.struct(*games.columns)), lambda a, b: F.when(a["game_id"] < b["game_id"], -1).when(a["game_id"] > b["game_id"], 1).otherwise(0)).alias("games"))
+    documents.select(F.lit("v2").alias("snapshot_format"), "games").write.option("maxRecordsPerFile", 1).mode("overwrite").json(f"{path}/index.json")
+    return spark.read.schema("file string, length bigint, sha256 string, kind string").json(f"{path}/provenance")
+
+
+def payloads(spark: SparkSession, path: str, kind: str, games: list[str] | None = None) -> DataFrame:
+    """game_id, payload of a snapshot with an index; of some games, from their folders only."""
+    path = path.rstrip("/")
+    if not committed(spark, path):
+        raise ArchiveError(f"{path} has no index")
+    rows = spark.read.schema("game_id string, payload string, bucket int").json(f"{path}/{kind}")
+    if games is not None:
+        named = spark.createDataFrame([(g,) for g in games], "game_id string")
+        rows = rows.where(F.col("bucket").isin(sorted({zlib.crc32(g.encode()) % BUCKETS for g in games}))).join(F.broadcast(named), "game_id", "left_semi")  # as many as asked for
+    return rows.select("game_id", "payload")
+
+
+def source_files(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """file, length, sha256 of the providers' CSV files."""
+    globs = [f"{f.rstrip('/')}/{g}" for f in folders for g in PROVIDERS.values()]
+    raw = spark.read.format("binaryFile").load(globs)
+    return raw.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+def convert_archive(spark: SparkSession, folders: list[str], path: str) -> DataFrame:
+    """The providers' CSV files of ``folders`` as a snapshot at ``path``; the provenance."""
+    tables = [provider_csv(spark, folders, p) for p in PROVIDERS]
+    columns = [[c for c in t.columns if c not in ("file", "place")] for t in tables]
+    return write_snapshot(convert(*tables), path, columns[0], columns[2], source_files(spark, folders))
 
 
 def result_rows(spark: SparkSession, paths: list[str] | str, columns: list[str]) -> DataFrame:

@@ -113,14 +113,38 @@ def csv_fingerprints(spark: SparkSession, paths: list[str]) -> DataFrame:
     return lines.groupBy("file").agg((F.count(F.lit(1)) - 1).alias("rows")).join(first, "file").select("file", F.sha2("header", 256).alias("header_sha256"), "rows")
 
 
+#: Spark reads a file's bytes as one value, of under 2 GB.
+MAX_FILE = (1 << 31) - 1
+
+
+def stint_files(spark: SparkSession, path: str) -> DataFrame:
+    """file, sha256 of the data files of a table of stints, be it one file or a folder of parts."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    named = raw.withColumn("file", F.element_at(F.split("path", "/"), -1)).where(~F.col("file").rlike(r"^[._]"))
+    large = [r["file"] for r in named.where(F.col("length") > MAX_FILE).select("file").limit(5).collect()]
+    if large:
+        raise ValueError(f"files of over 2 GB can't be hashed, write them in parts: {', '.join(large)}")
+    return named.select("file", F.sha2("content", 256).alias("sha256"))
+
+
+def stints_manifest(spark: SparkSession, path: str) -> dict:
+    """What ``checked_stints`` holds a table against: rows, possessions, and each file's sha256."""
+    totals = read_stints(spark, path).agg(F.count(F.lit(1)).alias("stints_written"), F.coalesce(F.sum("offensive_possessions"), F.lit(0)).alias("accepted_possessions")).first().asDict()
+    return totals | {"files": {r["file"]: r["sha256"] for r in stint_files(spark, path).collect()}}  # a row for each file
+
+
 def checked_stints(spark: SparkSession, path: str, manifest: dict) -> DataFrame:
-    """The stints of one file, if it is the one that the manifest lists: the same sha256 (of its bytes,
-    taken in Spark), number of rows and possessions; else ValueError with all that differs."""
-    digest = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()
-    stints = read_stints(spark, path)
-    found = stints.agg(F.count(F.lit(1)).alias("stints_written"), F.coalesce(F.sum("offensive_possessions"), F.lit(0)).alias("accepted_possessions")).first().asDict()
-    found["stints_sha256"] = digest[0] if digest else None
+    """The stints of a file or folder, if it is the one that the manifest lists: the same files with
+    the same sha256 (``files``: name to sha256; or ``stints_sha256`` for a single file), number of rows and
+    possessions; else ValueError with all that differs."""
+    found = stints_manifest(spark, path)
+    files = found.pop("files")
+    if "stints_sha256" in manifest:
+        found["stints_sha256"] = next(iter(files.values())) if len(files) == 1 else f"{len(files)} files"
     wrong = [f"{k}: {manifest[k]} listed, {v} found" for k, v in sorted(found.items()) if k in manifest and manifest[k] != v]
+    listed = manifest.get("files")
+    if listed is not None:
+        wrong += [f"{n}: {listed.get(n, 'nothing')} listed, {files.get(n, 'nothing')} found" for n in sorted({*listed, *files}) if listed.get(n) != files.get(n)]
     if wrong:
         raise ValueError("; ".join(wrong))
-    return stints
+    return read_stints(spark, path)

@@ -81,7 +81,7 @@ def test_archive_conversion(spark, tmp_path):
     assert json.loads(archive.envelope(out["play_by_play"], "PlayByPlay", ["EVENTNUM"]).first().payload)["resultSets"][0]["rowSet"] == [["5"], ["2"]]
     listed = archive.write_snapshot(out, str(tmp_path / "snap"), ["EVENTNUM"], ["TEAM_ID"]).select("file", "sha256").collect()
     listed = spark.createDataFrame(listed, "file string, sha256 string")
-    plain = lambda d: d.where(~F.col("file").endswith("_SUCCESS") & ~F.col("file").endswith(".crc"))
+    plain = lambda d: d.where(~F.col("file").endswith("_SUCCESS") & ~F.col("file").endswith(".crc") & ~F.col("file").rlike("^(index.json|provenance)/"))
     assert spark.read.json(str(tmp_path / "snap" / "play_by_play")).count() == 1
     assert plain(archive.changed_files(spark, str(tmp_path / "snap"), listed)).count() == 0
     (tmp_path / "snap" / "more.json").write_text("{}")
@@ -91,6 +91,57 @@ def test_archive_conversion(spark, tmp_path):
     assert json.loads(nested.first().payload) == {"g": {"pd": [{"p": 1, "pla": [{"tid": "a"}]}, {"p": 2, "pla": [{"tid": "b"}]}]}}
 
 
+def archive_of(folder, games):
+    plays, live, shots = ["GAME_ID,EVENTNUM,PLAYER1_ID,PLAYER1_NAME"], ["GAME_ID,PERIOD,hs,vs,tid"], ["GAME_ID,GAME_DATE,TEAM_ID"]
+    for k in range(games):
+        g = 22100001 + k
+        plays += [f"{g},{n},9,Nine" for n in (5, 2, 8)]
+        live += [f"{g},1,0,2,20", f"{g},1,3,2,10", f"{g},2,3,{6 + k},20"]
+        shots += [f"{g},202110{19 + k % 9},10", f"{g},202110{19 + k % 9},20"]
+    for name, rows in (("nbastats", plays), ("datanba", live), ("shotdetail", shots)):
+        (folder / f"{name}_1.csv").write_text("\n".join(rows) + "\n")
+
+
+def test_a_converted_archive_is_read_back(spark, tmp_path, monkeypatch):
+    archive_of(tmp_path, 7)
+    snap = str(tmp_path / "snap")
+    monkeypatch.setattr(archive, "INDEXED", 3)
+    assert cli.main(["convert", "--archive", str(tmp_path), "--out", snap]) == 0
+    assert archive.snapshot_problems(spark, snap).count() == 0
+    games = {g.game_id: g for g in archive.snapshot_games(spark, snap).collect()}
+    assert len(games) == 7
+    g = games["0022100003"]
+    assert str(g.game_date) == "2021-10-21" and (g.home_team_id, g.away_team_id, g.season) == (10, 20, "2021-22")
+    assert g.final_score == {10: 3, 20: 8} and g.period_scores == {10: [3, 0], 20: [2, 6]} and g.days_rest == {10: 0, 20: 0}
+    assert games["0022100001"].days_rest == {} and len(g.files) == 3
+    rows = archive.payloads(spark, snap, "play_by_play", ["0022100003", "0022100005"])
+    assert sorted(r.game_id for r in rows.collect()) == ["0022100003", "0022100005"]
+    assert [r[1] for r in json.loads(rows.first().payload)["resultSets"][0]["rowSet"]] == ["5", "2", "8"]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket", "bucket")
+    assert archive.payloads(spark, snap, "shots_home").count() == 7
+    kept = spark.read.json(snap + "/provenance")
+    assert {r.file for r in kept.where("kind = 'source'").collect()} == {"nbastats_1.csv", "datanba_1.csv", "shotdetail_1.csv"}
+    recorded = kept.where("kind = 'snapshot'").select("file", "sha256")
+    assert archive.changed_files(spark, snap, recorded).where("problem <> 'not recorded'").count() == 0
+    with pytest.raises(archive.ArchiveError):  # it holds a snapshot
+        archive.convert_archive(spark, [str(tmp_path)], snap)
+
+
+def test_a_broken_write_leaves_no_index(spark, tmp_path):
+    archive_of(tmp_path, 2)
+    out = archive.convert(*[archive.provider_csv(spark, [str(tmp_path)], p) for p in archive.PROVIDERS])
+    snap = str(tmp_path / "snap")
+    broken = out | {"period_scores": out["period_scores"].withColumn("points", F.raise_error(F.lit("lost")).cast("long"))}
+    with pytest.raises(Exception, match="lost"):
+        archive.write_snapshot(broken, snap, ["EVENTNUM"], ["TEAM_ID"])
+    assert not archive.committed(spark, snap)
+    with pytest.raises(archive.ArchiveError):
+        archive.payloads(spark, snap, "play_by_play")
+    archive.write_snapshot(out, snap, ["EVENTNUM"], ["TEAM_ID"])  # may be repeated
+    assert archive.snapshot_games(spark, snap).count() == 2
+
+
 def test_fingerprints(spark, tmp_path):
     texts = spark.createDataFrame([('{"a": 1}',), ('{"a": 2, "b": "x"}',)], "value string")
     same = spark.createDataFrame([('{"b": "y", "a": 9}',), ('{"a": 5}',)], "value string")
@@ -148,3 +199,19 @@ def test_stints_are_held_against_their_manifest(spark, tmp_path):
     assert records.checked_stints(spark, str(path), listed).count() == 1
     with pytest.raises(ValueError, match="stints_sha256"):
         records.checked_stints(spark, str(path), listed | {"stints_sha256": "0"})
+
+
+def test_a_folder_of_stints_is_held_against_its_manifest(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.jsonl").write_text("\n".join(line(stint_id=f"s{i}", offensive_possessions=i + 1) for i in range(40)))
+    records.write_stints(records.read_stints(spark, str(tmp_path / "a.jsonl")).repartition(3), str(tmp_path / "out"))
+    listed = records.stints_manifest(spark, str(tmp_path / "out"))
+    assert len(listed["files"]) == 3 and (listed["stints_written"], listed["accepted_possessions"]) == (40, 820)
+    assert records.checked_stints(spark, str(tmp_path / "out"), listed).count() == 40
+    name = sorted(listed["files"])[1]
+    with pytest.raises(ValueError, match=name):
+        records.checked_stints(spark, str(tmp_path / "out"), listed | {"files": listed["files"] | {name: "0"}})
+    with pytest.raises(ValueError, match="gone.json"):
+        records.checked_stints(spark, str(tmp_path / "out"), listed | {"files": listed["files"] | {"gone.json": "0"}})
+    monkeypatch.setattr(records, "MAX_FILE", 10)
+    with pytest.raises(ValueError, match="parts"):
+        records.stint_files(spark, str(tmp_path / "out"))
