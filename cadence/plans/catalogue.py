@@ -1145,6 +1145,15 @@ def lineup_matchup(spark, sf):
     return models.matchup(models.fit_hierarchical(s), top("offense_player_ids"), top("defense_player_ids"), spark)
 
 
+@query(f"""{STINT}, m AS (SELECT season_index, count(*) AS n, sum(score_margin_offense)::DOUBLE AS m, sum(power(score_margin_offense, 2)) AS mm, sum(days_rest_offense)::DOUBLE AS r, sum(power(days_rest_offense, 2)) AS rr FROM stint GROUP BY 1),
+  p AS (SELECT a.season_index, sum(b.n) AS n, sum(b.m) AS m, sum(b.mm) AS mm, sum(b.r) AS r, sum(b.rr) AS rr FROM m a JOIN m b ON b.season_index < a.season_index GROUP BY 1)
+  SELECT season_index, CAST(n AS BIGINT) AS n, round(m / n, 6) AS m_margin, round(coalesce(nullif(sqrt(greatest(mm / n - power(m / n, 2), 0)), 0), 1), 6) AS s_margin, round(r / n, 6) AS m_rest, round(CASE WHEN rr / n - power(r / n, 2) > 1e-18 THEN sqrt(rr / n - power(r / n, 2)) ELSE 1 END, 6) AS s_rest FROM p""")
+def season_scale(spark, sf):
+    from . import models
+
+    return _round(models.prefix_scale(models.season_moments(V.stints(spark, sf))), "m_margin", "s_margin", "m_rest", "s_rest")
+
+
 @query()
 def pair_stability(spark, sf):
     from . import models

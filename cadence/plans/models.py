@@ -9,7 +9,7 @@ import math
 from dataclasses import replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -340,31 +340,90 @@ def calibrated_groups(train: DataFrame, test: DataFrame) -> DataFrame:
     return metrics.calibration(predicted.join(actual, "lineup"), "mean", "sd", "actual")
 
 
-def backtest(stints: DataFrame, threshold: int = 50, min_rows: int = 50) -> DataFrame:
-    """cohort, and the summary of realised less predicted rating after moves and for the phantom
-    cohort, over one fit for each cutover season on the seasons before it."""
-    exposure = stints.select(F.explode("offense_player_ids").alias("player_id"), "season_index", F.col("offense_team_id").cast("string").alias("team"), F.col("offensive_possessions").cast("long").alias("possessions"))
-    seasons = [r[0] for r in stints.select("season_index").distinct().orderBy("season_index").collect()]  # a few
+def season_moments(stints: DataFrame) -> DataFrame:
+    """season_index, n and the sums of margin and rest and of their squares: they add up over seasons."""
+    sums = [F.sum(e).cast("double").alias(n) for n, e in (("m", F.col("score_margin_offense")), ("mm", F.col("score_margin_offense") * F.col("score_margin_offense")), ("r", F.col("days_rest_offense")), ("rr", F.col("days_rest_offense") * F.col("days_rest_offense")))]
+    return stints.groupBy("season_index").agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
+def prefix_scale(moments: DataFrame) -> DataFrame:
+    """season_index, n, and means and deviations (zero: 1) of margin and rest over the seasons before it."""
+    before = Window.orderBy("season_index").rowsBetween(Window.unboundedPreceding, -1)  # a row for each season
+    total = moments.select("season_index", *[F.sum(c).over(before).alias(c) for c in ("n", "m", "mm", "r", "rr")]).where("n IS NOT NULL")
+    sd = lambda x, xx: F.sqrt(F.greatest(F.col(xx) / F.col("n") - (F.col(x) / F.col("n")) * (F.col(x) / F.col("n")), F.lit(0.0)))
+    one = lambda c: F.when(c > 1e-9, c).otherwise(1.0)
+    return total.select("season_index", "n", (F.col("m") / F.col("n")).alias("m_margin"), one(sd("m", "mm")).alias("s_margin"), (F.col("r") / F.col("n")).alias("m_rest"), one(sd("r", "rr")).alias("s_rest"))
+
+
+_UNSCALED = {"m_margin": 0.0, "s_margin": 1.0, "m_rest": 0.0, "s_rest": 1.0}
+
+
+def _rescaling(columns: list[str], scale: dict[str, float]) -> np.ndarray:
+    """The matrix that makes scaled columns of unscaled ones: margin and rest less their means over
+    their deviations, and the scaled margin squared."""
+    t, at = np.eye(len(columns)), {c: k for k, c in enumerate(columns)}
+    one, m, s = at.get("c_intercept"), scale["m_margin"], scale["s_margin"]
+    if one is None:
+        return t
+    for name, mean, sd in (("c_margin", m, s), ("c_rest", scale["m_rest"], scale["s_rest"])):
+        if name in at:
+            t[at[name], at[name]], t[at[name], one] = 1 / sd, -mean / sd
+    if "c_margin2" in at:
+        k = at["c_margin2"]
+        t[k, k], t[k, one] = 1 / s**2, m * m / s**2
+        if "c_margin" in at:
+            t[k, at["c_margin"]] = -2 * m / s**2
+    return t
+
+
+def prefix_fits(stints: DataFrame, min_rows: int = 50) -> tuple[dict[int, linear.Fit], DataFrame, list[int]]:
+    """The hierarchical fit of the seasons before each season, all from one pass: season to fit, whose
+    coefficients are those of unscaled columns; the unscaled design; and all seasons.
+
+    A season's statistics are mergeable, and those before a cutover are a running total. Each cutover
+    has its own context scale, which follows from the seasons' moments; as scaled columns are sums of
+    unscaled ones, its statistics do too.
+    """
+    moments = season_moments(stints)
+    seasons = [r[0] for r in moments.select("season_index").orderBy("season_index").collect()]  # a few
     if len(seasons) < 2:
         raise ValueError("at least two seasons are needed")
-    out = None
-    stints = stints.persist()
-    for season in seasons[1:]:
-        train, after = stints.where(F.col("season_index") < season), stints.where(F.col("season_index") == season)
-        if train.count() < min_rows:
-            continue
-        fit = fit_hierarchical(train)
-        scored = gram.scored(design_rows(after, train), fit.table(stints.sparkSession))
-        members = after.select("stint_id", F.col("offense_team_id").cast("string").alias("to_team"), F.explode("offense_player_ids").alias("player_id"))
-        for cohort, changed in (("real", True), ("phantom", False)):
-            moved = profiles.moves(exposure, threshold, changed).where(F.col("season_index") == season - 1).select("player_id", "to_team")
-            delta = members.join(moved, ["player_id", "to_team"]).join(scored, "stint_id").groupBy("player_id").agg((metrics.weighted_mean("y", "w") - metrics.weighted_mean("predicted", "w")).alias("delta"))
-            one = delta.select(F.lit(cohort).alias("cohort"), F.lit(season).alias("season_index"), "player_id", "delta")
-            out = one if out is None else out.union(one)
-    stints.unpersist()
-    if out is None:
+    scales = {r["season_index"]: r.asDict() for r in prefix_scale(moments).collect()}  # a row for each season
+    rows = gram.design(stints, gram.context_columns(seasons, {k: F.lit(v) for k, v in _UNSCALED.items()}), ("season_index", "offense_team_id", "offense_player_ids"))
+    parts = linear.collect(rows, "season_index")
+    fits, before = {}, None
+    for season in seasons:
+        if before is not None and before.n >= min_rows:
+            seen = linear.cut(before, np.diag(before.g) > 0)
+            t = _rescaling(seen.columns, scales[season])
+            fit = linear.expectation_maximisation(replace(seen, g=t @ seen.g @ t.T, b=t @ seen.b), PLAYERS)
+            fits[season] = replace(fit, columns=seen.columns, coef=t.T @ fit.on(seen.columns))
+        if season in parts:
+            before = parts[season] if before is None else linear.total([before, parts[season]])
+    return fits, rows, seasons
+
+
+def backtest(stints: DataFrame, threshold: int = 50, min_rows: int = 50) -> DataFrame:
+    """cohort, season_index, player_id, delta: realised less predicted rating after moves and for the
+    phantom cohort, by the fit of the seasons before each. One pass for all fits, one for all
+    predictions."""
+    fits, rows, _ = prefix_fits(stints, min_rows)
+    if not fits:
         raise ValueError("no season has enough rows before it")
-    return out
+    spark = stints.sparkSession
+    columns = sorted({c for f in fits.values() for c in f.columns})
+    coefs = np.stack([f.on(columns) for f in fits.values()], axis=1)
+    table = spark.createDataFrame([(c, *map(float, v)) for c, v in zip(columns, coefs)], "col string, " + ", ".join(f"f{k} double" for k in range(len(fits))))  # columns x seasons
+    after = rows.where(F.col("season_index").isin(list(fits)))
+    own = F.coalesce(*[F.when(F.col("season_index") == season, F.col(f"f{k}")) for k, season in enumerate(fits)])
+    scored = gram.scored(after, table).select("stint_id", "season_index", F.col("offense_team_id").cast("string").alias("to_team"), F.explode("offense_player_ids").alias("player_id"), "y", "w", own.alias("predicted"))
+    exposure = stints.select(F.explode("offense_player_ids").alias("player_id"), "season_index", F.col("offense_team_id").cast("string").alias("team"), F.col("offensive_possessions").cast("long").alias("possessions"))
+    moved = None
+    for cohort, changed in (("real", True), ("phantom", False)):
+        one = profiles.moves(exposure, threshold, changed).select(F.lit(cohort).alias("cohort"), "player_id", (F.col("season_index") + 1).alias("season_index"), "to_team")
+        moved = one if moved is None else moved.union(one)
+    delta = (metrics.weighted_mean("y", "w") - metrics.weighted_mean("predicted", "w")).alias("delta")
+    return scored.join(moved, ["player_id", "season_index", "to_team"]).groupBy("cohort", "season_index", "player_id").agg(delta)
 
 
 def synthetic(spark: SparkSession, players: int = 60, stints: int = 2000, seed: int = 0, truth_sd: float = 3.0) -> tuple[DataFrame, DataFrame]:

@@ -217,3 +217,27 @@ def test_a_column_dead_in_train_adds_nothing_in_test(league):
     moved = test.withColumn("days_rest_offense", F.lit(40))
     of = lambda t: {r.stint_id: r.predicted for r in gram.scored(models.design_rows(t, train), fit.table(stints.sparkSession)).collect()}
     assert of(test) == of(moved)
+
+
+def test_prefix_fits_equal_a_fit_for_each_cutover(spark):
+    stints, _ = models.synthetic(spark, players=24, stints=1200, truth_sd=4.0)
+    season = (F.expr("cast(substring(game_id, 2) as int)") % 200 / 50).cast("int")
+    stints = stints.withColumns({"season_index": season, "season": (season + 2020).cast("string"), "offense_team_id": F.element_at("offense_player_ids", 1) % 3}).cache()
+    fits, rows, seasons = models.prefix_fits(stints)
+    assert seasons == [0, 1, 2, 3] and list(fits) == [1, 2, 3]
+    for cut, fit in fits.items():
+        train, after = stints.where(F.col("season_index") < cut), stints.where(F.col("season_index") == cut)
+        own = models.fit_hierarchical(train)
+        a = {r.stint_id: r.predicted for r in gram.scored(rows.where(F.col("season_index") == cut), fit.table(spark)).collect()}
+        b = {r.stint_id: r.predicted for r in gram.scored(models.design_rows(after, train), own.table(spark)).collect()}
+        assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-3
+        assert fit.sigma2 == pytest.approx(own.sigma2, rel=1e-4)
+    found = models.backtest(stints, threshold=50).collect()
+    assert found and {r.cohort for r in found} <= {"real", "phantom"} and {r.season_index for r in found} <= {1, 2, 3}
+    r = found[0]
+    theirs = stints.where((F.col("season_index") == r.season_index) & F.array_contains("offense_player_ids", F.lit(r.player_id)))
+    assert theirs.count() > 0 and np.isfinite(r.delta)
+    with pytest.raises(ValueError):
+        models.backtest(stints.where("season_index = 0"))
+    with pytest.raises(ValueError):
+        models.backtest(stints, min_rows=10**6)
