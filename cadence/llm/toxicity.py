@@ -5,9 +5,11 @@ into 6-letter grams, counted for each class over all those rows. Orders 6, 5 and
 class (raw counts at order 6, continuation counts below); orders 3 to 1 hold continuation counts
 that both classes share. An expression that is rare in a class thus backs off to the same
 probability under both, and says nothing. A word's evidence is its log-likelihood under the toxic
-model less that under the ordinary one. A document is judged by its evidence for each word
-(length-normalised): over the whole text, its strongest word and its strongest three words. A
-logistic curve fitted on labelled rows kept out of the counts turns these into a score.
+model less that under the ordinary one. The verdict compares length-normalised log-likelihoods: the
+evidence of a passage over its length (bytes, and one for each word's end), for the passage of
+``PASSAGE`` words in a row that is most toxic, and for the whole text. A few insults are lost in the
+mean of a long text, but not in that of their passage. A logistic curve fitted on labelled rows kept out of
+the counts turns the two into a score.
 
 Rows with crc32(doc_id) mod 5 = 0 are held out altogether; remainders 1 to 3 are counted,
 remainder 4 fits the curve. Counts cover every labelled row; the curve sees at most
@@ -31,6 +33,7 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +42,7 @@ from .common import BoundedCache, batch, map_arrow, materialise, table, utf8, wo
 ORDER = 6
 SHARED = 3
 DISCOUNT = 0.75
-STRONGEST = 3
+PASSAGE = 3
 FOLDS = 5
 CURVE_ROWS = 20_000
 #: Distinct grams that a task holds before it sends them on.
@@ -192,15 +195,20 @@ def evidence(words: list[bytes], tables: dict[str, np.ndarray]) -> np.ndarray:
     return np.add.reduceat(ratio, np.cumsum(sizes) - sizes)
 
 
-FEATURES = ("mean", "peak", "strong")
+FEATURES = ("mean", "passage")
 
 
-def features(ratios: np.ndarray, strongest: int = STRONGEST) -> tuple[float, float, float]:
-    """Evidence for each word: over the whole text, of the strongest word and of the strongest few."""
+def features(ratios: np.ndarray, lengths: np.ndarray, passage: int = PASSAGE) -> tuple[float, float]:
+    """Evidence over length of the words in order: of the whole text, and of its most toxic passage (the whole
+    text, if it is shorter)."""
     if not len(ratios):
-        return 0.0, 0.0, 0.0
-    top = np.sort(np.partition(ratios, max(0, len(ratios) - strongest))[-strongest:])
-    return float(ratios.mean()), float(top[-1]), float(top.sum() / strongest)
+        return 0.0, 0.0
+    total, length = np.cumsum(ratios), np.cumsum(lengths)
+    k = min(passage, len(ratios))
+    over, wide = total[k - 1 :].copy(), length[k - 1 :].astype(np.float64)
+    over[1:] -= total[:-k]
+    wide[1:] -= length[:-k]
+    return float(total[-1] / length[-1]), float((over / wide).max())
 
 
 def _measured(docs: DataFrame, columns: list[str], tables) -> DataFrame:
@@ -219,7 +227,7 @@ def _measured(docs: DataFrame, columns: list[str], tables) -> DataFrame:
                 for at in range(0, len(new), 50_000):
                     part = new[at : at + 50_000]
                     known.update(zip(part, evidence(part, model).tolist()))
-            found = [features(np.fromiter(map(known.__getitem__, words), np.float64, len(words))) for words in texts]
+            found = [features(np.fromiter(map(known.__getitem__, words), np.float64, len(words)), np.fromiter(map(len, words), np.int64, len(words)) + 1) for words in texts]
             yield batch(**{c: b.column(c) for c in columns}, **{k: pa.array([x[i] for x in found], pa.float64()) for i, k in enumerate(FEATURES)})
 
     few = docs.select("text", *columns)
@@ -260,19 +268,24 @@ def _joined(docs: DataFrame, columns: list[str], levels: DataFrame) -> DataFrame
 
     def words(batches):
         for b in batches:
-            at, word, n = [], [], []
+            at, word, places = [], [], []
 
             def sent():
-                return batch(**{c: b.column(c).take(pa.array(at, pa.int64())) for c in ("row", *columns)}, word=pa.array(word, pa.binary()), n=pa.array(n, pa.int64()))
+                return batch(**{c: b.column(c).take(pa.array(at, pa.int64())) for c in ("row", *columns)}, word=pa.array(word, pa.binary()), places=pa.array(places, pa.list_(pa.int32())))
 
+            held = 0
             for i, text in enumerate(utf8(b.column("text"))):
-                counted = Counter(words_of(text)) or {None: 0}
-                at += [i] * len(counted)
-                word += counted.keys()
-                n += counted.values()
-                if len(at) >= HOLD:
+                found: dict = {}
+                for k, w in enumerate(words_of(text)):
+                    found.setdefault(w, []).append(k)
+                found = found or {None: []}
+                at += [i] * len(found)
+                word += found.keys()
+                places += found.values()
+                held += sum(map(len, found.values()))
+                if held >= HOLD:
                     yield sent()
-                    at, word, n = [], [], []
+                    at, word, places, held = [], [], [], 0
             if at:
                 yield sent()
 
@@ -296,18 +309,31 @@ def _joined(docs: DataFrame, columns: list[str], levels: DataFrame) -> DataFrame
 
     few = docs.select(F.monotonically_increasing_id().alias("row"), "text", *columns)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in few.schema if f.name != "text")
-    held = materialise(map_arrow(few, words, f"{schema}, word binary, n long"), "toxicity-words")
+    held = materialise(map_arrow(few, words, f"{schema}, word binary, places array<int>"), "toxicity-words")
     # Long words go by a digest, as a word of many letters has as many grams.
     named = held.withColumn("id", F.when(F.octet_length("word") <= 32, F.col("word")).otherwise(F.unhex(F.sha2("word", 256))))
     pieces = materialise(map_arrow(named.where("word is not null").select("id", "word").distinct(), cut, "id binary, gram string, n long"), "toxicity-pieces")
     ratios = materialise(_gram_evidence(levels, pieces.select("gram").distinct()), "toxicity-ratios")
     ratio, n = F.coalesce("ratio", F.lit(0.0)), F.col("n")
     known = _dealt(pieces, ratios, "gram", "id").groupBy("id").agg(F.sum(n * ratio).alias("ratio"))
-    best = F.slice(F.sort_array(F.flatten(F.collect_list(F.array_repeat(ratio, F.least(n, F.lit(STRONGEST)).cast("int")))), asc=False), 1, STRONGEST)
-    text = _dealt(named.drop("word"), known, "id", "row").groupBy("row", *columns).agg(F.sum(n * ratio).alias("total"), F.sum(n).alias("words"), F.max(ratio).alias("peak"), best.alias("best"))
-    mean = F.when(F.col("words") > 0, F.col("total") / F.col("words")).otherwise(0.0)
-    strong = F.aggregate("best", F.lit(0.0), lambda a, x: a + x) / STRONGEST
-    return text.select(*columns, mean.alias("mean"), "peak", strong.alias("strong"))
+    placed = named.select("row", *columns, "id", "places", (F.octet_length("word") + 1).alias("length"))
+    text = _dealt(placed, known, "id", "row").groupBy("row", *columns).agg(F.collect_list(F.struct(ratio.alias("ratio"), "length", "places")).alias("words"))  # a text's different words
+
+    def judged(batches):
+        for b in batches:
+            lists = pa.array(b.column("words"))
+            flat, size = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            places = flat.field("places")
+            times = pc.list_value_length(places).fill_null(0).to_numpy(zero_copy_only=False)
+            place, row = places.flatten().to_numpy(zero_copy_only=False), np.repeat(np.repeat(np.arange(len(b)), size), times)
+            ratios, lengths = (np.repeat(flat.field(c).fill_null(0).to_numpy(zero_copy_only=False), times) for c in ("ratio", "length"))
+            order = np.lexsort((place, row))
+            ends = np.cumsum(np.bincount(row, minlength=len(b)))
+            found = [features(ratios[order[low:high]], lengths[order[low:high]]) for low, high in zip([0, *ends[:-1]], ends)]
+            yield batch(**{c: b.column(c) for c in columns}, **{k: pa.array([x[i] for x in found], pa.float64()) for i, k in enumerate(FEATURES)})
+
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in few.schema if f.name not in ("text", "row"))
+    return map_arrow(text, judged, ", ".join([kept, *(f"{k} double" for k in FEATURES)]))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 100) -> np.ndarray:
@@ -325,7 +351,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 1
 
 
 def score(docs: DataFrame, labels: DataFrame, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
-    """doc_id, held_out, score, predicted, mean and peak evidence of every whole text; a model of more
+    """doc_id, held_out, score, predicted, and the evidence (mean, passage) of every whole text; a model of more
     than ``broadcast_grams`` grams is joined with the texts' words in place of being sent to the tasks."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("fold", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS, F.lit(-1)).cast("int"))
@@ -348,7 +374,7 @@ def score(docs: DataFrame, labels: DataFrame, broadcast_grams: int = BROADCAST_G
     else:
         out = F.lit(0.0)
     found = found.withColumn("score", out)
-    return found.select("doc_id", (F.col("fold") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "mean", "peak")
+    return found.select("doc_id", (F.col("fold") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *FEATURES)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cadence.llm import bpe, chat, license_scan, packing, pii, quality, simhash, substring, topk, toxicity
+from cadence.llm import bpe, chat, license_scan, packing, pii, quality, registry, simhash, substring, topk, toxicity
 
 from .helpers import AWKWARD, documents, rows
 
@@ -420,6 +420,26 @@ def test_toxicity_keeps_every_gram_apart(spark):
     assert len(model["grams6"]) == len({("\2" * 5 + w + "\3")[i : i + 6] for t, _ in texts for w in t.split() for i in range(7)})
 
 
+def test_toxicity_is_judged_by_length_normalised_passages():
+    rng = np.random.default_rng(4)
+    assert toxicity.features(np.zeros(0), np.zeros(0, int)) == (0.0, 0.0)
+    for n in (1, 2, 3, 4, 50):
+        ratios, lengths = rng.normal(size=n), rng.integers(2, 12, n)
+        k = min(n, toxicity.PASSAGE)
+        passages = [ratios[i : i + k].sum() / lengths[i : i + k].sum() for i in range(n - k + 1)]
+        assert toxicity.features(ratios, lengths) == pytest.approx((ratios.sum() / lengths.sum(), max(passages)))
+    long = np.full(5000, -0.5)
+    long[[700, 701]] = 20.0  # two insults in a long text
+    mean, passage = toxicity.features(long, np.full(5000, 6))
+    assert mean < 0 < passage
+
+
+def test_toxicity_of_held_out_rows_of_the_given_documents(spark, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    found = registry.queries()["op6_toxicity"](spark, sf).join(labels, "doc_id").where("held_out").collect()
+    assert found and sum(r.predicted == r.toxic for r in found) >= 0.9 * len(found)
+
+
 def test_toxicity_of_a_model_too_large_to_send(spark):
     rng = np.random.default_rng(8)
     word = lambda: "".join(rng.choice(["ka", "lo", "mi", "漢", "té"], int(rng.integers(1, 5))))
