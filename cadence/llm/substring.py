@@ -49,6 +49,8 @@ HOLD = 1 << 20
 BUCKET_BYTES = 64 << 20
 #: Places of an anchor (up to 28 windows each) for which it gets one more bucket.
 HOT = 1 << 14
+#: The most counters of a spread sketch that go to every task (16 bytes each).
+SENT = 1 << 20
 
 _MIX = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93), (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xFF51AFD7ED558CCD))
 _SKETCH = (0x9E3779B97F4A7C15, 0xC4CEB9FE1A85EC53)
@@ -333,9 +335,15 @@ def _group(batches):
         yield _place_batch(_places(entries[many & ~known]))
 
 
-def _with_counters(docs: DataFrame, bits: int) -> DataFrame:
-    """The documents that have anchors counted twice or more, with these ``counters`` and ``times``:
-    a sketch of one row whose counters are rows of a table, with map-side sums."""
+def _with_counters(docs: DataFrame, bits: int, hot: int = HOT) -> DataFrame:
+    """The documents that have anchors counted twice or more, with these ``counters`` and ``times``.
+
+    The sketch has one row here, and is spread over the cluster by counter: a document's own counts
+    are rows of a table, partitions' sums of them are merged, and the documents' rows are joined with
+    the merged counters. Counters of more than ``hot`` places, and of more than a part in ``SENT`` of all, are at
+    most ``SENT`` by count, and go to every task; only the others meet by a shuffle, so no counter's
+    rows fill one task.
+    """
 
     def run(batches):
         for b in batches:
@@ -349,10 +357,15 @@ def _with_counters(docs: DataFrame, bits: int) -> DataFrame:
             if rid:
                 yield batch(rid=pa.array(np.concatenate(rid)), rid2=pa.array(np.concatenate(rid2)), counter=pa.array(np.concatenate(counters), pa.int64()), n=pa.array(np.concatenate(times), pa.int64()))
 
-    each = map_arrow(docs.select("text", "rid", "rid2"), run, "rid long, rid2 int, counter long, n long").groupBy("rid", "rid2", "counter").agg(F.sum("n").alias("n"))
-    each = materialise(each, "substring-counters")
-    many = each.groupBy("counter").agg(F.sum("n").alias("times")).where("times > 1")
-    back = each.join(many, "counter").groupBy("rid", "rid2").agg(F.collect_list("counter").alias("counters"), F.collect_list("times").alias("times"))  # a document's anchors
+    each = materialise(map_arrow(docs.select("text", "rid", "rid2"), run, "rid long, rid2 int, counter long, n long"), "substring-counters")
+    total = each.agg(F.sum("n")).first()[0] or 0
+    many = materialise(each.groupBy("counter").agg(F.sum("n").alias("times")).where("times > 1"), "substring-sketch")
+    frequent = F.col("times") > max(hot, total // SENT)
+    tagged = each.select("rid", "rid2", "counter").join(F.broadcast(many.where(frequent)), "counter", "left")
+    rest = tagged.where("times IS NULL").drop("times").join(many.where(~frequent), "counter")
+    # Rows that repeat a document tell of the same counters.
+    back = tagged.where("times IS NOT NULL").unionByName(rest).groupBy("rid", "rid2").agg(F.collect_set(F.struct("counter", "times")).alias("known"))  # a document's anchors
+    back = back.select("rid", "rid2", F.col("known.counter").alias("counters"), F.col("known.times").alias("times"))
     return docs.join(back.hint("shuffle_hash"), ["rid", "rid2"])
 
 
@@ -365,7 +378,7 @@ def repeated_places(docs: DataFrame, hot: int = HOT, max_bits: int = MAX_BITS) -
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size) // BUCKET_BYTES)
     schema = "bucket int, rid long, rid2 int, payload binary"
     if bits > max_bits:
-        places = map_arrow(_with_counters(docs, bits).select("text", "rid", "rid2", "counters", "times"), lambda batches: _windows(batches, bits, None, [], buckets, hot), schema)
+        places = map_arrow(_with_counters(docs, bits, hot).select("text", "rid", "rid2", "counters", "times"), lambda batches: _windows(batches, bits, None, [], buckets, hot), schema)
     else:
         shared = spark.sparkContext.broadcast(sketch(docs, bits, hot))
 

@@ -631,6 +631,19 @@ def test_substring_against_brute_force(spark, sample):
     assert Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.text.encode()).hexdigest()) for r in apart) == got
 
 
+def test_frequent_counters_of_a_spread_sketch_go_to_every_task(spark, monkeypatch):
+    phrase = " ".join(f"p{i}" for i in range(40))
+    texts = [(i, f"own{i} {phrase} end{i} " + " ".join(f"w{i}x{j}" for j in range(30))) for i in range(120)] + AWKWARD
+    docs = documents(spark, texts)
+    want = slow_repeats(texts)
+    for sent in (1, 8, 1 << 20):  # few counters count as frequent, and many
+        monkeypatch.setattr(substring, "SENT", sent)
+        monkeypatch.setattr(substring, "HOT", 4)
+        monkeypatch.setattr(substring.repeated_places, "__defaults__", (4, 0))
+        found = substring.deduplicate(docs, words_only=True, max_bits=0).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.text.encode()).hexdigest()) for r in found) == want
+
+
 def test_substring_keeps_spacing(spark):
     passage = " ".join(f"p{i}" for i in range(50))
     docs = documents(spark, [(1, f"Head  one.\n{passage}\n\ttail"), (2, f"other {passage}"), (3, "alone\n\n here"), (4, None)], extra=True)
