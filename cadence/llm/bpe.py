@@ -10,7 +10,8 @@ Texts are cut where one space stands between two characters that aren't white sp
 are encoded alike wherever they stand, so their ids are remembered, up to a bound.
 
 Defined cases: null is the empty text, with no ids; text that spells a special token is ordinary
-text; repeated rows give repeated results; an empty table gives an empty result.
+text; repeated rows give repeated results; very long texts and pre-tokens are encoded whole, in
+n log n steps; further columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

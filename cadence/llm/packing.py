@@ -17,7 +17,8 @@ single totals reach the driver.
 
 Defined cases: null text is the empty text, whose only token is the end id; text that spells a
 special token becomes that token, as the library has it by default; repeated rows and repeated or null doc_ids are packed row by row;
-an empty table gives an empty result.
+a very long text is cut over as many windows as it takes; further columns, whatever their names, are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -183,4 +183,5 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count(k) for k in BASE],
         F.sha2(line(F.filter("spans", lambda s: s["kind"].isin(*BASE))), 256).alias("base_sha256"),
         line(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"),
     )

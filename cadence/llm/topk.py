@@ -24,7 +24,7 @@ Defined cases: vectors that are null, or hold null or non-finite components, tak
 rows without vec_id and vectors whose length differs from the query's; every other finite vector
 does. A score beyond 64 bits is ranked by its true value and returned as the nearest long. Rows that
 repeat a vec_id are candidates each by itself, but none for a query of that vec_id; a repeated query
-gives one list; further columns are ignored; an empty table gives an empty result.
+gives one list, that of its shortest, then least vector; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -219,7 +219,7 @@ def _resolved(k: int):
 
 def search(queries: DataFrame, rows: DataFrame, k: int = K, sent_bytes: int = SENT_BYTES, size: tuple[int, int] = (QUERIES, ROWS)) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best rows. Both inputs: vec_id, dim, vector."""
-    first = queries.select("vec_id", "dim", "vector").dropDuplicates(["vec_id"])
+    first = queries.groupBy("vec_id").agg(F.min(F.struct("dim", "vector")).alias("v")).select("vec_id", "v.*")
     q_blocks = materialise(_blocks(first, size[0]).withColumn("q_block", F.monotonically_increasing_id()), "topk-queries")
     q_blocks = q_blocks.select("q_block", "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     x_blocks = materialise(_blocks(rows.select("vec_id", "dim", "vector"), size[1]), "topk-rows")

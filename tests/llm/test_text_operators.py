@@ -455,6 +455,15 @@ def test_toxicity_of_a_model_too_large_to_send(spark):
     assert toxicity.score(docs.limit(0), labels, broadcast_grams=-1).count() == 0
 
 
+# -- personal data: scores -----------------------------------------------------------------------
+
+
+def test_scores_stand_beside_their_spans(spark, sf):
+    for r in registry.queries()["op5_pii"](spark, sf).where("spans <> ''").limit(50).collect():
+        scores = r.scores.split(",")
+        assert len(scores) == len(r.spans.split(",")) and all(0 <= float(x) <= 1 for x in scores)
+
+
 # -- top-k search -------------------------------------------------------------------------------
 
 
