@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all the rows its predecessor kept and returns a
 DataFrame; all but the last return the columns of documents. ``run`` writes each stage's result to
-the shared folder and reads it for the next, so that a lost executor costs one stage at most.
+the shared folder and reads it for the next, so that a lost executor costs one stage at most; a stage's
+table goes once the next one's is written.
 
 Every stage ignores further columns of its input, whatever their names, and gives an empty result for
 an empty table.
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadence.llm import packing, pii, quality, simhash, substring
-from cadence.llm.common import materialise, table
+from cadence.llm.common import discard, materialise, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -70,6 +71,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)  # nothing reads it again
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
