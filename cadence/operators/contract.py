@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
+from . import ordered
 
 VERSION = 2
 _FIVE = T.ArrayType(T.LongType(), True)
@@ -152,3 +153,9 @@ def top_stints(df: DataFrame, n: int = 8) -> DataFrame:
 
     order = Window.partitionBy("game_id").orderBy(F.desc("offensive_possessions"), "stint_id")
     return df.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
+def listed(lineups: DataFrame) -> DataFrame:
+    """Lineups with their ``place`` from 1: most possessions first, ties by lineup."""
+    placed, _ = ordered.numbered(lineups, [-F.col("possessions"), F.col("lineup")])
+    return placed.withColumn("place", F.col("place") + 1)

@@ -55,3 +55,12 @@ def coverage(matched: DataFrame, window_id: str, on_roster: Column | None = None
 def zero_filled(members: DataFrame, counted: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Every row of ``members``, with zero where nothing was counted."""
     return members.join(counted, keys, "left").withColumns({v: F.coalesce(F.col(v), F.lit(0)) for v in values})
+
+
+def credited(matched: DataFrame, members: DataFrame, window_id: str, member: str, /, **sums: Column) -> DataFrame:
+    """``sums`` over the events of each member of each window, zero where there are none, and a row with a
+    null member for a window's events of others: no matched event is lost. members: (window_id, member)."""
+    on = matched.where(F.col(window_id).isNotNull()).join(members.select(window_id, member, F.lit(True).alias("__on")), [window_id, member], "left")
+    counted = on.groupBy(window_id, F.when(F.col("__on"), F.col(member)).alias(member)).agg(*[c.alias(n) for n, c in sums.items()])
+    mine = zero_filled(members.select(window_id, member), counted.where(F.col(member).isNotNull()), [window_id, member], list(sums))
+    return mine.unionByName(counted.where(F.col(member).isNull()))

@@ -52,6 +52,15 @@ def group_rmse_gain(rows: DataFrame, group: str, actual: str, base: str, model:
     return g.agg(rmse(F.col(actual) - F.col(base), F.col("w")).alias("base_rmse"), rmse(F.col(actual) - F.col(model), F.col("w")).alias("model_rmse"), F.count(F.lit(1)).alias("groups")).withColumn("gain", F.col("base_rmse") - F.col("model_rmse"))
 
 
+def gain_percent(rows: DataFrame, group: str, actual: str, base: str, model: str, weight: str) -> DataFrame:
+    """One row: micro and macro errors of base and model, and by how many per cent of the base's error
+    the model's is smaller."""
+    one = lambda c, tag: micro_macro(rows, group, actual, c, weight).select(F.col("micro_rmse").alias(f"{tag}_micro"), F.col("macro_rmse").alias(f"{tag}_macro"))
+    both = one(base, "base").crossJoin(one(model, "model"))  # one row each
+    percent = lambda k: (100.0 * F.try_divide(F.col(f"base_{k}") - F.col(f"model_{k}"), F.col(f"base_{k}"))).alias(f"{k}_gain_percent")
+    return both.select("*", percent("micro"), percent("macro"))
+
+
 def calibration(groups: DataFrame, point: str, sd: str, actual: str) -> DataFrame:
     """One row: coverage at each level, z moments, calibration line by 1/sd^2, width against error."""
     z = (F.col(actual) - F.col(point)) / F.col(sd)

@@ -48,6 +48,11 @@ def lineup_rates(spark, sf):
     return _round(contract.lineup_observations(V.stints(spark, sf), 200), "rating")
 
 
+@query(f"{STINT}, l AS (SELECT lineup, sum(offensive_possessions) AS possessions FROM stint GROUP BY lineup HAVING sum(offensive_possessions) >= 200) SELECT lineup, possessions, row_number() OVER (ORDER BY possessions DESC, lineup) AS place FROM l")
+def listed_lineups(spark, sf):
+    return contract.listed(contract.lineup_observations(V.stints(spark, sf), 200)).select("lineup", "possessions", "place")
+
+
 @query(f"""{STINT}, bad AS (SELECT stint_id, CASE WHEN len(list_distinct(offense_player_ids)) <> 5 THEN 'offense_not_five' WHEN len(list_distinct(defense_player_ids)) <> 5 THEN 'defense_not_five'
   WHEN offensive_possessions <= 100 THEN 'no_possessions' WHEN points_scored < 0 THEN 'negative_points' WHEN period <= 0 THEN 'bad_period' WHEN season_index < 0 THEN 'bad_season_index' END AS reason FROM stint)
   SELECT reason, count(*) AS stints FROM bad WHERE reason IS NOT NULL GROUP BY reason""")
@@ -226,6 +231,15 @@ def member_production_zero_fill(spark, sf):
     return _round(intervals.zero_filled(members, got, ["window_id", "member"], ["events", "credit"]), "credit", digits=2)
 
 
+@query(f"""{_SPAN_SQL}, member AS (SELECT window_id, unnest(range(0, 5)) AS member FROM span), got AS (SELECT window_id, CASE WHEN event_id % 7 < 5 THEN event_id % 7 END AS member, count(*) AS events, CAST(sum(CAST(round(value, 2) AS DECIMAL(18,2))) AS DOUBLE) AS credit FROM matched WHERE window_id IS NOT NULL GROUP BY ALL)
+  SELECT window_id, member, coalesce(events, 0) AS events, round(coalesce(credit, 0), 2) AS credit FROM member LEFT JOIN got USING (window_id, member) UNION ALL SELECT window_id, member, events, round(credit, 2) FROM got WHERE member IS NULL""")
+def member_production_off_roster(spark, sf):
+    members = _spans(spark, sf).select("window_id", F.explode(F.expr("sequence(0L, 4L)")).alias("member"))
+    events = _matched(spark, sf).withColumn("member", F.col("event_id") % 7)
+    got = intervals.credited(events, members, "window_id", "member", events=F.count(F.lit(1)), credit=F.sum(F.round("value", 2).cast("decimal(18,2)")).cast("double"))
+    return _round(got, "credit", digits=2)
+
+
 # -- reconciliation and archive -------------------------------------------------------------------
 
 
@@ -601,6 +615,14 @@ def micro_macro_error(spark, sf):
     return _round(metrics.micro_macro(_scored(spark, sf), "lineup", "y", "model", "w"), "micro_rmse", "micro_mae", "macro_rmse", "macro_mae")
 
 
+@query(f"""{_SCORED_SQL}, g AS (SELECT lineup, sum(w * y) / sum(w) AS a, sum(w * base) / sum(w) AS b, sum(w * model) / sum(w) AS m FROM scored GROUP BY lineup),
+  e AS (SELECT (SELECT sqrt(sum(w * power(y - base, 2)) / sum(w)) FROM scored) AS bi, (SELECT sqrt(avg(power(a - b, 2))) FROM g) AS ba, (SELECT sqrt(sum(w * power(y - model, 2)) / sum(w)) FROM scored) AS mi, (SELECT sqrt(avg(power(a - m, 2))) FROM g) AS ma)
+  SELECT round(bi, 6) AS base_micro, round(ba, 6) AS base_macro, round(mi, 6) AS model_micro, round(ma, 6) AS model_macro, round(100 * (bi - mi) / bi, 5) AS micro_gain_percent, round(100 * (ba - ma) / ba, 5) AS macro_gain_percent FROM e""")
+def baseline_gain(spark, sf):
+    g = metrics.gain_percent(_scored(spark, sf), "lineup", "y", "base", "model", "w")
+    return _round(_round(g, "base_micro", "base_macro", "model_micro", "model_macro"), "micro_gain_percent", "macro_gain_percent", digits=5)
+
+
 @query(f"""{_SCORED_SQL}, g AS (SELECT lineup, sum(w) AS w, sum(w * y) / sum(w) AS a, sum(w * base) / sum(w) AS b, sum(w * model) / sum(w) AS m FROM scored GROUP BY lineup HAVING count(*) >= 2)
   SELECT round(sqrt(sum(w * power(a - b, 2)) / sum(w)), 6) AS base_rmse, round(sqrt(sum(w * power(a - m, 2)) / sum(w)), 6) AS model_rmse, count(*) AS groups, round(sqrt(sum(w * power(a - b, 2)) / sum(w)) - sqrt(sum(w * power(a - m, 2)) / sum(w)), 6) AS gain FROM g""")
 def group_rmse_gain(spark, sf):

@@ -104,7 +104,7 @@ def evaluate_production(production: DataFrame, permute: int = 29) -> DataFrame:
     return models.rung_errors(scored, "receiver", ("base", "lift", "lift_placebo")).select(F.col("rung").alias("model"), "macro_rmse", "micro_rmse")
 
 
-def transport_outcome(train: DataFrame, test: DataFrame, counts: DataFrame, roles: DataFrame, k: int, outcome: str = "three_share", minimum: int = 3, least: int = 5, replicates: int = 200, seed: int = 0) -> DataFrame:
+def transport_outcome(train: DataFrame, test: DataFrame, counts: DataFrame, roles: DataFrame, k: int, outcome: str = "three_share", minimum: int = 3, least: int = 5, replicates: int = 2000, seed: int = 0) -> DataFrame:
     """model, lineups, macro_rmse, and how far the role model's macro error lies under the model's over
     resampled lineups (low, high, share_positive): an outcome's hierarchical fit of one table, that with
     role pairs, and with roles (member, role) dealt out anew, on another table's lineups of ``least``

@@ -287,7 +287,7 @@ def compare_rungs(stints: DataFrame, split: DataFrame) -> DataFrame:
         train.unpersist()
 
 
-def ladder(stints: DataFrame, holdouts: dict[str, DataFrame], replicates: int = 200, seed: int = 0) -> DataFrame:
+def ladder(stints: DataFrame, holdouts: dict[str, DataFrame], replicates: int = 2000, seed: int = 0) -> DataFrame:
     """holdout, rung, micro_rmse, macro_rmse, groups, and how far the rung's macro error lies under the
     additive ridge's over resampled groups (low, high, share_positive), for rungs 0 to 4 on each split."""
     if stints.count() < MIN_STINTS:
