@@ -52,7 +52,10 @@ def recovery(talent: DataFrame, pairs: DataFrame, exposure: DataFrame, least: in
     compared = pairs.join(at("a"), "a").join(at("b"), "b").where("at_a < at_b and (7 * at_a + at_b) % 11 = 0")
     by_pair = compared.agg(F.count(F.lit(1)).alias("pairs"), F.when(F.count(F.lit(1)) >= FEWEST_PAIRS, F.coalesce(metrics.correlation(F.col("truth"), F.col("estimate")), F.lit(0.0))).alias("pair_correlation"))
     number = supported.agg(F.count(F.lit(1)).alias("supported"))
-    return by_side.crossJoin(number).crossJoin(by_pair)  # one row each
+    out = by_side.crossJoin(number).crossJoin(by_pair)  # one row each
+    rows = out.collect()
+    supported.unpersist()
+    return talent.sparkSession.createDataFrame(rows, out.schema)
 
 
 def _receivers(production: DataFrame, dealt: DataFrame | None) -> DataFrame:

@@ -142,15 +142,15 @@ def ensemble_groups(train: DataFrame, test: DataFrame, members: int = 8, seed: i
     return chemistry.group_rows(rows, fits, "lineup")
 
 
-def lift(stints: DataFrame, side: str = "offense", grid: tuple[float, ...] = linear.LIFT_GRID, permute: int | None = None) -> DataFrame:
+def lift(stints: DataFrame, side: str = "offense", grid: tuple[float, ...] = linear.LIFT_GRID, permute: int | None = None, base: linear.Fit | None = None) -> DataFrame:
     """member, lift: how much better teammates do beside a player, given additive effects. Defense
     enters the additive fit with a minus sign, and so do its teammates' effects here.
 
     Stage one is the ridge fit; stage two regresses its residuals on the sum of the four teammates'
     effects for each player present, with a ridge prior whose variance maximises the marginal
-    likelihood over the grid. Both stages use statistics of one pass each.
+    likelihood over the grid. Both stages use statistics of one pass each; ``base`` is the first, if it is known.
     """
-    base = fit_ridge(stints)
+    base = fit_ridge(stints) if base is None else base
     tag, members, sign = ("o", "offense_player_ids", 1.0) if side == "offense" else ("d", "defense_player_ids", -1.0)
     alpha = base.table(stints.sparkSession).where(F.col("col").startswith(tag)).select(F.expr("cast(substring(col, 2) as bigint)").alias("member"), F.col("coef").alias("alpha"))
     if permute is not None:
@@ -202,9 +202,10 @@ def kmeans(vectors: DataFrame, key: str, names: list[str], k: int, seed: int = 0
     """key, cluster: k-means++ starts by seeded hash draws, Lloyd rounds in Spark. Only the k
     centres pass through the driver; clusters are numbered by their centres' first feature."""
     spark = vectors.sparkSession
-    points = vectors.select(key, F.array(*[F.col(n).cast("double") for n in names]).alias("x")).persist()
-    if points.count() < k:
+    plain = vectors.select(key, F.array(*[F.col(n).cast("double") for n in names]).alias("x"))
+    if plain.count() < k:
         raise ValueError("fewer rows than clusters")
+    points = plain.alias("points").persist()
     u = (S.draw(1_000_000, F.lit(seed), F.col(key)) + 1) / 1_000_001
     centres = [points.orderBy(u, key).first()["x"]]
 
@@ -226,7 +227,8 @@ def kmeans(vectors: DataFrame, key: str, names: list[str], k: int, seed: int = 0
             break
         centres = new
     centres = sorted(centres)
-    return points.select(key, nearest(centres)["i"].alias("cluster"))
+    points.unpersist()
+    return plain.select(key, nearest(centres)["i"].alias("cluster"))
 
 
 RUNGS = ("0_context", "1_lineup", "2_ridge", "3_hierarchical", "4_interactions")
@@ -328,7 +330,11 @@ def transport(train: DataFrame, test: DataFrame) -> DataFrame:
     covered = metrics.pair_coverage(groups, fives, contract.pair_exposure(train, MIN_TRANSPORT), "actual", "predicted").select(F.when(F.col("covered"), "covered").otherwise("uncovered").alias("level"), "lineups", F.col("rmse").alias("macro_rmse"))
     context = metrics.by_context(scored, "y", "predicted", "w").select(F.col("context").alias("level"), F.col("rows").alias("lineups"), F.col("rmse").alias("macro_rmse"))
     parts = [d.select(F.lit(k).alias("kind"), "level", "lineups", "macro_rmse") for k, d in (("novelty", novel), ("pairs", covered), ("context", context))]
-    return parts[0].union(parts[1]).union(parts[2])
+    out = parts[0].union(parts[1]).union(parts[2])
+    rows = out.collect()  # a row for each level
+    for held in (groups, scored):
+        held.unpersist()
+    return train.sparkSession.createDataFrame(rows, out.schema)
 
 
 def calibrated_groups(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -494,7 +500,7 @@ def evaluate_lift(train: DataFrame, test: DataFrame, side: str = "offense", perm
     scored = gram.scored(design_rows(_lineups(test), train, ("lineup", members)), base.table(spark)).withColumnRenamed("predicted", "base")
     present = scored.select("stint_id", F.explode(members).alias("member")).withColumns({"y": F.lit(0.0), "w": F.lit(0.0)})
     for name, dealt in (("lift", None), ("lift_placebo", permute)):
-        found = lift(train, side, permute=dealt)
+        found = lift(train, side, permute=dealt, base=base)
         used = alpha if dealt is None else profiles.permuted(alpha, "member", "alpha", dealt)
         coefs = found.select(F.concat(F.lit("l"), F.col("member").cast("string")).alias("col"), F.col("lift").alias("extra"))
         extra = gram.scored(lift_rows(present, used, sign), coefs).select("stint_id", "extra")
