@@ -174,3 +174,80 @@ def test_two_thousand_draws(spark):
     assert "Join" not in plan
     means = [r.v / r.draws for r in found.collect()]
     assert len(means) == 2000 and abs(np.mean(means) - 4.5) < 0.02 and abs(np.std(means) - np.sqrt(8.25 / 2000)) < 0.01
+
+
+@pytest.fixture(scope="module")
+def halves(league):
+    sided = league.join(splits.chronological(league), "stint_id")
+    train, test = (sided.where(F.col("side") == s).drop("side").cache() for s in ("train", "test"))
+    return train, test
+
+
+def test_transport_to_another_table(halves):
+    train, test = halves
+    found = {(r.kind, r.level): r for r in models.transport(train, test).collect()}
+    lineups = test.select(F.array_sort("offense_player_ids")).distinct().count()
+    assert sum(r.lineups for (kind, _), r in found.items() if kind == "novelty") == lineups
+    assert sum(r.lineups for (kind, _), r in found.items() if kind == "pairs") == lineups
+    assert found["context", "all"].lineups == test.count() == found["context", "clutch"].lineups + found["context", "other"].lineups
+    with pytest.raises(ValueError):
+        models.transport(train, test.limit(3))
+
+
+def test_an_outcome_that_follows_players_is_predicted(halves, league):
+    train, test = halves
+    made = F.size(F.filter("offense_player_ids", lambda p: p % 3 == 0))
+    counts = league.select("stint_id", (made * 3).alias("rim"), (made * 0 + 1).alias("threes"), F.lit(30).alias("attempts"))
+    one = models.mechanistic(train, test, counts, "rim_share").first()
+    assert one.model_rmse < 0.3 * one.base_rmse and one.gain > 0
+    every = {r.outcome: r for r in models.mechanistic_outcomes(train, test, counts).collect()}
+    assert set(every) == {"rim_share", "three_share"} and every["rim_share"].gain == pytest.approx(one.gain)
+    assert abs(every["three_share"].gain) < 1e-3  # the same everywhere
+
+
+def test_an_outcomes_role_model_is_carried_over(halves, league, roles):
+    from cadence.plans import evaluation
+
+    train, test = halves
+    zeros = F.size(F.filter("offense_player_ids", lambda p: p % 3 == 0))
+    noise = F.pmod(F.xxhash64("stint_id"), F.lit(3))
+    counts = league.select("stint_id", (zeros * (zeros - 1) * 2 + noise).alias("threes"), F.lit(40).alias("attempts"))
+    found = {r.model: r for r in evaluation.transport_outcome(train, test, counts, roles, 3, least=1, replicates=200).collect()}
+    assert set(found) == {"rung3", "role", "role_placebo"} and len({r.lineups for r in found.values()}) == 1
+    assert found["role"].macro_rmse < min(found["rung3"].macro_rmse, found["role_placebo"].macro_rmse)
+    assert found["rung3"].low > 0 and found["rung3"].share_positive == 1.0 and found["role"].low == found["role"].high == 0.0
+
+
+def test_planted_teammates_show_in_receivers(spark):
+    rng = np.random.default_rng(3)
+    gift = np.linspace(-4, 4, 12)
+    rows = []
+    for s in range(500):
+        five = [int(m) for m in rng.choice(12, 5, replace=False)]
+        rows += [(f"s{s}", f"2021-{1 + s // 50:02d}-01", m, float(12 + m + sum(gift[x] for x in five if x != m) + rng.normal()), 0.0, 0.0, 1.0) for m in five]
+    production = spark.createDataFrame(rows, "stint_id string, game_date string, member long, fg double, ft double, assisted double, w double").withColumn("game_date", F.to_date("game_date"))
+    found = models.evaluate_receivers(production).first()
+    assert found.gain > 0 and found.model_rmse < 0.85 * found.base_rmse
+
+
+def test_hypothetical_lineups(spark, league):
+    fit = models.fit_hierarchical(league)
+    effect = {int(c[1:]): v for c, v in zip(fit.columns, fit.coef) if c[0] == "o"}
+    order = sorted(effect, key=effect.get)
+    data = [("best", order[-5:], 100.0), ("worst", order[:5], 100.0), ("light", order[-5:], 10.0), ("stranger", [*order[-4:], 999], 100.0)]
+    found = {r.lineup: r for r in models.predict_lineups(fit, spark.createDataFrame(data, "lineup string, five array<long>, weight double")).collect()}
+    assert found["best"].mean > found["worst"].mean and found["light"].mean == pytest.approx(found["best"].mean) and found["light"].sd > found["best"].sd
+    assert all(r.low_95 < r.low_80 < r.mean < r.high_80 < r.high_95 for r in found.values())
+    assert found["best"].known_members == 5 and found["stranger"].known_members == 4
+    with pytest.raises(ValueError):
+        models.predict_lineups(fit, spark.createDataFrame([("x", [1, 1, 2, 3, 4], 1.0)], "lineup string, five array<long>, weight double"))
+
+
+def test_nothing_stays_cached(halves):
+    train, test = halves
+    spark = train.sparkSession
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    models.transport(train, test).collect()
+    metrics.bootstrap(train.groupBy("game_id").agg(F.sum("points_scored").alias("p")), "game_id", 10, 1, p=F.col("p")).collect()
+    models.kmeans(spark.range(20).select("id", (F.col("id") % 4).cast("double").alias("x")), "id", ["x"], 2).collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= held
