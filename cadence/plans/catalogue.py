@@ -1176,6 +1176,20 @@ def season_scale(spark, sf):
     return _round(models.prefix_scale(models.season_moments(V.stints(spark, sf))), "m_margin", "s_margin", "m_rest", "s_rest")
 
 
+@query(f"""{STINT}, t AS (SELECT stint_id, season_index, CAST(offense_team_id AS VARCHAR) AS team, unnest(offense_player_ids) AS p, offensive_possessions AS n, 100.0::DOUBLE * points_scored / offensive_possessions AS y,
+    (100 + CASE WHEN home_offense THEN 1.5 ELSE 0 END + list_sum(list_transform(offense_player_ids, lambda q: q % 7 - 3)) - list_sum(list_transform(defense_player_ids, lambda q: q % 5 - 2)))::DOUBLE AS f FROM stint),
+  e AS (SELECT p, season_index, team, sum(n) AS n FROM t GROUP BY ALL HAVING sum(n) >= 50), d AS (SELECT p, season_index, min(team) AS team FROM e GROUP BY ALL HAVING count(*) = 1),
+  m AS (SELECT a.p, b.season_index, b.team, CASE WHEN a.team = b.team THEN 'phantom' ELSE 'real' END AS cohort FROM d a JOIN d b ON a.p = b.p AND b.season_index = a.season_index + 1)
+  SELECT cohort, season_index, p AS player_id, round(sum(n * y) / sum(n) - sum(n * f) / sum(n), 6) AS delta FROM t JOIN m USING (p, season_index, team) GROUP BY ALL""")
+def ruled_backtest(spark, sf):
+    from . import models
+
+    s = V.stints(spark, sf)
+    rows = gram.design(s, {"intercept": F.lit(1.0), "home": F.col("home_offense").cast("int").cast("double")}, ("season_index", "offense_team_id", "offense_player_ids"))
+    scored = gram.scored(rows, _ruled(s)).select("season_index", F.col("offense_team_id").cast("string").alias("to_team"), F.explode("offense_player_ids").alias("player_id"), "y", "w", "predicted")
+    return _round(models.move_deltas(scored, s, 50), "delta")
+
+
 @query()
 def pair_stability(spark, sf):
     from . import models

@@ -423,6 +423,13 @@ def backtest(stints: DataFrame, threshold: int = 50, min_rows: int = 50) -> Data
     after = rows.where(F.col("season_index").isin(list(fits)))
     own = F.coalesce(*[F.when(F.col("season_index") == season, F.col(f"f{k}")) for k, season in enumerate(fits)])
     scored = gram.scored(after, table).select("stint_id", "season_index", F.col("offense_team_id").cast("string").alias("to_team"), F.explode("offense_player_ids").alias("player_id"), "y", "w", own.alias("predicted"))
+    return move_deltas(scored, stints, threshold)
+
+
+def move_deltas(scored: DataFrame, stints: DataFrame, threshold: int) -> DataFrame:
+    """cohort, season_index, player_id, delta of rows (season_index, to_team, player_id, y, w,
+    predicted): weighted mean of y less that of the prediction for players who moved to a team between two seasons,
+    in the later one, and for those who stayed (the phantom cohort)."""
     exposure = stints.select(F.explode("offense_player_ids").alias("player_id"), "season_index", F.col("offense_team_id").cast("string").alias("team"), F.col("offensive_possessions").cast("long").alias("possessions"))
     moved = None
     for cohort, changed in (("real", True), ("phantom", False)):
@@ -471,13 +478,16 @@ def predict_lineups(fit: linear.Fit, lineups: DataFrame) -> DataFrame:
 def ridge_band(train: DataFrame, test: DataFrame, replicates: int = 20, seed: int = 3, penalty: float = 30.0) -> DataFrame:
     """lineup, weight, point, sd: the additive ridge's group predictions, with the spread of fits over
     resampled games and the noise of a group's own weight: sqrt(variance + sigma^2 / weight). A game's
-    rows weigh as often as it was drawn, so all replicates' statistics come from one pass."""
+    rows weigh as often as it was drawn, so all replicates' statistics come from one pass, in which a row stands once."""
     spark = train.sparkSession
     rows = design_rows(train, keep=("game_id",))
     base = linear.collect(rows)[None]
     coef = linear.ridge(base, penalty)
     drawn = metrics.draws(train.select("game_id").distinct(), "game_id", replicates, seed).select("game_id", "replicate", "times")
-    parts = linear.collect(rows.join(drawn, "game_id").withColumn("w", F.col("w") * F.col("times")).drop("times", "game_id"), "replicate")
+    drawn = drawn.groupBy("game_id").agg(F.map_from_entries(F.collect_list(F.struct("replicate", "times"))).alias("times"))  # a game's replicates
+    names = [f"w{k}" for k in range(replicates)]
+    weighed = rows.join(drawn, "game_id").select("y", "cells", *[(F.col("w") * F.coalesce(F.try_element_at("times", F.lit(k)), F.lit(0))).alias(n) for k, n in enumerate(names)])
+    parts = {n: found[None] for n, found in linear.collect_many(weighed, {n: ("y", n) for n in names}).items() if found[None].n}
     at = {c: i for i, c in enumerate(base.columns)}
     fits = np.zeros((len(parts), len(coef)))
     for k, s in enumerate(parts.values()):
