@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import contract, profiles, splits
-from .plans import confirmation, evaluation, ingest, models, report
+from .plans import confirmation, evaluation, ingest, models, report, suite
 from .sources import archive, records
 
 
@@ -86,6 +86,14 @@ def _confirm(a, s: DataFrame) -> DataFrame:
     return confirmation.confirm(s, holdouts, {k: roles}, _table(a, s, "features"), _table(a, s, "outcomes") if a.outcomes else None, outcomes)[0]
 
 
+def _suite(a, s: DataFrame) -> DataFrame:
+    held = s.sparkSession.createDataFrame(splits.unseen_pairs(s, a.count), "a long, b long")
+    kinds = {"chronological": (splits.chronological(s, a.fraction), "month", None), "unseen_lineup": (splits.hold_out_lineups(s, splits.unseen_lineups(s, a.count)), "lineup", None)}
+    if not held.isEmpty():
+        kinds["unseen_pair"] = (splits.hold_out_pairs(s, held), "pair", held)
+    return suite.evaluate(s, kinds)
+
+
 def _stability(a, s: DataFrame) -> DataFrame:
     seasons = [r[0] for r in s.select("season_index").distinct().orderBy("season_index").collect()]  # a few
     return models.pair_stability([s.where(F.col("season_index") == k) for k in seasons])
@@ -153,6 +161,8 @@ VERBS = {
     "production": (lambda a, s: evaluation.evaluate_production(_table(a, s, "production")), "receivers' own level and their teammates' lift"),
     "outcome_transport": (_carried, "an outcome's role model on another table"),
     "ingest": (None, "possessions (Parquet at --stints) and --games to stints, quarantine and manifest"),
+    "suite": (_suite, "additive against full model on all three splits"),
+    "intervals": (lambda a, s: models.lineup_intervals(s, s.select("offense_player_ids").distinct(), a.count), "the interaction's effect on every lineup, with intervals"),
     "convert": (None, "the providers' CSV files of --archive to a snapshot, with index and provenance"),
     "manifest": (None, "rows, possessions and file hashes of --stints, as JSON"),
     "strongest": (lambda a, s: models.strongest(_fit(a, s), a.count), "the coefficients of greatest size"),

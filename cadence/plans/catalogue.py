@@ -1190,6 +1190,16 @@ def ruled_backtest(spark, sf):
     return _round(models.move_deltas(scored, s, 50), "delta")
 
 
+@query()
+def evaluation_suite(spark, sf):
+    from . import suite
+
+    s = V.stints(spark, sf)
+    held = spark.createDataFrame(splits.unseen_pairs(s, n_pairs=4, budget=0.5, cap_share=1.0), "a long, b long")
+    holdouts = {"chronological": (splits.chronological(s), "month", None), "unseen_lineup": (splits.hold_out_lineups(s, splits.unseen_lineups(s, 120)), "lineup", None), "unseen_pair": (splits.hold_out_pairs(s, held), "pair", held)}
+    return suite.evaluate(s, holdouts)
+
+
 @query()
 def pair_stability(spark, sf):
     from . import models
