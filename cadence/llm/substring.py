@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, map_arrow, materialise, table, utf8, worker_cache
+from .common import batch, discard, map_arrow, materialise, table, utf8, worker_cache
 
 WINDOW = 35
 GRAM = 8
@@ -347,26 +347,27 @@ def _with_counters(docs: DataFrame, bits: int, hot: int = HOT) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rid, rid2, counters, times = [], [], [], []
-            for t, r, r2 in zip(utf8(b.column("text")), b.column("rid").to_pylist(), b.column("rid2").to_pylist()):
+            rid, counters, times = [], [], []
+            for t, r in zip(utf8(b.column("text")), b.column("rid").to_pylist()):
                 c, n = np.unique(_counters(anchors(word_hashes((t or b"").split()))[1], bits, 0), return_counts=True)
                 rid.append(np.full(len(c), r, np.int64))
-                rid2.append(np.full(len(c), r2, np.int32))
                 counters.append(c)
                 times.append(n)
             if rid:
-                yield batch(rid=pa.array(np.concatenate(rid)), rid2=pa.array(np.concatenate(rid2)), counter=pa.array(np.concatenate(counters), pa.int64()), n=pa.array(np.concatenate(times), pa.int64()))
+                yield batch(rid=pa.array(np.concatenate(rid)), counter=pa.array(np.concatenate(counters), pa.int64()), n=pa.array(np.concatenate(times), pa.int32()))
 
-    each = materialise(map_arrow(docs.select("text", "rid", "rid2"), run, "rid long, rid2 int, counter long, n long"), "substring-counters")
+    # Documents go by one hash: two that share it get each other's counters, which are as true for both.
+    each = materialise(map_arrow(docs.select("text", "rid"), run, "rid long, counter long, n int"), "substring-counters")
     total = each.agg(F.sum("n")).first()[0] or 0
     many = materialise(each.groupBy("counter").agg(F.sum("n").alias("times")).where("times > 1"), "substring-sketch")
     frequent = F.col("times") > max(hot, total // SENT)
-    tagged = each.select("rid", "rid2", "counter").join(F.broadcast(many.where(frequent)), "counter", "left")
+    tagged = each.select("rid", "counter").join(F.broadcast(many.where(frequent)), "counter", "left")
     rest = tagged.where("times IS NULL").drop("times").join(many.where(~frequent), "counter")
     # Rows that repeat a document tell of the same counters.
-    back = tagged.where("times IS NOT NULL").unionByName(rest).groupBy("rid", "rid2").agg(F.collect_set(F.struct("counter", "times")).alias("known"))  # a document's anchors
-    back = back.select("rid", "rid2", F.col("known.counter").alias("counters"), F.col("known.times").alias("times"))
-    return docs.join(back.hint("shuffle_hash"), ["rid", "rid2"])
+    back = tagged.where("times IS NOT NULL").unionByName(rest).groupBy("rid").agg(F.collect_set(F.struct("counter", "times")).alias("known"))  # a document's anchors
+    known = materialise(back.select("rid", F.col("known.counter").alias("counters"), F.col("known.times").alias("times")), "substring-known")
+    discard(each)
+    return docs.join(known.hint("shuffle_hash"), "rid")
 
 
 def repeated_places(docs: DataFrame, hot: int = HOT, max_bits: int = MAX_BITS) -> DataFrame:

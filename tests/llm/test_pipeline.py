@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline
-from cadence.llm import bpe, chat, license_scan, packing, pii, quality, registry, simhash, substring, topk, toxicity
+from cadence.llm import bpe, chat, language, license_scan, packing, pii, quality, registry, simhash, spelling, substring, topk, toxicity
 
 from .helpers import AWKWARD, documents
 from .test_text_operators import WORD, slow_components, slow_counts, slow_fingerprint
@@ -92,7 +92,7 @@ def test_queries_by_name(spark, sf):
     found = {name: query(spark, sf) for name, query in registry.queries().items()}
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     for name, df in found.items():
-        if name not in ("op4_packing", "op7_topk", "op9_chat"):
+        if name not in ("op4_packing", "op7_topk", "op9_chat", "op11_spelling", "op12_hard_negatives"):
             assert df.count() == n, name
     duck = duckdb.connect()
     for t in ("embeddings", "conversations"):
@@ -116,7 +116,7 @@ def test_empty_tables(spark):
     path, pattern = bpe.multi_bpe()
     for out in (
         quality.judge(docs, labels), quality.keep(docs, labels), simhash.cluster(docs), simhash.deduplicate(docs), bpe.round_trip(docs, path, pattern), bpe.encode(docs, path, pattern),
-        packing.pack(docs, packing.word_bpe_path()), pii.scan(docs), pii.redact(docs), toxicity.score(docs, labels), license_scan.scan(docs), substring.deduplicate(docs),
+        packing.pack(docs, packing.word_bpe_path()), pii.scan(docs), pii.redact(docs), toxicity.score(docs, labels), license_scan.scan(docs), substring.deduplicate(docs), spelling.group(spelling.vocabulary(docs)), language.predict(docs, {"en": b"a"}),
     ):
         assert out.count() == 0
     vectors = topk.integer_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"))
