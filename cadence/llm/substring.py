@@ -51,6 +51,9 @@ BUCKET_BYTES = 64 << 20
 HOT = 1 << 14
 #: The most counters of a spread sketch that go to every task (16 bytes each).
 SENT = 1 << 20
+#: Shares of a counter of a spread sketch take so many bits beside it.
+_SHARE_BITS = 16
+_MOST_SHARES = (1 << _SHARE_BITS) - 1
 
 _MIX = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93), (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xFF51AFD7ED558CCD))
 _SKETCH = (0x9E3779B97F4A7C15, 0xC4CEB9FE1A85EC53)
@@ -247,18 +250,18 @@ def _place_batch(places, bucket=None):
     return batch(**cols) if bucket is None else batch(bucket=pa.array([bucket(p) for p in places], pa.int32()), **cols)
 
 
-def _listed(counters: np.ndarray, times: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """How often each wanted counter (of ``counters``, ascending) is counted; 0 if it isn't listed."""
+def _listed(counters: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The value of each wanted counter (of ``counters``, ascending); 0 if it isn't listed."""
     if not len(counters):
         return np.zeros(len(wanted), np.int64)
     at = np.minimum(np.searchsorted(counters, wanted), len(counters) - 1)
-    return np.where(counters[at] == wanted, times[at], 0)
+    return np.where(counters[at] == wanted, values[at], 0)
 
 
 def _windows(batches, bits: int, bitmap: np.ndarray | None, above: list[np.ndarray], buckets: int, hot: int = HOT):
     """Rows (bucket, rid, rid2, payload): with rid null entries to group, else settled places.
 
-    Without ``bitmap`` each text comes with its own counters and their counts (``counters``, ``times``).
+    Without ``bitmap`` each text comes with its own counters and their shares (``known``).
     """
     settled = [np.zeros(0, np.uint64)]  # windows that this task has found twice; forgotten when many
 
@@ -284,17 +287,17 @@ def _windows(batches, bits: int, bitmap: np.ndarray | None, above: list[np.ndarr
 
     held, anchored, size = [], [], 0
     for b in batches:
-        own = zip(b.column("counters").to_pylist(), b.column("times").to_pylist()) if bitmap is None else [(None, None)] * b.num_rows
-        for t, rid, rid2, (counters, times) in zip(utf8(b.column("text")), b.column("rid").to_pylist(), b.column("rid2").to_pylist(), own):
+        own = b.column("known").to_pylist() if bitmap is None else [None] * b.num_rows
+        for t, rid, rid2, known in zip(utf8(b.column("text")), b.column("rid").to_pylist(), b.column("rid2").to_pylist(), own):
             h = word_hashes((t or b"").split())
             least, _ = anchors(h)
             if not len(least):
                 continue
             if bitmap is None:
-                order = np.argsort(counters)
-                seen = _listed(np.array(counters, np.int64)[order], np.array(times, np.int64)[order], _counters(least, bits, 0))
-                at = np.flatnonzero(seen > 1)
-                shares = (1 + seen[at] // hot).astype(np.uint64)
+                known = np.sort(np.array(known, np.int64))
+                seen = _listed(known >> _SHARE_BITS, known & _MOST_SHARES, _counters(least, bits, 0))
+                at = np.flatnonzero(seen > 0)
+                shares = seen[at].astype(np.uint64)
             else:
                 at = np.flatnonzero(_maybe_repeated(least, bits, bitmap))
                 shares = _shares(least[at], bits, above, hot)
@@ -336,7 +339,7 @@ def _group(batches):
 
 
 def _with_counters(docs: DataFrame, bits: int, hot: int = HOT) -> DataFrame:
-    """The documents that have anchors counted twice or more, with these ``counters`` and ``times``.
+    """The documents that have anchors counted twice or more, with these: ``known``, an array of numbers.
 
     The sketch has one row here, and is spread over the cluster by counter: a document's own counts
     are rows of a table, partitions' sums of them are merged, and the documents' rows are joined with
@@ -363,9 +366,11 @@ def _with_counters(docs: DataFrame, bits: int, hot: int = HOT) -> DataFrame:
     frequent = F.col("times") > max(hot, total // SENT)
     tagged = each.select("rid", "counter").join(F.broadcast(many.where(frequent)), "counter", "left")
     rest = tagged.where("times IS NULL").drop("times").join(many.where(~frequent), "counter")
+    # One number for each: the counter, and over how many buckets its windows are dealt.
+    shares = F.least(F.floor(F.col("times") / hot) + 1, F.lit(_MOST_SHARES))
+    told = tagged.where("times IS NOT NULL").unionByName(rest).select("rid", (F.shiftleft("counter", _SHARE_BITS) + shares).alias("known"))
     # Rows that repeat a document tell of the same counters.
-    back = tagged.where("times IS NOT NULL").unionByName(rest).groupBy("rid").agg(F.collect_set(F.struct("counter", "times")).alias("known"))  # a document's anchors
-    known = materialise(back.select("rid", F.col("known.counter").alias("counters"), F.col("known.times").alias("times")), "substring-known")
+    known = materialise(told.groupBy("rid").agg(F.collect_set("known").alias("known")), "substring-known")  # a document's anchors
     discard(each)
     return docs.join(known.hint("shuffle_hash"), "rid")
 
@@ -379,7 +384,7 @@ def repeated_places(docs: DataFrame, hot: int = HOT, max_bits: int = MAX_BITS) -
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size) // BUCKET_BYTES)
     schema = "bucket int, rid long, rid2 int, payload binary"
     if bits > max_bits:
-        places = map_arrow(_with_counters(docs, bits, hot).select("text", "rid", "rid2", "counters", "times"), lambda batches: _windows(batches, bits, None, [], buckets, hot), schema)
+        places = map_arrow(_with_counters(docs, bits, hot).select("text", "rid", "rid2", "known"), lambda batches: _windows(batches, bits, None, [], buckets, hot), schema)
     else:
         shared = spark.sparkContext.broadcast(sketch(docs, bits, hot))
 
