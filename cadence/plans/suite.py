@@ -15,7 +15,7 @@ from . import chemistry, evaluation, models
 BLOCKS = 400
 
 
-def scored_holdout(train: DataFrame, test: DataFrame, members: int = chemistry.MEMBERS, seed: int = 0) -> tuple[DataFrame, list[chemistry.Interactions]]:
+def scored_holdout(train: DataFrame, test: DataFrame, members: int = 0, seed: int = 0) -> tuple[DataFrame, list[chemistry.Interactions]]:
     """Test stints (stint_id, game_id, game_date, offense_player_ids, y, w, additive, full), and the fits."""
     fits, _, _ = models.chemistry_of(train, members, seed)
     keep = ("game_id", "game_date", "offense_player_ids")
@@ -33,7 +33,7 @@ def _errors(rows: DataFrame, target: str, tag: str) -> DataFrame:
     return out
 
 
-def evaluate(stints: DataFrame, holdouts: dict[str, tuple], truth: DataFrame | None = None, members: int = chemistry.MEMBERS, blocks: int = BLOCKS, seed: int = 0) -> DataFrame:
+def evaluate(stints: DataFrame, holdouts: dict[str, tuple], truth: DataFrame | None = None, members: int = 0, blocks: int = BLOCKS, seed: int = 0) -> DataFrame:
     """A row for each holdout: stints and groups, micro and macro errors of the additive and the full
     model (and against a known ``truth``: stint_id, truth), by how many per cent the full one's macro
     error is smaller (against the truth, if known), and the difference of micro errors with its 80 %
