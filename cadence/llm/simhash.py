@@ -76,22 +76,32 @@ def _index(distinct: DataFrame) -> DataFrame:
     )
 
 
+def _shared(keyed: DataFrame) -> DataFrame:
+    """The entries whose key several fingerprints have, with their number ``n``. Spark sizes an exploded
+    table like the one before, so 66 entries a fingerprint would pass for a table to broadcast: the
+    joins of exploded tables are shuffled whatever their sizes seem."""
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return keyed.join(sizes.hint("merge"), "key").select("key", "fp", "n")
+
+
+def _through(crowded: DataFrame) -> DataFrame:
+    """(u, v) of the fingerprints ``fp``: each with the least that shares a midpoint with it."""
+    near = crowded.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("k")).selectExpr("fp", "case when k = 64 then fp else fp ^ shiftleft(1L, k) end as mid")
+    least = near.groupBy("mid").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("mid", "v")
+    return near.join(least.hint("merge"), "mid").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
+
+
 def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(u, v): edges over distinct fingerprints ``fp`` whose components are those of all links."""
-    keyed = _index(distinct)
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialise(keyed.join(sizes, "key").select("key", "fp", "n"), "simhash-index")
+    shared = materialise(_shared(_index(distinct)), "simhash-index")
     few = shared.where(F.col("n") <= bucket)
     left, right = few.select("key", F.col("fp").alias("u")), few.select("key", F.col("fp").alias("v"))
     hole = "(shiftrightunsigned(key, 32) & 63)"
     # Under a wildcard key the wildcard bit must differ; equal segments meet under their own key.
     differs = f"({hole} = 32 or ((shiftrightunsigned(u ^ v, cast({hole} + 32 * shiftrightunsigned(key, 38) as int)) & 1) = 1))"
-    pairs = left.join(right, "key").where("u < v").where(f"bit_count(u ^ v) <= {BITS}").where(differs).select("u", "v").distinct()
+    pairs = left.join(right.hint("merge"), "key").where("u < v").where(f"bit_count(u ^ v) <= {BITS}").where(differs).select("u", "v").distinct()
     crowded = shared.where(F.col("n") > bucket).select("fp").distinct()
-    near = crowded.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("k")).selectExpr("fp", "case when k = 64 then fp else fp ^ shiftleft(1L, k) end as mid")
-    least = near.groupBy("mid").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("mid", "v")
-    through = near.join(least, "mid").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
-    return pairs.union(through)
+    return pairs.union(_through(crowded))
 
 
 def cluster(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:

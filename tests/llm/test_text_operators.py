@@ -134,6 +134,14 @@ def slow_components(prints):
     return [find(i) for i in range(len(prints))]
 
 
+def test_simhash_joins_of_exploded_tables_are_never_broadcast(spark):
+    """Spark sizes what an explode makes like the table before, which is under any limit here."""
+    some = spark.range(1000).select(F.xxhash64("id").alias("fp"))
+    for found in (simhash._shared(simhash._index(some)), simhash._through(some)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_simhash_against_brute_force(spark, sample):
     texts = [x for x in sample + AWKWARD if x[0] is not None and len(x[1] or "") < 100_000]
     found = simhash.cluster(documents(spark, texts, extra=True)).collect()
