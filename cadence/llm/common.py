@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.held import materialise, shared_folder  # noqa: F401
+
 #: The characters that separate words: space, tab, \n, \v, \f and \r. ``bytes.split()`` cuts at
 #: exactly these, so words are taken from UTF-8 bytes, never with ``str.split``.
 WORD_SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -18,30 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``. Where the session
-    names none, a temporary folder on one machine only (as in tests); a cluster has to name one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="cadence-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    This cuts the lineage, so that a lost executor costs a re-read and not a recomputation, and
-    gives a table that can be used several times.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cadence-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(written: DataFrame) -> None:
     """Deletes the files of a table from ``materialise`` that nothing will read again."""
     spark = written.sparkSession

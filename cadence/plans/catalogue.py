@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import contract, gram, intervals, metrics, ordered, profiles, reconcile, shared, splits
 from ..sources import views as V
+from ..sources.held import materialise
 from ..sources.views import POSSESSION_SQL, PROFILE_SQL, STINT_SQL, WINDOW_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -694,9 +695,13 @@ def block_bootstrap(spark, sf):
 # -- fitted models (compared by invariants in the tests, not by SQL) --------------------------------
 
 
+def _held_stints(spark, sf):
+    """The stints, worked out once for a query that reads them several times."""
+    return materialise(V.stints(spark, sf), "stints")
+
+
 def _halves(spark, sf):
-    s = V.stints(spark, sf)
-    sided = s.join(splits.chronological(s), "stint_id")
+    sided = materialise(splits.chronological_sides(_held_stints(spark, sf)), "halves")
     return sided.where("side = 'train'").drop("side"), sided.where("side = 'test'").drop("side")
 
 
@@ -746,7 +751,7 @@ def redundancy_fit(spark, sf):
 def low_rank_interactions(spark, sf):
     from . import chemistry, models
 
-    s = V.stints(spark, sf)
+    s = _held_stints(spark, sf)
     return models.interactions(chemistry.low_rank(models.residual_rows(s)), models.pairs_met(s))
 
 
@@ -804,7 +809,7 @@ def group_calibration(spark, sf):
 def transaction_backtest(spark, sf):
     from . import models
 
-    s = V.stints(spark, sf)
+    s = _held_stints(spark, sf)
     teams = s.select(F.explode("offense_player_ids").alias("p"), "season_index", "offense_team_id", "offensive_possessions").groupBy("p", "season_index", "offense_team_id").agg(F.sum("offensive_possessions").alias("n"))
     threshold = int(teams.agg(F.percentile_approx("n", 0.1)).first()[0])
     return models.backtest(s, threshold=threshold)
@@ -1050,7 +1055,7 @@ def centred_lineup_effects(spark, sf):
 def ladder(spark, sf):
     from . import models
 
-    s = V.stints(spark, sf)
+    s = _held_stints(spark, sf)
     pairs = spark.createDataFrame(splits.unseen_pairs(s, n_pairs=4, budget=0.5, cap_share=1.0), "a long, b long")
     holdouts = {"chronological": splits.chronological(s), "unseen_lineup": splits.hold_out_lineups(s, splits.unseen_lineups(s, 20)), "unseen_pair": splits.hold_out_pairs(s, pairs)}
     return models.ladder(s, holdouts)
@@ -1152,7 +1157,7 @@ def ensemble_groups(spark, sf):
 def strength_choice(spark, sf):
     from . import chemistry, models
 
-    rows = models.residual_rows(V.stints(spark, sf)).persist()
+    rows = models.residual_rows(_held_stints(spark, sf)).persist()
     best, gains = chemistry.choose_strength(rows)
     rows.unpersist()
     return spark.createDataFrame([(float(v), float(g), v == best) for v, g in gains.items()], "strength double, gain double, chosen boolean")
@@ -1194,7 +1199,7 @@ def ruled_backtest(spark, sf):
 def evaluation_suite(spark, sf):
     from . import suite
 
-    s = V.stints(spark, sf)
+    s = _held_stints(spark, sf)
     held = spark.createDataFrame(splits.unseen_pairs(s, n_pairs=4, budget=0.5, cap_share=1.0), "a long, b long")
     holdouts = {"chronological": (splits.chronological(s), "month", None), "unseen_lineup": (splits.hold_out_lineups(s, splits.unseen_lineups(s, 120)), "lineup", None), "unseen_pair": (splits.hold_out_pairs(s, held), "pair", held)}
     return suite.evaluate(s, holdouts)
@@ -1204,7 +1209,7 @@ def evaluation_suite(spark, sf):
 def pair_stability(spark, sf):
     from . import models
 
-    s = V.stints(spark, sf)
+    s = _held_stints(spark, sf)
     return models.pair_stability([s.where("season_index % 2 = 0"), s.where("season_index % 2 = 1")])
 
 
@@ -1212,7 +1217,7 @@ def pair_stability(spark, sf):
 def confirmation_sweep(spark, sf):
     from . import confirmation
 
-    s = V.stints(spark, sf)
+    s = _held_stints(spark, sf)
     held = spark.createDataFrame(splits.unseen_pairs(s), "a long, b long")
     holdouts = {"unseen_lineup": (splits.hold_out_lineups(s, splits.unseen_lineups(s, 120)), "lineup", None), "unseen_pair": (splits.hold_out_pairs(s, held), "pair", held)}
     counts = _outcome_counts(spark, sf).withColumn("stint_id", F.col("l_orderkey").cast("string"))
