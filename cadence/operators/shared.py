@@ -64,6 +64,68 @@ def ragged(a_group: np.ndarray, b_count: np.ndarray):
         low = high
 
 
+def upper(row: np.ndarray, col: np.ndarray, n: int):
+    """Chunks of pairs (place, place) of the same row, each pair of its cells once and a cell with itself;
+    cells are in the order of row and column."""
+    last = np.cumsum(np.bincount(row, minlength=n))[row]
+    each = last - np.arange(len(row))
+    ends, low = np.cumsum(each), 0
+    while low < len(row):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] - each[low] + _AT_ONCE, "right")))
+        m = each[low:high]
+        a = np.repeat(np.arange(low, high), m)
+        yield a, a + np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m)
+        low = high
+
+
+class _Held:
+    """The sums of a task's batches, added up by key and labels while they are of a bounded number, so
+    that a task gives each sum about once, not once a batch."""
+
+    WIDTH = 1 << 21
+
+    def __init__(self, responses: int, most: int):
+        self.responses, self.most = responses, max(1, most // (responses + 1))
+        self.labels: dict = {}
+        self.keys: dict = {}
+        self.pieces: list[tuple[np.ndarray, list[np.ndarray]]] = []
+        self.n = 0
+
+    @staticmethod
+    def _numbers(known: dict, values: list) -> np.ndarray:
+        return np.array([known.setdefault(v, len(known)) for v in values], np.int64)
+
+    def add(self, keys: list, labels: list[str], key: np.ndarray, i: np.ndarray, j: np.ndarray, g: list[np.ndarray]) -> None:
+        k, at = self._numbers(self.keys, keys), self._numbers(self.labels, labels)
+        self.pieces.append(((k[key] * self.WIDTH + at[i]) * self.WIDTH + at[j], g))
+        self.n += len(key)
+        if self.n > self.most:
+            self._merge()
+
+    def _merge(self) -> None:
+        codes, where = np.unique(np.concatenate([c for c, _ in self.pieces]), return_inverse=True)
+        self.pieces = [(codes, [np.bincount(where, np.concatenate([g[r] for _, g in self.pieces]), len(codes)) for r in range(self.responses)])]
+        self.n = len(codes)
+
+    def full(self) -> bool:
+        """Whether merging no longer helps, so that what is held has to go on; or numbers run out."""
+        return self.n > self.most // 2 or len(self.labels) > self.WIDTH // 2 or len(self.keys) > self.WIDTH // 4
+
+    def take(self):
+        """keys, labels, and key, i, j, sums of all that is held; nothing is held then."""
+        if not self.pieces:
+            return None
+        self._merge()
+        codes, g = self.pieces[0]
+        out = list(self.keys), list(self.labels), codes // self.WIDTH**2, codes // self.WIDTH % self.WIDTH, codes % self.WIDTH, g
+        self.labels, self.keys, self.pieces, self.n = {}, {}, [], 0
+        return out
+
+
+#: Numbers that a task holds at most (8 bytes each).
+_HELD = 1 << 22
+
+
 def _lengths(lists: pa.Array) -> np.ndarray:
     return pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -82,7 +144,16 @@ def sums(rows: DataFrame, responses: list[tuple[str, str]], by: str | None = Non
     schema = ", ".join([*(f"`{c}` {kind}" for c in lead), "i string", "j string", *(f"g{r} double" for r in range(len(responses)))])
     used = list(dict.fromkeys(c for pair in responses for c in pair))
 
+    def emitted(taken):
+        keys, labels, key, i, j, g = taken
+        texts = pa.array(labels, pa.string())
+        first = [pa.array(keys, key_type[0]).take(pa.array(key))] if by else []
+        return pa.RecordBatch.from_arrays([*first, texts.take(pa.array(i)), texts.take(pa.array(j)), *map(pa.array, g)], names=[*lead, "i", "j", *(f"g{r}" for r in range(len(g)))])
+
+    key_type: list[pa.DataType] = []
+
     def run(batches):
+        held = _Held(len(responses), _HELD)
         for b in batches:
             cells = pa.array(b.column("cells"))
             flat, size = cells.flatten(), _lengths(cells)
@@ -111,6 +182,9 @@ def sums(rows: DataFrame, responses: list[tuple[str, str]], by: str | None = Non
                 weights[r], y[r] = np.where(sound & (w > 0), w, 0.0), _doubles(b.column(value))
             if by:
                 keyed = b.column(by).dictionary_encode()
+                key_type[:] = [b.column(by).type]
+                if not len(keyed.dictionary):
+                    continue
                 keys, code = keyed.dictionary, keyed.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
                 weights[:, code < 0] = 0.0
                 code = np.maximum(code, 0)
@@ -120,10 +194,14 @@ def sums(rows: DataFrame, responses: list[tuple[str, str]], by: str | None = Non
             line = _Sums(len(keys) * p, len(responses))
             some = [np.flatnonzero(v != 0) for v in values]
             (r0, c0, v0), *rest = [(r[s], c[s], v[s]) for r, c, v, s in zip(rows_of, parts, values, some)]
-            for i, j in ragged(r0, np.bincount(r0, minlength=len(b))):
-                keep = c0[i] <= c0[j]
-                i, j = i[keep], j[keep]
-                table.add((code[r0[i]] * p + c0[i]) * p + c0[j], r0[i], v0[i] * v0[j], weights)
+            at = np.argsort(r0 * p + c0, kind="stable")
+            r0, c0, v0 = r0[at], c0[at], v0[at]
+            again = bool(((r0[1:] == r0[:-1]) & (c0[1:] == c0[:-1])).any())  # a column that stands twice in a row
+            for i, j in upper(r0, c0, len(b)):
+                value = v0[i] * v0[j]
+                if again:
+                    value = value * (1 + ((i != j) & (c0[i] == c0[j])))
+                table.add((code[r0[i]] * p + c0[i]) * p + c0[j], r0[i], value, weights)
             line.add(code[r0] * p + c0, r0, v0, weights * y)
             for r1, c1, v1 in rest:
                 g1 = groups[some[1]]
@@ -135,7 +213,7 @@ def sums(rows: DataFrame, responses: list[tuple[str, str]], by: str | None = Non
                     i, j = i[keep], j[keep]
                     table.add((code[r1[i]] * p + c1[i]) * p + c1[j], r1[i], v1[i] * v1[j], weights)
                 line.add(code[r1] * p + c1, r1, v1, weights * y)
-            label = labels.take(pa.array(order))
+            names = [*labels.take(pa.array(order)).to_pylist(), OUTCOME, *MOMENTS]
             spot, g = table.result()
             at, h = line.result()
             part = weights > 0
@@ -143,13 +221,14 @@ def sums(rows: DataFrame, responses: list[tuple[str, str]], by: str | None = Non
             moment = [part, weights, logs, weights * y * y, np.where(part, y, 0.0), np.where(part, y * y, 0.0), weights * y]
             m = [[np.bincount(code, x[r], len(keys)) for r in range(len(responses))] for x in moment]
             key = np.concatenate([spot // (p * p) if p else spot, at // p if p else at, *[np.arange(len(keys))] * len(MOMENTS)])
-            tail = pa.array(np.repeat(MOMENTS, len(keys)), pa.string())
-            text = lambda x: label.take(pa.array(x)).cast(pa.string())
-            i = pa.concat_arrays([text(spot // p % p if p else spot), text(at % p if p else at), tail])
-            j = pa.concat_arrays([text(spot % p if p else spot), pa.array([OUTCOME] * len(at), pa.string()), tail])
-            g = [np.concatenate([g[r], h[r], *(x[r] for x in m)]) for r in range(len(responses))]
-            first = [keys.take(pa.array(key))] if by else []
-            yield pa.RecordBatch.from_arrays([*first, i, j, *map(pa.array, g)], names=[*lead, "i", "j", *(f"g{r}" for r in range(len(g)))])
+            tail = np.repeat(p + 1 + np.arange(len(MOMENTS)), len(keys))
+            i = np.concatenate([spot // p % p if p else spot, at % p if p else at, tail])
+            j = np.concatenate([spot % p if p else spot, np.full(len(at), p), tail])
+            held.add(keys.to_pylist() if by else keys, names, key, i, j, [np.concatenate([g[r], h[r], *(x[r] for x in m)]) for r in range(len(responses))])
+            if held.full():
+                yield emitted(held.take())
+        if (left := held.take()) is not None:
+            yield emitted(left)
 
     found = rows.select(*lead, *used, "cells", *(["extras"] if extras else [])).mapInArrow(run, schema)
     return found.groupBy(*lead, "i", "j").agg(*[F.sum(f"g{r}").alias(f"g{r}") for r in range(len(responses))])
