@@ -51,8 +51,10 @@ def role_pairs(stint_roles: DataFrame, k: int) -> DataFrame:
     """(row, member, role) to counts of role-pair bins by row; members without role give no pair."""
     r = stint_roles.where("role is not null")
     listed = r.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("member", "role"))).alias("m"))  # five members
-    pairs = listed.select("row", F.explode(F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b["member"] > a["member"]), lambda b: F.struct(a["role"].alias("a"), b["role"].alias("b")))))).alias("p"))
-    return pairs.select("row", S.role_pair_bin(F.col("p.a"), F.col("p.b"), k).cast("long").alias("bin")).groupBy("row", "bin").agg(F.count(F.lit(1)).alias("n"))
+    # A row's bins are counted within the row, so nothing is grouped by row and bin.
+    bins = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b["member"] > a["member"]), lambda b: S.role_pair_bin(a["role"], b["role"], k).cast("long"))))
+    counted = listed.select("row", bins.alias("bins")).select("row", F.explode(F.transform(F.array_distinct("bins"), lambda x: F.struct(x.alias("bin"), F.size(F.filter("bins", lambda y: y == x)).cast("long").alias("n")))).alias("c"))
+    return counted.select("row", "c.bin", "c.n")
 
 
 def dominant_teams(exposure: DataFrame, threshold: int) -> DataFrame:

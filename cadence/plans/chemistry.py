@@ -161,9 +161,9 @@ def _by_pairs(s: linear.Statistics, players: list[int]):
     return half, scale
 
 
-def member_cells(rows: DataFrame, players: list[int], q: np.ndarray) -> DataFrame:
+def member_cells(rows: DataFrame, players: list[int], q: np.ndarray, members: str = "offense_player_ids", name: str = "{0}:{1}") -> DataFrame:
     """``rows`` with ``cells``: for each member of the lineup the sum of the others' vectors. Worked out
-    within the row from the vectors, which every task gets."""
+    within the row from the vectors, which every task gets; members without one add nothing to others."""
     sent = rows.sparkSession.sparkContext.broadcast((players, q))
     kept = [c for c in rows.columns if c != "cells"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema), "cells array<struct<col:string,val:double>>"])
@@ -171,14 +171,18 @@ def member_cells(rows: DataFrame, players: list[int], q: np.ndarray) -> DataFram
     def run(batches):
         players, q = sent.value
         rank = q.shape[1]
-        names = pa.array([f"{p}:{k}" for p in players for k in range(rank)], pa.string())
+        q = np.vstack([q, np.zeros((1, rank))])
         for b in batches:
-            lists, n = pa.array(b.column("offense_player_ids")), len(b)
+            lists, n = pa.array(b.column(members)), len(b)
             size = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             row = np.repeat(np.arange(n), size)
-            at = pc.index_in(lists.flatten().cast(pa.int64()), value_set=pa.array(players, pa.int64())).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten().cast(pa.int64())
+            at = pc.index_in(flat, value_set=pa.array(players, pa.int64())).fill_null(len(players)).to_numpy(zero_copy_only=False).astype(np.int64)
+            met = flat.dictionary_encode()  # cells are named by those present, be they known or not
+            names = pa.array([name.format(p, k) for p in met.dictionary.to_pylist() for k in range(rank)], pa.string())
+            spot = met.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             others = np.stack([np.bincount(row, q[at, k], n)[row] - q[at, k] for k in range(rank)], axis=1)
-            cells = pa.StructArray.from_arrays([names.take(pa.array((at[:, None] * rank + np.arange(rank)).ravel())), pa.array(others.ravel())], names=["col", "val"])
+            cells = pa.StructArray.from_arrays([names.take(pa.array((spot[:, None] * rank + np.arange(rank)).ravel())), pa.array(others.ravel())], names=["col", "val"])
             ends = np.concatenate([[0], np.cumsum(size * rank)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.ListArray.from_arrays(pa.array(ends), cells)], names=[*kept, "cells"])
 

@@ -3,12 +3,13 @@ finds, receivers' production with their teammates' lift, and outcomes carried to
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import gram, metrics, ordered, profiles, splits
-from . import linear, models
+from . import confirmation, linear, models, variants
 
 #: Penalties of a receiver's own level, and prior variances of teammates' lift.
 BASE_GRID = (1.0, 3.0, 10.0, 30.0, 100.0, 300.0)
@@ -114,23 +115,24 @@ def transport_outcome(train: DataFrame, test: DataFrame, counts: DataFrame, role
     stints and more."""
     spark = train.sparkSession
     valued = profiles.outcome(counts, outcome, minimum).select("stint_id", F.col("value").alias("y"), F.col("weight").alias("w"))
-    named = lambda s: s.withColumn("lineup", S.lineup_id("offense_player_ids"))
-    rows = lambda s: models.design_rows(named(s), train, ("lineup",)).drop("y", "w").join(valued, "stint_id")
-    paired = lambda s, r: linear.with_role_pairs(rows(s), profiles.role_pairs(s.select(F.col("stint_id").alias("row"), F.explode("offense_player_ids").alias("member")).join(r, "member", "left"), k))
     dealt = profiles.permuted(roles, "member", "role", seed + 1)
-    variants = {"rung3": rows, "role": lambda s: paired(s, roles), "role_placebo": lambda s: paired(s, dealt)}
-    groups = None
-    for name, of in variants.items():
-        fit = linear.expectation_maximisation(linear.collect(of(train))[None], models.PLAYERS | {"roles": ("r",)}, rounds=30)
-        scored = gram.scored(of(test), fit.table(spark).withColumnRenamed("coef", name))
-        means = scored.groupBy("lineup").agg(F.count(F.lit(1)).alias("stints"), metrics.weighted_mean("y", "w").alias("y"), metrics.weighted_mean(name, "w").alias(name)).where(F.col("stints") >= least)
-        groups = means if groups is None else groups.join(means.select("lineup", name), "lineup")
+    known = {"role": variants.of_roles("role", roles, k), "role_placebo": variants.of_roles("placebo", dealt, k)}
+    named = lambda s: s.withColumn("lineup", S.lineup_id("offense_player_ids"))
+    rows = lambda s: variants.add(models.design_rows(named(s), train, ("lineup", variants.MEMBERS)).drop("y", "w").join(valued, "stint_id"), list(known.values()))
+    # One pass over the train side for all models' statistics, and one over the test side for all predictions.
+    stats = linear.collect(rows(train))[None]
+    fits = {name: linear.expectation_maximisation(confirmation.model_part(stats, v), models.PLAYERS | {"roles": ("v:",)}, rounds=30) for name, v in ({"rung3": None} | known).items()}
+    columns = sorted({c for f in fits.values() for c in f.columns})
+    coefs = np.stack([f.on(columns) for f in fits.values()], axis=1)
+    table = spark.createDataFrame([(c, *map(float, v)) for c, v in zip(columns, coefs)], "col string, " + ", ".join(f"{n} double" for n in fits))
+    scored = gram.scored(variants.flattened(rows(test)), table)
+    groups = scored.groupBy("lineup").agg(F.count(F.lit(1)).alias("stints"), *[metrics.weighted_mean(c, "w").alias(c) for c in ("y", *fits)]).where(F.col("stints") >= least)
     groups = groups.persist()
     square = lambda c: (F.col("y") - F.col(c)) * (F.col("y") - F.col(c))
-    drawn = metrics.bootstrap(groups, "lineup", replicates, seed, **{n: square(n) for n in variants}).persist()
+    drawn = metrics.bootstrap(groups, "lineup", replicates, seed, **{n: square(n) for n in fits}).persist()
     root = lambda c: F.sqrt(F.col(c) / F.col("draws"))
     out = None
-    for name in variants:
+    for name in fits:
         error = groups.agg(F.count(F.lit(1)).alias("lineups"), metrics.rmse(F.col("y") - F.col(name)).alias("macro_rmse"))
         gap = metrics.interval(drawn.withColumn("gap", root(name) - root("role")), "gap")
         one = error.crossJoin(gap).select(F.lit(name).alias("model"), "*")  # one row each

@@ -9,7 +9,7 @@ import math
 from dataclasses import replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -155,9 +155,8 @@ def lift(stints: DataFrame, side: str = "offense", grid: tuple[float, ...] = lin
     alpha = base.table(stints.sparkSession).where(F.col("col").startswith(tag)).select(F.expr("cast(substring(col, 2) as bigint)").alias("member"), F.col("coef").alias("alpha"))
     if permute is not None:
         alpha = profiles.permuted(alpha, "member", "alpha", permute)
-    scored = gram.scored(design_rows(stints, keep=(members,)), base.table(stints.sparkSession))
-    residual = scored.select("stint_id", (F.col("y") - F.col("predicted")).alias("y"), "w", F.explode(members).alias("member"))
-    s = linear.collect(lift_rows(residual, alpha, sign))[None]
+    scored = gram.scored(design_rows(stints, keep=(members,)), base.table(stints.sparkSession)).select(members, (F.col("y") - F.col("predicted")).alias("y"), "w")
+    s = linear.collect(lift_cells(scored, members, alpha, sign))[None]
     best = linear.evidence(s, base.sigma2, grid)
     return stints.sparkSession.createDataFrame([(int(c[1:]), float(v)) for c, v in zip(s.columns, best)], "member long, lift double")
 
@@ -171,14 +170,23 @@ def lift_rows(residual: DataFrame, alpha: DataFrame, sign: float = 1.0) -> DataF
     return sums.select("stint_id", "y", "w", cells.alias("cells"))
 
 
+def lift_cells(rows: DataFrame, members: str, alpha: DataFrame, sign: float = 1.0) -> DataFrame:
+    """``rows`` with the cells of ``lift_rows``, worked out within the row: effects (member, alpha) are as
+    many as the model's players and go to every task; members without one add nothing."""
+    known = sorted((int(r[0]), float(r[1] or 0.0)) for r in alpha.select("member", "alpha").collect())
+    return chemistry.member_cells(rows, [m for m, _ in known], sign * np.array([[v] for _, v in known]).reshape(-1, 1), members, "l{0}")
+
+
 def receiver_design(production: DataFrame, credit: float = 0.5) -> DataFrame:
     """Rows (stint_id, receiver, y, w, cells) of (stint_id, game_date, member, fg, ft, assisted, w):
     the receiver's production against the four beside; rows without teammates go."""
-    made = production.withColumn("y", F.col("fg") + F.col("ft") + credit * F.col("assisted"))
-    five = made.groupBy("stint_id").agg(F.collect_list("member").alias("five"))  # five members
-    mates = F.transform(F.filter("five", lambda m: m != F.col("member")), lambda m: F.struct(F.concat(F.lit("t"), m.cast("string")).alias("col"), F.lit(1.0).alias("val")))
-    own = F.array(F.struct(F.lit("c_intercept").alias("col"), F.lit(1.0).alias("val")), F.struct(F.concat(F.lit("u"), F.col("member").cast("string")).alias("col"), F.lit(1.0).alias("val")))
-    return made.join(five, "stint_id").where("size(five) > 1").select("stint_id", "game_date", F.col("member").alias("receiver"), "y", "w", F.concat(own, mates).alias("cells"))
+    y = F.col("fg") + F.col("ft") + credit * F.col("assisted")
+    # A stint's few rows meet in one list, whose rows are made out of it again: one grouping, no join.
+    present = production.where("stint_id is not null").groupBy("stint_id").agg(F.collect_list(F.struct("game_date", "member", y.alias("y"), "w")).alias("five"))
+    made = present.where("size(filter(five.member, m -> m is not null)) > 1").select("stint_id", F.explode("five").alias("r"), F.col("five.member").alias("members"))
+    mates = F.transform(F.filter("members", lambda m: m != F.col("r.member")), lambda m: F.struct(F.concat(F.lit("t"), m.cast("string")).alias("col"), F.lit(1.0).alias("val")))
+    own = F.array(F.struct(F.lit("c_intercept").alias("col"), F.lit(1.0).alias("val")), F.struct(F.concat(F.lit("u"), F.col("r.member").cast("string")).alias("col"), F.lit(1.0).alias("val")))
+    return made.select("stint_id", "r.game_date", F.col("r.member").alias("receiver"), "r.y", "r.w", F.concat(own, mates).alias("cells"))
 
 
 def evaluate_receivers(production: DataFrame) -> DataFrame:
@@ -192,9 +200,9 @@ def evaluate_receivers(production: DataFrame) -> DataFrame:
     keep = ~s.block(("t",))
     plain = np.zeros(len(full))
     plain[keep] = np.linalg.solve(s.g[np.ix_(keep, keep)] + np.diag(np.where(s.block(("c_",))[keep], 1e-3, 30.0)), s.b[keep])
-    coefs = spark.createDataFrame([(c, float(a), float(b)) for c, a, b in zip(s.columns, plain, full)], "col string, base double, model double")
-    cells = test.select("stint_id", "receiver", "y", "w", F.explode("cells").alias("c")).select("stint_id", "receiver", "y", "w", F.col("c.col").alias("col"), F.col("c.val").alias("val")).join(coefs, "col", "left")
-    scored = cells.groupBy("stint_id", "receiver", "y", "w").agg(F.sum(F.col("val") * F.coalesce("base", F.lit(0.0))).alias("base"), F.sum(F.col("val") * F.coalesce("model", F.lit(0.0))).alias("model"), F.max(F.col("base").isNull().cast("int")).alias("unknown")).where("unknown = 0")
+    # Cells are ones, so a row whose columns are all known counts as many as it has.
+    coefs = spark.createDataFrame([(c, float(a), float(b), 1.0) for c, a, b in zip(s.columns, plain, full)], "col string, base double, model double, known double")
+    scored = gram.scored(test.withColumn("size", F.size("cells")), coefs).where("known = size")
     return metrics.group_rmse_gain(scored, "receiver", "y", "base", "model", "w")
 
 
@@ -508,13 +516,11 @@ def evaluate_lift(train: DataFrame, test: DataFrame, side: str = "offense", perm
     tag, members, sign = ("o", "offense_player_ids", 1.0) if side == "offense" else ("d", "defense_player_ids", -1.0)
     alpha = base.table(spark).where(F.col("col").startswith(tag)).select(F.expr("cast(substring(col, 2) as bigint)").alias("member"), F.col("coef").alias("alpha"))
     scored = gram.scored(design_rows(_lineups(test), train, ("lineup", members)), base.table(spark)).withColumnRenamed("predicted", "base")
-    present = scored.select("stint_id", F.explode(members).alias("member")).withColumns({"y": F.lit(0.0), "w": F.lit(0.0)})
     for name, dealt in (("lift", None), ("lift_placebo", permute)):
         found = lift(train, side, permute=dealt, base=base)
         used = alpha if dealt is None else profiles.permuted(alpha, "member", "alpha", dealt)
         coefs = found.select(F.concat(F.lit("l"), F.col("member").cast("string")).alias("col"), F.col("lift").alias("extra"))
-        extra = gram.scored(lift_rows(present, used, sign), coefs).select("stint_id", "extra")
-        scored = scored.join(extra, "stint_id", "left").withColumn(name, F.col("base") + F.coalesce("extra", F.lit(0.0))).drop("extra")
+        scored = gram.scored(lift_cells(scored, members, used, sign), coefs).withColumn(name, F.col("base") + F.col("extra")).drop("extra")
     names = ("base", "lift", "lift_placebo")
     return rung_errors(scored, "lineup", names).select(F.col("rung").alias("model"), "macro_rmse", "micro_rmse")
 
@@ -522,27 +528,50 @@ def evaluate_lift(train: DataFrame, test: DataFrame, side: str = "offense", perm
 def mechanistic(train: DataFrame, test: DataFrame, counts: DataFrame, outcome: str, minimum: int = 1) -> DataFrame:
     """One row: errors of an outcome's additive fit (its own denominators as weights) by lineup, of the
     training mean, and its gain over that. ``test`` may be another table, for transport."""
-    valued = profiles.outcome(counts, outcome, minimum).select("stint_id", F.col("value").alias("y"), F.col("weight").alias("w"))
-    rows = lambda s: design_rows(_lineups(s), train, ("lineup",)).drop("y", "w").join(valued, "stint_id")
-    stats = linear.collect(rows(train))[None]
-    table = train.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(stats.columns, linear.ridge(stats, 30.0))], "col string, model double")
-    intercept = stats.columns.index("c_intercept")
-    mean = float(stats.b[intercept] / stats.g[intercept, intercept]) if stats.g[intercept, intercept] else 0.0
-    scored = gram.scored(rows(test), table).withColumn("base", F.lit(mean))
-    gain = metrics.group_rmse_gain(scored, "lineup", "y", "base", "model", "w").select("base_rmse", "model_rmse", "gain")
-    return metrics.micro_macro(scored, "lineup", "y", "model", "w").crossJoin(gain)  # one row each
+    return _mechanistic(train, test, counts, [outcome], minimum).drop("outcome")
 
 
 def mechanistic_outcomes(train: DataFrame, test: DataFrame, counts: DataFrame, minimum: int = 1) -> DataFrame:
     """``mechanistic`` for every outcome whose columns ``counts`` has, a row each."""
-    out = None
-    for name, (top, bottom) in profiles.OUTCOMES.items():
-        if top in counts.columns and bottom in counts.columns:
-            one = mechanistic(train, test, counts, name, minimum).withColumn("outcome", F.lit(name))
-            out = one if out is None else out.unionByName(one)
+    return _mechanistic(train, test, counts, [n for n, (top, bottom) in profiles.OUTCOMES.items() if top in counts.columns and bottom in counts.columns], minimum)
+
+
+def outcome_columns(outcomes: list[str], minimum: int) -> list[Column]:
+    """y0, w0, y1, ...: value and weight of each outcome of a table of counters, null under ``minimum``
+    of its own denominator."""
+    out = []
+    for k, name in enumerate(outcomes):
+        top, bottom = (F.coalesce(F.col(c), F.lit(0)) for c in profiles.OUTCOMES[name])
+        sound = bottom.cast("double") >= minimum
+        out += [F.when(sound, S.safe_ratio(top, bottom)).alias(f"y{k}"), F.when(sound, bottom.cast("double")).alias(f"w{k}")]
     return out
 
 
+def _mechanistic(train: DataFrame, test: DataFrame, counts: DataFrame, outcomes: list[str], minimum: int) -> DataFrame:
+    """A row for each outcome. Each outcome is a response with weights of its own, so one pass over the
+    train side gives all statistics, and one over the test side all predictions and errors."""
+    spark, each = train.sparkSession, range(len(outcomes))
+    valued = counts.select("stint_id", *outcome_columns(outcomes, minimum))
+    rows = lambda s: design_rows(_lineups(s), train, ("lineup",)).drop("y", "w").join(valued, "stint_id")
+    found = linear.collect_many(rows(train), {f"m{k}": (f"y{k}", f"w{k}") for k in each})
+    stats = [found[f"m{k}"][None] for k in each]
+    columns = stats[0].columns
+    coefs = np.stack([linear.ridge(s, 30.0) for s in stats], axis=1)
+    table = spark.createDataFrame([(c, *map(float, v)) for c, v in zip(columns, coefs)], "col string, " + ", ".join(f"m{k} double" for k in each))
+    one = columns.index("c_intercept")
+    means = [float(s.b[one] / s.g[one, one]) if s.g[one, one] else 0.0 for s in stats]
+    cells = [F.struct(F.lit(n).alias("outcome"), F.col(f"y{k}").alias("y"), F.col(f"w{k}").alias("w"), F.lit(means[k]).alias("base"), F.col(f"m{k}").alias("model")) for k, n in enumerate(outcomes)]
+    long = gram.scored(rows(test), table).select("lineup", F.explode(F.array(*cells)).alias("x")).select("lineup", "x.*").where("y is not null and w is not null")
+    error, total = F.col("y") - F.col("model"), F.sum("w")
+    groups = long.groupBy("outcome", "lineup").agg(F.count(F.lit(1)).alias("n"), total.alias("w"), F.sum(F.col("w") * error * error).alias("see"), F.sum(F.col("w") * F.abs(error)).alias("sae"), *[metrics.weighted_mean(c, "w").alias(c) for c in ("y", "base", "model")])
+    gap, several = F.col("y") - F.col("model"), F.when(F.col("n") >= 2, F.col("w"))
+    shared = lambda c: F.sqrt(F.sum(several * (F.col("y") - F.col(c)) * (F.col("y") - F.col(c))) / F.sum(several))
+    out = groups.groupBy("outcome").agg(
+        F.sqrt(F.sum("see") / total).alias("micro_rmse"), (F.sum("sae") / total).alias("micro_mae"), F.sum("n").alias("rows"), metrics.rmse(gap).alias("macro_rmse"), F.avg(F.abs(gap)).alias("macro_mae"), F.count(F.lit(1)).alias("groups"), shared("base").alias("base_rmse"), shared("model").alias("model_rmse"),
+    )
+    return out.select("micro_rmse", "micro_mae", "rows", "macro_rmse", "macro_mae", "groups", "base_rmse", "model_rmse", (F.col("base_rmse") - F.col("model_rmse")).alias("gain"), "outcome")
+
+
 def pair_stability(parts: list[DataFrame], strengths: tuple[float, ...] = (8.0, 25.0, 70.0)) -> DataFrame:
     """first, second, strength, groups, correlation: whether pair effects fitted on one part of the data
     come back on another, over the pairs that both have."""
