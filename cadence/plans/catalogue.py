@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import contract, gram, intervals, metrics, ordered, profiles, reconcile, shared, splits
 from ..sources import views as V
-from ..sources.held import materialise
+from ..sources.held import materialise, spread
 from ..sources.views import POSSESSION_SQL, PROFILE_SQL, STINT_SQL, WINDOW_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -489,6 +489,7 @@ def concentration(spark, sf):
   SELECT stint_id AS "row", CAST(least(a, b) * 4 - least(a, b) * (least(a, b) - 1) // 2 + greatest(a, b) - least(a, b) AS BIGINT) AS bin, count(*) AS n FROM q GROUP BY ALL""")
 def role_pair_bins(spark, sf):
     m = V.stints(spark, sf).select(F.col("stint_id").alias("row"), F.explode("offense_player_ids").alias("member"))
+    m = spread(m, V.table(spark, sf, "orders").count(), V.STINTS_EACH, "row")
     return profiles.role_pairs(m.withColumn("role", F.when(F.col("member") != 11, F.col("member") % 4)), 4)
 
 
@@ -975,7 +976,8 @@ def row_moments(spark, sf):
 
 
 def _produced(spark, sf):
-    lines = V.table(spark, sf, "lineitem").join(V.table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("game_date")), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = V.table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_tax", "l_discount")
+    lines = spread(lines, lines.count(), V.LINES_EACH, "l_orderkey").join(V.table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("game_date")), F.col("l_orderkey") == F.col("o_orderkey"))
     return lines.groupBy(F.col("l_orderkey").alias("stint_id"), "game_date", (F.col("l_suppkey") % V.PLAYERS).alias("member")).agg(F.sum("l_quantity").alias("fg"), F.sum("l_tax").alias("ft"), F.sum("l_discount").alias("assisted"), F.count(F.lit(1)).cast("double").alias("w"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,3 +30,10 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark)}/cadence-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, rows: int, each: int, *key: Column | str) -> DataFrame:
+    """``df``, of ``rows`` rows, dealt by ``key`` over as many partitions as hold ``each`` rows, where the
+    session's number would make them larger: what a task sorts and groups then doesn't grow with the input."""
+    n = -(-rows // each)
+    return df.repartition(n, *key) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df

@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .held import spread
 
 #: Teams, and the players of each; and how far apart the slots of a lineup lie.
 TEAMS, ROSTER, STEPS = 12, 10, (1, 3, 7, 9)
 #: Player ids are under this number on offense, and from 1000 on defense.
 PLAYERS = TEAMS * ROSTER
+#: Stints, and lines of orders, that a partition holds where the session's number would make larger ones.
+STINTS_EACH, LINES_EACH = 100_000, 150_000
 #: Players in these slots and above belong to another team each season.
 MOVERS = 9
 
@@ -43,6 +46,7 @@ def stints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 1000).cast("int").alias("points_scored"),
     )
     orders = table(spark, sf_dir, "orders")
+    orders = spread(orders, orders.count(), STINTS_EACH, "o_orderkey")  # a count of Parquet rows reads footers only
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     season = F.year("o_orderdate") - 1992
     period, remaining, margin = (cust % 5 + 1).cast("int"), (key % 720).cast("double"), (key % 61 - 30).cast("int")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cadence.operators import profiles, shared, splits
 from cadence.plans import evaluation, linear, models
+from cadence.sources import held
 from cadence.sources import views as V
 
 
@@ -64,3 +65,13 @@ def test_a_side_comes_with_its_game(spark, sf):
     sided = splits.chronological_sides(stints)
     assert sided.columns == [*stints.columns, "side"]
     assert sorted(map(tuple, sided.select("stint_id", "side").collect())) == sorted(map(tuple, stints.join(splits.chronological(stints), "stint_id").select("stint_id", "side").collect()))
+
+
+def test_partitions_follow_the_rows_where_the_session_has_too_few(spark, sf, monkeypatch):
+    df = spark.range(1000)
+    assert held.spread(df, 1000, 100, "id").rdd.getNumPartitions() == 10
+    assert held.spread(df, 1000, 1000, "id") is df  # the session's partitions do
+    before = {tuple(map(str, r)) for r in V.stints(spark, sf).collect()}
+    monkeypatch.setattr(V, "STINTS_EACH", 200)
+    many = V.stints(spark, sf)
+    assert "REPARTITION_BY_NUM" in _plan(many) and {tuple(map(str, r)) for r in many.collect()} == before
