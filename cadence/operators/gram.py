@@ -12,6 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import MOMENTS, OUTCOME
+
+#: What context columns are worked out from, beside the season.
+CONTEXT = ("home_offense", "score_margin_offense", "period", "playoff", "days_rest_offense", "garbage_time_weight")
+
 
 def scaler(stints: DataFrame, *more: Column) -> DataFrame:
     """One row of training means and deviations of margin and rest (zero deviation: 1)."""
@@ -39,10 +44,14 @@ def context(stints: DataFrame, scale: DataFrame, seasons: list[int], periods: tu
     return stints.crossJoin(F.broadcast(scale)).select("stint_id", *[v.alias(k) for k, v in cols.items()])  # scale: one row
 
 
+def _response() -> tuple[Column, Column]:
+    return 100.0 * F.col("points_scored") / F.col("offensive_possessions"), F.col("offensive_possessions").cast("double")
+
+
 def design(stints: DataFrame, context: dict[str, Column] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """stint_id, the columns ``keep``, y, w and ``cells``: an array of (col, val). Offense counts +1,
     defense -1. Context columns are worked out in the same row, so a stint is read once."""
-    y, w = 100.0 * F.col("points_scored") / F.col("offensive_possessions"), F.col("offensive_possessions").cast("double")
+    y, w = _response()
     side = lambda members, tag, v: F.transform(members, lambda p: F.struct(F.concat(F.lit(tag), p.cast("string")).alias("col"), F.lit(v).alias("val")))
     cells = F.concat(side("offense_player_ids", "o", 1.0), side("defense_player_ids", "d", -1.0))
     if context:
@@ -50,6 +59,86 @@ def design(stints: DataFrame, context: dict[str, Column] | None = None, keep: tu
     return stints.select("stint_id", *keep, y.alias("y"), w.alias("w"), cells.alias("cells"))
 
 
+def season_parts(stints: DataFrame, context: dict[str, Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the statistics of ``design`` are made of, as plain groupings of the stints: (contexts, members, pairs).
+
+    contexts: season_index, each context column, n, sw, slogw, q, sy, syy, swy over the stints of one context;
+    members: season_index, team, on (offense), player, w, wy and the sums of w times each context column;
+    pairs: season_index, team, a_on, a, b_on, b, g: sums of w over the stints of both, defense before offense and a <= b.
+    The team is that of the offense, null where only defenders stand. Stints without a rating or of no weight are left out.
+    """
+    y, w = _response()
+    five, against = F.col("offense_player_ids"), F.col("defense_player_ids")
+    sound = lambda *keep: stints.select("season_index", *keep, y.alias("y"), w.alias("w")).where("season_index IS NOT NULL AND y IS NOT NULL AND w > 0")
+    names = [f"c_{k}" for k in context]
+    # the context columns are worked out once for the stints of one context
+    sums = {"n": F.count(F.lit(1)), "sw": F.sum("w"), "slogw": F.sum(F.ln("w")), "q": F.sum(F.col("w") * F.col("y") * F.col("y")), "sy": F.sum("y"), "syy": F.sum(F.col("y") * F.col("y")), "swy": F.sum(F.col("w") * F.col("y"))}
+    contexts = sound(*CONTEXT).groupBy("season_index", *CONTEXT).agg(*[v.alias(k) for k, v in sums.items()]).select("season_index", *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in zip(names, context.values())], *sums)
+    seats = lambda df, of, *keep: df.select("season_index", "team", "w", "size", *keep, F.posexplode(of).alias("place", "player")).withColumn("on", F.col("place") < F.col("size"))
+    seated = [F.col("offense_team_id").alias("team"), F.size(five).alias("size"), five.alias("five"), F.concat(five, against).alias("members")]
+    one = seats(sound(*seated, *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in zip(names, context.values())]), "members", "y", *names)
+    members = one.groupBy("season_index", F.when(F.col("on"), F.col("team")).alias("team"), "on", "player").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy"), *[F.sum(F.col("w") * F.col(n)).alias(n) for n in names])
+    two = seats(sound(*seated), "members", "five", "members").withColumnsRenamed({"player": "a", "on": "a_on"})
+    met = F.when(F.col("a_on"), F.col("five")).otherwise(F.col("members"))
+    two = seats(two, met, "a", "a_on").withColumnsRenamed({"player": "b", "on": "b_on"}).where("b_on AND NOT a_on OR a_on = b_on AND a <= b")
+    pairs = two.groupBy("season_index", F.when(F.col("b_on"), F.col("team")).alias("team"), "a_on", "a", "b_on", "b").agg(F.sum("w").alias("g"))
+    return contexts, members, pairs
+
+
+def column(on: Column, player: Column) -> Column:
+    """The column of a player on offense or defense."""
+    return F.concat(F.when(on, "o").otherwise("d"), player.cast("string"))
+
+
+def _sign(on: Column) -> Column:
+    return F.when(on, 1.0).otherwise(-1.0)
+
+
+def _unpivoted(df: DataFrame, names: list[str], *keep: Column | str) -> DataFrame:
+    """``keep``, col and val for each of the columns ``names``; zeros are left out."""
+    cells = F.array(*[F.struct(F.lit(n).alias("col"), F.col(n).cast("double").alias("val")) for n in names])
+    return df.select(*keep, F.explode(cells).alias("c")).select("*", "c.col", "c.val").drop("c").where("val <> 0")
+
+
+def season_sums(contexts: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """season_index, i, j, g0 as ``shared.sums`` gives them, from ``season_parts``."""
+    names = [c for c in contexts.columns if c.startswith("c_")]
+    numbered = dict(zip(MOMENTS, ("n", "sw", "slogw", "q", "sy", "syy", "swy")))
+    g = lambda v: F.sum(v).alias("g0")
+    added = lambda df, i, j, v: df.groupBy("season_index", i.alias("i"), j.alias("j")).agg(g(v))
+    listed = _unpivoted(contexts, names, "season_index", "sw", "swy", *names)
+    both = _unpivoted(listed.withColumnsRenamed({"col": "left", "val": "x"}), names, "season_index", "sw", "left", "x").where("left <= col")
+    total = contexts.groupBy("season_index").agg(*[F.sum(v).cast("double").alias(k) for k, v in numbered.items()])
+    cells = F.array(*[F.struct(F.lit(k).alias("i"), F.col(k).alias("g0")) for k in MOMENTS])
+    moments = total.select("season_index", F.explode(cells).alias("c")).select("season_index", F.col("c.i").alias("i"), F.col("c.i").alias("j"), "c.g0")
+    own, outcome = column(F.col("on"), F.col("player")), F.lit(OUTCOME)
+    signed = _unpivoted(members, names, "season_index", "on", "player")
+    parts = [
+        added(both, F.col("left"), F.col("col"), F.col("sw") * F.col("x") * F.col("val")),
+        added(listed, F.col("col"), outcome, F.col("swy") * F.col("val")),
+        added(signed, F.col("col"), own, _sign(F.col("on")) * F.col("val")),
+        added(members, own, outcome, _sign(F.col("on")) * F.col("wy")),
+        added(pairs, column(F.col("a_on"), F.col("a")), column(F.col("b_on"), F.col("b")), _sign(F.col("a_on")) * _sign(F.col("b_on")) * F.col("g")),
+    ]
+    for p in parts:
+        moments = moments.unionByName(p)
+    return moments
+
+
+def member_scores(members: DataFrame, pairs: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """season_index, team, player, y, w, predicted: the weighted mean rating and prediction over an
+    offense player's stints, by coefficients (season_index, col, coef) of each season. A prediction is a
+    sum over cells, so its sum over stints follows from the cells' sums."""
+    names, key = [c for c in members.columns if c.startswith("c_")], ["season_index", "team", "player"]
+    seasons = coefficients.select("season_index").distinct()
+    offense = members.where("on").join(F.broadcast(seasons), "season_index", "left_semi")  # a few seasons
+    first = pairs.where("b_on").select("season_index", "team", F.col("b").alias("player"), column(F.col("a_on"), F.col("a")).alias("col"), (_sign(F.col("a_on")) * F.col("g")).alias("val"))
+    second = pairs.where("a_on AND a <> b").select("season_index", "team", F.col("a").alias("player"), column(F.col("b_on"), F.col("b")).alias("col"), F.col("g").alias("val"))
+    cells = _unpivoted(offense, names, *key).unionByName(first).unionByName(second)
+    total = cells.join(coefficients, ["season_index", "col"]).groupBy(*key).agg(F.sum(F.col("val") * F.col("coef")).alias("p"))
+    return offense.join(total, key, "left").select(*key, (F.col("wy") / F.col("w")).alias("y"), "w", (F.coalesce("p", F.lit(0.0)) / F.col("w")).alias("predicted"))
+
+
 #: Products of a batch are summed in a dense table of so many cells at most, else by sorting.
 _DENSE = 1 << 23
 

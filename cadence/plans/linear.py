@@ -54,8 +54,13 @@ def collect_many(rows: DataFrame, responses: dict[str, tuple[str, str]], fold: s
     What comes to the driver is bounded: columns and keys are counted first, and columns squared,
     times folds, times responses, may be ``MAX_COLUMNS`` squared at most.
     """
+    return fetched(shared.sums(rows, list(responses.values()), fold), list(responses), fold)
+
+
+def fetched(sums: DataFrame, responses: list[str], fold: str | None = None) -> dict[str, dict[object, Statistics]]:
+    """``collect_many`` of sums already made, as those of ``shared.sums``: g0, g1, ... are those of ``responses`` in order."""
     lead = [fold] if fold else []
-    sums = shared.sums(rows, list(responses.values()), fold).persist()
+    sums = sums.persist()
     try:
         columns = [r[0] for r in sums.where("i = j and i < '~'").select("i").distinct().orderBy("i").limit(MAX_COLUMNS + 1).collect()]
         keys = [r[0] for r in sums.where("i = '~n'").select(*lead or [F.lit(None)]).distinct().limit(MAX_COLUMNS).collect()] or ([] if fold else [None])

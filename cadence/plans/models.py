@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import contract, gram, metrics, ordered, profiles, splits
+from ..sources.held import materialise
 from . import chemistry, linear, variants
 
 MIN_STINTS, MIN_TRANSPORT = 50, 10
@@ -391,20 +392,32 @@ def _rescaling(columns: list[str], scale: dict[str, float]) -> np.ndarray:
 
 
 def prefix_fits(stints: DataFrame, min_rows: int = 50) -> tuple[dict[int, linear.Fit], DataFrame, list[int]]:
-    """The hierarchical fit of the seasons before each season, all from one pass: season to fit, whose
+    """The hierarchical fit of the seasons before each season, all from the same sums: season to fit, whose
     coefficients are those of unscaled columns; the unscaled design; and all seasons.
 
     A season's statistics are mergeable, and those before a cutover are a running total. Each cutover
     has its own context scale, which follows from the seasons' moments; as scaled columns are sums of
     unscaled ones, its statistics do too.
     """
+    fits, seasons, *_ = _prefix_fits(stints, min_rows)
+    return fits, gram.design(stints, _unscaled_context(seasons), ("season_index", "offense_team_id", "offense_player_ids")), seasons
+
+
+def _unscaled_context(seasons: list[int]) -> dict[str, Column]:
+    return gram.context_columns(seasons, {k: F.lit(v) for k, v in _UNSCALED.items()})
+
+
+def _prefix_fits(stints: DataFrame, min_rows: int) -> tuple[dict[int, linear.Fit], list[int], DataFrame, DataFrame]:
+    """The fits and seasons of ``prefix_fits``, and the sums over members and pairs that they come from."""
     moments = season_moments(stints)
-    seasons = [r[0] for r in moments.select("season_index").orderBy("season_index").collect()]  # a few
+    moments = stints.sparkSession.createDataFrame(moments.orderBy("season_index").collect(), moments.schema)  # a row for each season
+    seasons = [r[0] for r in moments.collect()]
     if len(seasons) < 2:
         raise ValueError("at least two seasons are needed")
-    scales = {r["season_index"]: r.asDict() for r in prefix_scale(moments).collect()}  # a row for each season
-    rows = gram.design(stints, gram.context_columns(seasons, {k: F.lit(v) for k, v in _UNSCALED.items()}), ("season_index", "offense_team_id", "offense_player_ids"))
-    parts = linear.collect(rows, "season_index")
+    scales = {r["season_index"]: r.asDict() for r in prefix_scale(moments).collect()}
+    parts = zip(gram.season_parts(stints, _unscaled_context(seasons)), ("contexts", "members", "pairs"))
+    contexts, members, pairs = (materialise(p, label) for p, label in parts)  # each is read several times
+    parts = linear.fetched(gram.season_sums(contexts, members, pairs), ["y"], "season_index")["y"]
     fits, before = {}, None
     for season in seasons:
         if before is not None and before.n >= min_rows:
@@ -414,23 +427,19 @@ def prefix_fits(stints: DataFrame, min_rows: int = 50) -> tuple[dict[int, linear
             fits[season] = replace(fit, columns=seen.columns, coef=t.T @ fit.on(seen.columns))
         if season in parts:
             before = parts[season] if before is None else linear.total([before, parts[season]])
-    return fits, rows, seasons
+    return fits, seasons, members, pairs
 
 
 def backtest(stints: DataFrame, threshold: int = 50, min_rows: int = 50) -> DataFrame:
     """cohort, season_index, player_id, delta: realised less predicted rating after moves and for the
-    phantom cohort, by the fit of the seasons before each. One pass for all fits, one for all
-    predictions."""
-    fits, rows, _ = prefix_fits(stints, min_rows)
+    phantom cohort, by the fit of the seasons before each. The fits and all predictions come from the
+    same sums, which are plain groupings; no stint is predicted by itself."""
+    fits, _, members, pairs = _prefix_fits(stints, min_rows)
     if not fits:
         raise ValueError("no season has enough rows before it")
-    spark = stints.sparkSession
-    columns = sorted({c for f in fits.values() for c in f.columns})
-    coefs = np.stack([f.on(columns) for f in fits.values()], axis=1)
-    table = spark.createDataFrame([(c, *map(float, v)) for c, v in zip(columns, coefs)], "col string, " + ", ".join(f"f{k} double" for k in range(len(fits))))  # columns x seasons
-    after = rows.where(F.col("season_index").isin(list(fits)))
-    own = F.coalesce(*[F.when(F.col("season_index") == season, F.col(f"f{k}")) for k, season in enumerate(fits)])
-    scored = gram.scored(after, table).select("stint_id", "season_index", F.col("offense_team_id").cast("string").alias("to_team"), F.explode("offense_player_ids").alias("player_id"), "y", "w", own.alias("predicted"))
+    kind = stints.schema["season_index"].dataType.simpleString()
+    table = stints.sparkSession.createDataFrame([(season, c, float(v)) for season, f in fits.items() for c, v in zip(f.columns, f.coef)], f"season_index {kind}, col string, coef double")  # columns x seasons
+    scored = gram.member_scores(members, pairs, table).select("season_index", F.col("team").cast("string").alias("to_team"), F.col("player").alias("player_id"), "y", "w", "predicted")
     return move_deltas(scored, stints, threshold)
 
 
@@ -439,6 +448,7 @@ def move_deltas(scored: DataFrame, stints: DataFrame, threshold: int) -> DataFra
     predicted): weighted mean of y less that of the prediction for players who moved to a team between two seasons,
     in the later one, and for those who stayed (the phantom cohort)."""
     exposure = stints.select(F.explode("offense_player_ids").alias("player_id"), "season_index", F.col("offense_team_id").cast("string").alias("team"), F.col("offensive_possessions").cast("long").alias("possessions"))
+    exposure = materialise(exposure.groupBy("player_id", "season_index", "team").agg(F.sum("possessions").alias("possessions")), "exposure")  # read four times
     moved = None
     for cohort, changed in (("real", True), ("phantom", False)):
         one = profiles.moves(exposure, threshold, changed).select(F.lit(cohort).alias("cohort"), "player_id", (F.col("season_index") + 1).alias("season_index"), "to_team")

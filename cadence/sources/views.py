@@ -37,7 +37,10 @@ def _five(start, step, lines, player):
 def stints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One stint for each order with lines. Its customer gives the offense's team and the order the
     defense's; its highest part and supplier say which five of a team's ten players play."""
-    lines = table(spark, sf_dir, "lineitem")
+    orders = table(spark, sf_dir, "orders")
+    n = orders.count()  # of Parquet rows: reads footers only
+    # Both sides of the join are dealt alike: else it takes the number of the side that isn't.
+    lines = spread(table(spark, sf_dir, "lineitem"), n, STINTS_EACH, "l_orderkey")
     sides = lines.groupBy("l_orderkey").agg(
         F.max("l_suppkey").alias("a"),
         F.max("l_partkey").alias("b"),
@@ -45,8 +48,7 @@ def stints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("l_quantity").cast("int").alias("offensive_possessions"),
         F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 1000).cast("int").alias("points_scored"),
     )
-    orders = table(spark, sf_dir, "orders")
-    orders = spread(orders, orders.count(), STINTS_EACH, "o_orderkey")  # a count of Parquet rows reads footers only
+    orders = spread(orders, n, STINTS_EACH, "o_orderkey")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     season = F.year("o_orderdate") - 1992
     period, remaining, margin = (cust % 5 + 1).cast("int"), (key % 720).cast("double"), (key % 61 - 30).cast("int")
